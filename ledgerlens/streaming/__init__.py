@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reconciliation has no stream, watermark, window or stateful operator; its inputs are
+refreshed by re-running the batch extracts. Re-running ``ledgerlens.operators`` on new inputs
+is the whole refresh story, so no Structured Streaming operator is provided.
+"""
