@@ -6,8 +6,9 @@ Plan shape (what scales):
   return sums are hash aggregates with a map-side partial phase, so an order or supplier
   holding a third of all movement rows collapses to a handful of rows before the exchange.
 * The order header is filtered first (window / status / sale type are pushed into the
-  Parquet scan); for the campaign tables the movements are then semi-joined to the
-  surviving order ids, so the movement aggregation only touches campaign orders.
+  Parquet scan). When the surviving campaign order ids are provably few, the movements are
+  semi-joined to them map-side (broadcast filter) before aggregating; otherwise all
+  movements are aggregated and the joins drop the rest - never a raw-row shuffle by order.
 * Dimensions (clients, suppliers, promotion codes) are broadcast only behind a checked row
   bound (``plans.broadcast``); above it they are shuffle-joined.
 * The unified table is built in ONE pass over the header: rows qualify through the window
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
-from ledgerlens.plans.broadcast import broadcast_if_bounded
+from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, max_broadcast_rows
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
 
@@ -119,18 +120,23 @@ def returns_by_order(movements: DataFrame, return_op: str) -> DataFrame:
 
 
 def billing_lines(header: DataFrame, movements: DataFrame, clients: DataFrame,
-                  suppliers: DataFrame, return_op: str, reduce_movements: bool = False,
+                  suppliers: DataFrame, return_op: str, campaign_slice: bool = False,
                   carry: tuple[str, ...] = ()) -> DataFrame:
     """q03: one row per (order, supplier of the order) with client, state, billed and returned.
 
     The order total is repeated on every supplier row of the order (the extract's fan-out);
     orders without movements keep one row with NULL supplier.
 
-    ``reduce_movements``: semi-join movements to the header's order ids first (use when the
-    header was filtered to a small campaign slice). ``carry``: extra header columns to keep.
+    ``campaign_slice``: the header was filtered to a campaign. If its order ids are within
+    the broadcast bound, movements are first semi-joined to them *map-side* (a broadcast
+    filter: no shuffle, nothing skewed); otherwise the movement aggregates run on all
+    movements and the joins below drop what the campaign does not need.
+    ``carry``: extra header columns to keep.
     """
-    if reduce_movements:
-        movements = movements.join(header.select("order_id"), "order_id", "left_semi")
+    if campaign_slice:
+        ids = header.select("order_id")
+        if is_bounded(ids, max_broadcast_rows(header.sparkSession)):
+            movements = movements.join(F.broadcast(ids), "order_id", "left_semi")
     pairs = order_suppliers(movements, suppliers)
     returned = returns_by_order(movements, return_op)
     party = broadcast_if_bounded(
@@ -147,7 +153,7 @@ def billing_lines(header: DataFrame, movements: DataFrame, clients: DataFrame,
 def billing_window(header, movements, clients, suppliers, rules: BillingRules) -> DataFrame:
     """q04: billing lines of orders inside the campaign window and order-class rules."""
     hdr = header.where(window_predicate(rules))
-    return billing_lines(hdr, movements, clients, suppliers, rules.return_op, reduce_movements=True)
+    return billing_lines(hdr, movements, clients, suppliers, rules.return_op, campaign_slice=True)
 
 
 def _promo_keys(promo_codes: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def billing_promo(header, movements, clients, suppliers, promo_codes, rules: Bil
     """q05: billing lines of orders whose promotion code is in the promotion table (status rule only)."""
     hdr = (header.where(promo_status_predicate(rules))
            .join(_promo_keys(promo_codes), "promo_code", "left_semi"))
-    return billing_lines(hdr, movements, clients, suppliers, rules.return_op, reduce_movements=True)
+    return billing_lines(hdr, movements, clients, suppliers, rules.return_op, campaign_slice=True)
 
 
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -181,7 +187,7 @@ def billing_unified(header, movements, clients, suppliers, promo_codes, rules: B
            .withColumn("src_priority", F.when(in_window, F.lit(0)).otherwise(F.lit(1)))
            .drop("_promo"))
     lines = billing_lines(hdr, movements, clients, suppliers, rules.return_op,
-                          reduce_movements=True, carry=("src_priority",))
+                          campaign_slice=True, carry=("src_priority",))
     unified = dedupe_keep_first(
         lines, DEDUP_KEYS,
         [F.col("src_priority").asc(), F.col("client_id").asc_nulls_last(), F.col("supplier_name").asc_nulls_last()])

@@ -3,7 +3,8 @@
 Each query reads the test tables through ``sources.fixtures`` (lazy Parquet scans) and runs
 the library operators on them. The two shared intermediates - the unified billing (q06) and
 the demand (q07) - are staged once per session as Parquet under ``spark.checkpoint.dir``
-(``plans.stage``); every report after them reads the staged files.
+(``plans.stage``); every report after them reads the staged files. The client and supplier
+reconciliation tables are staged the same way, since seven reports read them.
 """
 
 from __future__ import annotations
@@ -105,11 +106,15 @@ def q10_scope_demand(spark, sf_dir):
 
 
 def _client(spark, sf_dir):
-    return R.reconcile_client(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir))
+    """The client reconciliation, staged: it feeds q15-q16, q18, q20 and q25."""
+    return stage(spark, stage_key("reconcile_client", sf_dir, X.FIXTURE, X.FIXTURE_RULES),
+                 lambda: R.reconcile_client(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
 
 
 def _supplier(spark, sf_dir):
-    return R.reconcile_supplier(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir))
+    """The supplier reconciliation, staged: it feeds q17, q19 and q21."""
+    return stage(spark, stage_key("reconcile_supplier", sf_dir, X.FIXTURE, X.FIXTURE_RULES),
+                 lambda: R.reconcile_supplier(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
 
 
 def q11_reconcile_client(spark, sf_dir):

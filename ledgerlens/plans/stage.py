@@ -16,7 +16,7 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str], DataFrame] = {}
 _lock = threading.Lock()
 
 
@@ -42,13 +42,14 @@ def stage(spark: SparkSession, key: str, build) -> DataFrame:
         return build()
     app = spark.conf.get("spark.app.id", "app")
     with _lock:
-        path = _staged.get((app, key))
-    if path is None:
+        df = _staged.get((app, key))
+    if df is None:
         path = f"{root.rstrip('/')}/ledgerlens-stage/{app}/{key}"
         build().write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
         with _lock:
-            _staged[(app, key)] = path
-    return spark.read.parquet(path)
+            _staged[(app, key)] = df
+    return df
 
 
 def forget(spark: SparkSession) -> None:

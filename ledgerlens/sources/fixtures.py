@@ -120,6 +120,10 @@ def demand_orders(t: dict[str, DataFrame], p: FixtureParams = FIXTURE) -> DataFr
          .where(F.col("o_orderdate").between(_ts_literal(p.demand_start), _ts_literal(p.demand_end)))
          .select("o_orderkey", "o_custkey"))
     li = t["lineitem"].select("l_orderkey", "l_suppkey", "l_extendedprice")
+    # A window of orders that is provably small is broadcast: lineitem is then filtered
+    # map-side and never shuffled raw. Otherwise a sort-merge join (AQE may split skew: an
+    # exchange follows anyway for the demand aggregation).
+    o = broadcast_if_bounded(o)
     return (li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner")
             .select(F.col("l_orderkey").alias("order_id"),
                     F.col("l_suppkey").alias("supplier_id"),
