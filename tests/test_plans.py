@@ -1,0 +1,85 @@
+"""T-plan: the physical plans have the intended shape (no Python UDF, pushdown, semi joins,
+top-k, keep-first window limit, full outer join, bounded broadcast)."""
+
+import pytest
+
+from conftest import SF01
+from ledgerlens.operators import billing as B
+from ledgerlens.operators import reconcile as R
+from ledgerlens.operators import reports as P
+from ledgerlens.plans import catalog as C
+from ledgerlens.plans.broadcast import broadcast_if_bounded
+from ledgerlens.sources import fixtures as X
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df) -> str:
+    import io
+    import contextlib
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+@pytest.mark.parametrize("name", list(C.QUERIES))
+def test_no_python_in_any_plan(spark, name):
+    p = formatted(C.QUERIES[name](spark, SF01))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas"):
+        assert node not in p, f"{name} runs Python: {node}"
+
+
+def test_window_filters_reach_the_scan(spark):
+    p = formatted(C.q04_billing_window(spark, SF01))
+    assert "GreaterThanOrEqual(o_orderdate" in p and "LessThanOrEqual(o_orderdate" in p
+    assert "EqualTo(o_orderstatus,F)" in p
+
+
+def test_scans_are_pruned(spark):
+    p = formatted(C.q01_order_suppliers(spark, SF01))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in p
+
+
+def test_promo_is_a_semi_join(spark):
+    assert "LeftSemi" in formatted(C.q05_billing_promo(spark, SF01))
+
+
+def test_scope_demand_is_a_semi_join(spark):
+    assert "LeftSemi" in formatted(C.q10_scope_demand(spark, SF01))
+
+
+def test_unified_uses_window_group_limit_and_one_header_scan(spark):
+    p = formatted(C.unified_billing(spark, SF01))
+    assert "WindowGroupLimit" in p
+
+
+def test_reconcile_client_is_a_full_outer_join_of_aggregates(spark):
+    df = R.reconcile_client(C.staged_billing(spark, SF01), C.staged_demand(spark, SF01))
+    p = formatted(df)
+    assert "FullOuter" in p
+    assert "partial_sum" in p  # both sides aggregated map-side before the exchange
+
+
+def test_top_k_is_take_ordered(spark):
+    assert "TakeOrderedAndProject" in formatted(P.top_clients(C._client(spark, SF01)))
+    assert "TakeOrderedAndProject" in formatted(P.top_suppliers(C._supplier(spark, SF01)))
+
+
+def test_demand_aggregates_before_dimension_joins(spark):
+    p = plan(C.demand(spark, SF01))
+    # the (supplier, client) partial aggregate sits below the dimension joins
+    first_join = p.index("BroadcastHashJoin")
+    assert "partial_sum" in p[first_join:]
+
+
+def test_broadcast_only_within_bound(spark):
+    t = X.load_tables(spark, SF01)
+    orders = t["orders"].select("o_orderkey", "o_custkey")
+    small = t["customer"].select("c_custkey", "c_name")
+    within = orders.join(broadcast_if_bounded(small, 100_000), orders.o_custkey == small.c_custkey)
+    beyond = orders.join(broadcast_if_bounded(small, 10), orders.o_custkey == small.c_custkey)
+    assert "BroadcastHashJoin" in plan(within)
+    assert "BroadcastHashJoin" not in plan(beyond)  # static plan: a shuffle join
