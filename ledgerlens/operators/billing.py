@@ -177,7 +177,24 @@ def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> Da
 DEDUP_KEYS = ["branch_id", "order_id", "client_key", "supplier_key"]
 
 
-def billing_unified(header, movements, clients, suppliers, promo_codes, rules: BillingRules) -> DataFrame:
+def unify_extracts(window_lines: DataFrame, promo_lines: DataFrame) -> DataFrame:
+    """Union two separately produced extracts by column name (missing columns become NULL) and
+    keep, per 4-key, the window extract's row (NULL keys equal each other).
+
+    Use this when the two extracts arrive as separate tables; ``billing_unified`` does the
+    same from the base tables in one pass.
+    """
+    tagged = (window_lines.withColumn("src_priority", F.lit(0))
+              .unionByName(promo_lines.withColumn("src_priority", F.lit(1)), allowMissingColumns=True))
+    order = [F.col("src_priority").asc()]
+    if "client_id" in tagged.columns:
+        order.append(F.col("client_id").asc_nulls_last())
+    cols = [c for c in UNIFIED_COLUMNS if c in tagged.columns]
+    return dedupe_keep_first(tagged, DEDUP_KEYS, order).select(*cols)
+
+
+def billing_unified(header, movements, clients, suppliers, promo_codes, rules: BillingRules,
+                    observation=None) -> DataFrame:
     """q06: window extract + promotion extract, the window row kept when both hold a 4-key."""
     promo = _promo_keys(promo_codes).withColumn("_promo", F.lit(True))
     in_window = window_predicate(rules)
@@ -191,4 +208,33 @@ def billing_unified(header, movements, clients, suppliers, promo_codes, rules: B
     unified = dedupe_keep_first(
         lines, DEDUP_KEYS,
         [F.col("src_priority").asc(), F.col("client_id").asc_nulls_last(), F.col("supplier_name").asc_nulls_last()])
+    if observation is not None:
+        unified = unified.observe(
+            observation,
+            F.count(F.lit(1)).alias("unified_rows"),
+            F.coalesce(F.sum(F.when(F.col("src_priority") == 0, 1).otherwise(0)), F.lit(0)).alias("window_rows"),
+            F.coalesce(F.sum(F.when(F.col("src_priority") == 1, 1).otherwise(0)), F.lit(0)).alias("promo_only_rows"))
     return unified.select(*UNIFIED_COLUMNS)
+
+
+@dataclass(frozen=True)
+class BillingTables:
+    """Canonical billing inputs (see ``ledgerlens.schemas``)."""
+
+    header: DataFrame
+    movements: DataFrame
+    clients: DataFrame
+    suppliers: DataFrame
+    promo_codes: DataFrame
+
+
+def build_billing(tables: BillingTables, rules: BillingRules = CAMPAIGN_RULES,
+                  observation=None) -> DataFrame:
+    """The unified billing table from the base tables.
+
+    ``observation`` (a ``pyspark.sql.Observation``) receives, with no extra job, the row
+    counts: unified rows, rows kept from the window rule, rows kept only through the
+    promotion rule.
+    """
+    return billing_unified(tables.header, tables.movements, tables.clients, tables.suppliers,
+                           tables.promo_codes, rules, observation)

@@ -86,6 +86,11 @@ def clients_per_state(billing: DataFrame) -> DataFrame:
     return per_state.unionByName(overall)
 
 
+def clients_in_scope(scoped_billing: DataFrame) -> DataFrame:
+    """Distinct clients a scoped user sees (one row; 0 when the scope has no billing)."""
+    return scoped_billing.agg(F.countDistinct("client_key").alias("clients"))
+
+
 def client_roster(roster: DataFrame, state: str | None, state_map: dict[str, str]) -> DataFrame:
     """q24: the client roster - headers stripped and upper-cased, state normalised (strip, upper,
     alias map; unknown values pass, NULL stays NULL), scoped, projected to the wanted columns
@@ -121,3 +126,15 @@ def for_display(df: DataFrame, labels: dict[str, str], money: list[str] = ()) ->
         col = format_brl(F.col(c)) if c in money else F.col(c)
         cols.append(col.alias(labels.get(c, c)))
     return df.select(*cols)
+
+
+# Display headers of the report tables.
+CLIENT_LABELS = {"client_name": "Cliente", "client_key": "CNPJ", "ordered": "Valor Pedido",
+                 "billed": "Valor Faturado", "returned": "Valor Devolvido", "flow_diff": "Diferença Fluxo",
+                 "net_billed": "Receita Líquida"}
+SUPPLIER_LABELS = {"supplier_name": "Fornecedor", "supplier_key": "CNPJ", "ordered": "Valor Pedido",
+                   "billed": "Valor Faturado", "returned": "Valor Devolvido", "flow_diff": "Diferença Fluxo"}
+BRANCH_LABELS = {"branch_id": "FILIAL", "billed": "VALOR_FATURADO", "returned": "VALOR_DEVOLVIDO",
+                 "net_billed": "VALOR_LIQUIDO_FATURADO"}
+STATE_LABELS = {"state": "ESTADO", "billed": "VALOR_FATURADO", "returned": "VALOR_DEVOLVIDO",
+                "net_billed": "VALOR_LIQUIDO_FATURADO"}

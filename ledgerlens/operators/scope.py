@@ -56,3 +56,9 @@ def state_list(billing: DataFrame) -> DataFrame:
     states = (billing.where(F.col("state").isNotNull()).select("state").distinct()
               .withColumn("pos", F.lit(1)))
     return first.unionByName(states).orderBy("pos", "state")
+
+
+def scope(billing: DataFrame, demand: DataFrame, state: str | None) -> tuple[DataFrame, DataFrame]:
+    """Both inputs restricted to what a user of ``state`` may see (unchanged when unrestricted)."""
+    b = scope_billing(billing, state)
+    return b, scope_demand(demand, b, state)
