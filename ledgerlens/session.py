@@ -7,6 +7,7 @@ broadcast bound).  Nothing here is needed for library use.
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,6 +47,9 @@ def local_session(cpus: int = 8, app: str = "ledgerlens", checkpoint_dir: str |
     conf["spark.driver.memory"] = "16g"
     conf["spark.checkpoint.dir"] = checkpoint_dir or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     conf.update(extra or {})
+    for k, v in os.environ.items():  # e.g. LEDGERLENS_CONF_spark.sql.shuffle.partitions=8
+        if k.startswith("LEDGERLENS_CONF_"):
+            conf[k[len("LEDGERLENS_CONF_"):]] = v
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
