@@ -156,7 +156,7 @@ def roster(t: dict[str, DataFrame], p: FixtureParams = FIXTURE) -> DataFrame:
     per_client = o.groupBy("o_custkey").agg(
         F.sum(price).alias("_total"),
         *[F.sum(F.when(month == m, price)).alias(f"_m{m}") for m in range(1, 10)])
-    c = t["customer"].select("c_custkey", "c_name", "c_nationkey")
+    c = broadcast_if_bounded(t["customer"].select("c_custkey", "c_name", "c_nationkey"))
     n = broadcast_if_bounded(t["nation"].select("n_nationkey", "n_name"))
     joined = (per_client.join(c, per_client["o_custkey"] == c["c_custkey"], "inner")
               .join(n, F.col("c_nationkey") == n["n_nationkey"], "inner"))
