@@ -2,9 +2,11 @@
 
 Plan shape (what scales):
 
-* Movements are reduced *before* any join: distinct (order, supplier) pairs and per-order
-  return sums are hash aggregates with a map-side partial phase, so an order or supplier
-  holding a third of all movement rows collapses to a handful of rows before the exchange.
+* Movements are reduced *before* any join: one (order, supplier) hash aggregate with a map-side
+  partial phase carries the pair's return value, so an order or supplier holding a third of
+  all movement rows collapses to a handful of rows before the exchange; the per-order return
+  total is a window sum over the order partitioning that the header join then reuses. One
+  scan of the movements feeds both.
 * The order header is filtered first (window / status / sale type are pushed into the
   Parquet scan). When the surviving campaign order ids are provably few, the movements are
   semi-joined to them map-side (broadcast filter) before aggregating; otherwise all
@@ -137,19 +139,34 @@ def billing_lines(header: DataFrame, movements: DataFrame, clients: DataFrame,
         ids = header.select("order_id")
         if is_bounded(ids, max_broadcast_rows(header.sparkSession)):
             movements = movements.join(F.broadcast(ids), "order_id", "left_semi")
-    pairs = order_suppliers(movements, suppliers)
-    returned = returns_by_order(movements, return_op)
     party = broadcast_if_bounded(
         clients.select("client_id", "client_key", "client_name", "state"))
     with_client = (header
                    .join(party, header["order_client_id"] == party["client_id"], "left")
                    .drop("order_client_id"))
     return (with_client
-            .join(returned, "order_id", "left")
-            .join(pairs, "order_id", "left")
+            .join(order_supplier_lines(movements, suppliers, return_op), "order_id", "left")
             .select(*LINE_COLUMNS, *carry))
 
 
+def order_supplier_lines(movements: DataFrame, suppliers: DataFrame, return_op: str) -> DataFrame:
+    """One row per (order, supplier) of valid movements with the supplier name and the order's
+    returned value - q01 and q02 from a single scan of the movements.
+
+    The (order, supplier) aggregate (map-side partial, so a hot order or supplier is reduced
+    before its exchange) carries the pair's return value; the order's total is a window sum
+    over ``order_id``, whose partitioning the following join on ``order_id`` reuses.
+    """
+    pairs = (valid_movements(movements).groupBy("order_id", "supplier_key")
+             .agg(F.sum(F.when(F.col("op_code") == F.lit(return_op), F.col("value"))).alias("_ret")))
+    names = broadcast_if_bounded(suppliers.select("supplier_key", "supplier_name").distinct())
+    per_order = Window.partitionBy("order_id")
+    # the window runs before the name join: a key with two names must not count twice
+    return (pairs.withColumn("returned", to_money(F.sum("_ret").over(per_order)))
+            .join(names, "supplier_key", "left")
+            .select("order_id", "supplier_key", "supplier_name", "returned"))
+
+
 def billing_window(header, movements, clients, suppliers, rules: BillingRules) -> DataFrame:
     """q04: billing lines of orders inside the campaign window and order-class rules."""
     hdr = header.where(window_predicate(rules))
