@@ -3,7 +3,7 @@
 Each query is executed in full with the ``noop`` sink (every row produced, nothing
 collected). Queries run in catalog order in one session; the shared intermediates (unified
 billing, demand) are staged inside q06 / q07's own timing, and later reports read them.
-A warm-up pass on the smallest scale primes the JVM first. With BENCH_RUNS > 1 the staging
+A warm-up pass on a smaller scale (sf0.01) primes the JVM and its JIT first. With BENCH_RUNS > 1 the staging
 registry is reset between runs (so q06/q07 rebuild) and the per-query median is reported.
 
 Prints one JSON line: {"metric", "value" (sum of per-query seconds), "unit", "queries", "sf"}.
@@ -28,7 +28,7 @@ from ledgerlens.session import local_session  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
 
 
 def _run_all(spark, sf_dir: str) -> dict[str, float]:
