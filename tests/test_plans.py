@@ -12,19 +12,23 @@ from ledgerlens.plans.broadcast import broadcast_if_bounded
 from ledgerlens.sources import fixtures as X
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def formatted(df) -> str:
-    import io
+def _explain(df, mode: str) -> str:
     import contextlib
+    import io
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
+        df.explain(mode)
     return buf.getvalue()
 
 
+def plan(df) -> str:
+    return _explain(df, "simple")
+
+
+def formatted(df) -> str:
+    return _explain(df, "formatted")
+
+
 @pytest.mark.parametrize("name", list(C.QUERIES))
 def test_no_python_in_any_plan(spark, name):
     p = formatted(C.QUERIES[name](spark, SF01))
