@@ -19,12 +19,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
+    """Exact: decimals by their text, doubles by repr (no rounding tolerance)."""
     if v is None:
         return None
     if isinstance(v, float):
-        return round(v, 4)
+        return ("f", repr(v))
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 4)
+        return ("d", str(v))
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     return v
