@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ledgerlens.plans.scratch import scratch_path
-from ledgerlens.schemas import BILLING_FILE_HEADERS, BILLING_FILE_SCHEMA
+from ledgerlens.schemas import BILLING_FILE_HEADERS
 from ledgerlens.sources.files import read_billing_csv
 
 _CANON_TO_HEADER = {v: k for k, v in BILLING_FILE_HEADERS.items()}
