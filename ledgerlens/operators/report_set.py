@@ -2,7 +2,8 @@
 
 ``report_set`` scopes both inputs, reconciles them, stages the client and supplier tables
 (they feed most reports) under ``spark.checkpoint.dir`` and returns the report DataFrames.
-Nothing is collected: the caller decides which to show. ``display=True`` formats money as
+Nothing is collected: the caller decides which to show. ``client_counts`` (state, clients)
+replaces the computed clients-per-state table by a maintained one. ``display=True`` formats money as
 currency text and renames columns to the display headers, the last step before showing.
 """
 
@@ -29,7 +30,8 @@ def _money_cols(df: DataFrame, names: list[str]) -> list[str]:
 
 def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
                roster: DataFrame | None = None, state_map: dict[str, str] | None = None,
-               dedupe_orders: bool = False, display: bool = False) -> dict[str, DataFrame]:
+               dedupe_orders: bool = False, display: bool = False,
+               client_counts: DataFrame | None = None) -> dict[str, DataFrame]:
     spark = billing.sparkSession
     b, d = scope(billing, demand, state)
     rec = reconcile(b, d, dedupe_orders=dedupe_orders)
@@ -40,7 +42,7 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
         "states": state_list(billing),
         "totals": totals(b, d),
         "clients_in_scope": P.clients_in_scope(b),
-        "clients_per_state": P.clients_per_state(billing),
+        "clients_per_state": P.clients_per_state(billing, client_counts),
         "top_clients": P.top_clients(client),
         "top_suppliers": P.top_suppliers(supplier),
         "branches": P.branch_report(rec.branch),
@@ -50,6 +52,7 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
         "supplier_detail": P.supplier_detail(supplier),
         "supplier_returns": P.supplier_returns(supplier),
     }
+    out["clients_shown"] = P.clients_shown(out["clients_per_state"], state)
     if roster is not None:
         out["roster"] = P.client_roster(roster, state, ROSTER_STATE_MAP if state_map is None else state_map)
     if display:

@@ -72,13 +72,21 @@ def state_report(state: DataFrame) -> DataFrame:
     return state.orderBy(F.col("net_billed").desc_nulls_last(), F.col("state").asc())
 
 
-def clients_per_state(billing: DataFrame) -> DataFrame:
+def clients_per_state(billing: DataFrame, override: DataFrame | None = None) -> DataFrame:
     """q23: distinct clients per state, plus a 'Todos' row counting distinct clients overall.
 
     The overall count is its own distinct count (a client billed in two states counts
     once), so it can be below the sum of the state rows. Both are two-phase distinct
     aggregations: (state, client) pairs are de-duplicated map-side before any exchange.
+
+    ``override`` (state, clients): a maintained table of client counts used instead of the
+    computed ones; its 'Todos' row is then the sum of its states.
     """
+    if override is not None:
+        o = override.select(F.col("state").cast("string"), F.col("clients").cast("long"))
+        total = o.agg(F.coalesce(F.sum("clients"), F.lit(0)).alias("clients")).select(
+            F.lit(ALL_STATES).alias("state"), "clients")
+        return o.unionByName(total)
     per_state = (billing.where(F.col("state").isNotNull()).groupBy("state")
                  .agg(F.countDistinct("client_key").alias("clients")))
     overall = billing.agg(F.countDistinct("client_key").alias("clients")).select(
@@ -86,6 +94,14 @@ def clients_per_state(billing: DataFrame) -> DataFrame:
     return per_state.unionByName(overall)
 
 
+def clients_shown(counts: DataFrame, state: str | None) -> DataFrame:
+    """The client count shown for a scope: the 'Todos' row when unrestricted, else the chosen
+    state's row (case-insensitive), 0 when the state has none. One row: clients."""
+    key = ALL_STATES if is_unrestricted(state) else str(state)
+    hit = counts.where(F.upper(F.col("state")) == F.lit(key.upper()))
+    return hit.agg(F.coalesce(F.sum("clients"), F.lit(0)).cast("long").alias("clients"))
+
+
 def clients_in_scope(scoped_billing: DataFrame) -> DataFrame:
     """Distinct clients a scoped user sees (one row; 0 when the scope has no billing)."""
     return scoped_billing.agg(F.countDistinct("client_key").alias("clients"))

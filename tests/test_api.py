@@ -68,3 +68,17 @@ def test_report_set_on_test_tables(spark):
     rep = report_set(C.staged_billing(spark, SF01), C.staged_demand(spark, SF01), roster=None)
     assert rep["top_clients"].count() == 10
     assert rep["clients_in_scope"].first().clients == rep["clients_per_state"].where("state = 'Todos'").first().clients
+
+
+def test_clients_per_state_override_and_lookup(spark):
+    from ledgerlens.operators.reports import clients_per_state, clients_shown
+    # The maintained per-state client counts of the original dashboard.
+    literal = spark.createDataFrame([("BA", 42), ("CE", 347), ("MA", 56), ("PE", 33), ("PI", 23)],
+                                    "state string, clients long")
+    counts = clients_per_state(C.staged_billing(spark, SF01), override=literal)
+    assert {r.state: r.clients for r in counts.collect()}["Todos"] == 501
+    assert clients_shown(counts, "ce").first().clients == 347
+    assert clients_shown(counts, "RS").first().clients == 0
+    assert clients_shown(counts, "DIRETORIA").first().clients == 501
+    computed = clients_per_state(C.staged_billing(spark, SF01))
+    assert clients_shown(computed, None).first().clients == computed.where("state = 'Todos'").first().clients
