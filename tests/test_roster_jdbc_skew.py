@@ -38,6 +38,8 @@ def test_jdbc_options_and_credentials(spark, monkeypatch):
     assert (opts["partitionColumn"], opts["numPartitions"]) == ("numped", "8")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", JdbcTable("t", partition_column="id"), None, None)
+    by_month = JdbcTable("pcpedc", predicates=("data >= DATE '2025-04-01' AND data < DATE '2025-05-01'",))
+    assert "partitionColumn" not in jdbc_options("jdbc:x", by_month, "u", "p")
 
 
 def test_erp_mapping_runs_the_billing_plan(spark):
