@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ledgerlens.functions.text import clean_key
 from ledgerlens.plans.broadcast import broadcast_if_bounded
@@ -50,9 +49,7 @@ def scope_demand(demand: DataFrame, scoped_billing: DataFrame, state: str | None
 
 def state_list(billing: DataFrame) -> DataFrame:
     """q22: the choices offered to the board: 'Todos' first (pos 0), then the sorted states (pos 1)."""
-    spark = billing.sparkSession
-    first = spark.createDataFrame([(ALL_STATES, 0)], StructType([
-        StructField("state", StringType()), StructField("pos", IntegerType(), False)]))
+    first = billing.sparkSession.range(1).select(F.lit(ALL_STATES).alias("state"), F.lit(0).alias("pos"))
     states = (billing.where(F.col("state").isNotNull()).select("state").distinct()
               .withColumn("pos", F.lit(1)))
     return first.unionByName(states).orderBy("pos", "state")
