@@ -70,3 +70,13 @@ def test_demand_csv_decimal_point(spark):
                   "Acme;100;Ana;1;CE;150.25;2\n", bom=False)
     r = read_demand_csv(spark, path).first()
     assert (r.supplier_key, r.client_key, r.ordered, r.order_count) == ("100", "1", D("150.25"), 2)
+
+
+def test_empty_round_trip(spark):
+    from ledgerlens.schemas import BILLING_FILE_SCHEMA
+    empty = spark.createDataFrame([], BILLING_FILE_SCHEMA)
+    path = tempfile.mkdtemp(prefix="ledgerlens-empty-") + "/out"
+    write_billing_csv(empty, path)
+    back = read_billing_csv(spark, path)
+    assert back.count() == 0
+    assert back.columns[:len(BILLING_FILE_SCHEMA)] == [f.name for f in BILLING_FILE_SCHEMA.fields]
