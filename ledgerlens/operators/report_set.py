@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import reports as P
-from ledgerlens.operators.reconcile import reconcile, totals
+from ledgerlens.operators.reconcile import branch_and_state, reconcile, split_summaries, totals
 from ledgerlens.operators.scope import scope, state_list
 from ledgerlens.plans.stage import stage, stage_key
 
@@ -38,6 +38,11 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
     tag = (b.semanticHash(), d.semanticHash(), state, dedupe_orders)
     client = stage(spark, stage_key("report_client", *tag), lambda: rec.client)
     supplier = stage(spark, stage_key("report_supplier", *tag), lambda: rec.supplier)
+    if "branch_id" in b.columns and "state" in b.columns:
+        both = stage(spark, stage_key("report_branch_state", *tag), lambda: branch_and_state(b))
+        branches, states = split_summaries(both)
+    else:
+        branches, states = rec.branch, rec.state
     out = {
         "states": state_list(billing),
         "totals": totals(b, d),
@@ -45,8 +50,8 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
         "clients_per_state": P.clients_per_state(billing, client_counts),
         "top_clients": P.top_clients(client),
         "top_suppliers": P.top_suppliers(supplier),
-        "branches": P.branch_report(rec.branch),
-        "states_summary": P.state_report(rec.state),
+        "branches": P.branch_report(branches),
+        "states_summary": P.state_report(states),
         "client_detail": P.client_detail(client),
         "client_returns": P.client_returns(client),
         "supplier_detail": P.supplier_detail(supplier),

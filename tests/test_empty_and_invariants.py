@@ -58,3 +58,11 @@ def test_clients_per_state_total_is_distinct_overall(spark):
     rows = {r.state: r.clients for r in clients_per_state(unified).collect()}
     assert rows["Todos"] == unified.select("client_key").distinct().where("client_key is not null").count()
     assert rows["Todos"] <= sum(v for k, v in rows.items() if k != "Todos")
+
+
+def test_one_pass_branch_and_state_equals_separate(spark):
+    from ledgerlens.operators.reconcile import branch_and_state, branch_summary, split_summaries, state_summary
+    unified = C.staged_billing(spark, SF01)
+    br, st = split_summaries(branch_and_state(unified))
+    for a, b in ((br, branch_summary(unified)), (st, state_summary(unified))):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

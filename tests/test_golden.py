@@ -114,3 +114,13 @@ def test_count_each_order_once(inputs):
     unified, demand = inputs
     rec = reconcile(unified, demand, dedupe_orders=True)
     assert sum(r.billed for r in rec.client.collect()) == 157.75
+
+
+def test_one_pass_summaries_drop_null_groups(inputs):
+    from ledgerlens.operators.reconcile import branch_and_state, split_summaries
+    unified, _ = inputs
+    br, st = split_summaries(branch_and_state(unified))
+    assert _rows(br, ["branch_id", "billed", "returned", "net_billed"]) == [
+        ("1", 200.0, 0.0, 200.0), ("2", 50.5, 50.5, 0.0)]
+    assert _rows(st, ["state", "billed", "returned", "net_billed"]) == [
+        ("CE", 200.0, 0.0, 200.0), ("ce", 50.5, 50.5, 0.0)]
