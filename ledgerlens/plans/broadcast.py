@@ -28,7 +28,15 @@ def _app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", "local")
 
 
+# Same DataFrame object seen again (memoised dimension tables): skip re-hashing its plan.
+# The object is kept alive next to its decision, so its id cannot be reused.
+_by_object: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
+
+
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
+    seen = _by_object.get((id(df), max_rows))
+    if seen is not None and seen[0] is df:
+        return seen[1]
     spark = df.sparkSession
     key = (_app_id(spark), df.semanticHash(), max_rows)
     with _lock:
@@ -37,6 +45,8 @@ def is_bounded(df: DataFrame, max_rows: int) -> bool:
         hit = df.limit(max_rows + 1).count() <= max_rows
         with _lock:
             _decisions[key] = hit
+    with _lock:
+        _by_object[(id(df), max_rows)] = (df, hit)
     return hit
 
 
