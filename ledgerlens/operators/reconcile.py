@@ -42,7 +42,9 @@ def _dbl(c: Column) -> Column:
 def _first_client_name(billing: DataFrame) -> Column:
     name = F.col("client_name")
     if "client_id" in billing.columns:
-        order = F.when(name.isNotNull(), F.coalesce(F.col("client_id").cast("long"), F.lit(_MAX_ID)))
+        # lowest client id first (rows without one last), then the smallest name: deterministic
+        order = F.when(name.isNotNull(),
+                       F.struct(F.coalesce(F.col("client_id").cast("long"), F.lit(_MAX_ID)), name))
         return F.min_by(name, order)
     return F.min(name)
 
