@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ledgerlens.functions.money import MONEY
 from ledgerlens.functions.text import clean_key
 from ledgerlens.schemas import (
     BILLING_FILE_HEADERS,
@@ -118,12 +119,27 @@ def with_clean_keys(df: DataFrame) -> DataFrame:
             .withColumn("supplier_key_clean", clean_key("supplier_key")))
 
 
-def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";") -> DataFrame:
+def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";",
+                decimal_comma: bool = False) -> DataFrame:
     """The client roster (a spreadsheet upstream; export it as CSV or Parquet).
 
-    Header names are kept as written; ``operators.reports.client_roster`` normalises them.
-    Money columns are read as text and cast there, so a missing column is no error.
+    Header names are kept as written (``operators.reports.client_roster`` normalises them);
+    for CSV the money columns (TOTAL_GASTO, 1..9) and COD are typed at read time, parsing
+    ``1.234,56`` when ``decimal_comma`` (a pt-BR export). Other columns stay text.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("header", True).option("sep", sep).csv(path)
+    base = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
+    raw_cols = base.csv(path).columns
+    money = {"TOTAL_GASTO", *[str(m) for m in range(1, 10)]}
+
+    def typ(h: str):
+        n = _header_name(h)
+        if n in money:
+            return MONEY
+        return LongType() if n == "COD" else StringType()
+    schema = StructType([StructField(c, typ(c)) for c in raw_cols])
+    reader = base.schema(schema).option("enforceSchema", True).option("mode", "FAILFAST")
+    if decimal_comma:
+        reader = reader.option("locale", "pt-BR")
+    return reader.csv(path)

@@ -80,3 +80,13 @@ def test_empty_round_trip(spark):
     back = read_billing_csv(spark, path)
     assert back.count() == 0
     assert back.columns[:len(BILLING_FILE_SCHEMA)] == [f.name for f in BILLING_FILE_SCHEMA.fields]
+
+
+def test_roster_csv_with_decimal_comma(spark):
+    from ledgerlens.operators.reports import client_roster
+    from ledgerlens.sources.files import read_roster
+    path = _write(" Estado ;COD;RAZAO;TOTAL_GASTO;1;EXTRA\n baia ;7;Loja A;1.234,56;10,5;x\nTeresina;8;Loja B;;0;y\n")
+    roster = client_roster(read_roster(spark, path, decimal_comma=True), None,
+                           {"BAIA": "BA", "TERESINA": "PI"})
+    got = sorted(tuple(r) for r in roster.collect())
+    assert got == [("BA", 7, "Loja A", 1234.56, 10.5), ("PI", 8, "Loja B", None, 0.0)]
