@@ -124,3 +124,11 @@ def test_one_pass_summaries_drop_null_groups(inputs):
         ("1", 200.0, 0.0, 200.0), ("2", 50.5, 50.5, 0.0)]
     assert _rows(st, ["state", "billed", "returned", "net_billed"]) == [
         ("CE", 200.0, 0.0, 200.0), ("ce", 50.5, 50.5, 0.0)]
+
+
+def test_permitted_state():
+    from ledgerlens.operators.scope import permitted_state
+    assert permitted_state("DIRETORIA") is None
+    assert permitted_state("diretoria", "Todos") is None
+    assert permitted_state("DIRETORIA", "CE") == "CE"
+    assert permitted_state("PI", "CE") == "PI"  # a regional user cannot choose another state
