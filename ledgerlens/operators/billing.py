@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
-from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, max_broadcast_rows
+from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, row_bound
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
 
@@ -137,7 +137,7 @@ def billing_lines(header: DataFrame, movements: DataFrame, clients: DataFrame,
     """
     if campaign_slice:
         ids = header.select("order_id")
-        if is_bounded(ids, max_broadcast_rows(header.sparkSession)):
+        if is_bounded(ids, row_bound(ids)):
             movements = movements.join(F.broadcast(ids), "order_id", "left_semi")
     party = broadcast_if_bounded(
         clients.select("client_id", "client_key", "client_name", "state"))

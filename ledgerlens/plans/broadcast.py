@@ -1,10 +1,15 @@
 """Broadcast only behind a checked row bound; otherwise leave the join to a shuffle.
 
-``broadcast_if_bounded(df, max_rows)`` runs ``df.limit(max_rows + 1).count()`` - a job that
-stops reading once the bound is exceeded - and adds the broadcast hint only if the side is
-within the bound. Beyond it the DataFrame is returned untouched, so Catalyst plans a
-sort-merge (or AQE a skew-split) join. The decision is remembered per session and logical
-plan (``semanticHash``), so a dimension is counted once per session, not once per query.
+``broadcast_if_bounded(df)`` runs ``df.limit(bound + 1).count()`` and adds the broadcast hint
+only if the side is within the bound. Beyond it the DataFrame is returned untouched, so
+Catalyst plans a sort-merge (or AQE a skew-split) join. The decision is remembered per
+session and logical plan (``semanticHash``), so a dimension is counted once per session.
+
+The bound is ``min(maxRows, maxBytes / estimated row width)``: the row width comes from the
+column types (8 bytes per long/double/timestamp, 16 per decimal, a 48-byte allowance per
+string plus 8 bytes of row overhead per column), so wide sides get a lower row bound.
+Settings: ``ledgerlens.broadcast.maxRows`` (default 2,000,000) and
+``ledgerlens.broadcast.maxBytes`` (default 64 MB).
 """
 
 from __future__ import annotations
@@ -13,9 +18,21 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    DataType,
+    DecimalType,
+    MapType,
+    StringType,
+    StructType,
+)
 
 DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 _CONF_KEY = "ledgerlens.broadcast.maxRows"
+_BYTES_KEY = "ledgerlens.broadcast.maxBytes"
+_STRING_ALLOWANCE = 48
 _decisions: dict[tuple[str, int, int], bool] = {}
 _lock = threading.Lock()
 
@@ -24,6 +41,26 @@ def max_broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(_CONF_KEY, str(DEFAULT_MAX_ROWS)))
 
 
+def _width(dt: DataType) -> int:
+    if isinstance(dt, (StringType, BinaryType)):
+        return _STRING_ALLOWANCE
+    if isinstance(dt, DecimalType):
+        return 16
+    if isinstance(dt, StructType):
+        return sum(_width(f.dataType) + 8 for f in dt.fields)
+    if isinstance(dt, (ArrayType, MapType)):
+        return 4 * _STRING_ALLOWANCE
+    return 8
+
+
+def row_bound(df: DataFrame) -> int:
+    """Rows allowed for a broadcast of ``df``: the row setting, lowered for wide rows."""
+    spark = df.sparkSession
+    max_bytes = int(spark.conf.get(_BYTES_KEY, str(DEFAULT_MAX_BYTES)))
+    width = 8 + sum(_width(f.dataType) + 8 for f in df.schema.fields)
+    return max(1, min(max_broadcast_rows(spark), max_bytes // width))
+
+
 def _app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", "local")
 
@@ -51,6 +88,6 @@ def is_bounded(df: DataFrame, max_rows: int) -> bool:
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when df has at most ``max_rows`` rows, else df unchanged."""
-    bound = max_rows if max_rows is not None else max_broadcast_rows(df.sparkSession)
+    """``broadcast(df)`` when df has at most ``max_rows`` (default ``row_bound(df)``) rows, else df unchanged."""
+    bound = max_rows if max_rows is not None else row_bound(df)
     return F.broadcast(df) if is_bounded(df, bound) else df
