@@ -45,8 +45,9 @@ def stage(spark: SparkSession, key: str, build) -> DataFrame:
         df = _staged.get((app, key))
     if df is None:
         path = f"{root.rstrip('/')}/ledgerlens-stage/{app}/{key}"
-        build().write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
+        built = build()
+        built.write.mode("overwrite").parquet(path)
+        df = spark.read.schema(built.schema).parquet(path)  # known schema: no footer inference
         with _lock:
             _staged[(app, key)] = df
     return df
