@@ -82,3 +82,24 @@ def test_clients_per_state_override_and_lookup(spark):
     assert clients_shown(counts, "DIRETORIA").first().clients == 501
     computed = clients_per_state(C.staged_billing(spark, SF01))
     assert clients_shown(computed, None).first().clients == computed.where("state = 'Todos'").first().clients
+
+
+def test_command_line_reports(spark):
+    """python -m ledgerlens reports: every report table written for one user's scope."""
+    import os
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+    t = _erp_tables(spark)
+    d = tempfile.mkdtemp(prefix="ledgerlens-cli-")
+    billing_extract(t, erp.promo_codes_from_list(spark, [5]), f"{d}/billing", csv_path=f"{d}/billing_csv")
+    demand_extract(t, f"{d}/demand", csv_path=f"{d}/demand_csv")
+    env = dict(os.environ, PYTHONPATH=ROOT)
+    out = subprocess.run([sys.executable, "-m", "ledgerlens", "--master", "local[2]", "--conf", "spark.ui.enabled=false", "reports",
+                          "--billing", f"{d}/billing_csv", "--demand", f"{d}/demand_csv", "--user", "CE",
+                          "--out", f"{d}/reports", "--display"],
+                         env=env, capture_output=True, text=True, timeout=600, check=True).stdout
+    assert '"state": "CE"' in out
+    back = spark.read.option("header", True).option("sep", ";").csv(f"{d}/reports/client_detail")
+    assert [r["Cliente"] for r in back.collect()] == ["Ana"]
