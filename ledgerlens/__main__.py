@@ -1,13 +1,15 @@
 """Command line: the two extracts and the per-user report set.
 
-    spark-submit -m ledgerlens billing-extract --url JDBC_URL --promo PROMO_PARQUET --out DIR [--csv DIR]
-        [--start 12/04/2025 --end 21/04/2025] [--partition-column numped --lower 1 --upper N --partitions P]
-    spark-submit -m ledgerlens demand-extract --url JDBC_URL --out DIR [--csv DIR]
-    python -m ledgerlens reports --billing PATH --demand PATH [--format csv|parquet] [--user DIRETORIA]
-        [--state CE] [--roster PATH] --out DIR [--display]
+    python -m ledgerlens [--master URL] [--conf k=v ...] billing-extract --url JDBC_URL --promo PROMO_TABLE
+        --out DIR [--csv DIR] [--start 12/04/2025 --end 21/04/2025]
+        [--partition-column numped --lower 1 --upper N --partitions P]
+    python -m ledgerlens [...] demand-extract --url JDBC_URL --out DIR [--csv DIR]
+    python -m ledgerlens [...] reports --billing PATH --demand PATH [--format csv|parquet]
+        [--user DIRETORIA] [--state CE] [--roster PATH] --out DIR [--display]
 
-The session comes from the environment (``spark-submit`` settings, or ``--master`` for a local run);
-credentials are read by ``sources.jdbc.credentials`` (prefix ``oracle`` / ``postgres``).
+(with spark-submit, submit ``ledgerlens/__main__.py`` with the same arguments). The session
+takes its settings from the environment or ``--master`` / ``--conf``; credentials are read by
+``sources.jdbc.credentials`` (prefixes ``oracle`` and ``postgres``).
 """
 
 from __future__ import annotations
