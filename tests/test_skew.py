@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
-from ledgerlens.plans.oracle import BODIES
+from ledgerlens.plans.duckdb_sql import BODIES
 from ledgerlens.sources import fixtures as X
 from oracle_compare import VIEWS, compare
 
@@ -34,7 +34,7 @@ def skewed(spark):
 
 
 def _with_deps(name):
-    from ledgerlens.plans.oracle import oracle_sql
+    from ledgerlens.plans.duckdb_sql import oracle_sql
     return oracle_sql()[name]
 
 
