@@ -90,3 +90,8 @@ def test_roster_csv_with_decimal_comma(spark):
                            {"BAIA": "BA", "TERESINA": "PI"})
     got = sorted(tuple(r) for r in roster.collect())
     assert got == [("BA", 7, "Loja A", 1234.56, 10.5), ("PI", 8, "Loja B", None, 0.0)]
+
+
+def test_missing_parquet_inputs_give_empty_tables(spark):
+    b, d = load_inputs(spark, "/nonexistent/billing", "/nonexistent/demand", fmt="parquet")
+    assert b.count() == 0 and d.count() == 0 and "returned" in b.columns and "order_count" in d.columns

@@ -87,3 +87,10 @@ def test_broadcast_only_within_bound(spark):
     beyond = orders.join(broadcast_if_bounded(small, 10), orders.o_custkey == small.c_custkey)
     assert "BroadcastHashJoin" in plan(within)
     assert "BroadcastHashJoin" not in plan(beyond)  # static plan: a shuffle join
+
+
+@pytest.mark.parametrize("name", list(C.QUERIES))
+def test_no_cross_join_in_any_plan(spark, name):
+    p = formatted(C.QUERIES[name](spark, SF01))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in p, f"{name} plans a cross join: {node}"
