@@ -103,3 +103,12 @@ def test_command_line_reports(spark):
     assert '"state": "CE"' in out
     back = spark.read.option("header", True).option("sep", ";").csv(f"{d}/reports/client_detail")
     assert [r["Cliente"] for r in back.collect()] == ["Ana"]
+
+
+def test_report_set_with_roster(spark):
+    from ledgerlens.sources import fixtures as X
+    t = X.load_tables(spark, SF01)
+    rep = report_set(C.staged_billing(spark, SF01), C.staged_demand(spark, SF01),
+                     roster=X.roster(t), state_map=X.FIXTURE_STATE_MAP, display=True)
+    assert rep["roster"].count() == C.q24_client_roster(spark, SF01).count()
+    assert rep["roster"].first()["total_spent"].startswith("R$ ")
