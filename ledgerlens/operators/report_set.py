@@ -71,9 +71,7 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
             "supplier_returns": {"supplier_name": "Fornecedor", "returned": "Valor Devolvido"},
         }
         for name, lab in labels.items():
-            df = out[name]
-            if name in ("branches", "states_summary"):
-                df = df.select(*lab)  # the displayed columns only
+            df = out[name].select(*lab)  # the displayed columns only, in display order
             out[name] = P.for_display(df, lab, _money_cols(df, money))
         if "roster" in out:
             out["roster"] = P.for_display(out["roster"], {}, ["total_spent"])
