@@ -29,7 +29,7 @@ def write_billing_csv(billing: DataFrame, path: str) -> None:
     out = decimal_comma(billing)
     out = out.select(*[F.col(c).alias(_CANON_TO_HEADER.get(c, c.upper())) for c in out.columns])
     (out.write.mode("overwrite").option("header", True).option("sep", ";")
-     .option("encoding", "UTF-8").csv(path))
+     .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";") -> None:
@@ -38,7 +38,7 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";") -> No
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("sep", sep).csv(path)
+        w.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 

@@ -36,7 +36,10 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers: dict[str, str],
                    sep: str = ";", locale: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Read a headed CSV into canonical names and types; a missing path gives an empty table."""
-    base = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    # RFC 4180 quoting (a quote inside a quoted field is doubled), as spreadsheet tools and
+    # pandas write it; Spark's default would expect a backslash.
+    base = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"'))
     try:
         raw_cols = base.csv(path).columns
     except AnalysisException as e:
@@ -129,7 +132,8 @@ def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";"
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    base = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
+    base = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
+            .option("quote", '"').option("escape", '"'))
     raw_cols = base.csv(path).columns
     money = {"TOTAL_GASTO", *[str(m) for m in range(1, 10)]}
 

@@ -95,3 +95,21 @@ def test_roster_csv_with_decimal_comma(spark):
 def test_missing_parquet_inputs_give_empty_tables(spark):
     b, d = load_inputs(spark, "/nonexistent/billing", "/nonexistent/demand", fmt="parquet")
     assert b.count() == 0 and d.count() == 0 and "returned" in b.columns and "order_count" in d.columns
+
+
+def test_round_trip_quotes_separator_and_accents(spark):
+    from ledgerlens.schemas import BILLING_FILE_SCHEMA
+    rows = [("1", 10, "100", 'Acme; "Ltda"', "1", "São João", 7, "CE", D("1234.56"), None),
+            ("2", 11, None, None, None, None, None, None, D("-0.50"), D("0.01"))]
+    df = spark.createDataFrame(rows, BILLING_FILE_SCHEMA)
+    path = tempfile.mkdtemp(prefix="ledgerlens-q-") + "/out"
+    write_billing_csv(df, path)
+    back = read_billing_csv(spark, path)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_rfc4180_doubled_quotes(spark):
+    path = _write('CODFILIAL;NUMPED;CNPJ_FORNECEDOR;FORNECEDOR;CNPJ_CLIENTE;CLIENTE;ESTADO;TOTAL_FATURADO;VALOR_DEVOLVIDO\n'
+                  '1;10;100;"Acme; ""Ltda""";1;Ana;CE;1,50;\n')
+    r = read_billing_csv(spark, path).first()
+    assert (r.supplier_name, r.client_name, r.billed) == ('Acme; "Ltda"', "Ana", D("1.50"))
