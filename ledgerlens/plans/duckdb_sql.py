@@ -102,6 +102,12 @@ from orders join customer on c_custkey = o_custkey join nation on n_nationkey =
 group by n_name, c_custkey, c_name""",
     "q25_currency_report": """
 select client_key, 'R$ ' || translate(format('{:,.2f}', flow_diff), ',.', '.,') flow_diff_text from q11_reconcile_client""",
+    # The hand-off CSV round trip returns the unified billing unchanged, party keys as text
+    # (the file schema never reads keys as numbers).
+    "q26_csv_roundtrip": """
+select branch_id, order_id, cast(supplier_key as varchar) supplier_key, supplier_name,
+  cast(client_key as varchar) client_key, client_name, client_id, state, billed, returned
+from q06_billing_unified""",
 }
 
 _NAME = re.compile(r"\bq\d\d_[a-z_]+\b")
