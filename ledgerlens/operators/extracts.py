@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 
 from ledgerlens.operators.billing import CAMPAIGN_RULES, BillingRules, BillingTables, build_billing
 from ledgerlens.operators.demand import build_demand
-from ledgerlens.operators.sinks import export, write_billing_csv
+from ledgerlens.operators.sinks import export, write_billing_csv, write_demand_csv
 from ledgerlens.plans.observe import counted
 from ledgerlens.sources import erp
 
@@ -39,12 +39,12 @@ def billing_extract(tables: dict[str, DataFrame], promo_codes: DataFrame, out_pa
 
 
 def demand_extract(tables: dict[str, DataFrame], out_path: str, csv_path: str | None = None) -> dict:
-    """Write the demand table as Parquet (+ CSV with a header, ';' separated); return its row count."""
+    """Write the demand table as Parquet (+ the ';' hand-off CSV with upstream headers); return its row count."""
     demand, obs = counted(build_demand(erp.portal_orders(tables["pedido"]),
                                        erp.portal_suppliers(tables["fornecedor"]),
                                        erp.portal_clients(tables["cliente"])), "demand_extract")
     export(demand, out_path)
     counts = {"demand_rows": obs.get["rows"]}
     if csv_path:
-        export(demand.sparkSession.read.parquet(out_path), csv_path, fmt="csv")
+        write_demand_csv(demand.sparkSession.read.parquet(out_path), csv_path)
     return counts

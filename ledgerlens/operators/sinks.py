@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ledgerlens.plans.scratch import scratch_path
-from ledgerlens.schemas import BILLING_FILE_HEADERS
+from ledgerlens.schemas import BILLING_FILE_HEADERS, DEMAND_FILE_HEADERS
 from ledgerlens.sources.files import read_billing_csv
 
 _CANON_TO_HEADER = {v: k for k, v in BILLING_FILE_HEADERS.items()}
+_DEMAND_TO_HEADER = {v: k.lower() for k, v in DEMAND_FILE_HEADERS.items()}
 
 
 def decimal_comma(df: DataFrame) -> DataFrame:
@@ -32,6 +33,13 @@ def write_billing_csv(billing: DataFrame, path: str) -> None:
      .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
 
 
+def write_demand_csv(demand: DataFrame, path: str) -> None:
+    """Demand as its hand-off CSV: upstream header names, ';', decimal point, UTF-8."""
+    out = demand.select(*[F.col(c).alias(_DEMAND_TO_HEADER.get(c, c)) for c in demand.columns])
+    (out.write.mode("overwrite").option("header", True).option("sep", ";")
+     .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
+
+
 def export(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";") -> None:
     """Write a result table (overwrite): Parquet by default, or CSV with a header."""
     w = df.write.mode("overwrite")

@@ -113,3 +113,16 @@ def test_rfc4180_doubled_quotes(spark):
                   '1;10;100;"Acme; ""Ltda""";1;Ana;CE;1,50;\n')
     r = read_billing_csv(spark, path).first()
     assert (r.supplier_name, r.client_name, r.billed) == ('Acme; "Ltda"', "Ana", D("1.50"))
+
+
+def test_demand_csv_round_trip_with_upstream_headers(spark):
+    from ledgerlens.operators.sinks import write_demand_csv
+    demand = C.staged_demand(spark, SF01)
+    path = tempfile.mkdtemp(prefix="ledgerlens-dm-") + "/out"
+    write_demand_csv(demand, path)
+    header = spark.read.option("header", True).option("sep", ";").csv(path).columns
+    assert header[:2] == ["fornecedor_nome", "fornecedor_cnpj"]
+    back = read_demand_csv(spark, path)
+    cols = ["supplier_name", "client_name", "state", "ordered", "order_count"]
+    assert sorted(map(tuple, back.select(*cols).collect()), key=repr) == \
+        sorted(map(tuple, demand.select(*cols).collect()), key=repr)
