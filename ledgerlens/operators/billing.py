@@ -15,9 +15,9 @@ Plan shape (what scales):
   bound (``plans.broadcast``); above it they are shuffle-joined.
 * The unified table is built in ONE pass over the header: rows qualify through the window
   rule OR the promotion rule and carry ``src_priority`` 0/1, then a keep-first
-  ``row_number`` per 4-key (planned as a map-side + final ``WindowGroupLimit``) removes the
-  duplicates. This equals "union both extracts, keep the window row on duplicates" without
-  computing the joins twice.
+  ``row_number`` per 4-key (planned as a ``WindowGroupLimit`` on the order-id partitioning
+  the join already provides - no extra exchange) removes the duplicates. This equals "union
+  both extracts, keep the window row on duplicates" without computing the joins twice.
 """
 
 from __future__ import annotations
