@@ -94,3 +94,14 @@ def test_no_cross_join_in_any_plan(spark, name):
     p = formatted(C.QUERIES[name](spark, SF01))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in p, f"{name} plans a cross join: {node}"
+
+
+def test_billing_lines_scan_movements_once(spark):
+    p = plan(C.q03_billing_lines(spark, SF01))
+    assert p.count("lineitem.parquet") == 1  # one movement aggregate feeds suppliers and returns
+
+
+def test_campaign_slice_filters_movements_map_side(spark):
+    p = plan(C.q04_billing_window(spark, SF01))
+    semi = [line for line in p.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
