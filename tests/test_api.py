@@ -112,3 +112,11 @@ def test_report_set_with_roster(spark):
                      roster=X.roster(t), state_map=X.FIXTURE_STATE_MAP, display=True)
     assert rep["roster"].count() == C.q24_client_roster(spark, SF01).count()
     assert rep["roster"].first()["total_spent"].startswith("R$ ")
+
+
+def test_display_projects_displayed_columns(spark):
+    rep = report_set(C.staged_billing(spark, SF01), C.staged_demand(spark, SF01), display=True)
+    assert rep["top_clients"].columns == ["Cliente", "Receita Líquida"]
+    assert rep["top_suppliers"].columns == ["Fornecedor", "CNPJ", "Valor Faturado"]
+    assert rep["branches"].columns == ["FILIAL", "VALOR_FATURADO", "VALOR_DEVOLVIDO", "VALOR_LIQUIDO_FATURADO"]
+    assert all(v.startswith("R$ ") for v in (r["Receita Líquida"] for r in rep["top_clients"].collect()))
