@@ -91,3 +91,30 @@ def test_hot_client_key_matches_brute_force(spark):
         want.setdefault(str(k), [0.0, 0.0, 0.0])[0] += float(D(k) + D("0.5"))
     assert {k: tuple(v) for k, v in want.items()} == got
     assert got[""][1] == float(sum(D(i % 50) + D("0.25") for i in range(0, 3000, 3)))
+
+
+class _FakeConf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _FakeSession:
+    def __init__(self, values):
+        self.conf = _FakeConf(values)
+
+    @property
+    def sparkContext(self):
+        raise RuntimeError("no SparkContext")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from ledgerlens.plans.scratch import scratch_root
+    from ledgerlens.plans.stage import checkpoint_root
+    with pytest.raises(RuntimeError):
+        scratch_root(_FakeSession({"spark.master": "yarn", "spark.app.id": "a"}))
+    shared = _FakeSession({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/ckpt/", "spark.app.id": "a"})
+    assert scratch_root(shared) == "hdfs:///shared/ckpt"
+    assert checkpoint_root(_FakeSession({"spark.master": "yarn"})) is None  # staging falls back to lineage
