@@ -7,7 +7,7 @@ from conftest import SF001, SF01
 from oracle_compare import compare, duck
 
 SQL = entry.oracle_sql()
-NAMES = list(entry.queries())
+NAMES = [n for n in entry.queries() if n[0] == "q"]
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(NAMES)
+    assert {n for n in SQL if n[0] == "q"} == set(NAMES)
     assert len(NAMES) == 26
 
 
