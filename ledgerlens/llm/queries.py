@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, line_dedup
+from ledgerlens.llm import bpe, decontaminate, language, line_dedup
 
 QUERIES = {
+    "op4_language": language.op4_language,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
