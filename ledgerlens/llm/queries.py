@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, decontaminate, language, line_dedup
+from ledgerlens.llm import bpe, class_lm, decontaminate, language, line_dedup, minhash, quality
 
 QUERIES = {
+    "op2_minhash": minhash.op2_minhash,
     "op4_language": language.op4_language,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_class_lm": class_lm.op8_class_lm,
+    "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
