@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, class_lm, decontaminate, embedding_dedup, language, line_dedup, minhash, quality, substring_dedup
+from ledgerlens.llm import bpe, class_lm, decontaminate, embedding_dedup, language, line_dedup, minhash, pseudonyms, quality, substring_dedup
 
 QUERIES = {
     "op1_substring": substring_dedup.op1_substring,
     "op2_minhash": minhash.op2_minhash,
     "op3_embedding": embedding_dedup.op3_embedding,
     "op4_language": language.op4_language,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_class_lm": class_lm.op8_class_lm,
