@@ -6,8 +6,8 @@ documents meet the seeds of all benchmark items in a join; every hit fixes an al
 of item and document, and on that alignment the tokens themselves are compared: the item leaks if
 some window of ``min(20, item length)`` aligned tokens agrees in all but a fifth of its positions.
 
-The three masks are lossless for windows of 20 with up to 4 substitutions (every placement leaves
-one of them untouched somewhere; a test enumerates all); shorter windows allow ``tolerated(w)``.
+The three masks are lossless: wherever the ``tolerated(w)`` substitutions of a window of 13 to 20
+tokens lie, some mask reads none of them somewhere in the window (a test enumerates all placements).
 
 Defined cases: null and empty texts hold no token and no leak; items with fewer than ``MIN_ITEM``
 tokens, null items and null item texts are not searched; a repeated item id is searched under each
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import broadcast_if_small, pack, table
 
 #: Token offsets that each mask reads.
-MASKS = ((0, 1, 2, 3, 9, 10), (0, 1, 2, 4, 5, 6), (0, 2, 3, 4, 5, 6))
+MASKS = ((0, 1, 3, 5, 7, 8), (0, 1, 2, 3, 5, 6), (0, 1, 2, 7, 8, 10))
 WINDOW = 20
 MIN_ITEM = 13
 

@@ -1,0 +1,25 @@
+"""Documents with every odd case, with extra columns whose names clash with result columns."""
+
+CLASH = "n_removed string, kept string, id string, k long, row string, score string, ids string, n_tokens string"
+SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
+LONG = " ".join(f"long{i % 977}word{i % 1013}" for i in range(60_000))
+PASSAGE = " ".join(f"shared{i}" for i in range(70))
+
+
+def odd_documents(spark):
+    rows = [
+        (1, "one two three four five six seven", "en"), (2, None, "en"), (3, "", None), (4, " \n\t ", "en"),
+        (5, "one two three four five six seven", "en"),  # an exact copy
+        (6, f"start a {PASSAGE} stop a", "en"), (7, f"start b {PASSAGE} halt b", None), (8, LONG, "en"),
+        (9, "same row", "en"), (9, "same row", "en"),  # a repeated row
+        (10, "first text of an id", "en"), (10, "second text of that id", "de"),  # an id with two texts
+        (None, "a text without an id", "en"), (None, None, None),
+        (11, "a\nb\nc\nd", "en"), (12, "x\na\nb\nc", "en"), (13, "a\na\na\na\na", "en"), (14, "\n\n\n\n", "en"), (15, "1234 !!", "en"),
+        (16, "é\x1c日本語 😀  　 z", "fr"),
+    ]
+    extra = ("x", "y", "i", 7, "r", "s", "t", "u")
+    return spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t), *extra) for i, t, lang in rows], SCHEMA)
+
+
+def empty_documents(spark):
+    return spark.createDataFrame([], SCHEMA)
