@@ -39,6 +39,8 @@ _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 63, (2 * PARTS * WIDTH, 1), np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, (2 * PARTS * WIDTH, 1), np.uint64) | np.uint64(1)
 _BLOCK = 1 << 14
+#: Documents of a block when a key's documents are compared across components; columns of a matrix.
+BLOCK, _COLUMNS = 512, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +101,87 @@ def _sets(size: int, want: str):
     return run
 
 
+def _across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one key (columns key, v, c) that are in different components c.
+
+    The documents of a key's largest component are its major side, all others the minor side. Either
+    is cut into blocks; a group is a pair of blocks, one of them minor. Groups are compared in tasks
+    that return links only, for each document the smallest of each component.
+    """
+    of_c = still.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    per_key = of_c.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all")).select(
+        "key", F.col("top.c").alias("major"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("majors"),
+        F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("minors"))
+    minor = F.col("c") != F.col("major")
+    block = F.when(minor, F.pmod(F.xxhash64("v", "key"), F.col("minors"))).otherwise(
+        F.col("minors") + F.pmod(F.xxhash64("v", "key"), F.col("majors"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1)
+    rows = (still.join(per_key, "key").withColumn("block", block).withColumn("other", F.explode(others))
+            .select("key", "v", "c", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+            .join(sets.select(F.col("id").alias("v"), "shingles"), "v"))
+    kind = dict(still.dtypes)["v"]
+    group = ["key", "bi", "bj"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_groups(percent), f"a {kind}, b {kind}")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    of, column = of[common], (np.cumsum(count > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    total = np.zeros((len(sets), len(sets)))
+    for low in range(0, (column[-1] + 1) if len(column) else 0, _COLUMNS):
+        i, j = np.searchsorted(column, [low, low + _COLUMNS])
+        m = np.zeros((len(sets), _COLUMNS), np.float32)
+        m[of[i:j], column[i:j] - low] = 1
+        total += m @ m.T
+    return total
+
+
+def _compare_groups(percent: int):
+    def compare(v: list, c: list, block: list, cross: bool, sets: list[np.ndarray]) -> list[tuple]:
+        code = {x: i for i, x in enumerate(set(c))}
+        if len(code) < 2:
+            return []
+        comp, side, size = np.array([code[x] for x in c]), np.array(block), np.array([len(s) for s in sets])
+        common = _overlaps(sets)
+        linked = 100 * common >= percent * (size[:, None] + size - common)
+        linked &= comp[:, None] != comp
+        if cross:
+            linked &= side[:, None] != side
+        return list({(comp[i], comp[j]): (v[i], v[j]) for i, j in zip(*np.nonzero(np.triu(linked)))}.values())
+
+    def run(batches):
+        key, group = None, ([], [], [], [])
+        for b in batches:
+            out = []
+            keys = list(zip(*[b.column(x).to_pylist() for x in ("key", "bi", "bj")]))
+            values, ends = b.column("shingles").values.to_numpy(), b.column("shingles").offsets.to_numpy()
+            for at, (k, *row) in enumerate(zip(keys, *[b.column(x).to_pylist() for x in ("v", "c", "block")])):
+                if k != key:
+                    if len(group[0]) > 1:
+                        out += compare(*group[:3], key[1] != key[2], group[3])
+                    key, group = k, ([], [], [], [])
+                for have, x in zip(group, (*row, values[ends[at]:ends[at + 1]].copy())):
+                    have.append(x)
+            yield _links(out, b.schema)
+        if len(group[0]) > 1:
+            yield _links(compare(*group[:3], key[1] != key[2], group[3]), b.schema)
+
+    def _links(out, schema):
+        a, z = zip(*out) if out else ((), ())
+        kind = schema.field("v").type
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(z, kind)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``id``, ``k``, ``n_shingles``, ``component_id``, ``kept``."""
@@ -140,21 +223,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     now = labelled(found)
     open_keys = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    still = staged(now.join(open_keys, "key"), "minhash-open")
-    # What a document alone holds is common with none: that bounds the similarity of most pairs of
-    # heavily edited copies below the threshold before they are written as pairs.
-    left = sets.join(broadcast_if_small(still.select(F.col("v").alias("id")).distinct()), "id", "left_semi")
-    alone = (left.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
-             .where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
-    bound = (left.groupBy("id").agg(F.max(F.size("shingles")).alias("n")).join(alone, "id", "left")
-             .select(F.col("id").alias("v"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")))
-    still = still.join(bound, "v")
-    other = still.select("key", F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    most = F.least("r", "r2")
-    across = (still.join(other, "key").where((F.col("v") > F.col("w")) & (F.col("c") != F.col("d"))
-                                             & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
-              .select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    more = staged(confirmed(across), "minhash-more")
+    still = now.join(open_keys, "key")
+    # Keys with the same documents ask the same question: one of them is enough.
+    once = (still.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("v")).alias("x"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("y"))
+            .groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    still = staged(still.join(once, "key"), "minhash-open")
+    more = staged(_across(still, sets, percent), "minhash-more")
     if not more.isEmpty():
         found = components(links.union(more))
     own = rows.join(classes.select("print", "v"), "print", "left").join(found.withColumnRenamed("id", "v"), "v", "left")
