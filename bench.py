@@ -4,7 +4,8 @@ Each query is executed in full with the ``noop`` sink (every row produced, nothi
 collected). Queries run in catalog order in one session; the shared intermediates (unified
 billing, demand) are staged inside q06 / q07's own timing, and later reports read them.
 A warm-up pass on a smaller scale (sf0.01) primes the JVM and its JIT first. With BENCH_RUNS > 1 the staging
-registry is reset between runs (so q06/q07 rebuild) and the per-query median is reported.
+registry and the loaded tables are reset between runs (so q06/q07 rebuild, and every broadcast
+bound is checked again) and the per-query median is reported.
 
 Prints one JSON line: {"metric", "value" (sum of per-query seconds), "unit", "queries", "sf"}.
 """
@@ -24,6 +25,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ledgerlens.plans.catalog import QUERIES  # noqa: E402
 from ledgerlens.plans.stage import forget  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
+from ledgerlens.sources.fixtures import forget_tables  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -48,6 +50,7 @@ def main() -> None:
     runs = []
     for _ in range(RUNS):
         forget(spark)
+        forget_tables()
         runs.append(_run_all(spark, SF_DIR))
     per_query = {n: round(statistics.median(r[n] for r in runs), 4) for n in QUERIES}
     m = re.search(r"sf([0-9.]+)", SF_DIR)

@@ -6,7 +6,6 @@ Layers:
 * ``ledgerlens.sources``   - readers: JDBC, CSV, Parquet, plus the test-table mapping.
 * ``ledgerlens.operators`` - the user-level operators (billing, demand, scope, reconcile, reports, sinks).
 * ``ledgerlens.plans``     - plan helpers: bounded broadcast, staging of shared inputs, the query catalog.
-* ``ledgerlens.streaming`` - intentionally empty (the reconciliation has no streaming part).
 """
 
 __version__ = "0.1.0"

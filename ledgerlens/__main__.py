@@ -1,15 +1,17 @@
 """Command line: the two extracts and the per-user report set.
 
     python -m ledgerlens [--master URL] [--conf k=v ...] billing-extract --url JDBC_URL --promo PROMO_TABLE
-        --out DIR [--csv DIR] [--start 12/04/2025 --end 21/04/2025]
-        [--partition-column numped --lower 1 --upper N --partitions P]
-    python -m ledgerlens [...] demand-extract --url JDBC_URL --out DIR [--csv DIR]
+        --out DIR [--csv DIR] [--start 12/04/2025 --end 21/04/2025 [--inclusive-end]]
+        --partition pcpedc:numped:1:N:P --partition pcmov:numped:1:N:P
+    python -m ledgerlens [...] demand-extract --url JDBC_URL --out DIR [--csv DIR] --partition pedido:num_ped:1:N:P
     python -m ledgerlens [...] reports --billing PATH --demand PATH [--format csv|parquet]
         [--user DIRETORIA] [--state CE] [--roster PATH] --out DIR [--display]
 
 (with spark-submit, submit ``ledgerlens/__main__.py`` with the same arguments). The session
 takes its settings from the environment or ``--master`` / ``--conf``; credentials are read by
-``sources.jdbc.credentials`` (prefixes ``oracle`` and ``postgres``).
+``sources.jdbc.credentials`` (prefixes ``oracle`` and ``postgres``). A big table without a partitioning
+is an error unless ``--single-task`` is given. Of the movements, only those of orders that the
+campaign may let in are requested. A missing input of ``reports`` ends with code 2 and no report.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -44,16 +47,17 @@ def main(argv: list[str] | None = None) -> int:
     be.add_argument("--csv")
     be.add_argument("--start")
     be.add_argument("--end")
-    be.add_argument("--partition-column")
-    be.add_argument("--lower", type=int)
-    be.add_argument("--upper", type=int)
-    be.add_argument("--partitions", type=int)
+    be.add_argument("--inclusive-end", action="store_true", help="the last day counts whole")
 
     de = sub.add_parser("demand-extract")
     de.add_argument("--url", required=True)
     de.add_argument("--out", required=True)
     de.add_argument("--csv")
 
+    for x in (be, de):
+        x.add_argument("--partition", action="append", default=[], metavar="TABLE:COLUMN:LOWER:UPPER:PARTITIONS")
+        x.add_argument("--single-task", action="store_true", help="read big tables in one task each")
+
     rp = sub.add_parser("reports")
     rp.add_argument("--billing", required=True)
     rp.add_argument("--demand", required=True)
@@ -71,15 +75,11 @@ def main(argv: list[str] | None = None) -> int:
         from ledgerlens.operators.billing import CAMPAIGN_RULES, BillingRules
         from ledgerlens.operators.extracts import billing_extract
         from ledgerlens.sources import jdbc
-        rules = CAMPAIGN_RULES
-        if a.start or a.end:
-            rules = BillingRules(window_start=a.start or CAMPAIGN_RULES.window_start,
-                                 window_end=a.end or CAMPAIGN_RULES.window_end)
-        part = {}
-        if a.partition_column:
-            for t in ("pcpedc", "pcmov"):
-                part[t] = jdbc.JdbcTable(t, partition_column=a.partition_column, lower_bound=a.lower,
-                                         upper_bound=a.upper, num_partitions=a.partitions)
+        rules = BillingRules(window_start=a.start or CAMPAIGN_RULES.window_start,
+                             window_end=a.end or CAMPAIGN_RULES.window_end, end_inclusive_day=a.inclusive_end)
+        part = jdbc.parse_partitioning(a.partition)
+        jdbc.require_partitioning(jdbc.ERP_TABLES, part, a.single_task)
+        part["pcmov"] = replace(part.get("pcmov", jdbc.JdbcTable("pcmov")), table=jdbc.campaign_movements(rules))
         tables = jdbc.read_tables(spark, a.url, jdbc.ERP_TABLES, "oracle", part)
         promo = (spark.read.parquet(a.promo) if not a.promo.endswith(".csv")
                  else spark.read.option("header", True).csv(a.promo)).select("promo_code")
@@ -87,19 +87,25 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "demand-extract":
         from ledgerlens.operators.extracts import demand_extract
         from ledgerlens.sources import jdbc
-        tables = jdbc.read_tables(spark, a.url, jdbc.PORTAL_TABLES, "postgres")
+        part = jdbc.parse_partitioning(a.partition)
+        jdbc.require_partitioning(jdbc.PORTAL_TABLES, part, a.single_task)
+        tables = jdbc.read_tables(spark, a.url, jdbc.PORTAL_TABLES, "postgres", part)
         print(json.dumps(demand_extract(tables, a.out, a.csv)))
     else:
         from ledgerlens.operators.report_set import report_set
         from ledgerlens.operators.scope import permitted_state
         from ledgerlens.operators.sinks import export
-        from ledgerlens.sources.files import load_inputs, read_roster
+        from ledgerlens.sources.files import load_inputs, missing_paths, read_roster
+        missing = missing_paths(spark, a.billing, a.demand, *[a.roster] * bool(a.roster))
+        if missing:
+            print(f"ledgerlens: no input at {' and '.join(missing)}; no report was written", file=sys.stderr)
+            return 2
         billing, demand = load_inputs(spark, a.billing, a.demand, fmt=a.format)
         roster = read_roster(spark, a.roster, decimal_comma=a.roster_decimal_comma) if a.roster else None
         state = permitted_state(a.user, a.state)
-        reports = report_set(billing, demand, state, roster=roster, display=a.display)
-        for name, df in reports.items():
-            export(df, f"{a.out.rstrip('/')}/{name}", fmt="csv" if a.display else "parquet")
+        with report_set(billing, demand, state, roster=roster, display=a.display) as reports:
+            for name, df in reports.items():
+                export(df, f"{a.out.rstrip('/')}/{name}", fmt="csv" if a.display else "parquet")
         print(json.dumps({"state": state, "reports": sorted(reports)}))
     return 0
 

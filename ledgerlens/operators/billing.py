@@ -13,8 +13,8 @@ Plan shape (what scales):
   movements are aggregated and the joins drop the rest - never a raw-row shuffle by order.
 * Dimensions (clients, suppliers, promotion codes) are broadcast only behind a checked row
   bound (``plans.broadcast``); above it they are shuffle-joined.
-* The unified table is built in ONE pass over the header: rows qualify through the window
-  rule OR the promotion rule and carry ``src_priority`` 0/1, then a keep-first
+* The qualifying header of the unified table is built once: a read with the window rule pushed
+  down, and one with the promotion rule for the rest, carry ``src_priority`` 0/1; then a keep-first
   ``row_number`` per 4-key (planned as a ``WindowGroupLimit`` on the order-id partitioning
   the join already provides - no extra exchange) removes the duplicates. This equals "union
   both extracts, keep the window row on duplicates" without computing the joins twice.
@@ -23,6 +23,7 @@ Plan shape (what scales):
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
 from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, row_bound
+from ledgerlens.plans.stage import Run
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
 
@@ -37,8 +39,10 @@ from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 class BillingRules:
     """Which orders enter the billing extracts.
 
-    A ``None`` rule is not applied. Dates are 'dd/mm/yyyy' or ISO 'yyyy-mm-dd'; the window is
-    closed and its upper bound is midnight of the last day (later times that day are out).
+    A ``None`` rule is not applied. Dates are 'dd/mm/yyyy' or ISO 'yyyy-mm-dd', with a time of day
+    ('hh:mm:ss') or without; anything else is an error. The window is closed. A last day without a
+    time ends at its midnight (later times that day are out) unless ``end_inclusive_day`` is set:
+    then the whole day is in.
     """
 
     window_start: str
@@ -49,6 +53,7 @@ class BillingRules:
     issuers: tuple | None = (8888,)
     promo_statuses: tuple | None = ("F",)
     return_op: str = "ED"
+    end_inclusive_day: bool = False
 
 
 # The campaign rules of the original extract (10-day window, position 'F',
@@ -56,14 +61,32 @@ class BillingRules:
 CAMPAIGN_RULES = BillingRules(window_start="12/04/2025", window_end="21/04/2025")
 
 
-def _ts_literal(day: str) -> Column:
-    if "/" in day:
-        d = _dt.datetime.strptime(day, "%d/%m/%Y")
-    else:
-        d = _dt.datetime.strptime(day[:10], "%Y-%m-%d")
+_MOMENTS = [f"{day}{time}" for day in ("%d/%m/%Y", "%Y-%m-%d") for time in ("", " %H:%M", " %H:%M:%S", "T%H:%M:%S", " %H:%M:%S.%f")]
+
+
+def parse_moment(text: str) -> _dt.datetime:
+    """A day, or a day with a time of day; ValueError for anything else."""
+    for form in _MOMENTS:
+        try:
+            return _dt.datetime.strptime(text, form)
+        except ValueError:
+            continue
+    raise ValueError(f"neither 'dd/mm/yyyy' nor 'yyyy-mm-dd', with or without 'hh:mm:ss': {text!r}")
+
+
+def _ts_literal(moment: str | _dt.datetime) -> Column:
+    d = parse_moment(moment) if isinstance(moment, str) else moment
     # timestamp_ntz literal: compares with a timestamp_ntz column without a cast on the
     # column, so the range reaches the Parquet scan as a pushed filter.
-    return F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.lit(d.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+def date_window(rules: BillingRules, column: str = "order_date") -> Column:
+    """The closed window; with ``end_inclusive_day`` a last day without a time of day counts whole."""
+    end = parse_moment(rules.window_end)
+    if rules.end_inclusive_day and end.time() == _dt.time():
+        return (F.col(column) >= _ts_literal(rules.window_start)) & (F.col(column) < _ts_literal(end + _dt.timedelta(days=1)))
+    return F.col(column).between(_ts_literal(rules.window_start), _ts_literal(end))
 
 
 def _isin(col: str, values: tuple | None) -> Column | None:
@@ -83,7 +106,7 @@ def _all(preds: list[Column | None]) -> Column:
 def window_predicate(rules: BillingRules) -> Column:
     """Window extract rule: closed date range + status, sale type, origin, issuer."""
     return _all([
-        F.col("order_date").between(_ts_literal(rules.window_start), _ts_literal(rules.window_end)),
+        date_window(rules),
         _isin("status", rules.statuses),
         _isin("sale_type", rules.sale_types),
         _isin("origin", rules.origins),
@@ -167,9 +190,20 @@ def order_supplier_lines(movements: DataFrame, suppliers: DataFrame, return_op:
             .select("order_id", "supplier_key", "supplier_name", "returned"))
 
 
-def billing_window(header, movements, clients, suppliers, rules: BillingRules) -> DataFrame:
-    """q04: billing lines of orders inside the campaign window and order-class rules."""
-    hdr = header.where(window_predicate(rules))
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def billing_window(header, movements, clients, suppliers, rules: BillingRules, keep: Keep = _as_is) -> DataFrame:
+    """q04: billing lines of orders inside the campaign window and order-class rules.
+
+    ``keep`` (here and below) stages the qualifying header, which the bound check, the filter of
+    the movements and the join read: ``plans.stage.Run.keep``. A live source is then read once.
+    """
+    hdr = keep(header.where(window_predicate(rules)), "header")
     return billing_lines(hdr, movements, clients, suppliers, rules.return_op, campaign_slice=True)
 
 
@@ -178,10 +212,10 @@ def _promo_keys(promo_codes: DataFrame) -> DataFrame:
                                 .distinct())
 
 
-def billing_promo(header, movements, clients, suppliers, promo_codes, rules: BillingRules) -> DataFrame:
+def billing_promo(header, movements, clients, suppliers, promo_codes, rules: BillingRules, keep: Keep = _as_is) -> DataFrame:
     """q05: billing lines of orders whose promotion code is in the promotion table (status rule only)."""
-    hdr = (header.where(promo_status_predicate(rules))
-           .join(_promo_keys(promo_codes), "promo_code", "left_semi"))
+    hdr = keep(header.where(promo_status_predicate(rules))
+               .join(_promo_keys(promo_codes), "promo_code", "left_semi"), "header")
     return billing_lines(hdr, movements, clients, suppliers, rules.return_op, campaign_slice=True)
 
 
@@ -210,27 +244,40 @@ def unify_extracts(window_lines: DataFrame, promo_lines: DataFrame) -> DataFrame
     return dedupe_keep_first(tagged, DEDUP_KEYS, order).select(*cols)
 
 
+def campaign_header(header: DataFrame, promo_codes: DataFrame, rules: BillingRules) -> DataFrame:
+    """Orders that either rule lets in, once each, with ``in_window``, ``in_promo`` and ``src_priority``.
+
+    Two filtered reads, so that each pushes its own conditions into the scan (the date range and
+    the order class; the status): an OR of both rules would push the status only.
+    """
+    keys = _promo_keys(promo_codes)
+    in_window = window_predicate(rules)
+    flag = keys.withColumn("_promo", F.lit(True))
+    by_window = (header.where(in_window).join(flag, "promo_code", "left")
+                 .withColumn("in_promo", promo_status_predicate(rules) & F.col("_promo").isNotNull()).drop("_promo")
+                 .withColumn("in_window", F.lit(True)).withColumn("src_priority", F.lit(0)))
+    by_promo = (header.where(promo_status_predicate(rules)).where(~F.coalesce(in_window, F.lit(False)))
+                .join(keys, "promo_code", "left_semi")
+                .withColumn("in_promo", F.lit(True)).withColumn("in_window", F.lit(False)).withColumn("src_priority", F.lit(1)))
+    return by_window.unionByName(by_promo)
+
+
 def billing_unified(header, movements, clients, suppliers, promo_codes, rules: BillingRules,
-                    observation=None) -> DataFrame:
+                    observation=None, extract_observation=None, keep: Keep = _as_is) -> DataFrame:
     """q06: window extract + promotion extract, the window row kept when both hold a 4-key."""
-    promo = _promo_keys(promo_codes).withColumn("_promo", F.lit(True))
-    in_window = window_predicate(rules)
-    in_promo = promo_status_predicate(rules) & F.col("_promo").isNotNull()
-    hdr = (header.join(promo, "promo_code", "left")
-           .where(in_window | in_promo)
-           .withColumn("src_priority", F.when(in_window, F.lit(0)).otherwise(F.lit(1)))
-           .drop("_promo"))
+    hdr = keep(campaign_header(header, promo_codes, rules), "header")
     lines = billing_lines(hdr, movements, clients, suppliers, rules.return_op,
-                          campaign_slice=True, carry=("src_priority",))
+                          campaign_slice=True, carry=("src_priority", "in_window", "in_promo"))
+    count_if = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    if extract_observation is not None:
+        lines = lines.observe(
+            extract_observation, count_if("in_window").alias("window_rows"), count_if("in_promo").alias("promo_rows"),
+            (count_if("in_window") + count_if("in_promo")).alias("union_rows"))
     unified = dedupe_keep_first(
         lines, DEDUP_KEYS,
         [F.col("src_priority").asc(), F.col("client_id").asc_nulls_last(), F.col("supplier_name").asc_nulls_last()])
     if observation is not None:
-        unified = unified.observe(
-            observation,
-            F.count(F.lit(1)).alias("unified_rows"),
-            F.coalesce(F.sum(F.when(F.col("src_priority") == 0, 1).otherwise(0)), F.lit(0)).alias("window_rows"),
-            F.coalesce(F.sum(F.when(F.col("src_priority") == 1, 1).otherwise(0)), F.lit(0)).alias("promo_only_rows"))
+        unified = unified.observe(observation, F.count(F.lit(1)).alias("unified_rows"))
     return unified.select(*UNIFIED_COLUMNS)
 
 
@@ -245,13 +292,15 @@ class BillingTables:
     promo_codes: DataFrame
 
 
-def build_billing(tables: BillingTables, rules: BillingRules = CAMPAIGN_RULES,
-                  observation=None) -> DataFrame:
+def build_billing(tables: BillingTables, rules: BillingRules = CAMPAIGN_RULES, observation=None,
+                  extract_observation=None, keep: Keep | None = None) -> DataFrame:
     """The unified billing table from the base tables.
 
-    ``observation`` (a ``pyspark.sql.Observation``) receives, with no extra job, the row
-    counts: unified rows, rows kept from the window rule, rows kept only through the
-    promotion rule.
+    With no extra job, ``extract_observation`` (a ``pyspark.sql.Observation``) receives the rows of
+    the window extract, of the promotion extract and of both together, before de-duplication;
+    ``observation`` the unified rows. The qualifying header is staged under the session's shared
+    folder, unless ``keep`` says otherwise.
     """
+    keep = keep or Run(tables.header.sparkSession).keep
     return billing_unified(tables.header, tables.movements, tables.clients, tables.suppliers,
-                           tables.promo_codes, rules, observation)
+                           tables.promo_codes, rules, observation, extract_observation, keep)

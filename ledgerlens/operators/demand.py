@@ -20,9 +20,12 @@ DEMAND_KEYS = ["supplier_name", "supplier_key", "client_name", "client_key", "st
 
 
 def build_demand(orders: DataFrame, suppliers: DataFrame, clients: DataFrame) -> DataFrame:
-    """orders(order_id, supplier_id, client_id, value) x suppliers x clients -> demand table."""
-    pairs = (orders.groupBy("supplier_id", "client_id")
-             .agg(F.sum("value").alias("_v"), F.count("order_id").alias("_n")))
+    """orders(order_id, supplier_id, client_id, value) x suppliers x clients -> demand table.
+
+    Order rows may come summed up already, with the number of rows in ``order_count``.
+    """
+    n = F.sum("order_count") if "order_count" in orders.columns else F.count("order_id")
+    pairs = orders.groupBy("supplier_id", "client_id").agg(F.sum("value").alias("_v"), n.alias("_n"))
     sup = broadcast_if_bounded(suppliers.select("supplier_id", "supplier_key", "supplier_name"))
     cli = broadcast_if_bounded(clients.select("client_id", "client_key", "client_name", "state"))
     joined = pairs.join(sup, "supplier_id", "inner").join(cli, "client_id", "inner")

@@ -13,12 +13,13 @@ from ledgerlens.operators.billing import CAMPAIGN_RULES, BillingRules, BillingTa
 from ledgerlens.operators.demand import build_demand
 from ledgerlens.operators.sinks import export, write_billing_csv, write_demand_csv
 from ledgerlens.plans.observe import counted
+from ledgerlens.plans.stage import Run
 from ledgerlens.sources import erp
 
 
-def billing_tables(tables: dict[str, DataFrame], promo_codes: DataFrame) -> BillingTables:
+def billing_tables(tables: dict[str, DataFrame], promo_codes: DataFrame, rules: BillingRules | None = None) -> BillingTables:
     return BillingTables(
-        header=erp.order_header(tables["pcpedc"]),
+        header=erp.order_header(tables["pcpedc"], rules),
         movements=erp.movements(tables["pcmov"]),
         clients=erp.clients(tables["pcclient"]),
         suppliers=erp.suppliers(tables["pcfornec"]),
@@ -28,12 +29,12 @@ def billing_tables(tables: dict[str, DataFrame], promo_codes: DataFrame) -> Bill
 def billing_extract(tables: dict[str, DataFrame], promo_codes: DataFrame, out_path: str,
                     rules: BillingRules = CAMPAIGN_RULES, csv_path: str | None = None) -> dict:
     """Write the unified billing as Parquet (+ CSV); return the observed row counts."""
-    obs = Observation("billing_extract")
-    unified = build_billing(billing_tables(tables, promo_codes), rules, obs)
-    export(unified, out_path)
-    counts = dict(obs.get)
+    spark = promo_codes.sparkSession
+    run, extracts, after = Run(spark), Observation("billing_extracts"), Observation("billing_unified")
+    export(build_billing(billing_tables(tables, promo_codes, rules), rules, after, extracts, run.keep), out_path)
+    run.remove()
+    counts = {**extracts.get, **after.get}
     if csv_path:
-        spark = unified.sparkSession
         write_billing_csv(spark.read.parquet(out_path), csv_path)
     return counts
 

@@ -64,14 +64,23 @@ def count_each_order_once(billing: DataFrame) -> DataFrame:
             .drop("_first"))
 
 
+_SUM = DecimalType(28, 2)
+
+
+def _by_party(df: DataFrame, key: str, names: list[str], sums: dict[str, str], first: Column | None = None) -> DataFrame:
+    """Sums per cleaned key, and a name. Raw rows meet a hash aggregate by (key, name columns), whose
+    buffers are decimals only; the name is taken over its much smaller result."""
+    per_name = df.groupBy(clean_key(key).alias(key), *names).agg(*[F.sum(c).alias(alias) for alias, c in sums.items()])
+    return per_name.groupBy(key).agg((F.min(names[-1]) if first is None else first).alias("_name"),
+                                     *[F.sum(alias).cast(_SUM).alias(alias) for alias in sums])
+
+
 def client_measures(billing: DataFrame, demand: DataFrame) -> DataFrame:
     """Per cleaned client key: name and decimal ordered / billed / returned (0 when absent)."""
-    b = billing.groupBy(clean_key("client_key").alias("client_key")).agg(
-        _first_client_name(billing).alias("_bn"),
-        F.sum("billed").alias("_f"), F.sum("returned").alias("_r"))
-    d = demand.groupBy(clean_key("client_key").alias("client_key")).agg(
-        F.min("client_name").alias("_dn"), F.sum("ordered").alias("_v"))
-    return d.join(b, "client_key", "full_outer").select(
+    names = [c for c in ("client_id", "client_name") if c in billing.columns]
+    b = _by_party(billing, "client_key", names, {"_f": "billed", "_r": "returned"}, _first_client_name(billing))
+    d = _by_party(demand, "client_key", ["client_name"], {"_v": "ordered"})
+    return d.withColumnRenamed("_name", "_dn").join(b.withColumnRenamed("_name", "_bn"), "client_key", "full_outer").select(
         "client_key",
         F.coalesce("_dn", "_bn").alias("client_name"),
         _z("_v").alias("ordered"), _z("_f").alias("billed"), _z("_r").alias("returned"))
@@ -91,10 +100,8 @@ def reconcile_client(billing: DataFrame, demand: DataFrame) -> DataFrame:
 
 def reconcile_supplier(billing: DataFrame, demand: DataFrame) -> DataFrame:
     """q12: the same by supplier; the name is upper-cased and stripped, NULL when both sides lack it."""
-    d = demand.groupBy(clean_key("supplier_key").alias("supplier_key")).agg(
-        F.min("supplier_name").alias("_dn"), F.sum("ordered").alias("_v"))
-    b = billing.groupBy(clean_key("supplier_key").alias("supplier_key")).agg(
-        F.min("supplier_name").alias("_bn"), F.sum("billed").alias("_f"), F.sum("returned").alias("_r"))
+    d = _by_party(demand, "supplier_key", ["supplier_name"], {"_v": "ordered"}).withColumnRenamed("_name", "_dn")
+    b = _by_party(billing, "supplier_key", ["supplier_name"], {"_f": "billed", "_r": "returned"}).withColumnRenamed("_name", "_bn")
     j = d.join(b, "supplier_key", "full_outer")
     return j.select(
         "supplier_key",

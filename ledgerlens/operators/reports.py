@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ledgerlens.functions.money import format_brl
-from ledgerlens.functions.text import norm_text
+from ledgerlens.functions.text import clean_key, norm_text
 from ledgerlens.operators.scope import ALL_STATES, is_unrestricted
 from ledgerlens.schemas import ROSTER_HEADERS
 
@@ -72,8 +72,9 @@ def state_report(state: DataFrame) -> DataFrame:
     return state.orderBy(F.col("net_billed").desc_nulls_last(), F.col("state").asc())
 
 
-def clients_per_state(billing: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """q23: distinct clients per state, plus a 'Todos' row counting distinct clients overall.
+def clients_per_state(billing: DataFrame, override: DataFrame | None = None, state: str | None = None) -> DataFrame:
+    """q23: distinct clients (cleaned keys, as everywhere) per state, plus a 'Todos' row counting
+    distinct clients overall.
 
     The overall count is its own distinct count (a client billed in two states counts
     once), so it can be below the sum of the state rows. Both are two-phase distinct
@@ -81,22 +82,32 @@ def clients_per_state(billing: DataFrame, override: DataFrame | None = None) ->
 
     ``override`` (state, clients): a maintained table of client counts used instead of the
     computed ones; its 'Todos' row is then the sum of its states.
+
+    ``state``: a restricted user's; there is one row then, for that state, counted over all its
+    spellings, and no row that tells of others.
     """
+    if not is_unrestricted(state):
+        own = F.upper(F.col("state")) == F.lit(str(state).upper())
+        counted = (override.where(own).agg(F.coalesce(F.sum("clients"), F.lit(0)).cast("long").alias("clients")) if override is not None
+                   else clients_in_scope(billing.where(own)))
+        return counted.select(F.lit(str(state)).alias("state"), "clients")
     if override is not None:
         o = override.select(F.col("state").cast("string"), F.col("clients").cast("long"))
         total = o.agg(F.coalesce(F.sum("clients"), F.lit(0)).alias("clients")).select(
             F.lit(ALL_STATES).alias("state"), "clients")
         return o.unionByName(total)
-    per_state = (billing.where(F.col("state").isNotNull()).groupBy("state")
-                 .agg(F.countDistinct("client_key").alias("clients")))
-    overall = billing.agg(F.countDistinct("client_key").alias("clients")).select(
+    key = F.countDistinct(clean_key("client_key")).alias("clients")
+    per_state = billing.where(F.col("state").isNotNull()).groupBy("state").agg(key)
+    overall = billing.agg(key).select(
         F.lit(ALL_STATES).alias("state"), "clients")
     return per_state.unionByName(overall)
 
 
 def clients_shown(counts: DataFrame, state: str | None) -> DataFrame:
-    """The client count shown for a scope: the 'Todos' row when unrestricted, else the chosen
-    state's row (case-insensitive), 0 when the state has none. One row: clients."""
+    """The client count shown for a scope, out of ``clients_per_state`` for that scope: the 'Todos' row
+    when unrestricted, else the chosen state's row (any case), 0 when the state has none. One row:
+    clients. (Rows of several spellings are added: right for a maintained table; for computed
+    counts pass the state to ``clients_per_state``.)"""
     key = ALL_STATES if is_unrestricted(state) else str(state)
     hit = counts.where(F.upper(F.col("state")) == F.lit(key.upper()))
     return hit.agg(F.coalesce(F.sum("clients"), F.lit(0)).cast("long").alias("clients"))
@@ -104,7 +115,12 @@ def clients_shown(counts: DataFrame, state: str | None) -> DataFrame:
 
 def clients_in_scope(scoped_billing: DataFrame) -> DataFrame:
     """Distinct clients a scoped user sees (one row; 0 when the scope has no billing)."""
-    return scoped_billing.agg(F.countDistinct("client_key").alias("clients"))
+    return scoped_billing.agg(F.countDistinct(clean_key("client_key")).alias("clients"))
+
+
+def clients_label(state: str | None) -> str:
+    """The label of the client count (fixed values)."""
+    return "Total Clientes (Brasil)" if is_unrestricted(state) else f"Clientes Únicos ({str(state).upper()})"
 
 
 def client_roster(roster: DataFrame, state: str | None, state_map: dict[str, str]) -> DataFrame:
@@ -152,5 +168,6 @@ SUPPLIER_LABELS = {"supplier_name": "Fornecedor", "supplier_key": "CNPJ", "order
                    "billed": "Valor Faturado", "returned": "Valor Devolvido", "flow_diff": "Diferença Fluxo"}
 BRANCH_LABELS = {"branch_id": "FILIAL", "billed": "VALOR_FATURADO", "returned": "VALOR_DEVOLVIDO",
                  "net_billed": "VALOR_LIQUIDO_FATURADO"}
+ROSTER_LABELS = {name: header for header, name in ROSTER_HEADERS.items()}
 STATE_LABELS = {"state": "ESTADO", "billed": "VALOR_FATURADO", "returned": "VALOR_DEVOLVIDO",
                 "net_billed": "VALOR_LIQUIDO_FATURADO"}

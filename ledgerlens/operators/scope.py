@@ -19,15 +19,21 @@ ALL_STATES = "Todos"
 BOARD_USER = "DIRETORIA"
 
 
+class OwnState(str):
+    """The state that a user is fixed to. It restricts whatever it is called, so that no user name
+    can lift the scope."""
+
+
 def is_unrestricted(state: str | None) -> bool:
-    return state is None or str(state).upper() in (ALL_STATES.upper(), BOARD_USER)
+    """No state, or one of the two choices that mean all (white space around them doesn't count)."""
+    return state is None or (not isinstance(state, OwnState) and str(state).strip().upper() in (ALL_STATES.upper(), BOARD_USER))
 
 
 def permitted_state(username: str, chosen: str | None = None) -> str | None:
     """The board chooses freely (None = all); any other user is fixed to its own state."""
     if username.upper() == BOARD_USER:
-        return None if chosen is None or is_unrestricted(chosen) else chosen
-    return username
+        return None if is_unrestricted(chosen) else chosen
+    return OwnState(username)
 
 
 def scope_billing(billing: DataFrame, state: str | None) -> DataFrame:
@@ -55,6 +61,13 @@ def state_list(billing: DataFrame) -> DataFrame:
     return first.unionByName(states).orderBy("pos", "state")
 
 
+def states_offered(billing: DataFrame, state: str | None) -> DataFrame:
+    """The choices offered to a user: all of them (``state_list``), or only the state of its scope."""
+    if is_unrestricted(state):
+        return state_list(billing)
+    return billing.sparkSession.range(1).select(F.lit(str(state)).alias("state"), F.lit(1).alias("pos"))
+
+
 def scope(billing: DataFrame, demand: DataFrame, state: str | None) -> tuple[DataFrame, DataFrame]:
     """Both inputs restricted to what a user of ``state`` may see (unchanged when unrestricted)."""
     b = scope_billing(billing, state)

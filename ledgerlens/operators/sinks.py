@@ -1,6 +1,7 @@
 """Sinks: the billing hand-off CSV (';' separated, decimal comma) and generic export.
 
-Spark writes a folder of part files and no byte-order mark; readers here accept both.
+Spark writes a folder of part files and no byte-order mark; readers here accept both. Text is written
+as it is: white space at its edges stays, quotes are doubled, line breaks are quoted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ _CANON_TO_HEADER = {v: k for k, v in BILLING_FILE_HEADERS.items()}
 _DEMAND_TO_HEADER = {v: k.lower() for k, v in DEMAND_FILE_HEADERS.items()}
 
 
+def _csv(df: DataFrame, sep: str):
+    return (df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", "UTF-8"))
+
+
 def decimal_comma(df: DataFrame) -> DataFrame:
     """Decimal columns as text with ',' as the decimal mark (no grouping), others unchanged."""
     return df.select(*[
@@ -29,26 +35,23 @@ def write_billing_csv(billing: DataFrame, path: str) -> None:
     """Unified billing as the hand-off CSV: upstream header names, ';', decimal comma, UTF-8."""
     out = decimal_comma(billing)
     out = out.select(*[F.col(c).alias(_CANON_TO_HEADER.get(c, c.upper())) for c in out.columns])
-    (out.write.mode("overwrite").option("header", True).option("sep", ";")
-     .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
+    _csv(out, ";").csv(path)
 
 
 def write_demand_csv(demand: DataFrame, path: str) -> None:
     """Demand as its hand-off CSV: upstream header names, ';', decimal point, UTF-8."""
     out = demand.select(*[F.col(c).alias(_DEMAND_TO_HEADER.get(c, c)) for c in demand.columns])
-    (out.write.mode("overwrite").option("header", True).option("sep", ";")
-     .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
+    _csv(out, ";").csv(path)
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";") -> None:
     """Write a result table (overwrite): Parquet by default, or CSV with a header."""
-    w = df.write.mode("overwrite")
     if fmt == "parquet":
-        w.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+        _csv(df, sep).csv(path)
     else:
-        w.format(fmt).save(path)
+        df.write.mode("overwrite").format(fmt).save(path)
 
 
 def csv_roundtrip(billing: DataFrame, name: str) -> DataFrame:

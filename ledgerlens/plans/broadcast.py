@@ -1,9 +1,9 @@
 """Broadcast only behind a checked row bound; otherwise leave the join to a shuffle.
 
-``broadcast_if_bounded(df)`` runs ``df.limit(bound + 1).count()`` and adds the broadcast hint
-only if the side is within the bound. Beyond it the DataFrame is returned untouched, so
-Catalyst plans a sort-merge (or AQE a skew-split) join. The decision is remembered per
-session and logical plan (``semanticHash``), so a dimension is counted once per session.
+``broadcast_if_bounded(df)`` counts the side (a partial count per task, one number each; no row
+moves) and adds the broadcast hint only if it is within the bound. Beyond it the DataFrame is
+returned untouched, so Catalyst plans a sort-merge (or AQE a skew-split) join. Nothing is
+remembered between calls: the inputs may have changed.
 
 The bound is ``min(maxRows, maxBytes / estimated row width)``: the row width comes from the
 column types (8 bytes per long/double/timestamp, 16 per decimal, a 48-byte allowance per
@@ -14,8 +14,6 @@ Settings: ``ledgerlens.broadcast.maxRows`` (default 2,000,000) and
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -33,8 +31,6 @@ DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 _CONF_KEY = "ledgerlens.broadcast.maxRows"
 _BYTES_KEY = "ledgerlens.broadcast.maxBytes"
 _STRING_ALLOWANCE = 48
-_decisions: dict[tuple[str, int, int], bool] = {}
-_lock = threading.Lock()
 
 
 def max_broadcast_rows(spark: SparkSession) -> int:
@@ -61,30 +57,8 @@ def row_bound(df: DataFrame) -> int:
     return max(1, min(max_broadcast_rows(spark), max_bytes // width))
 
 
-def _app_id(spark: SparkSession) -> str:
-    return spark.conf.get("spark.app.id", "local")
-
-
-# Same DataFrame object seen again (memoised dimension tables): skip re-hashing its plan.
-# The object is kept alive next to its decision, so its id cannot be reused.
-_by_object: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
-
-
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    seen = _by_object.get((id(df), max_rows))
-    if seen is not None and seen[0] is df:
-        return seen[1]
-    spark = df.sparkSession
-    key = (_app_id(spark), df.semanticHash(), max_rows)
-    with _lock:
-        hit = _decisions.get(key)
-    if hit is None:
-        hit = df.limit(max_rows + 1).count() <= max_rows
-        with _lock:
-            _decisions[key] = hit
-    with _lock:
-        _by_object[(id(df), max_rows)] = (df, hit)
-    return hit
+    return df.count() <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:

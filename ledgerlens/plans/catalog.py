@@ -2,9 +2,9 @@
 
 Each query reads the test tables through ``sources.fixtures`` (lazy Parquet scans) and runs
 the library operators on them. The two shared intermediates - the unified billing (q06) and
-the demand (q07) - are staged once per session as Parquet under ``spark.checkpoint.dir``
-(``plans.stage``); every report after them reads the staged files. The client and supplier
-reconciliation tables are staged the same way, since seven reports read them.
+the demand (q07) - are staged as Parquet under ``spark.checkpoint.dir`` (``plans.stage``), once per
+session and state of the input files; every report after them reads the staged files. The client
+and supplier reconciliation tables are staged the same way, since seven reports read them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ledgerlens.operators import reports as P
 from ledgerlens.operators import scope as S
 from ledgerlens.operators.demand import build_demand
 from ledgerlens.operators.sinks import csv_roundtrip
-from ledgerlens.plans.stage import stage, stage_key
+from ledgerlens.plans.stage import Run, stage, stage_key
 from ledgerlens.sources import fixtures as X
 
 SCOPE_STATE = "nation_3"  # the state a regional user is fixed to in q09/q10
@@ -50,19 +50,19 @@ def q03_billing_lines(spark, sf_dir):
 def q04_billing_window(spark, sf_dir):
     t = _t(spark, sf_dir)
     return B.billing_window(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                            X.FIXTURE_RULES)
+                            X.FIXTURE_RULES, Run(spark).keep)
 
 
 def q05_billing_promo(spark, sf_dir):
     t = _t(spark, sf_dir)
     return B.billing_promo(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                           X.promo_codes(t), X.FIXTURE_RULES)
+                           X.promo_codes(t), X.FIXTURE_RULES, Run(spark).keep)
 
 
 def unified_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     return B.billing_unified(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                             X.promo_codes(t), X.FIXTURE_RULES)
+                             X.promo_codes(t), X.FIXTURE_RULES, keep=Run(spark).keep)
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +70,17 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_demand(X.demand_orders(t), X.demand_suppliers(t), X.demand_clients(t))
 
 
+def _key(spark: SparkSession, name: str, sf_dir: str) -> str:
+    return stage_key(name, sf_dir, X.tables_signature(spark, sf_dir), X.FIXTURE, X.FIXTURE_RULES)
+
+
 def staged_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = stage_key("billing_unified", sf_dir, X.FIXTURE, X.FIXTURE_RULES)
+    key = _key(spark, "billing_unified", sf_dir)
     return stage(spark, key, lambda: unified_billing(spark, sf_dir))
 
 
 def staged_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = stage_key("demand", sf_dir, X.FIXTURE)
+    key = _key(spark, "demand", sf_dir)
     return stage(spark, key, lambda: demand(spark, sf_dir))
 
 
@@ -107,13 +111,13 @@ def q10_scope_demand(spark, sf_dir):
 
 def _client(spark, sf_dir):
     """The client reconciliation, staged: it feeds q15-q16, q18, q20 and q25."""
-    return stage(spark, stage_key("reconcile_client", sf_dir, X.FIXTURE, X.FIXTURE_RULES),
+    return stage(spark, _key(spark, "reconcile_client", sf_dir),
                  lambda: R.reconcile_client(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
 
 
 def _supplier(spark, sf_dir):
     """The supplier reconciliation, staged: it feeds q17, q19 and q21."""
-    return stage(spark, stage_key("reconcile_supplier", sf_dir, X.FIXTURE, X.FIXTURE_RULES),
+    return stage(spark, _key(spark, "reconcile_supplier", sf_dir),
                  lambda: R.reconcile_supplier(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
 
 
@@ -178,7 +182,7 @@ def q25_currency_report(spark, sf_dir):
 
 
 def q26_csv_roundtrip(spark, sf_dir):
-    return csv_roundtrip(staged_billing(spark, sf_dir), stage_key("billing_csv", sf_dir))
+    return csv_roundtrip(staged_billing(spark, sf_dir), _key(spark, "billing_csv", sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -37,7 +37,6 @@ select s_name supplier_name, s_suppkey supplier_key, c_name client_name, c_custk
   cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(18,2)) ordered, count(l_orderkey) order_count
 from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey
 join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
-where o_orderdate between timestamp '1998-01-01 00:00:00' and timestamp '1998-06-30 00:00:00'
 group by s_name, s_suppkey, c_name, c_custkey - c_custkey % 5, n_name""",
     "q08_clean_keys": """
 select c_custkey client_id, regexp_replace(regexp_replace(cast(c_custkey as string) || ',0', '[.,]0$', ''), '[^0-9]', '', 'g') from_code,
@@ -83,8 +82,9 @@ select supplier_name, returned from q12_reconcile_supplier where returned > 0 or
     "q22_state_list": """
 select state, pos from (select 'Todos' state, 0 pos union all select distinct state, 1 pos from q06_billing_unified where state is not null) t order by pos, state""",
     "q23_clients_per_state": """
-select state, count(distinct client_key) clients from q06_billing_unified where state is not null group by state
-union all select 'Todos' state, count(distinct client_key) clients from q06_billing_unified""",
+select * from (with c as (select state, coalesce(regexp_replace(regexp_replace(cast(client_key as varchar), '[.,]0$', ''), '[^0-9]', '', 'g'), '') k from q06_billing_unified)
+select state, count(distinct k) clients from c where state is not null group by state
+union all select 'Todos' state, count(distinct k) clients from c) t""",
     "q24_client_roster": """
 select case upper(trim(' ' || lower(n_name) || ' ')) when 'NATION_0' then 'BA' when 'NATION_1' then 'CE' when 'NATION_2' then 'MA'
   when 'NATION_3' then 'PE' when 'NATION_4' then 'MA' when 'NATION_5' then 'PI' else upper(trim(n_name)) end state,

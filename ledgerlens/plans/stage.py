@@ -5,18 +5,22 @@ report re-plans (and re-runs) every scan, join and shuffle; staging them cuts th
 a lost executor costs a re-read of Parquet instead of a recomputation, and later reports get
 column pruning and filter pushdown on the staged files.
 
-The folder is read from the session (``spark.checkpoint.dir``, the shared folder a cluster
-names). When it is unset, nothing is written and the DataFrame is returned as is.
+Every staged table gets a path of its own that is written once and never overwritten, so a table
+that was handed out stays readable. A caller's staging belongs to its ``Run`` (one folder, removed
+with ``Run.remove``). The catalog's shared tables are kept per key, and a key holds the signature
+of the input files (path, length, modification time): changed inputs are another key.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[tuple[str, str], DataFrame] = {}
+_building: dict[tuple[str, str], threading.Lock] = {}
 _lock = threading.Lock()
 
 
@@ -35,21 +39,49 @@ def stage_key(name: str, *parts: object) -> str:
     return f"{name}-{digest}"
 
 
+def file_signature(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files at the paths: names, lengths, modification times (flat folders)."""
+    conf, seen = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        for s in path.getFileSystem(conf).listStatus(path):
+            seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+class Run:
+    """One run's folder of staged tables under the session's shared folder (see ``plans.scratch``)."""
+
+    def __init__(self, spark: SparkSession):
+        from ledgerlens.plans.scratch import scratch_root
+        self.spark = spark
+        self.folder = f"{scratch_root(spark).rstrip('/')}/ledgerlens-run/{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written and read back with its known schema (no footer inference)."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete the folder; tables of this run can't be read afterwards."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(spark: SparkSession, key: str, build) -> DataFrame:
-    """Return the staged table ``key``, writing ``build()`` first if this session has not yet."""
-    root = checkpoint_root(spark)
-    if root is None:
-        return build()
-    app = spark.conf.get("spark.app.id", "app")
+    """The staged table ``key`` of this application; ``build()`` is written first if there is none yet."""
+    at = (spark.conf.get("spark.app.id", "app"), key)
     with _lock:
-        df = _staged.get((app, key))
-    if df is None:
-        path = f"{root.rstrip('/')}/ledgerlens-stage/{app}/{key}"
-        built = build()
-        built.write.mode("overwrite").parquet(path)
-        df = spark.read.schema(built.schema).parquet(path)  # known schema: no footer inference
+        own = _building.setdefault(at, threading.Lock())
+    with own:
         with _lock:
-            _staged[(app, key)] = df
+            df = _staged.get(at)
+        if df is None:
+            df = Run(spark).keep(build(), key)
+            with _lock:
+                _staged[at] = df
     return df
 
 

@@ -1,7 +1,8 @@
 """Column mapping of the billing ERP and order portal tables onto the canonical inputs.
 
 The functions take DataFrames (from ``sources.jdbc.read_tables``, or Parquet copies of the
-same tables) and only rename / cast, so the JDBC column pruning and filter pushdown are kept.
+same tables), filter the raw columns, then rename and cast: a filter above a cast of a NUMBER
+column would not be pushed to the source.
 """
 
 from __future__ import annotations
@@ -10,9 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import MONEY
+from ledgerlens.operators.billing import BillingRules, date_window
 
 
-def order_header(pcpedc: DataFrame) -> DataFrame:
+def _is_one_of(column: str, values: tuple | None):
+    return F.lit(True) if values is None else F.col(column).isin(list(values)) if len(values) > 1 else F.col(column) == values[0]
+
+
+def order_header(pcpedc: DataFrame, rules: BillingRules | None = None) -> DataFrame:
+    """``rules``: keep only orders that the window or the status of the promotion rule may let in."""
+    if rules is not None:
+        window = (date_window(rules, "data") & _is_one_of("posicao", rules.statuses) & _is_one_of("tipofv", rules.sale_types)
+                  & _is_one_of("origemped", rules.origins) & _is_one_of("codemitente", rules.issuers))
+        promo = _is_one_of("posicao", rules.promo_statuses) & F.col("codpromocaomed").isNotNull()
+        pcpedc = pcpedc.where(window | promo)
     return pcpedc.select(
         F.col("codfilial").cast("string").alias("branch_id"),
         F.col("numped").cast("long").alias("order_id"),
@@ -27,7 +39,7 @@ def order_header(pcpedc: DataFrame) -> DataFrame:
 
 
 def movements(pcmov: DataFrame) -> DataFrame:
-    return pcmov.select(
+    return pcmov.where((F.col("numped") != 0) & (F.col("codfornec") != 0)).select(
         F.col("numped").cast("long").alias("order_id"),
         F.col("codfornec").cast("long").alias("supplier_key"),
         F.col("codoper").alias("op_code"),

@@ -8,13 +8,14 @@ schema (party keys as text, money as decimal(18,2)). Decimal-comma files are par
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerlens.functions.money import MONEY
-from ledgerlens.functions.text import clean_key
 from ledgerlens.schemas import (
     BILLING_FILE_HEADERS,
     BILLING_FILE_SCHEMA,
@@ -36,10 +37,12 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers: dict[str, str],
                    sep: str = ";", locale: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Read a headed CSV into canonical names and types; a missing path gives an empty table."""
-    # RFC 4180 quoting (a quote inside a quoted field is doubled), as spreadsheet tools and
-    # pandas write it; Spark's default would expect a backslash.
+    # RFC 4180 quoting (a quote inside a quoted field is doubled, a quoted field may hold line
+    # breaks), as spreadsheet tools and pandas write it; Spark's default would expect a backslash.
+    # With line breaks in fields a file is one task's: the Parquet hand-off is the one for large data.
     base = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("quote", '"').option("escape", '"'))
+            .option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     try:
         raw_cols = base.csv(path).columns
     except AnalysisException as e:
@@ -96,30 +99,33 @@ def read_demand_csv(spark: SparkSession, path: str) -> DataFrame:
     return conform_demand(df)
 
 
+def missing_paths(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of the paths where there is nothing."""
+    out = []
+    for p in paths:
+        try:
+            spark.read.format("text").load(p)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+                raise
+            out.append(p)
+    return out
+
+
 def load_inputs(spark: SparkSession, billing_path: str, demand_path: str,
                 fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
     """Both analysis inputs in canonical form (CSV hand-offs, or Parquet written by ``export``).
 
-    A missing file yields an empty table with the canonical schema, so every report is an
-    empty table rather than an error.
+    If either file is missing, both inputs are empty tables with the canonical schema, and an error
+    is logged: a report of one side only would look like a real one.
     """
+    missing = missing_paths(spark, billing_path, demand_path)
+    if missing:
+        logging.getLogger("ledgerlens").error("no input at %s: both inputs are empty", " and ".join(missing))
+        return _empty(spark, BILLING_FILE_SCHEMA), _empty(spark, DEMAND_FILE_SCHEMA)
     if fmt == "csv":
         return read_billing_csv(spark, billing_path), read_demand_csv(spark, demand_path)
-
-    def _pq(path, schema, conf):
-        try:
-            return conf(spark.read.parquet(path))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-                return _empty(spark, schema)
-            raise
-    return _pq(billing_path, BILLING_FILE_SCHEMA, conform_billing), _pq(demand_path, DEMAND_FILE_SCHEMA, conform_demand)
-
-
-def with_clean_keys(df: DataFrame) -> DataFrame:
-    """Add the cleaned party keys (digits only, '' when missing) next to the raw ones."""
-    return (df.withColumn("client_key_clean", clean_key("client_key"))
-            .withColumn("supplier_key_clean", clean_key("supplier_key")))
+    return conform_billing(spark.read.parquet(billing_path)), conform_demand(spark.read.parquet(demand_path))
 
 
 def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";",

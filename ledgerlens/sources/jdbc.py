@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.operators.billing import parse_moment
+
 
 @dataclass(frozen=True)
 class JdbcTable:
@@ -79,6 +82,7 @@ ERP_TABLES = {
     "pcclient": ("codcli", "codcliprinc", "cliente", "estent"),
     "pcfornec": ("codfornec", "fornecedor"),
 }
+BIG_TABLES = {"pcpedc", "pcmov", "pedido"}
 PORTAL_TABLES = {
     "pedido": ("num_ped", "fornecedor_id", "cliente_id", "valor_total"),
     "fornecedor": ("id", "nome_fantasia"),
@@ -86,6 +90,47 @@ PORTAL_TABLES = {
 }
 
 
+def campaign_movements(rules, table: str = "pcmov", header: str = "pcpedc") -> str:
+    """A ``dbtable`` that makes the source send only movements of orders that the rules may let in
+    (the promotion table is not in the source: any promotion code counts)."""
+    def quoted(values):
+        return ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
+
+    def one_of(column, values):
+        return [] if values is None else [f"p.{column} in ({quoted(values)})"]
+
+    first, last = parse_moment(rules.window_start), parse_moment(rules.window_end)
+    if rules.end_inclusive_day and last.time() == last.min.time():
+        last, below = last + timedelta(days=1), "<"
+    else:
+        below = "<="
+    window = [f"p.data >= timestamp '{first:%Y-%m-%d %H:%M:%S}'", f"p.data {below} timestamp '{last:%Y-%m-%d %H:%M:%S}'",
+              *one_of("posicao", rules.statuses), *one_of("tipofv", rules.sale_types), *one_of("origemped", rules.origins),
+              *one_of("codemitente", rules.issuers)]
+    promo = ["p.codpromocaomed is not null", *one_of("posicao", rules.promo_statuses)]
+    return (f"(select m.numped, m.codfornec, m.codoper, m.punit, m.qt from {table} m where m.numped <> 0 and m.codfornec <> 0 "
+            f"and exists (select 1 from {header} p where p.numped = m.numped and (({' and '.join(window)}) or ({' and '.join(promo)})))) {table}")
+
+
+def parse_partitioning(texts: list[str]) -> dict[str, JdbcTable]:
+    """``TABLE:COLUMN:LOWER:UPPER:PARTITIONS`` each, to read specifications by table."""
+    out = {}
+    for t in texts:
+        parts = t.split(":")
+        if len(parts) != 5 or not all(p.lstrip("-").isdigit() for p in parts[2:]):
+            raise ValueError(f"not TABLE:COLUMN:LOWER:UPPER:PARTITIONS: {t!r}")
+        out[parts[0]] = JdbcTable(parts[0], partition_column=parts[1], lower_bound=int(parts[2]), upper_bound=int(parts[3]),
+                                  num_partitions=int(parts[4]))
+    return out
+
+
+def require_partitioning(tables, partitioning: dict[str, JdbcTable], single_task: bool) -> None:
+    """An error for big tables that one task would read whole, unless that is asked for."""
+    bare = sorted(BIG_TABLES & set(tables) - set(partitioning))
+    if bare and not single_task:
+        raise ValueError(f"{', '.join(bare)}: give a partitioning (TABLE:COLUMN:LOWER:UPPER:PARTITIONS), or ask for a single-task read")
+
+
 def read_tables(spark: SparkSession, url: str, tables: dict[str, tuple[str, ...]], prefix: str,
                 partitioning: dict[str, JdbcTable] | None = None,
                 driver: str | None = None) -> dict[str, DataFrame]:

@@ -40,7 +40,7 @@ def test_extracts_then_analysis(spark):
     t = _erp_tables(spark)
     d = tempfile.mkdtemp(prefix="ledgerlens-api-")
     counts = billing_extract(t, erp.promo_codes_from_list(spark, [5]), f"{d}/billing", csv_path=f"{d}/billing_csv")
-    assert counts == {"unified_rows": 2, "window_rows": 1, "promo_only_rows": 1}
+    assert counts == {"window_rows": 1, "promo_rows": 1, "union_rows": 2, "unified_rows": 2}
     assert demand_extract(t, f"{d}/demand", csv_path=f"{d}/demand_csv") == {"demand_rows": 2}
     for fmt, bp, dp in (("parquet", f"{d}/billing", f"{d}/demand"), ("csv", f"{d}/billing_csv", f"{d}/demand_csv")):
         billing, demand = load_inputs(spark, bp, dp, fmt=fmt)
@@ -111,7 +111,7 @@ def test_report_set_with_roster(spark):
     rep = report_set(C.staged_billing(spark, SF01), C.staged_demand(spark, SF01),
                      roster=X.roster(t), state_map=X.FIXTURE_STATE_MAP, display=True)
     assert rep["roster"].count() == C.q24_client_roster(spark, SF01).count()
-    assert rep["roster"].first()["total_spent"].startswith("R$ ")
+    assert rep["roster"].first()["TOTAL_GASTO"].startswith("R$ ")
 
 
 def test_display_projects_displayed_columns(spark):
@@ -120,3 +120,110 @@ def test_display_projects_displayed_columns(spark):
     assert rep["top_suppliers"].columns == ["Fornecedor", "CNPJ", "Valor Faturado"]
     assert rep["branches"].columns == ["FILIAL", "VALOR_FATURADO", "VALOR_DEVOLVIDO", "VALOR_LIQUIDO_FATURADO"]
     assert all(v.startswith("R$ ") for v in (r["Receita Líquida"] for r in rep["top_clients"].collect()))
+
+
+def _inputs(spark, rows):
+    """Billing and demand as given: (state, client key, billed)."""
+    from ledgerlens.schemas import BILLING_FILE_SCHEMA, DEMAND_FILE_SCHEMA
+    b = spark.createDataFrame([("1", i, "100", "Acme", k, f"Name {k}", i, s, D(v), D(0)) for i, (s, k, v) in enumerate(rows)],
+                              BILLING_FILE_SCHEMA)
+    d = spark.createDataFrame([("Acme", "100", f"Name {k}", k, s, D(v), 1) for s, k, v in rows], DEMAND_FILE_SCHEMA)
+    return b, d
+
+
+def test_reports_are_fresh_whole_and_stay_readable(spark):
+    """Billing is written anew at its path between two calls of one application."""
+    d = tempfile.mkdtemp(prefix="ledgerlens-fresh-")
+    seen = []
+    for value in ("100.00", "1099.00"):
+        for df, name in zip(_inputs(spark, [("CE", "1", value)]), ("b", "d")):
+            df.write.mode("overwrite").parquet(f"{d}/{name}")
+        rep = report_set(*load_inputs(spark, f"{d}/b", f"{d}/d", fmt="parquet"))
+        seen.append(rep)
+        assert rep["totals"].first().billed == float(value)
+        assert [r.billed for r in rep["client_detail"].collect()] == [float(value)]
+    assert seen[0]["totals"].first().billed == 100.0 == seen[0]["client_detail"].first().billed  # handed out before
+    seen[0].close()
+    assert seen[1]["client_detail"].first().billed == 1099.0
+
+
+def test_concurrent_report_sets(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    b, d = _inputs(spark, [("CE", "1", "10.00"), ("PI", "2", "5.00")])
+    with ThreadPoolExecutor(4) as pool:
+        sums = list(pool.map(lambda s: report_set(b, d, s)["totals"].first().billed, ["CE", "PI", None, "CE"]))
+    assert sums == [10.0, 5.0, 15.0, 10.0]
+
+
+def test_same_reports_without_a_checkpoint_folder(spark, monkeypatch):
+    from ledgerlens.plans import scratch
+    b, d = _inputs(spark, [("CE", "1", "10.00")])
+    rows = lambda: {n: sorted(map(tuple, df.collect()), key=repr) for n, df in report_set(b, d).items()}
+    want = rows()
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda spark: None)
+    assert rows() == want
+
+
+def test_a_scoped_user_learns_nothing_of_other_states(spark):
+    from ledgerlens.operators.scope import OwnState, permitted_state
+    b, d = _inputs(spark, [("CE", "1", "10.00"), ("ce", "1.0", "1.00"), ("PI", "2", "5.00"), ("PI", "3", "5.00"), ("PI", "4", "5.00")])
+    counts = spark.createDataFrame([("CE", 347), ("PI", 23)], "state string, clients long")
+    roster = spark.createDataFrame([(" ce ", 1, "A", "1"), ("PI", 2, "B", "2")], "ESTADO string, COD long, RAZAO string, TOTAL_GASTO string")
+    for override in (None, counts):
+        for display in (False, True):
+            rep = report_set(b, d, state="CE", client_counts=override, roster=roster, display=display)
+            text = repr({n: [r.asDict() for r in df.collect()] for n, df in rep.items()})
+            assert "PI" not in text and "Todos" not in text and "23" not in text and "370" not in text
+            shown = rep["clients_shown"].first().clients
+            assert shown == (347 if override is not None else 1)
+            assert rep["clients_in_scope"].first().clients == 1
+    assert [tuple(r) for r in rep["states"].collect()] == [("CE", 1)]
+    assert rep["roster"].columns == ["ESTADO", "COD", "RAZAO", "TOTAL_GASTO"]
+    assert rep["clients_shown"].first().label == "Clientes Únicos (CE)"
+    everyone = report_set(b, d, permitted_state("DIRETORIA", " todos "), display=True)
+    assert everyone["clients_shown"].first().label == "Total Clientes (Brasil)" and everyone["clients_shown"].first().clients == 4
+    own = permitted_state("todos", "Todos")
+    assert isinstance(own, OwnState) and report_set(b, d, own)["client_detail"].count() == 0
+    assert [r.state for r in report_set(b, d, own)["states"].collect()] == ["todos"]
+
+
+def test_client_counts_use_cleaned_keys(spark):
+    from ledgerlens.operators.reports import clients_per_state
+    b, _ = _inputs(spark, [("CE", "1", "1.00"), ("CE", "1.0", "1.00"), ("CE", None, "1.00"), ("ce", "1", "1.00")])
+    assert {r.state: r.clients for r in clients_per_state(b).collect()} == {"CE": 2, "ce": 1, "Todos": 2}
+    assert [tuple(r) for r in clients_per_state(b, state="Ce").collect()] == [("Ce", 2)]
+
+
+def test_reports_of_a_missing_input_end_with_code_2(spark, capsys):
+    import pytest
+
+    from ledgerlens.__main__ import main
+    d = tempfile.mkdtemp(prefix="ledgerlens-missing-")
+    b, _ = _inputs(spark, [("CE", "1", "100.00")])
+    b.write.parquet(f"{d}/b")
+    assert main(["reports", "--billing", f"{d}/b", "--demand", f"{d}/none", "--format", "parquet", "--out", f"{d}/out"]) == 2
+    assert f"{d}/none" in capsys.readouterr().err
+    with pytest.raises(ValueError):
+        main(["demand-extract", "--url", "jdbc:none", "--out", f"{d}/out"])  # pedido would be one task's
+
+
+def test_report_order(spark):
+    """Rankings and lists come out sorted, ties by the key (or name, then key)."""
+    from ledgerlens.operators import reports as P
+    from ledgerlens.operators.scope import state_list
+    rows = [(f"{k}", f"n{k % 3}", 0.0, float(k % 4), float(k % 4), float(k % 5), float(k % 4)) for k in range(30)]
+    c = spark.createDataFrame(rows, "client_key string, client_name string, ordered double, billed double, returned double, "
+                                    "flow_diff double, net_billed double").repartition(7)
+    s = c.withColumnsRenamed({"client_key": "supplier_key", "client_name": "supplier_name"})
+    by = lambda *key: sorted(rows, key=lambda r: key[0](r))
+    assert [r.client_key for r in P.top_clients(c).collect()] == [r[0] for r in by(lambda r: (-r[6], r[0])) if r[6] > 0][:10]
+    assert [r.supplier_key for r in P.top_suppliers(s).collect()] == [r[0] for r in by(lambda r: (-r[3], r[0])) if r[3] > 0][:10]
+    assert [r.client_key for r in P.client_detail(c).collect()] == [r[0] for r in by(lambda r: (-r[5], r[0]))]
+    assert [r.supplier_key for r in P.supplier_detail(s).collect()] == [r[0] for r in by(lambda r: (-r[5], r[0]))]
+    want = [(r[1], r[4]) for r in by(lambda r: (-r[4], r[1], r[0])) if r[4] > 0]
+    assert [tuple(r) for r in P.client_returns(c).collect()] == want == [tuple(r) for r in P.supplier_returns(s).collect()]
+    sums = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 9.0), (None, None)], "branch_id string, net_billed double")
+    assert [r.branch_id for r in P.branch_report(sums).collect()][:3] == ["c", "a", "b"]
+    assert [r.state for r in P.state_report(sums.withColumnRenamed("branch_id", "state")).collect()][:3] == ["c", "a", "b"]
+    b, _ = _inputs(spark, [("PI", "1", "1.00"), ("CE", "2", "1.00"), ("BA", "3", "1.00"), (None, "4", "1.00")])
+    assert [r.state for r in state_list(b).collect()] == ["Todos", "BA", "CE", "PI"]

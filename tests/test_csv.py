@@ -48,9 +48,12 @@ def test_missing_columns_fall_back(spark):
     assert r.supplier_key == "Zeta" and r.branch_id == "FILIAL_UNICA" and r.state is None
 
 
-def test_missing_file_gives_empty_tables(spark):
-    b, d = load_inputs(spark, "/nonexistent/billing.csv", "/nonexistent/demand.csv")
-    assert b.count() == 0 and d.count() == 0
+def test_missing_file_gives_empty_tables(spark, caplog):
+    there = _write("NUMPED;FORNECEDOR;CNPJ_CLIENTE;TOTAL_FATURADO\n7;Zeta;5;10,00\n", bom=False)
+    for paths in (("/nonexistent/billing.csv", "/nonexistent/demand.csv"), (there, "/nonexistent/demand.csv"), ("/nonexistent/b.csv", there)):
+        b, d = load_inputs(spark, *paths)
+        assert b.count() == 0 and d.count() == 0
+        assert "/nonexistent/" in caplog.records[-1].getMessage() and there not in caplog.records[-1].getMessage()
     assert "billed" in b.columns and "ordered" in d.columns
 
 
@@ -126,3 +129,22 @@ def test_demand_csv_round_trip_with_upstream_headers(spark):
     cols = ["supplier_name", "client_name", "state", "ordered", "order_count"]
     assert sorted(map(tuple, back.select(*cols).collect()), key=repr) == \
         sorted(map(tuple, demand.select(*cols).collect()), key=repr)
+
+
+def test_edge_white_space_and_line_breaks_survive(spark):
+    from ledgerlens.operators.sinks import export, write_demand_csv
+    from ledgerlens.schemas import BILLING_FILE_SCHEMA, DEMAND_FILE_SCHEMA
+    rows = [("1", 10, "100", "Acme ", "1", " Ana", 7, "\tCE\t", D("1.00"), None),
+            ("2", 11, "200", "two\nlines", "2", "three\r\nlines;", 8, " ", D("2.00"), D("0.01"))]
+    df = spark.createDataFrame(rows, BILLING_FILE_SCHEMA)
+    path = tempfile.mkdtemp(prefix="ledgerlens-ws-")
+    write_billing_csv(df, f"{path}/b")
+    got = sorted(map(tuple, read_billing_csv(spark, f"{path}/b").collect()), key=repr)
+    assert [r[:3] + r[6:7] + r[8:] for r in got] == [r[:3] + r[6:7] + r[8:] for r in rows]
+    assert [(r[3], r[5].replace("\r\n", "\n"), r[7]) for r in got] == [(r[3], r[5].replace("\r\n", "\n"), r[7]) for r in rows]
+    demand = spark.createDataFrame([(" Acme ", "1", "Ana\nBia", "2", "CE", D("1.00"), 1)], DEMAND_FILE_SCHEMA)
+    write_demand_csv(demand, f"{path}/d")
+    assert read_demand_csv(spark, f"{path}/d").collect() == demand.collect()
+    export(demand, f"{path}/e", fmt="csv")
+    back = spark.read.option("header", True).option("sep", ";").option("multiLine", True).option("escape", '"').csv(f"{path}/e")
+    assert back.first().supplier_name == " Acme "

@@ -132,3 +132,45 @@ def test_permitted_state():
     assert permitted_state("diretoria", "Todos") is None
     assert permitted_state("DIRETORIA", "CE") == "CE"
     assert permitted_state("PI", "CE") == "PI"  # a regional user cannot choose another state
+
+
+def test_window_dates():
+    import datetime as dt
+
+    import pytest
+
+    from ledgerlens.operators.billing import BillingRules, parse_moment
+    assert parse_moment("21/04/2025") == parse_moment("2025-04-21") == dt.datetime(2025, 4, 21)
+    assert parse_moment("2025-04-21 23:59:59") == parse_moment("21/04/2025 23:59:59") == dt.datetime(2025, 4, 21, 23, 59, 59)
+    for bad in ("2025-04-21x", "21-04-2025", "2025-02-30", "", "2025-04-21 25:00:00"):
+        with pytest.raises(ValueError):
+            parse_moment(bad)
+    assert BillingRules("2025-04-12", "2025-04-21").end_inclusive_day is False
+
+
+def test_last_day_of_the_window(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.billing import BillingRules, window_predicate
+    days = ["2025-04-12 00:00:00", "2025-04-21 00:00:00", "2025-04-21 09:00:00", "2025-04-21 23:59:59", "2025-04-22 00:00:00"]
+    df = spark.createDataFrame([(d, "F", "OL", "F", 8888) for d in days], "d string, status string, sale_type string, origin string, issuer_id long")
+    df = df.withColumn("order_date", F.col("d").cast("timestamp_ntz"))
+    kept = lambda rules: sorted(r.d for r in df.where(window_predicate(rules)).collect())
+    rules = BillingRules("12/04/2025", "21/04/2025")
+    assert kept(rules) == days[:2]
+    assert kept(replace(rules, end_inclusive_day=True)) == days[:4]
+    assert kept(BillingRules("2025-04-12", "2025-04-21 23:59:59")) == days[:4]
+    assert kept(BillingRules("2025-04-12", "2025-04-21 09:00:00", end_inclusive_day=True)) == days[:3]
+
+
+def test_each_order_class_rule_drops_rows(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.billing import CAMPAIGN_RULES, window_predicate
+    rows = [("F", "OL", "F", 8888), ("L", "OL", "F", 8888), ("F", "XX", "F", 8888), ("F", "OL", "T", 8888), ("F", "OL", "F", 1),
+            (None, "OL", "F", 8888), ("F", "OL", None, 8888), ("F", "OL", "F", None)]
+    df = spark.createDataFrame(rows, "status string, sale_type string, origin string, issuer_id long")
+    df = df.withColumn("order_date", F.lit("2025-04-15 00:00:00").cast("timestamp_ntz"))
+    assert df.where(window_predicate(CAMPAIGN_RULES)).count() == 1

@@ -37,7 +37,8 @@ def test_no_python_in_any_plan(spark, name):
 
 
 def test_window_filters_reach_the_scan(spark):
-    p = formatted(C.q04_billing_window(spark, SF01))
+    t = X.load_tables(spark, SF01)
+    p = formatted(X.order_header(t).where(B.window_predicate(X.FIXTURE_RULES)))
     assert "GreaterThanOrEqual(o_orderdate" in p and "LessThanOrEqual(o_orderdate" in p
     assert "EqualTo(o_orderstatus,F)" in p
 
@@ -47,8 +48,88 @@ def test_scans_are_pruned(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in p
 
 
+def _headers(spark):
+    """The plan that makes q06's header, and the plan above it."""
+    t, made = X.load_tables(spark, SF01), []
+
+    def keep(df, name):
+        made.append(formatted(df))
+        return C.Run(spark).keep(df, name)
+
+    df = B.billing_unified(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t), X.promo_codes(t), X.FIXTURE_RULES, keep=keep)
+    return made, formatted(df)
+
+
+def test_unified_header_is_built_once_with_both_rules_pushed(spark):
+    made, above = _headers(spark)
+    assert len(made) == 1 and "LeftSemi" in made[0]
+    scans = [x for x in made[0].split("(unknown)") for x in x.splitlines() if "PushedFilters" in x and "o_orderdate" in x]
+    assert any("GreaterThanOrEqual(o_orderdate" in x and "LessThanOrEqual(o_orderdate" in x and "EqualTo(o_orderstatus,F)" in x for x in scans)
+    assert "orders.parquet" not in above and "part.parquet" not in above and "ledgerlens-run" in above
+
+
 def test_promo_is_a_semi_join(spark):
-    assert "LeftSemi" in formatted(C.q05_billing_promo(spark, SF01))
+    t = X.load_tables(spark, SF01)
+    kept = []
+    B.billing_promo(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t), X.promo_codes(t), X.FIXTURE_RULES,
+                    lambda df, name: kept.append(formatted(df)) or df)
+    assert "LeftSemi" in kept[0]
+
+
+def test_no_raw_row_is_sorted_below_the_first_aggregate(spark):
+    """q11, q12: raw rows of both sides meet a hash aggregate."""
+    b, d = C.staged_billing(spark, SF01), C.staged_demand(spark, SF01)
+    for df in (R.reconcile_client(b, d), R.reconcile_supplier(b, d)):
+        lines = plan(df).splitlines()
+        for i, line in enumerate(lines):
+            if "FileScan" in line:
+                above = [x for x in lines[:i] if "Aggregate" in x or "Sort " in x or "Sort[" in x][-1]
+                assert "HashAggregate" in above and "partial_" in above
+
+
+def test_bound_check_moves_no_rows(spark):
+    t = X.load_tables(spark, SF01)
+    ids = X.order_header(t).select("order_id")
+    p = formatted(ids.groupBy().count())
+    assert "GlobalLimit" not in p and "partial_count" in p
+
+
+def test_bound_check_sees_new_rows_at_a_path(spark, tmp_path):
+    path = str(tmp_path / "side")
+    spark.range(5).write.parquet(path)
+    assert B.is_bounded(spark.read.parquet(path), 10)
+    spark.range(1000).write.mode("overwrite").parquet(path)
+    assert not B.is_bounded(spark.read.parquet(path), 10)
+
+
+@pytest.mark.parametrize("name", ["q03_billing_lines", "q04_billing_window", "q05_billing_promo", "q06_billing_unified", "q07_demand",
+                                  "q10_scope_demand", "q24_client_roster"])
+def test_beyond_the_broadcast_bound(spark, name):
+    """With a bound of ten rows nothing is hinted, and the answers are the same."""
+    from ledgerlens.plans.duckdb_sql import oracle_sql
+    from ledgerlens.plans.stage import forget
+    from oracle_compare import compare, duck
+    spark.conf.set("ledgerlens.broadcast.maxRows", "10")
+    forget(spark), X.forget_tables()
+    try:
+        df = C.QUERIES[name](spark, SF01)
+        assert "BroadcastHashJoin" not in plan(df)
+        ok, why = compare(df, duck(SF01), oracle_sql()[name])
+    finally:
+        spark.conf.unset("ledgerlens.broadcast.maxRows")
+        forget(spark), X.forget_tables()
+    assert ok, why
+
+
+def test_changed_tables_are_read_anew(spark, tmp_path):
+    import shutil
+    for name in X.TABLES:
+        shutil.copy(f"{SF01}/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = C.q15_totals(spark, str(tmp_path)).first().ordered
+    half = spark.read.parquet(f"{SF01}/lineitem.parquet").where("l_orderkey % 2 = 0").toPandas()
+    half.to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    after = C.q15_totals(spark, str(tmp_path)).first().ordered
+    assert 0 < after < before
 
 
 def test_scope_demand_is_a_semi_join(spark):

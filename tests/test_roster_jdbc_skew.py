@@ -24,6 +24,7 @@ def test_roster_state_normalisation_and_projection(spark):
     out = client_roster(df, None, STATE_MAP)
     assert out.columns == ["state", "code", "legal_name", "total_spent", "m1"]
     assert [r.state for r in out.orderBy("code").collect()] == ["BA", "CE", "MA", "MA", "XX", None]
+    assert client_roster(df, " Todos ", STATE_MAP).count() == 6
     scoped = client_roster(df, " ma ", STATE_MAP)
     assert sorted(r.code for r in scoped.collect()) == [3, 4]
 
@@ -42,6 +43,48 @@ def test_jdbc_options_and_credentials(spark, monkeypatch):
     assert "partitionColumn" not in jdbc_options("jdbc:x", by_month, "u", "p")
 
 
+def test_filters_on_number_columns_are_pushed(spark, tmp_path):
+    """A Parquet stand-in for NUMBER columns: the conditions reach the scan."""
+    import contextlib
+    import io
+    n = "decimal(38,10)"
+    spark.createDataFrame([], f"numped {n}, codfornec {n}, codoper string, punit {n}, qt {n}").write.parquet(str(tmp_path / "pcmov"))
+    spark.createDataFrame([], f"codfilial string, numped {n}, codcli {n}, vlatend {n}, data timestamp_ntz, posicao string, tipofv string, "
+                              f"origemped string, codemitente {n}, codpromocaomed {n}").write.parquet(str(tmp_path / "pcpedc"))
+
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("formatted")
+        return out.getvalue()
+
+    p = plan(erp.movements(spark.read.parquet(str(tmp_path / "pcmov"))))
+    assert "Not(EqualTo(numped,0" in p and "Not(EqualTo(codfornec,0" in p
+    p = plan(erp.order_header(spark.read.parquet(str(tmp_path / "pcpedc")), B.CAMPAIGN_RULES))
+    assert "EqualTo(codemitente,8888" in p and "EqualTo(posicao,F)" in p and "GreaterThanOrEqual(data," in p
+
+
+def test_campaign_movements_and_partitioning():
+    from dataclasses import replace
+
+    from ledgerlens.sources import jdbc
+    text = jdbc.campaign_movements(B.CAMPAIGN_RULES)
+    assert text.startswith("(select m.numped") and text.endswith(") pcmov")
+    for part in ("p.posicao in ('F')", "p.tipofv in ('OL')", "p.codemitente in (8888)", "p.data <= timestamp '2025-04-21 00:00:00'",
+                 "m.codfornec <> 0", "p.codpromocaomed is not null"):
+        assert part in text
+    whole = jdbc.campaign_movements(replace(B.CAMPAIGN_RULES, end_inclusive_day=True, statuses=("O'x",)))
+    assert "p.data < timestamp '2025-04-22 00:00:00'" in whole and "'O''x'" in whole
+    specs = jdbc.parse_partitioning(["pcmov:numped:1:100:8", "pcpedc:numped:-5:100:4"])
+    assert specs["pcmov"].num_partitions == 8 and specs["pcpedc"].lower_bound == -5
+    for bad in ("pcmov", "pcmov:numped:a:1:2", "x:y:1:2:3:4"):
+        with pytest.raises(ValueError):
+            jdbc.parse_partitioning([bad])
+    jdbc.require_partitioning(jdbc.ERP_TABLES, specs, False)
+    jdbc.require_partitioning(jdbc.PORTAL_TABLES, {}, True)
+    with pytest.raises(ValueError, match="pedido"):
+        jdbc.require_partitioning(jdbc.PORTAL_TABLES, specs, False)
+
+
 def test_erp_mapping_runs_the_billing_plan(spark):
     pcpedc = spark.createDataFrame(
         [("1", 10, 7, D("100.00"), "2025-04-15 10:00:00", "F", "OL", "F", 8888, 1),
