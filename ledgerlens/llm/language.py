@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +132,13 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
     def vectors(batches):
         for b in batches:
-            got = [(lang, k, features(text)) for text, lang, k in zip(b["text"], b["lang"], b["k"])]
-            got = [(lang, k, x, np.flatnonzero(x)) for lang, k, x in got if x is not None]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "k": [g[1] for g in got],
-                                "at": [g[3].astype(np.int16) for g in got], "x": [g[2][g[3]] for g in got]})
+            got = [(lang, k, features(text)) for text, lang, k in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "k")])]
+            got = [(lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0]) for lang, k, x in got if x is not None]
+            cols = list(zip(*got)) or [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lang", "k", "at", "x"])
 
-    sample = rows.where(spread < share).withColumn("k", F.xxhash64("text")).mapInPandas(
+    sample = rows.where(spread < share).withColumn("k", F.xxhash64("text")).mapInArrow(
         vectors, "lang string, k long, at array<short>, x array<float>").toPandas().sort_values(["lang", "k"])
     x = np.zeros((len(sample), 1 << BITS), np.float32)
     for i, (at, v) in enumerate(zip(sample["at"], sample["x"])):

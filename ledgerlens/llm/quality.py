@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,11 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     def encoded(batches):
         for b in batches:
-            bags = [passages(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "k": b["k"], "y": b["y"], "n": [len(x) for x in bags], "x": [x.ravel() for x in bags]})
+            bags = [passages(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.select(["id", "k", "y"]).columns, pa.array([len(x) for x in bags], pa.int32()),
+                 pa.array([x.ravel() for x in bags], pa.list_(pa.float32()))], names=["id", "k", "y", "n", "x"])
 
     rows = pack(docs.select(id_col, text_col), id_col, text_col).select("id", "k", "text").join(F.broadcast(chosen), "id").select(
-        F.col("id").cast("string").alias("id"), "k", "y", "text").mapInPandas(
+        F.col("id").cast("string").alias("id"), "k", "y", "text").mapInArrow(
         encoded, "id string, k long, y int, n int, x array<float>").toPandas().sort_values(["id", "k"])
     if rows["y"].nunique() < 2:
         return Model(float(rows["y"].iloc[0]) if len(rows) else 0.5)

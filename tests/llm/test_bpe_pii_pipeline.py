@@ -1,0 +1,217 @@
+"""BPE (7), pseudonyms (5), the pipeline and its registration."""
+
+import hashlib
+import itertools
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from conftest_paths import SF001, SF01
+from ledgerlens.llm import bpe, decontaminate, line_dedup, minhash, pseudonyms as P
+from llm_cases import empty_documents, odd_documents
+
+KEY = b"a key"
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.TOKENIZER)
+
+
+@pytest.mark.parametrize("most", [50, 1_000_000])
+def test_op7_is_the_tokenizer(spark, tok, monkeypatch, most):
+    monkeypatch.setattr(bpe, "AT_ONCE", 20_000)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    got = bpe.decode(bpe.encode(docs, max_words=most)).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        ids = tok.encode(r.row.text, add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_op7_digests(spark, tok):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    for r in bpe.op7_bpe(spark, SF001).collect():
+        ids = tok.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_odd_texts(spark, tok):
+    rng = random.Random(2)
+    bits = ["a", " ", "  ", "\n", "'s", "'ll", "12", "é", "日本", "😀", "　", "\x85", "\x1c", "​", "<|endoftext|>", "<|endof", "!", "\r\n", " ", "A"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(400)]
+    got = bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in got:
+        ids = tok.encode(texts[r.row.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids, repr(texts[r.row.doc_id])
+        assert r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_decodes_any_ids(spark, tok):
+    """Ids whose bytes are no UTF-8, null and empty lists."""
+    lists = [[], None, [50256], [447], [447, 220], [34247, 225], [1, 2, 3]]
+    got = bpe.decode(spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")).collect()
+    for r in got:
+        assert r.decoded == (None if r.ids is None else tok.decode(r.ids, skip_special_tokens=False))
+
+
+def test_bpe_odd_cases(spark, tok):
+    got = bpe.decode(bpe.encode(odd_documents(spark))).collect()
+    assert len(got) == 20 and {r.row.ids for r in got} == {"t"}
+    for r in got:
+        assert r.ids == tok.encode(r.row.text or "", add_special_tokens=False).ids and r.decoded == (r.row.text or "")
+    assert bpe.decode(bpe.encode(empty_documents(spark))).collect() == []
+
+
+def test_permutation():
+    for n in (1, 2, 3, 7, 10, 100, 997):
+        assert sorted(P.permute(i, n, KEY, "t") for i in range(n)) == list(range(n))
+    for n in (5, 10**6, 10**15, 16**40):
+        for i in (0, 1, n // 2, n - 1):
+            assert P.permute(P.permute(i, n, KEY, "t"), n, KEY, "t", undo=True) == i
+
+
+VALID = ["jane.doe42@mail1.example.com", "Éva.34@mail7.example.com", "+1 (017) 555-7713", "555-123-4567", "+44 20 7946 0958", "97.51.17.173",
+         "4845168114407329", "4845 1681 1440 7329", "2024-02-29", "31/12/1999", "12/31/1999", "01.02.2003", "078-05-1120",
+         'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"',
+         "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
+
+
+@pytest.mark.parametrize("value", VALID)
+def test_value_is_replaced_in_its_format_and_can_be_undone(value):
+    new, kinds = P.pseudonymize_text(f"x {value}, y", KEY)
+    assert len(kinds) == 1 and value not in new
+    shape = lambda s: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
+    if kinds[0] not in ("ip", "token"):
+        assert shape(new) == shape(f"x {value}, y")
+    again, kinds2 = P.pseudonymize_text(new, KEY, undo=True)
+    assert kinds2 == kinds and again == f"x {value}, y"
+    assert P.pseudonymize_text(f"other {value}!!", KEY)[0] == f"other {new[2:-3]}!!"  # linked across documents
+    assert P.pseudonymize_text(f"x {value}, y", b"other key")[0] != new
+
+
+@pytest.mark.parametrize("text", ["9807915762804490", "300.1.2.3", "1.2.3", "4.0.", "2023-02-30", "666-12-1234", "000-00-0000", "v1.2.3.4.5",
+                                  "GB82WEST12345698765433", "a@b", "abc 12345", "1850-01-01"])
+def test_invalid_values_stay(text):
+    assert P.pseudonymize_text(f"x {text} y", KEY) == (f"x {text} y", [])
+
+
+def test_dates_link_across_formats():
+    a, b = P.pseudonymize_text("2024-02-29 29.02.2024", KEY)[0].split()
+    assert "".join(a.split("-")[::-1]) == b.replace(".", "")
+
+
+def test_neighbours_are_separate_values():
+    text, kinds = P.pseudonymize_text("1232810148878564 +1 (826) 555-4081 190.137.223.204 +1%%% (974)%%% 555-3436%%%", KEY)
+    assert kinds == ["card", "phone", "ip", "phone"]
+
+
+def test_op5_replaces_every_valid_value(spark):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    got = P.op5_pseudonyms(spark, SF01).collect()
+    assert len(got) == len(before) and sum(r.n_replaced for r in got) > 50
+    for r in got:
+        values = [m.group() for m in P.PATTERN.finditer(before[r.doc_id])] if r.n_replaced else []
+        assert (r.text == before[r.doc_id]) == (r.n_replaced == 0) and len(r.kinds) == r.n_replaced <= max(len(values), 0)
+        assert sum(v in r.text for v in values) <= len(values) - r.n_replaced
+
+
+def test_pseudonyms_odd_cases(spark):
+    got = P.pseudonymize(odd_documents(spark), KEY).collect()
+    assert len(got) == 20 and all(r.pseudonymized == r.row.text and r.n_replaced == 0 for r in got)
+    assert P.pseudonymize(empty_documents(spark), KEY).collect() == []
+
+
+def test_pipeline_stages_do_their_work(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    columns = docs.columns
+    seen = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = corpus_pipeline.staged(stage(spark, docs, SF01), "test")
+        seen.append(name)
+        if i < 4:
+            assert out.columns == columns
+        if name == "line_dedup":
+            assert line_dedup.dedup_lines(out).agg(F.sum("n_removed")).first()[0] <= 2  # cuts can make new neighbours
+            assert out.where("n_chars <> length(text)").count() == docs.where("n_chars <> length(text)").count()
+        if name == "near_duplicates":
+            assert minhash.near_duplicates(out).where("not kept").count() == 0
+        if name == "decontamination":
+            assert decontaminate.find_overlaps(out, spark.read.parquet(f"{SF01}/benchmark.parquet")).count() == 0
+            assert out.count() >= docs.count() * 0.9
+        if name == "bpe":
+            assert out.join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").where("text = t").count() == docs.count()
+        docs = out
+    assert seen == ["language", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+
+
+def brute_pipeline(docs, items):
+    """The stages behind language identification, by plain loops; documents are (id, text) by rising id."""
+    seen, out = set(), []
+    for i, t in docs:
+        lines = t.split("\n")
+        gone = set()
+        for s in range(len(lines) - 2):
+            w = tuple(lines[s:s + 3])
+            if "".join(w).strip() and w in seen:
+                gone.update(range(s, s + 3))
+            seen.add(w)
+        kept = [x for n, x in enumerate(lines) if n not in gone]
+        if kept:
+            out.append((i, "\n".join(kept)))
+    from test_decontaminate import brute
+    from test_text_dedup import brute_near
+
+    near = brute_near(out, 5)
+    out = [(i, t) for i, t in out if near[i][1] == i]
+    leaks = {d for d, _ in brute(out, items)}
+    return {i: t for i, t in out if i not in leaks}
+
+
+def test_run_is_brute_force(spark):
+    """All documents of this size have letters and a clear language, so that language identification keeps them."""
+    read = lambda t, c: sorted(tuple(r) for r in spark.read.parquet(f"{SF001}/{t}.parquet").select(c, "text").collect())
+    want = brute_pipeline(read("documents", "doc_id"), read("benchmark", "item_id"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF001).collect()}
+    assert got == want
+
+
+def test_pipeline_odd_cases(spark):
+    for first in (odd_documents(spark), empty_documents(spark)):
+        docs = first
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.staged(stage(spark, docs, SF001), "test")
+            if i < 4:
+                assert docs.columns == first.columns
+        ids = [r.doc_id for r in docs.collect()]
+        assert not {2, 3, 4, 5, 14, 15} & set(ids)
+        assert Counter(ids)[9] == (1 if first.count() else 0) and set(ids) <= {1, 6, 7, 8, 9, 10, 11, 12, 13, 16, None}
+
+
+def test_all_queries_are_registered():
+    names = list(entry.queries())
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+    assert set(entry.oracle_sql()) <= set(names) and "op6_line_dedup" in entry.oracle_sql()
+
+
+def test_op6_matches_its_sql(spark):
+    from oracle_compare import compare, duck
+
+    ok, why = compare(entry.queries()["op6_line_dedup"](spark, SF01), duck(SF01), entry.oracle_sql()["op6_line_dedup"])
+    assert ok, why
+
+
+def test_nothing_else_imports_the_subpackage():
+    import pathlib
+
+    root = pathlib.Path(entry.__file__).parent
+    others = [f for f in itertools.chain(root.glob("ledgerlens/**/*.py"), root.glob("tools/*.py"), root.glob("tests/*.py"), [root / "bench.py"])
+              if "/llm/" not in str(f)]
+    assert [f for f in others if "ledgerlens.llm" in f.read_text() or "corpus_pipeline" in f.read_text()] == []
