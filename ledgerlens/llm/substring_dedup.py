@@ -15,8 +15,8 @@ builds one automaton at a time over consecutive anchors' pieces, some ``SHARD_WO
 streams the pieces through it.
 
 An anchor that more than ``HOT`` different texts share would be too large a group for one automaton.
-Its windows go, one by one, as 128-bit hashes to an aggregate with a map-side phase and come back
-by a join that AQE splits. Texts with equal word sequences form a class, which is streamed once.
+Its windows go as 128-bit hashes, each different one of a text once, to an aggregate with a map-side
+phase and come back by a join that AQE splits. Texts with equal word sequences form a class, which is streamed once.
 
 Defined cases: null texts hold no words; texts of fewer than ``WINDOW`` words keep all; null ids are
 no reference and lose nothing; equal ids aren't smaller than each other; repeated rows are treated
@@ -158,53 +158,53 @@ def _anchor_rows(window: int):
             out = []
             for t in b.column(2):
                 words = (t.as_py() or b"").split()
-                h, start, runs = anchors(hashes.of(words), window)
-                out.append((len(words), xxhash.xxh3_128_digest(b" ".join(words)), h.view(np.int64), start, runs))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                h = np.unique(anchors(hashes.of(words), window)[0])
+                out.append((len(words), xxhash.xxh3_128_digest(b" ".join(words)), h.view(np.int64)))
+            cols = list(zip(*out)) or [()] * 3
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                             names=["id", "k", "n", "print", "h", "start", "runs"])
+                                             names=["id", "k", "n", "print", "h"])
 
     return run
 
 
 def _pieces(window: int):
-    """(id, print, text, found: anchors with start, runs, hot) to a row for each piece, or each window of a hot anchor."""
+    """(v, print, text, found: anchors to follow, and whether they are hot) to a row for each different
+    piece of a text, or for each different window of a hot anchor; ``at`` lists the first words."""
 
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            src, h, at, text, w1, w2 = [], [], [], [], [], []
+            src, rows = [], []
             for i, (t, found) in enumerate(zip(b.column("text"), b.column("found"))):
-                words = t.as_py().split()
-                found = found.as_py()
-                if any(f["hot"] for f in found):
-                    coded = hashes.of(words)
-                    a, c = grams(coded, window, 1).view(np.int64), grams(coded, window, 2).view(np.int64)
-                for f in found:
-                    s, m = f["start"], f["runs"]
-                    if f["hot"]:
-                        src += [i] * m
-                        h += [None] * m
-                        at += range(s, s + m)
-                        text += [None] * m
-                        w1 += a[s:s + m].tolist()
-                        w2 += c[s:s + m].tolist()
+                words, found = t.as_py().split(), {f["h"]: f["hot"] for f in found.as_py()}
+                coded = hashes.of(words)
+                if any(found.values()):
+                    one, two = grams(coded, window, 1).view(np.int64).tolist(), grams(coded, window, 2).view(np.int64).tolist()
+                places: dict[tuple, list[int]] = {}
+                for h, first, m in zip(*[x.tolist() for x in _signed(*anchors(coded, window))]):
+                    if h not in found:
+                        continue
+                    if found[h]:
+                        for w in range(first, first + m):
+                            places.setdefault((None, None, one[w], two[w]), []).append(w)
                     else:
-                        src.append(i)
-                        h.append(f["h"])
-                        at.append(s)
-                        text.append(b" ".join(words[s:s + m + window - 1]))
-                        w1.append(None)
-                        w2.append(None)
+                        places.setdefault((h, b" ".join(words[first:first + m + window - 1]), None, None), []).append(first)
+                src += [i] * len(places)
+                rows += [(*key, at) for key, at in places.items()]
             kept = b.select(["v", "print"]).take(pa.array(src, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary()),
-                 pa.array(w1, pa.int64()), pa.array(w2, pa.int64())], names=["v", "print", "h", "at", "piece", "w1", "w2"])
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, t) for c, t in zip(cols, kinds)]],
+                                             names=["v", "print", "h", "piece", "w1", "w2", "at"])
 
     return run
 
 
+def _signed(h: np.ndarray, start: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return h.view(np.int64), start, runs
+
+
 def _match(window: int):
     """Pieces in the order of their anchors to removed spans; one automaton at a time."""
 
@@ -213,7 +213,7 @@ def _match(window: int):
         for v, _, _, piece in rows:
             if piece not in first or v < first[piece]:
                 first[piece] = v
-        if len(first) == len(rows) == 1:
+        if len(rows) == 1:
             return []
         codes: dict[bytes, int] = {}
         coded = {p: [codes.setdefault(w, len(codes)) for w in p.split()] for p in first}
@@ -224,7 +224,9 @@ def _match(window: int):
         low = {p: np.array(automaton.lowest(words, window), object) for p, words in coded.items()}
         out = []
         for v, name, at, piece in rows:
-            out.extend((v, name, at + a, at + z) for a, z in _spans(np.flatnonzero(low[piece] < v), window))
+            found = _spans(np.flatnonzero(low[piece] < v), window)
+            if found:
+                out.append((name, [{"first": s + a, "end": s + z} for s in at for a, z in found]))
         return out
 
     def run(batches):
@@ -244,9 +246,9 @@ def _match(window: int):
             yield _batch(shard(rows), b.schema)
 
     def _batch(out, schema):
-        cols = list(zip(*out)) or [()] * 4
-        kinds = [schema.field("v").type, pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["v", "print", "first", "end"])
+        names, spans = list(zip(*out)) or ((), ())
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(spans, kind)], names=["print", "spans"])
 
     return run
 
@@ -256,25 +258,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = pack(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     id_type = dict(base.dtypes)["id"]
     rows = staged(base.select("id", "k", "text").mapInArrow(
-        _anchor_rows(window), f"id {id_type}, k long, n long, print binary, h array<long>, start array<int>, runs array<int>"), "substring-anchors")
-    classes = staged(rows.where(f"id is not null and n >= {window}").groupBy("print").agg(F.min(F.struct("id", "k", "h", "start", "runs")).alias("c"))
-                     .select("print", F.col("c.id").alias("v"), "c.k", "c.h", "c.start", "c.runs"), "substring-classes")
-    each = classes.select("v", "k", "print", F.explode(F.arrays_zip("h", "start", "runs")).alias("a")).select("v", "k", "print", "a.*")
+        _anchor_rows(window), f"id {id_type}, k long, n long, print binary, h array<long>"), "substring-anchors")
+    classes = staged(rows.where(f"id is not null and n >= {window}").groupBy("print").agg(F.min(F.struct("id", "k", "h")).alias("c"))
+                     .select("print", F.col("c.id").alias("v"), "c.k", "c.h"), "substring-classes")
+    each = classes.select("v", "k", "print", F.explode("h").alias("h"))
     met = each.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select(
         "h", (F.col("m") > HOT).alias("hot"))
-    found = staged(each.join(met, "h").groupBy("v", "k", "print").agg(F.collect_list(F.struct("h", "start", "runs", "hot")).alias("found")),
-                   "substring-found")
+    found = staged(each.join(met, "h").groupBy("v", "k", "print").agg(F.collect_list(F.struct("h", "hot")).alias("found")), "substring-found")
     wanted = broadcast_if_small(found.select(F.col("v").alias("id"), "k"))
     texts = base.select("id", "k", "text").join(wanted, ["id", "k"], "left_semi").dropDuplicates(["id", "k"])
     pieces = staged(texts.withColumnRenamed("id", "v").join(found, ["v", "k"]).select("v", "print", "text", "found").mapInArrow(
-        _pieces(window), f"v {id_type}, print binary, h long, at int, piece binary, w1 long, w2 long"), "substring-pieces")
+        _pieces(window), f"v {id_type}, print binary, h long, piece binary, w1 long, w2 long, at array<int>"), "substring-pieces")
     spans = pieces.where("h is not null").select("h", "v", "print", "at", "piece").repartition("h").sortWithinPartitions("h").mapInArrow(
-        _match(window), f"v {id_type}, print binary, first long, end long").select("print", "first", "end")
+        _match(window), "print binary, spans array<struct<first:long,end:long>>")
     hot = pieces.where("h is null").select("v", "print", "at", "w1", "w2")
     lowest = hot.groupBy("w1", "w2").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("w1", "w2", "low")
-    later = hot.join(lowest, ["w1", "w2"]).where("v > low").select(
-        "print", F.col("at").cast("long").alias("first"), (F.col("at") + window).cast("long").alias("end"))
-    removed = spans.union(later).groupBy("print").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    later = hot.join(lowest, ["w1", "w2"]).where("v > low").select("print", F.transform("at", lambda x: F.struct(
+        x.cast("long").alias("first"), (x + window).cast("long").alias("end"))).alias("spans"))
+    removed = spans.union(later).groupBy("print").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     of_row = (rows.where("id is not null").select("id", "k", "print").distinct().join(classes.select("print", "v"), "print")
               .join(removed, "print", "left").select("id", "k", (F.col("id") > F.col("v")).alias("whole"), "spans"))
 
