@@ -18,13 +18,18 @@ inside ``row``.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TABLE_WORDS = 1_000_000
 #: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = rf"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++"
+WORD = re.compile(rf"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
+#: Letters that are letters to any splitter, and marks that are neither letters, digits nor white space.
+PLAIN = re.compile(r"[ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*")
+#: Words that a task gathers before it passes their counts on; characters that are split at a time.
+GATHERED = 400_000
+AT_ONCE = 8_000_000
 
 
 @lru_cache(maxsize=2)
@@ -49,11 +59,6 @@ def _tokenizer(path: str):
     return tok
 
 
-def _encode_words(path: str, words: list[str]) -> pa.ListArray:
-    encoded = _tokenizer(path).encode_batch(words, add_special_tokens=False)
-    return pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
-
-
 def _byte_of_char() -> dict[str, int]:
     """Byte-level BPE writes printable Latin-1 bytes as themselves and the others as characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,6 +66,34 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+@lru_cache(maxsize=2)
+def _merger(path: str) -> tiktoken.Encoding | None:
+    """The same merges for plain words, without the library's offsets and token texts: byte pieces by
+    rank. None if the tokenizer's merges aren't in the order of their ids, so that ids are no ranks."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    of, vocab = _byte_of_char(), model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])) or any(c not in of for x in vocab for c in x):
+        return None
+    ranks = {bytes(of[c] for c in x): i for x, i in vocab.items() if len(x) == 1 or i >= made[0]}
+    ranks = {x: i for x, i in ranks.items() if len(x) == 1 or i <= made[-1]}
+    return tiktoken.Encoding("merger", pat_str=r" ?\p{L}+|[.,;:!?]+|\n", mergeable_ranks=ranks, special_tokens={})
+
+
+def _encode_words(path: str, words: list[str]) -> pa.ListArray:
+    """The tokenizer's ids of each word. Plain words, which any splitter cuts alike, take the short way;
+    others are encoded in slices, as the library keeps far more than the ids of all texts of a call."""
+    tok, merger, kind = _tokenizer(path), _merger(path), pa.list_(pa.int32())
+    parts = []
+    for i in range(0, len(words), 4000):
+        some = words[i:i + 4000]
+        plain = [merger is not None and PLAIN.fullmatch(w) is not None for w in some]
+        rest = iter(tok.encode_batch([w for w, p in zip(some, plain) if not p], add_special_tokens=False))
+        parts.append(pa.array([merger.encode_ordinary(w) if p else next(rest).ids for w, p in zip(some, plain)], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> pa.BinaryArray:
     """The id-to-piece table; its size is the vocabulary's."""
@@ -69,13 +102,20 @@ def _pieces(path: str) -> pa.BinaryArray:
     return pa.array([bytes(of[c] for c in x) if all(c in of for c in x) else x.encode() for x in names], pa.binary())
 
 
-def words_of(text: str = "text"):
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), 0)
+def _count_words(batches):
+    seen: Counter[str] = Counter()
+    for b in batches:
+        for text in b.column(0):
+            seen.update(WORD.findall(text.as_py() or ""))
+            if len(seen) > GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def word_table(words: DataFrame, path: str, max_words: int = TABLE_WORDS) -> pa.Table:
-    """``words`` has a column ``words``. The most frequent distinct words with their ids, at most ``max_words``."""
-    counts = staged(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def word_table(texts: DataFrame, path: str, max_words: int = TABLE_WORDS) -> pa.Table:
+    """``texts`` has the one column text. The most frequent distinct words with their ids, at most ``max_words``."""
+    counts = staged(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
                     .where("n > 1"), "bpe-words")
     # Counts in steps of an eighth of an octave, so that what the driver reads has a few hundred rows.
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -95,41 +135,55 @@ def word_table(words: DataFrame, path: str, max_words: int = TABLE_WORDS) -> pa.
     return kept.select("word").mapInArrow(encode, "word string, ids array<int>").toArrow().combine_chunks()
 
 
-def _plain_string(a: pa.Array) -> pa.Array:
-    return a.cast(pa.string()) if not pa.types.is_string(a.type) else a
+def _hashes(words: pa.Array) -> np.ndarray:
+    slices = (words.slice(i, 20_000).to_pylist() for i in range(0, len(words), 20_000))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for some in slices for w in some), np.uint64, len(words))
 
 
 @lru_cache(maxsize=1)
-def _received(payload: bytes) -> tuple[pa.Array, pa.Array]:
+def _received(payload: bytes) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """The table's word hashes in order, and its words and ids in the same order."""
     t = pa.ipc.open_stream(payload).read_all()
-    one = lambda name, kind: pa.concat_arrays(t.column(name).chunks) if t.num_rows else pa.array([], kind)
-    return _plain_string(one("word", pa.string())), one("ids", pa.list_(pa.int32())).cast(pa.list_(pa.int32()))
+    words, ids = t.column("word").cast(pa.string()).combine_chunks(), t.column("ids").cast(pa.list_(pa.int32())).combine_chunks()
+    h = _hashes(words)
+    order = np.argsort(h, kind="stable")
+    return h[order], words.take(pa.array(order)), ids.take(pa.array(order))
 
 
 def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
            max_words: int = TABLE_WORDS) -> DataFrame:
     """One row per input row: ``row``, ``ids`` (array of int)."""
-    base = pack(docs, id_col, text_col).select("row", words_of().alias("words"))
-    known = word_table(base.select("words"), path, max_words)
+    base = pack(docs, id_col, text_col)
+    known = word_table(base.select("text"), path, max_words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, known.schema) as out:
         out.write_table(known)
     sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-    @F.arrow_udf("array<int>")
-    def ids_of(words: pa.Array) -> pa.Array:
-        table_words, table_ids = _received(sent.value)
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
-        coded = _plain_string(words.flatten()).dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=table_words)
-        rare = pc.filter(coded.dictionary, pc.is_null(at))
-        rows = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
-        rows[rows < 0] = len(table_words) + np.arange(len(rare))
+    def joined(texts: list[str | None]) -> pa.ListArray:
+        """Ids of some texts: each distinct word is looked up once, then ids follow words by position."""
+        table_hashes, table_words, table_ids = _received(sent.value)
+        words = [pa.array(WORD.findall(t or ""), pa.string()) for t in texts]
+        ends = np.cumsum([0, *map(len, words)])
+        coded = pa.concat_arrays(words).dictionary_encode()
+        rows = np.searchsorted(table_hashes, _hashes(coded.dictionary))
+        rows[rows == len(table_words)] = 0
+        there = np.zeros(len(rows), bool)
+        if len(table_words):
+            there = pc.equal(table_words.take(pa.array(rows)), coded.dictionary).to_numpy(zero_copy_only=False)
+        rare = coded.dictionary.filter(pa.array(~there))
+        rows[~there] = len(table_words) + np.arange(len(rare))
         both = pa.concat_arrays([table_ids, _encode_words(path, rare.to_pylist())])
         got = both.take(pa.array(rows[coded.indices.to_numpy(zero_copy_only=False)], pa.int64()))
         return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[ends], pa.int32()), got.values)
 
-    return base.select("row", ids_of("words").alias("ids"))
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), len(texts)]
+        return pa.concat_arrays([joined(texts[i:j].to_pylist()) for i, j in zip(cuts, cuts[1:])])
+
+    return base.select("row", ids_of("text").alias("ids"))
 
 
 def decode(tokens: DataFrame, path: str = TOKENIZER, ids_col: str = "ids"):
