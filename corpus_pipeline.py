@@ -55,7 +55,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document: its id, the token ids, and the text that they decode to."""
-    tokens = bpe.decode(bpe.encode(docs))
+    tokens = bpe.encode(docs.select("doc_id", "text"))
     return tokens.select("row.doc_id", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"),
                          F.col("decoded").alias("text"))
 

@@ -32,20 +32,21 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import pack, staged, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Most words in the table that is sent to every task.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 500_000
 #: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(rf"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
 #: Letters that are letters to any splitter, and marks that are neither letters, digits nor white space.
 PLAIN = re.compile(r"[ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*")
 #: Words that a task gathers before it passes their counts on; characters that are split at a time.
-GATHERED = 400_000
-AT_ONCE = 8_000_000
+GATHERED = 200_000
+AT_ONCE = 6_000_000
 
 
 @lru_cache(maxsize=2)
@@ -150,9 +151,42 @@ def _received(payload: bytes) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
     return h[order], words.take(pa.array(order)), ids.take(pa.array(order))
 
 
+def _pieces_of(path: str, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids, through the id-to-piece table: their pieces' bytes, one after the other."""
+    lengths = pc.list_value_length(ids)
+    ends = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))])
+    got = _pieces(path).take(ids.flatten())
+    marks = np.frombuffer(got.buffers()[1], np.int32)[got.offset:][ends]
+    joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(marks)), got.buffers()[2]])
+    try:
+        out = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+    return pc.if_else(pc.is_null(ids), pa.scalar(None, pa.string()), out)
+
+
+def _ids_of(path: str, payload: bytes, texts: list[str | None]) -> pa.ListArray:
+    """Ids of some texts: each distinct word is looked up once, then ids follow words by position."""
+    table_hashes, table_words, table_ids = _received(payload)
+    words = [pa.array(WORD.findall(t or ""), pa.string()) for t in texts]
+    ends = np.cumsum([0, *map(len, words)])
+    coded = pa.concat_arrays(words).dictionary_encode()
+    rows = np.searchsorted(table_hashes, _hashes(coded.dictionary))
+    rows[rows == len(table_words)] = 0
+    there = np.zeros(len(rows), bool)
+    if len(table_words):
+        there = pc.equal(table_words.take(pa.array(rows)), coded.dictionary).to_numpy(zero_copy_only=False)
+    rare = coded.dictionary.filter(pa.array(~there))
+    rows[~there] = len(table_words) + np.arange(len(rare))
+    both = pa.concat_arrays([table_ids, _encode_words(path, rare.to_pylist())])
+    got = both.take(pa.array(rows[coded.indices.to_numpy(zero_copy_only=False)], pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[ends], pa.int32()), got.values)
+
+
 def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
-           max_words: int = TABLE_WORDS) -> DataFrame:
-    """One row per input row: ``row``, ``ids`` (array of int)."""
+           max_words: int = TABLE_WORDS, decoded: bool = True) -> DataFrame:
+    """One row per input row: ``row``, ``ids`` (array of int) and, if asked for, ``decoded``: the text
+    that the ids decode to. (Decoding in the same pass spares a second one over the ids.)"""
     base = pack(docs, id_col, text_col)
     known = word_table(base.select("text"), path, max_words)
     sink = pa.BufferOutputStream()
@@ -160,30 +194,20 @@ def encode(docs: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", text_
         out.write_table(known)
     sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-    def joined(texts: list[str | None]) -> pa.ListArray:
-        """Ids of some texts: each distinct word is looked up once, then ids follow words by position."""
-        table_hashes, table_words, table_ids = _received(sent.value)
-        words = [pa.array(WORD.findall(t or ""), pa.string()) for t in texts]
-        ends = np.cumsum([0, *map(len, words)])
-        coded = pa.concat_arrays(words).dictionary_encode()
-        rows = np.searchsorted(table_hashes, _hashes(coded.dictionary))
-        rows[rows == len(table_words)] = 0
-        there = np.zeros(len(rows), bool)
-        if len(table_words):
-            there = pc.equal(table_words.take(pa.array(rows)), coded.dictionary).to_numpy(zero_copy_only=False)
-        rare = coded.dictionary.filter(pa.array(~there))
-        rows[~there] = len(table_words) + np.arange(len(rare))
-        both = pa.concat_arrays([table_ids, _encode_words(path, rare.to_pylist())])
-        got = both.take(pa.array(rows[coded.indices.to_numpy(zero_copy_only=False)], pa.int64()))
-        return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[ends], pa.int32()), got.values)
-
-    @F.arrow_udf("array<int>")
-    def ids_of(texts: pa.Array) -> pa.Array:
-        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
-        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), len(texts)]
-        return pa.concat_arrays([joined(texts[i:j].to_pylist()) for i, j in zip(cuts, cuts[1:])])
-
-    return base.select("row", ids_of("text").alias("ids"))
+    def coded(batches):
+        """Some texts at a time, so that a batch's ids and texts are never held together."""
+        for b in batches:
+            size = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), b.num_rows] if b.num_rows else []
+            for i, j in zip(cuts, cuts[1:]):
+                part = b.slice(i, j - i)
+                ids = _ids_of(path, sent.value, part.column("text").to_pylist())
+                cols = {"row": part.column("row"), "ids": ids, **({"decoded": _pieces_of(path, ids)} if decoded else {})}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            pa.default_memory_pool().release_unused()  # a worker lives on
+
+    fields = [base.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
+    return base.select("row", "text").mapInArrow(coded, T.StructType(fields))
 
 
 def decode(tokens: DataFrame, path: str = TOKENIZER, ids_col: str = "ids"):
@@ -191,17 +215,7 @@ def decode(tokens: DataFrame, path: str = TOKENIZER, ids_col: str = "ids"):
 
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
-        lengths = pc.list_value_length(ids)
-        ends = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))])
-        got = _pieces(path).take(ids.flatten())
-        marks = np.frombuffer(got.buffers()[1], np.int32)[got.offset:][ends]
-        mask = pc.is_null(ids)
-        joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(marks)), got.buffers()[2]])
-        try:
-            out = joined.cast(pa.string())
-        except pa.ArrowInvalid:
-            out = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
-        return pc.if_else(mask, pa.scalar(None, pa.string()), out)
+        return _pieces_of(path, ids)
 
     return tokens.withColumn("decoded", text_of(ids_col))
 
@@ -209,5 +223,5 @@ def decode(tokens: DataFrame, path: str = TOKENIZER, ids_col: str = "ids"):
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs)).select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return encode(docs).select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
                                        F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
