@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import bpe, decontaminate, language, line_dedup, minhash
 from ledgerlens.llm.common import pack, staged, table
 
-#: Texts whose language is less certain than this go.
+#: Texts with a smaller score go. Margins alone give 0.25 or more where a language wins its pairs, so it is
+#: the fit (1 for a text like those learned from) that takes texts of no learned language below it.
 LEAST_SCORE = 0.2
 
 

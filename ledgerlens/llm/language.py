@@ -3,7 +3,14 @@
 A text becomes the square roots of its hashed letter bigrams and trigrams (all else is one blank),
 scaled to length one. Linear support vector machines, one against the rest, choose the language
 family first; within it one machine for each pair of related languages votes, and summed margins
-decide ties. The score is the product of the logistic margins of both steps.
+decide ties. The score is the product of the logistic margins of both steps, and of the text's fit.
+
+Margins only compare the learned languages, so the fit tests whether the text is in any of them. Each
+language has a profile, the mean frequencies of the hashed pairs and triples; a text's excess is its
+mean log-likelihood under a profile, less what that profile expects, plus three standard errors
+(short texts vary more); the best of all learned languages counts. Its letter share is that of its non-blank characters.
+The learned sample gives the least of both: profiles of either half are held against the other half.
+The fit is 1 down to there and falls steeply below. Fewer than ``LEAST_LEARNED`` texts give no such bound.
 
 Training uses a bounded sample: about ``PER_LANGUAGE`` texts of each language, chosen by a hash of
 the text over all labelled rows; it is the only thing that the driver gathers. A language that
@@ -37,6 +44,8 @@ FAMILIES = {
 PER_LANGUAGE = 500
 BITS = 13
 UNKNOWN = "und"
+#: Texts that the bounds of the fit need; the share of learned texts that may lie below them; room left below.
+LEAST_LEARNED, BELOW, ROOM = 30, 0.001, 2.0
 
 
 @lru_cache(maxsize=1)
@@ -58,6 +67,33 @@ def features(text: str) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
+def letter_share(text: str) -> float:
+    """Letters among the characters that are no blanks."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return float((_letters()[c] != 32).sum() / max(1, (c > 32).sum()))
+
+
+def _profile(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Log-frequencies over texts, with their mean and variance by their own frequencies."""
+    total = np.zeros(x.shape[1])
+    for v in x:
+        total += v.astype(np.float64) ** 2 * min(_size(v), 2000.0)
+    log = np.log((total + 0.5) / (total + 0.5).sum())
+    mean = float(np.exp(log) @ log)
+    return log, mean, float(np.exp(log) @ (log - mean) ** 2)
+
+
+def _size(x: np.ndarray) -> float:
+    """Pairs and triples of a text, as often as its rarest one occurs: repeats add no evidence."""
+    return float(1 / x[x > 0].min().astype(np.float64) ** 2)
+
+
+def _excess(x: np.ndarray, profiles: list[tuple[np.ndarray, float, float]]) -> float:
+    at = np.flatnonzero(x)
+    f, size = x[at].astype(np.float64) ** 2, _size(x)
+    return max(float(f @ log[at] - mean + 3 * np.sqrt(var / size)) for log, mean, var in profiles)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, reg: float = 1e-4) -> np.ndarray:
     """Averaged stochastic subgradient of the hinge loss; y is +1 or -1, both sides weighted alike. Last weight: bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -82,7 +118,8 @@ def _sure(margin):
 class Model:
     """Family machines and pair machines, as plain arrays."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str]):
+    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str], shares: list[float] = ()):
+        """``shares``: the texts' letter shares; without them no share is too small."""
         lang, self.langs = np.array(langs), sorted(set(langs))
         self.members: dict[str, list[str]] = {}
         for a in self.langs:
@@ -95,19 +132,33 @@ class Model:
             for a, b in combinations(group, 2):
                 own = (lang == a) | (lang == b)
                 self.of_pair[a, b] = _svm(x[own], np.where(lang[own] == a, 1, -1))
+        self.profiles = [_profile(x[lang == a]) for a in self.langs]
+        self.least_excess, self.least_share = -np.inf, 0.0
+        if len(x) >= LEAST_LEARNED:
+            half = np.zeros(len(x), int)
+            for a in self.langs:
+                half[np.flatnonzero(lang == a)[1::2]] = 1
+            held = []
+            for h in (0, 1):
+                of_other = [_profile(x[(half != h) & (lang == a)]) for a in self.langs if ((half != h) & (lang == a)).any()]
+                held += [_excess(v, of_other) for v in x[half == h]] if of_other else []
+            self.least_excess = ROOM * min(0.0, float(np.quantile(held, BELOW)))
+            if len(shares):
+                self.least_share = float(np.quantile(shares, BELOW)) / ROOM
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or (x := features(text)) is None:
             return UNKNOWN, 0.0
         margin = lambda w: float(x @ w[:-1] + w[-1])
-        family, score = self.families[0], 1.0
+        family, score = self.families[0], 1.0  # of the margins
+        fit = self._fit(text, x)
         if self.of_family:
             m = [margin(w) for w in self.of_family]
             best = int(np.argmax(m))
             family, score = self.families[best], float(_sure(m[best] - max(v for i, v in enumerate(m) if i != best)))
         group = self.members[family]
         if len(group) == 1:
-            return group[0], score
+            return group[0], score * fit
         votes, sums, least = dict.fromkeys(group, 0), dict.fromkeys(group, 0.0), dict.fromkeys(group, 1.0)
         for a, b in combinations(group, 2):
             m = margin(self.of_pair[a, b])
@@ -116,7 +167,12 @@ class Model:
                 sums[k] += v
                 least[k] = min(least[k], float(_sure(v)))
         won = max(group, key=lambda k: (votes[k], sums[k]))
-        return won, score * least[won]
+        return won, score * least[won] * fit
+
+    def _fit(self, text: str, x: np.ndarray) -> float:
+        below = min(0.0, _excess(x, self.profiles) - self.least_excess)
+        share = min(1.0, letter_share(text) / self.least_share) if self.least_share else 1.0
+        return float(np.exp(8 * below)) * share ** 8
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang",
@@ -132,18 +188,18 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
     def vectors(batches):
         for b in batches:
-            got = [(lang, k, features(text)) for text, lang, k in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "k")])]
-            got = [(lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0]) for lang, k, x in got if x is not None]
-            cols = list(zip(*got)) or [()] * 4
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lang", "k", "at", "x"])
+            got = [(lang, k, features(text), text) for text, lang, k in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "k")])]
+            got = [(lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0], letter_share(t)) for lang, k, x, t in got if x is not None]
+            cols = list(zip(*got)) or [()] * 5
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lang", "k", "at", "x", "share"])
 
     sample = rows.where(spread < share).withColumn("k", F.xxhash64("text")).mapInArrow(
-        vectors, "lang string, k long, at array<short>, x array<float>").toPandas().sort_values(["lang", "k"])
+        vectors, "lang string, k long, at array<short>, x array<float>, share double").toPandas().sort_values(["lang", "k"])
     x = np.zeros((len(sample), 1 << BITS), np.float32)
     for i, (at, v) in enumerate(zip(sample["at"], sample["x"])):
         x[i, np.asarray(at, np.int64)] = np.asarray(v)
-    return Model(x, list(sample["lang"]), families or FAMILIES)
+    return Model(x, list(sample["lang"]), families or FAMILIES, list(sample["share"]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

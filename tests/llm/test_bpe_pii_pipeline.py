@@ -215,3 +215,19 @@ def test_nothing_else_imports_the_subpackage():
     others = [f for f in itertools.chain(root.glob("ledgerlens/**/*.py"), root.glob("tools/*.py"), root.glob("tests/*.py"), [root / "bench.py"])
               if "/llm/" not in str(f)]
     assert [f for f in others if "ledgerlens.llm" in f.read_text() or "corpus_pipeline" in f.read_text()] == []
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    """Unlearned languages, related ones too, and junk that holds letters go; clean documents stay."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    planted = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "#### 12 $$ x 99 !!", "x9 8k 7q zz 11 ## 4j", "qwrtp zxcvb kjhgf xkcd vbnm wqrt plmk",
+    ]
+    odd = spark.createDataFrame([(-1 - i, t, None, "planted", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = corpus_pipeline.keep_known_language(spark, docs.union(odd), SF01)
+    assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == set()
+    letters = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert kept.count() == letters.count()
