@@ -5,17 +5,21 @@ training texts are counted: how often each word occurs, and how often each *symb
 where a symbol is one of the ``EXCHANGED`` most frequent words, one of ``GROUPS`` groups of all other
 words (by their last two bytes), or the end. Exchange clustering moves one word at a time to the
 class where the class-bigram likelihood of the training texts rises most, until nothing moves (or
-``ROUNDS`` rounds); groups and the end stay classes of their own. A text's score is
+``ROUNDS`` rounds). Then every other word that occurs ``LEAST`` times or more takes the class where its
+own bigrams are likeliest, given the symbols' classes. Words that occur once stand for unseen ones: both are
+left in the groups, which are classes, as is the end. Transitions are counted anew from the final classes
+of all words. A text's score is
 
     sum of log10 P(class | class before) + log10 P(word | class)
 
 with additive smoothing in both (``ALPHA`` for transitions, ``DELTA`` for emissions; a class of rarer
 words keeps one place for a word that was never seen).
 
-Scale: counts of all distinct words are a shuffled table that grows with the corpus. What reaches the
-driver and all tasks is bounded by parameters: the symbol bigrams (at most ``symbols ** 2`` cells, summed
-up in each task first) and the ``KNOWN`` most frequent words. Occurrences of rarer words go, summed
-up by text, to a join with the table of counts; a text's partial sums ride in the same rows.
+Scale: the counts, contexts (classes before and behind, summed up in tasks) and classes of all distinct
+words are shuffled tables that grow with the corpus. What reaches the driver and all tasks is bounded by
+parameters: the symbol bigrams (at most ``symbols ** 2`` cells, summed up in each task first) and the
+``KNOWN`` most frequent words with their classes. Bigrams with a rarer word go, summed up by text, to joins
+with the table of all words; a text's partial sums ride in the same rows.
 
 Defined cases: null texts count as empty; an empty text is one end token; null ids are held out;
 with no training text every probability is the smoothing's (base: log10(0.1 / 0.1) = 0 a token);
@@ -38,11 +42,16 @@ from ledgerlens.llm.language import remainder
 #: Words that exchange clustering places, classes that it has, groups of the other words.
 EXCHANGED, CLASSES, GROUPS = 800, 48, 32
 ROUNDS = 8
+#: Classes, groups and the end; least count of a word that gets a class.
+SIZE, LEAST = CLASSES + GROUPS + 1, 2
+END = SIZE - 1
 #: Most words whose counts are sent to every task.
 KNOWN = 200_000
 ALPHA, DELTA = 0.1, 0.1
 #: Words that a task gathers before it passes their counts on.
 GATHERED = 400_000
+#: Most new words, and bigrams of them, that a task holds before it passes them on.
+HELD = 50_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -85,6 +94,154 @@ def _count_pairs(index: dict[bytes, int], symbols: int):
     return count
 
 
+class _Codes(dict):
+    """A word's class, plus SIZE times (1 + its place in ``new``) if its final class isn't given."""
+
+    def __init__(self, given: dict[bytes, int]):
+        super().__init__(given)
+        self.given, self.new = given, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = code = CLASSES + group_of(word) + SIZE * len(self.new)
+        return code
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and places (-1: given) of a text, with the end before and behind."""
+        codes = np.array([END, *[self[w] for w in words], END], np.int64)
+        return codes % SIZE, codes // SIZE - 1
+
+
+def _contexts(given: dict[bytes, int]):
+    """For mapInArrow: how often each word that has no class yet meets each class behind (0 ..) and before (SIZE ..)."""
+
+    def flush(codes, cells):
+        at, n = np.unique(np.concatenate(cells), return_counts=True)
+        word, cell = at // (2 * SIZE), at % (2 * SIZE)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(t))) for v, t in ((cell, np.int16), (n, np.int64))]
+        words = pa.array([codes.new[i] for i in word[first]], pa.binary())
+        for i in range(0, len(first), 10_000):
+            yield pa.RecordBatch.from_arrays([words[i:i + 10_000], *[x[i:i + 10_000] for x in lists]], names=["word", "at", "m"])
+
+    def run(batches):
+        codes, cells, held = _Codes(given), [], 0
+        for b in batches:
+            for t in b.column(0):
+                cls, new = codes.of(tokens(t.as_py()))
+                i = np.flatnonzero(new >= 0)
+                cells += [new[i] * (2 * SIZE) + cls[i + 1], new[i] * (2 * SIZE) + SIZE + cls[i - 1]]
+                held += 2 * len(i)
+                if held > 20 * HELD or len(codes.new) > 2 * HELD:
+                    yield from flush(codes, cells)
+                    codes, cells, held = _Codes(given), [], 0
+        if held:
+            yield from flush(codes, cells)
+
+    return run
+
+
+def _place(cells: np.ndarray):
+    """For mapInArrow over contexts sorted by word: the likeliest class of each word, and its count."""
+    into = np.log((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
+    size = cells.sum(1)[:CLASSES]
+    fits = np.hstack([np.vstack([into[:CLASSES].T, into[:, :CLASSES]]), np.repeat([[1.0], [0.0]], SIZE, 0)])  # last: occurrences
+
+    def placed(words, sums):
+        n = sums[:, -1]
+        best = (sums[:, :-1] - n[:, None] * np.log(size + n[:, None])).argmax(1)
+        cls = [int(k) if c >= LEAST else CLASSES + group_of(w) for w, k, c in zip(words, best, n)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(cls, pa.int32()), pa.array(np.rint(n).astype(np.int64))],
+                                          names=["word", "cls", "n"])
+
+    def run(batches):
+        last, kept = None, np.zeros(CLASSES + 1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, at, m = b.column(0).to_pylist(), b.column(1), b.column(2)
+            start = at.offsets.to_numpy()
+            rows = np.add.reduceat(fits[at.flatten().to_numpy()] * m.flatten().to_numpy()[:, None], start[:-1] - start[0])
+            first = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+            sums, names = np.add.reduceat(rows, first), [words[i] for i in first]
+            if names[0] == last:
+                sums[0] += kept
+            elif last is not None:
+                yield placed([last], kept[None])
+            if len(names) > 1:
+                yield placed(names[:-1], sums[:-1])
+            last, kept = names[-1], sums[-1].copy()
+        if last is not None:
+            yield placed([last], kept[None])
+
+    return run
+
+
+def _pairs_of(cls: np.ndarray, new: np.ndarray, words: list[bytes]) -> Counter:
+    """A text's bigrams with a word whose class isn't given: (word, class before, class behind, next word).
+
+    One class is -1: each bigram is one key. A next word is only named if its class isn't given either.
+    """
+    out: Counter = Counter()
+    for i in np.flatnonzero(new >= 0).tolist():
+        w = words[i - 1]
+        if new[i - 1] < 0:
+            out[w, int(cls[i - 1]), -1, None] += 1
+        out[(w, -1, int(cls[i + 1]), None) if new[i + 1] < 0 else (w, -1, -1, words[i])] += 1
+    return out
+
+
+def _count_transitions(given: dict[bytes, int]):
+    """For mapInArrow: bigrams of given classes summed up (word: blank and cell), others by their words."""
+
+    def flush(seen):
+        keys = list(seen)
+        yield _pair_rows(keys, list(seen.values()))
+
+    def run(batches):
+        total, seen, codes = np.zeros(SIZE * SIZE, np.int64), Counter(), _Codes(given)
+        for b in batches:
+            for t in b.column(0):
+                words = tokens(t.as_py())
+                cls, new = codes.of(words)
+                both = (new[:-1] < 0) & (new[1:] < 0)
+                total += np.bincount((cls[:-1] * SIZE + cls[1:])[both], minlength=SIZE * SIZE)
+                seen.update(_pairs_of(cls, new, words))
+                if len(seen) > HELD:
+                    yield from flush(seen)
+                    seen, codes = Counter(), _Codes(given)
+        yield from flush(seen)
+        at = np.flatnonzero(total).tolist()
+        yield _pair_rows([(b" %d" % c, c // SIZE, c % SIZE, None) for c in at], [int(total[c]) for c in at])
+
+    return run
+
+
+PAIR = "word binary, grp int, before int, behind int, next binary, next_grp int, m long"
+
+
+def _pair_rows(keys: list[tuple], m: list[int]) -> pa.RecordBatch:
+    word, before, behind, after = zip(*keys) if keys else ((),) * 4
+    cols = [pa.array(word, pa.binary()), pa.array([-1 if w[:1] == b" " else group_of(w) for w in word], pa.int32()),
+            pa.array(before, pa.int32()), pa.array(behind, pa.int32()),
+            # a word has no blank: these join nothing, and differ, so that they don't meet in one task
+            pa.array([b" %d" % i if x is None else x for i, x in enumerate(after)], pa.binary()),
+            pa.array([-1 if x is None else group_of(x) for x in after], pa.int32()), pa.array(m, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PAIR.split(", ")])
+
+
+def _joined(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``pairs`` with the word's count ``n`` and class ``cls``, and the bigram's ``cell`` (null without a bigram)."""
+    one = pairs.join(words.select("word", "cls", "n"), "word", "left")
+    own = F.coalesce("cls", F.when(F.col("grp") >= 0, F.lit(CLASSES) + F.col("grp")))
+    two = one.withColumn("cls", own).join(words.select(F.col("word").alias("next"), F.col("cls").alias("next_cls")), "next", "left")
+    left = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.col("cls"))
+    right = F.when(F.col("behind") >= 0, F.col("behind")).when(
+        F.col("next_grp") >= 0, F.coalesce("next_cls", F.lit(CLASSES) + F.col("next_grp"))).otherwise(F.col("cls"))
+    return two.withColumn("cell", (left * SIZE + right).cast("int"))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -140,49 +297,38 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, rounds: in
 class Model:
     """What every task needs: frequent words with counts, classes, transition and emission logarithms."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, pairs: np.ndarray, group_n: np.ndarray, group_v: np.ndarray,
-                 n_train: int, n_words: int, v_words: int):
-        """``words``: by falling count; group_n, group_v: tokens and distinct words of each group, exchanged words left out."""
-        placed = min(EXCHANGED, len(words))
-        of = exchange(pairs, EXCHANGED)
-        size = CLASSES + GROUPS + 1
-        one = np.zeros((len(pairs), size))
-        one[np.arange(len(pairs)), of] = 1
-        cells = one.T @ pairs @ one
-        self.moves = np.log10((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * size))
+    def __init__(self, words: list[bytes], counts: np.ndarray, of: np.ndarray, cells: np.ndarray, class_n: np.ndarray,
+                 class_v: np.ndarray, n_train: int, n_words: int, v_words: int):
+        """``words``: by falling count, ``of``: their classes; class_n, class_v: tokens and distinct words of each class and group."""
+        self.moves = np.log10((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
         self.total, self.distinct = n_words + n_train, v_words + (n_train > 0)
         self.index = {w: i for i, w in enumerate(words)}
+        self.given = dict(zip(words, of.tolist()))
         self.counts = np.append(counts, [0, n_train]).astype(np.float64)  # then a word that isn't in the table, then the end
-        self.of = np.array([*of[:placed], *[CLASSES + group_of(w) for w in words[placed:]]], np.int64)
-        by_class = np.zeros(CLASSES)
-        np.add.at(by_class, of[:placed], counts[:placed])
-        in_class = np.bincount(of[:placed], minlength=CLASSES)[:CLASSES]
-        self.group_den = np.log10(group_n + DELTA * (group_v + 1))
-        den = np.concatenate([np.log10(np.maximum(by_class + DELTA * in_class, DELTA)), self.group_den])
-        self.emit = np.append(np.log10(self.counts[:-2] + DELTA) - den[self.of], [0.0, 0.0])
+        self.of = of
+        places = class_v + np.where(np.arange(CLASSES + GROUPS) < CLASSES, 0, 1)  # a group has one for unseen words
+        self.den = np.log10(np.maximum(class_n + DELTA * places, DELTA))
+        self.emit = np.append(np.log10(self.counts[:-2] + DELTA) - self.den[self.of], [0.0, 0.0])
         self.base_den = float(np.log10(self.total + 0.1 * (self.distinct + 1)))
 
-    def score(self, text: bytes | None) -> tuple[int, int, float, float, Counter]:
-        """Tokens, known tokens, base and class sums without the words that aren't in the table, and those words."""
+    def score(self, text: bytes | None, codes: _Codes) -> tuple[int, int, float, float, Counter, Counter]:
+        """Tokens, known tokens, base and class sums without what the table of all words gives; its words and bigrams."""
         words = tokens(text)
         get, absent = self.index.get, len(self.index)
         at = np.array([get(w, absent) for w in words] + [absent + 1])
-        classes = np.empty(len(at), np.int64)
         inside = at < absent
-        classes[inside] = self.of[at[inside]]
-        rare = [words[i] for i in np.flatnonzero(at == absent)]
-        groups = np.array([group_of(w) for w in rare], np.int64)
-        classes[at == absent] = CLASSES + groups
-        classes[-1] = CLASSES + GROUPS
-        moves = self.moves[np.concatenate([[CLASSES + GROUPS], classes[:-1]]), classes].sum()
+        rare = Counter(words[i] for i in np.flatnonzero(at == absent))
+        cls, new = codes.of(words)
+        both = (new[:-1] < 0) & (new[1:] < 0)
+        moves = self.moves[cls[:-1][both], cls[1:][both]].sum()
         base = np.log10(self.counts[at[inside]] + 0.1).sum() + np.log10(self.counts[-1] + 0.1) - len(at) * self.base_den
-        own = moves + self.emit[at[inside]].sum() - self.group_den[groups].sum()
+        own = moves + self.emit[at[inside]].sum()
         known = int(inside.sum()) + int(self.counts[-1] > 0)
-        return len(at), known, float(base), float(own), Counter(rare)
+        return len(at), known, float(base), float(own), rare, _pairs_of(cls, new, words)
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of all words with their counts (word, grp, n)."""
+    """The model, and the table of all words with their classes and counts (word, cls, n)."""
     texts = docs.where(learn).select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     counts = staged(texts.mapInArrow(_count_words, "word binary, grp int, n long")
                     .groupBy("word", "grp").agg(F.sum("n").alias("n")), "lm-words")
@@ -204,43 +350,72 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text") -> tuple[Model
     cells = (texts.mapInArrow(_count_pairs(index, symbols), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
     pairs = np.zeros(symbols * symbols)
     pairs[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    group_n, group_v = np.zeros(GROUPS), np.zeros(GROUPS)
-    for r in counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        group_n[r.grp], group_v[r.grp] = r.n, r.v
-    for w, c in order[:EXCHANGED]:
-        group_n[group_of(w)] -= c
-        group_v[group_of(w)] -= 1
-    return Model(words, n, pairs.reshape(symbols, symbols), group_n, group_v, n_train, total.n, total.v), counts
+    pairs = pairs.reshape(symbols, symbols)
+    of = exchange(pairs, EXCHANGED)
+    one = np.zeros((symbols, SIZE))
+    one[np.arange(symbols), of] = 1
+    fixed = {w: int(of[i]) for w, i in index.items()}
+    placed = (texts.mapInArrow(_contexts(fixed), "word binary, at array<short>, m array<long>").repartition("word")
+              .sortWithinPartitions("word").mapInArrow(_place(one.T @ pairs @ one), "word binary, cls int, n long"))
+    frequent = texts.sparkSession.createDataFrame([(w, fixed[w], c) for w, c in order[:EXCHANGED]], "word binary, cls int, n long")
+    placed = staged(placed.union(frequent), "lm-classes")
+    got = placed.where(step >= least).select("word", "cls").toArrow()
+    given = dict(zip(got.column("word").to_pylist(), got.column("cls").to_pylist()))
+    class_n, class_v = np.zeros(CLASSES + GROUPS), np.zeros(CLASSES + GROUPS)
+    for r in placed.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        class_n[r.cls], class_v[r.cls] = r.n, r.v
+    cells = _joined(texts.mapInArrow(_count_transitions(given), PAIR), placed).groupBy("cell").agg(F.sum("m").alias("n")).toArrow()
+    moves = np.zeros(SIZE * SIZE)
+    moves[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return Model(words, n, np.array([given[w] for w in words], np.int64), moves.reshape(SIZE, SIZE), class_n, class_v,
+                 n_train, total.n, total.v), placed
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``row``, ``n_tokens``, ``n_known``, ``base_score``, ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
     base = pack(docs, id_col, text_col)
 
     def partial(batches):
+        def rows(b, at, keys, m, sums):
+            pairs, cols = _pair_rows(keys, m), list(zip(*sums)) or [()] * 4
+            return pa.RecordBatch.from_arrays([*b.select([0, 1]).take(pa.array(at, pa.int64())).columns, *pairs.columns,
+                                               *[pa.array(c, t) for c, t in zip(cols, kinds)]],
+                                              names=["id", "k", *pairs.schema.names, "n_tokens", "n_known", "base", "own"])
+
+        codes = _Codes(sent.value.given)
         for b in batches:
-            at, word, sums = [], [], []
+            at, keys, m, sums = [], [], [], []
             for i, (k, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-                n, known, plain, own, rare = sent.value.score(text.as_py())
-                at += [i] * (1 + len(rare))
-                word += [b" %d" % k, *rare]  # a word has no blank: the first joins nothing
-                sums += [(n, known, plain, own, 0), *((0, 0, 0.0, 0.0, m) for m in rare.values())]
-            kept = b.select([0, 1]).take(pa.array(at, pa.int64()))
-            cols = list(zip(*sums)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(word, pa.binary()), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                             names=["id", "k", "word", "n_tokens", "n_known", "base", "own", "rare"])
-
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    schema = f"id {dict(base.dtypes)['id']}, k long, word binary, n_tokens long, n_known long, base double, own double, rare long"
+                if len(codes.new) > HELD:
+                    codes = _Codes(sent.value.given)
+                n, known, plain, own, rare, pairs = sent.value.score(text.as_py(), codes)
+                at += [i] * (1 + len(rare) + len(pairs))
+                # a text's own sums, its rare words (both classes -2: no bigram), its bigrams with rare words
+                keys += [(b" %d" % k, -2, -2, None), *((w, -2, -2, None) for w in rare), *pairs]
+                m += [0, *rare.values(), *pairs.values()]
+                sums += [(n, known, plain, own), *[(0, 0, 0.0, 0.0)] * (len(rare) + len(pairs))]
+                if len(keys) > HELD:
+                    yield rows(b, at, keys, m, sums)
+                    at, keys, m, sums = [], [], [], []
+            yield rows(b, at, keys, m, sums)
+
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = f"id {dict(base.dtypes)['id']}, k long, {PAIR}, n_tokens long, n_known long, base double, own double"
     one = base.select("id", "k", F.col("text").cast("binary").alias("text"))
+    moves = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.moves.ravel())], "cell int, move double"))
+    dens = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.den)], "cls int, den double"))
     n = F.coalesce("n", F.lit(0))
-    tail = F.col("rare") * F.log10(n + 0.1)
+    word = (F.col("before") == -2) & (F.col("grp") >= 0)
+    tail = F.when(word, F.col("m") * F.log10(n + 0.1)).otherwise(0.0)
+    emit = F.when(word, F.col("m") * (F.log10(n + DELTA) - F.col("den"))).otherwise(0.0)
+    move = F.when(F.col("before") == -2, 0.0).otherwise(F.col("m") * F.col("move"))
     copies = F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0))
-    sums = (one.mapInArrow(partial, schema).join(counts.select("word", "n"), "word", "left")
+    sums = (_joined(one.mapInArrow(partial, schema), counts).join(moves, "cell", "left").join(dens, "cls", "left")
             .groupBy("id", "k").agg(copies.alias("copies"), F.sum("n_tokens").alias("n_tokens"),
-                                    F.sum(F.col("n_known") + F.when(n > 0, F.col("rare")).otherwise(0)).alias("n_known"),
-                                    F.sum(F.col("base") + tail).alias("base_score"), F.sum(F.col("own") + tail).alias("score"))
+                                    F.sum(F.col("n_known") + F.when(word & (n > 0), F.col("m")).otherwise(0)).alias("n_known"),
+                                    F.sum(F.col("base") + tail).alias("base_score"), F.sum(F.col("own") + emit + move).alias("score"))
             .select("id", "k", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
                     (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
                     (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score")))

@@ -117,6 +117,36 @@ def test_class_probabilities_add_up(spark):
     assert model.total == 3 * (13 + 3) and model.distinct == 8 and counts.count() == 7
 
 
+def test_rarer_words_get_learned_classes(spark, monkeypatch):
+    """Words behind the exchanged ones take the class of their contexts, not of their spelling; words seen once stay in a group."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[j % 2]}{rng.integers(450)}z" for j in range(20)) for _ in range(1200)]
+    # x words stand where a words do, y words where b words do; x7q and y7q end alike
+    texts += [f"a{i}z b{i}z x{i}q b{i + 5}z a{i + 9}z y{i}q a{i + 3}z b{i}z" for i in range(100) for _ in range(3)] + ["a1z b1z onceq b2z a2z b3z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = []
+    for known in (200_000, 850):
+        monkeypatch.setattr(class_lm, "KNOWN", known)
+        model, words = class_lm.train(docs, F.lit(True))
+        cls = {r.word.decode(): r.cls for r in words.select(F.col("word"), "cls").collect()}
+        side = {k: {cls[f"{k}{i}q"] for i in range(100)} for k in "xy"}
+        assert all(max(s) < class_lm.CLASSES for s in side.values()) and not side["x"] & side["y"]
+        assert cls["onceq"] == class_lm.CLASSES + class_lm.group_of(b"onceq")
+        # transitions are those of the final classes of all words
+        cells = Counter()
+        for t in texts:
+            s = [class_lm.END, *[cls[w] for w in t.split()], class_lm.END]
+            cells.update(zip(s, s[1:]))
+        want = np.zeros((class_lm.SIZE, class_lm.SIZE))
+        for (a, b), n in cells.items():
+            want[a, b] = n
+        assert np.allclose(model.moves, np.log10((want + 0.1) / (want.sum(1, keepdims=True) + 0.1 * class_lm.SIZE)))
+        new = spark.createDataFrame([(1, "a1z b2z x3q unseen y4q y5q x6q unseen2 onceq"), (2, texts[-2]), (3, None)], "doc_id long, text string")
+        scores.append(sorted((r.row.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                             for r in class_lm.score(new, model, words).collect()))
+    assert len(model.given) < 900 and scores[0] == scores[1]
+
+
 def test_class_lm_odd_cases(spark):
     docs = odd_documents(spark)
     model, counts = class_lm.train(docs, F.col("doc_id") < 8)
