@@ -231,3 +231,15 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == set()
     letters = docs.where(F.col("text").rlike(r"\p{L}"))
     assert kept.count() == letters.count()
+
+
+def test_long_hexadecimal_keys_are_replaced():
+    for n in (128, 129, 256, 257, 20_000):
+        token = ("0f3a9c" * n)[:n]
+        for put in (token, token.upper()):
+            text = f"key = {put}."
+            new, kinds = P.pseudonymize_text(text, KEY)
+            assert kinds == ["token"] and len(new) == len(text) and new != text and new.isascii()
+            assert P.pseudonymize_text(new, KEY, undo=True)[0] == text
+        a, b = (P.pseudonymize_text(f"key = {x}", KEY)[0][6:] for x in (token, token[:-1] + "e"))
+        assert sum(x != y for x, y in zip(a, b)) > 0.8 * n  # every digit depends on every digit
