@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, class_lm, decontaminate, embedding_dedup, language, line_dedup, minhash, packing, periodic_runs, pseudonyms, quality, substring_dedup
+from ledgerlens.llm import bpe, class_lm, decontaminate, embedding_dedup, hard_negatives, language, line_dedup, minhash, packing, periodic_runs, pseudonyms, quality, substring_dedup
 
 QUERIES = {
     "op1_substring": substring_dedup.op1_substring,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_packing": packing.op13_packing,
 }
 
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
