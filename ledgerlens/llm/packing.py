@@ -7,8 +7,9 @@ two and cuts: a document lies in the windows from ``start // length`` to ``(end
 boundary record, in each. All windows are full but the last; its padding (up to the sequence length, or
 none where its length is a power of two) is all the padding there is.
 
-Text reaches the tokenizer as pieces without white space, which its normalizer and splitter never join across;
-each worker remembers the ids of a bounded number of them. No text or id is shuffled; only the totals are.
+A tokenizer that drops white space never joins across it, so texts reach it as pieces without white space, and a
+worker remembers the ids of a bounded number of them; any other tokenizer gets whole texts. No text or id is
+shuffled; only the totals are.
 
 Defined cases: null texts count as empty, a text without a token is its end id alone; very long texts have
 as many pieces as windows (an id is copied once); rows that repeat are documents of their own; null ids and
@@ -19,6 +20,7 @@ order is fixed by what pass one has written, so a lost executor doesn't change i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,18 +39,26 @@ from ledgerlens.llm.common import broadcast_if_small, ship, staged, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE, END_ID = 2048, 1
-#: Pieces of text whose ids a worker remembers (twice as many for a while); pieces that are encoded in one call.
-REMEMBERED, TOGETHER = 250_000, 200
+#: Pieces of text whose ids a worker remembers (twice as many for a while); plain pieces that are encoded in one call.
+REMEMBERED, TOGETHER = 300_000, 200
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 6_000_000
-#: Unicode's White_Space characters, as a splitter's \s has them; str.split() takes four control characters more.
+AT_ONCE = 12_000_000
+#: Unicode's White_Space characters, as a splitter's \\s has them; Arrow and str.split() take four control characters more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(rf"[^{SPACE}]+")
-_CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
+_CONTROL = "[\x1c-\x1f]"
+_BEYOND = re.compile("[^\x00-\xff]").search
+_MARKS = re.compile("([.,;:!?]+)")
 
 
-def split_pieces(text: str) -> list[str]:
-    return PIECE.findall(text) if any(c in text for c in _CONTROL) else text.split()
+def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, one behind the other (some are empty), and where each text's pieces begin and end."""
+    if pc.any(pc.match_substring_regex(texts, _CONTROL)).as_py():
+        lists = pa.array([PIECE.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    marks = lists.offsets.to_numpy()
+    return lists.values.slice(marks[0], marks[-1] - marks[0]), marks - marks[0]
 
 
 class Encoder:
@@ -56,56 +66,67 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            end = json.load(f)["model"].get("end_of_word_suffix")
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.ends_word = np.array([bool(end) and x.endswith(end) for x in names])
+        # Does the tokenizer drop white space, and are a word and the marks behind it two units? Else it gets whole texts.
+        one, two, apart = (self.tok.encode(x, add_special_tokens=False).ids for x in ("Alpha,", "beta", " Alpha,\t beta\n"))
+        self.by_piece = apart == one + two and [int(self.ends_word[x].sum()) for x in (one, two)] == [2, 1]
+        # For words that are lower-case already, with white space before their marks, no more than the merges is needed.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)])
+        self.by_piece = self.by_piece and self.bare.encode("alpha , bêta", add_special_tokens=False).ids == self.tok.encode(
+            "Alpha, BÊTA", add_special_tokens=False).ids
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.mark, self.mark_id = None, None
-        for c in "\x01\x02\x03":  # a character that is one id by itself divides pieces that are encoded together
-            ids, both = (self.tok.encode(x, add_special_tokens=False).ids for x in (c, f"a {c} {c} a"))
-            one = self.tok.encode("a", add_special_tokens=False).ids
-            if len(ids) == 1 and both == one + ids + ids + one:
-                self.mark, self.mark_id = c, ids[0]
-                break
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def _alone(self, piece: str) -> bool:
-        return self.mark is None or self.mark in piece or any(s in piece for s in self.special)
-
-    def _encode(self, pieces: list[str]) -> None:
-        alone = [x for x in pieces if self._alone(x)]
-        for x, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
-            self.new[x] = np.array(e.ids, "<u4").tobytes()
-        rest = [x for x in pieces if not self._alone(x)] if alone else pieces
-        groups = [rest[i:i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for i in range(0, len(groups), 20):
-            some = groups[i:i + 20]
-            texts = [f" {self.mark} ".join(g) for g in some]
-            for group, e in zip(some, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(ids == self.mark_id)
-                data, begin = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
-                for x, a, b in zip(group, begin, [*(4 * cuts).tolist(), len(data)], strict=True):
-                    self.new[x] = data[a:b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [split_pieces(t) if t else [] for t in texts]
-        known, missing = self.new, set()
-        for pieces in split:
-            missing.update(x for x in pieces if x not in known)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Words, alone or with marks behind them, are encoded in groups and told apart by the ids that end a word: one a
+        word, one more for its marks. All others are encoded one by one."""
+        words = [x for x in pieces if x.isalpha()]
+        marked = [x for x in pieces if not x.isalpha() and x.rstrip(".,;:!?").isalpha()]
+        rest = [x for x in pieces if not x.rstrip(".,;:!?").isalpha()]
+        for some, ends in ((words, 1), (marked, 2)):
+            for i in range(0, len(some), TOGETHER):
+                group = some[i:i + TOGETHER]
+                text = " ".join(group)
+                if not _BEYOND(text):
+                    text = text.lower() if ends == 1 else _MARKS.sub(r" \1", text.lower())
+                    data = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+                    cuts = (4 * np.flatnonzero(self.ends_word[np.frombuffer(data, "<u4")]) + 4)[ends - 1::ends].tolist()
+                    if len(cuts) == len(group) and cuts[-1] == len(data):
+                        self.new.update(zip(group, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+                        continue
+                rest += group
+        self.new.update(zip(rest, self._encode(rest)))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            return self._encode(texts.to_pylist())
+        flat, ends = split_pieces(texts)
+        coded = flat.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        missing = [x for x in pieces if x not in self.new]
         again = [x for x in missing if x in self.old]
-        known.update(zip(again, map(self.old.__getitem__, again)))
-        missing.difference_update(again)
-        self._encode(list(missing))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        if len(known) > REMEMBERED:
-            self.old, self.new = known, {}
-            if len(known) > 2 * REMEMBERED:
-                self.old = {}
-        return out
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        self._learn([x for x in missing if x not in self.new])
+        got = pa.array(map(self.new.__getitem__, pieces), pa.binary(), size=len(pieces)).take(coded.indices)
+        cuts = np.frombuffer(got.buffers()[1], np.int32)[ends].tolist() if len(got) else [0] * len(ends)
+        data = memoryview(got.buffers()[2]) if len(got) else b""
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +148,7 @@ def token_stream(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID, t
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), b.num_rows] if b.num_rows else []
             for i, j in zip(cuts, cuts[1:]):
                 some = b.slice(i, j - i)
-                ids = pa.array([x + end for x in enc.encode(some.column("text").to_pylist())], pa.binary())
+                ids = pa.array([x + end for x in enc.encode(some.column("text"))], pa.binary())
                 n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
                 upto = at + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(np.full(len(n), part, np.int64)), pa.array(upto - n), pa.array(n), ids],

@@ -5,6 +5,7 @@ import sys
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -79,14 +80,15 @@ def test_odd_documents(spark, tok, length):
 
 
 def test_pieces_of_text_are_the_tokenizers(tok):
-    """Every character between, before and behind letters; texts with special tokens and the mark itself."""
+    """Every character between, before and behind letters; texts with special tokens."""
     texts = []
     for first in range(0, sys.maxunicode + 1, 64):
         texts.append(" ".join(f"a{chr(c)}b {chr(c)}c d{chr(c)} {chr(c)}" for c in range(first, first + 64) if not 0xD800 <= c < 0xE000))
     texts = texts[:1100] + texts[1100::40]
     texts += ["a <|endoftext|> b", "x<|startoftext|>y", "\x01", "a\x01 b \x01\x01", "İstanbul ΣΑΣ ΌΣ Σ", "é ́ ạ̈", "it's I'LL we've 12th ½ ²", "…!?-- <|endoftext|", "ﬁ Å K"]
+    texts += ["".join(chr(c) for c in range(256)), "ÀÉÎ, ßß! ªº µ; \x1cx\x1d y", "A,B;C:D! ,a .b", "don't Don'T. x'll,"]
     enc = P.Encoder(P.TOKENIZER)
-    got = enc.encode(texts)
+    got = enc.encode(pa.array(texts))
     for t, ids in zip(texts, got):
         assert ids == packed(tok.encode(t, add_special_tokens=False).ids), ascii(t)
 
@@ -94,10 +96,20 @@ def test_pieces_of_text_are_the_tokenizers(tok):
 def test_a_worker_forgets(tok, monkeypatch):
     monkeypatch.setattr(P, "REMEMBERED", 10)
     enc = P.Encoder(P.TOKENIZER)
-    for k in range(12):
-        text = " ".join(f"word{i}" for i in range(k * 5, k * 5 + 9)) + " the same"
-        assert enc.encode([text, None, ""]) == [packed(tok.encode(text, add_special_tokens=False).ids), b"", b""]
-        assert len(enc.new) <= 20 and len(enc.old) <= 40
+    for k in range(30):
+        text = " ".join(f"word{chr(97 + i % 26)}{i} Word{chr(97 + i % 26)}, été{chr(97 + i % 26)}!?" for i in range(k, k + 9)) + " the same THE SAME."
+        assert enc.encode(pa.array([text, None, ""])) == [packed(tok.encode(text, add_special_tokens=False).ids), b"", b""]
+        assert len(enc.new) <= 10 + 29 and len(enc.old) <= 10 + 29
+
+
+def test_another_tokenizer_gets_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, other = P.Encoder(path), Tokenizer.from_file(path)
+    texts = ["two  spaces\n\nand lines ", "", None]
+    assert not enc.by_piece
+    assert enc.encode(pa.array(texts)) == [packed(other.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
 def test_sequences(spark, tok):
