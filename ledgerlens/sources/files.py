@@ -22,6 +22,7 @@ from ledgerlens.schemas import (
     DEMAND_FILE_HEADERS,
     DEMAND_FILE_SCHEMA,
 )
+from ledgerlens.sources import csv_records
 
 DEFAULT_BRANCH = "FILIAL_UNICA"  # fixed value: branch of a billing file without a branch column
 
@@ -37,25 +38,41 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers: dict[str, str],
                    sep: str = ";", locale: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Read a headed CSV into canonical names and types; a missing path gives an empty table."""
-    # RFC 4180 quoting (a quote inside a quoted field is doubled, a quoted field may hold line
-    # breaks), as spreadsheet tools and pandas write it; Spark's default would expect a backslash.
-    # With line breaks in fields a file is one task's: the Parquet hand-off is the one for large data.
-    base = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    options = {"sep": sep, "encoding": encoding, **_QUOTING, **({"locale": locale} if locale else {})}
+    raw_cols = header_of(spark, path, options)
+    if raw_cols is None:
+        return _empty(spark, schema)
+    types = {f.name: f.dataType for f in schema.fields}
+    names = [headers.get(_header_name(c), _header_name(c).lower()) for c in raw_cols]
+    return read_records(spark, path, StructType([StructField(n, types.get(n, StringType())) for n in names]), options)
+
+
+# RFC 4180 quoting (a quote inside a quoted field is doubled, a quoted field may hold line breaks), as spreadsheet
+# tools and pandas write it; Spark's default would expect a backslash.
+_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def header_of(spark: SparkSession, path: str, options: dict[str, str]) -> list[str] | None:
+    """The header's cells as they are written; None if there is nothing at the path."""
     try:
-        raw_cols = base.csv(path).columns
+        return spark.read.options(**options).option("header", True).option("multiLine", True).csv(path).columns
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return _empty(spark, schema)
+            return None
         raise
-    types = {f.name: f.dataType for f in schema.fields}
-    names = [headers.get(_header_name(c), _header_name(c).lower()) for c in raw_cols]
-    file_schema = StructType([StructField(n, types.get(n, StringType())) for n in names])
-    reader = base.schema(file_schema).option("enforceSchema", True).option("mode", "FAILFAST")
-    if locale:
-        reader = reader.option("locale", locale)
-    return reader.csv(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType, options: dict[str, str]) -> DataFrame:
+    """The records behind each file's header, with ``schema``, read in byte ranges also if fields hold line breaks
+    (``sources.csv_records``); a file that can't be cut is read as a whole, by one task."""
+    kind = csv_records.shape(spark, path, options["sep"]) if options["encoding"].upper() in ("UTF-8", "UTF8") else "whole"
+    if kind == "records":
+        rows = csv_records.records(spark, path, options["sep"])
+        if rows is not None:
+            return csv_records.parse(rows, schema, {**options, "mode": "FAILFAST"})
+        kind = "whole"
+    return (spark.read.options(**options).option("header", True).option("multiLine", kind == "whole").schema(schema)
+            .option("enforceSchema", True).option("mode", "FAILFAST").csv(path))
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -138,9 +155,10 @@ def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";"
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    base = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-            .option("quote", '"').option("escape", '"'))
-    raw_cols = base.csv(path).columns
+    options = {"sep": sep, "encoding": "UTF-8", **_QUOTING, **({"locale": "pt-BR"} if decimal_comma else {})}
+    raw_cols = header_of(spark, path, options)
+    if raw_cols is None:
+        raise FileNotFoundError(path)
     money = {"TOTAL_GASTO", *[str(m) for m in range(1, 10)]}
 
     def typ(h: str):
@@ -148,8 +166,4 @@ def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";"
         if n in money:
             return MONEY
         return LongType() if n == "COD" else StringType()
-    schema = StructType([StructField(c, typ(c)) for c in raw_cols])
-    reader = base.schema(schema).option("enforceSchema", True).option("mode", "FAILFAST")
-    if decimal_comma:
-        reader = reader.option("locale", "pt-BR")
-    return reader.csv(path)
+    return read_records(spark, path, StructType([StructField(c, typ(c)) for c in raw_cols]), options)

@@ -1,0 +1,203 @@
+"""One CSV file in many byte ranges must read as it does whole: line breaks, doubled and stray quotes, long records."""
+
+import os
+import random
+import tempfile
+from decimal import Decimal as D
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql.types import DecimalType, StringType, StructField, StructType
+
+from ledgerlens.sources import csv_records as C
+from ledgerlens.sources.files import _QUOTING, read_billing_csv, read_records, read_roster
+
+SCHEMA = StructType([StructField(c, StringType()) for c in "abc"])
+OPTIONS = {"sep": ";", "encoding": "UTF-8", **_QUOTING}
+
+
+@pytest.fixture
+def small_ranges(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "64"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write(*texts: str) -> str:
+    d = tempfile.mkdtemp(prefix="ledgerlens-csv-")
+    for n, text in enumerate(texts):
+        with open(os.path.join(d, f"part-{n}.csv"), "wb") as f:
+            f.write(text.encode())
+    return d if len(texts) > 1 else os.path.join(d, "part-0.csv")
+
+
+def cell(rng: random.Random, stray: bool) -> str:
+    plain = "".join(rng.choice("xyzé ,") for _ in range(rng.randint(0, 9)))
+    kind = rng.random()
+    if kind < 0.5:
+        return plain
+    if stray and kind < 0.6:
+        return f'{plain or "p"}"{plain}'  # a quote inside an unquoted field is a character
+    if stray and kind < 0.65:
+        return f'"{plain}"tail'
+    inner = "".join(rng.choice(['\n', '""', ";", "w", "v ", "\n\n"]) for _ in range(rng.choice([0, 2, 5, 30])))
+    return f'"{plain}{inner}"'
+
+
+def table(seed: int, rows: int, stray: bool, end: str = "\n") -> str:
+    rng = random.Random(seed)
+    lines = ["a;b;c"]
+    for n in range(rows):
+        lines.append(";".join([f"{n}", cell(rng, stray), cell(rng, stray)]))
+        if rng.random() < 0.05:
+            lines.append("")
+    return end.join(lines) + (end if seed % 2 else "")
+
+
+def whole(spark, path):
+    reader = spark.read.options(**OPTIONS).option("header", True).option("multiLine", True).schema(SCHEMA).option("enforceSchema", True)
+    return sorted(map(tuple, reader.option("mode", "FAILFAST").csv(path).collect()), key=repr)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ranges_read_as_the_whole_file(spark, small_ranges, seed):
+    path = write(table(seed, 150, stray=seed >= 3))
+    df = read_records(spark, path, SCHEMA, OPTIONS)
+    assert C.shape(spark, path, ";") == "records"
+    got = rows(df)
+    assert got == whole(spark, path) and len(got) == 150
+    assert df.rdd.getNumPartitions() > 8
+    spread = C.lines_of(spark, path).select("start").distinct().count()
+    assert spread > 8
+
+
+def test_several_files_each_with_a_header(spark, small_ranges):
+    path = write(table(1, 60, True), "a;b;c\n", table(2, 60, False), 'a;b;c\n1;"x\ny";z')
+    got = rows(read_records(spark, path, SCHEMA, OPTIONS))
+    assert got == whole(spark, path) and len(got) == 121
+
+
+def test_a_record_over_many_ranges(spark, small_ranges):
+    long = "\n".join(f"line {i} of a long cell; with ""quotes" for i in range(200))
+    text = f'a;b;c\n1;"{long}";x\n2;"{long}\n";"y"\n3;p;q\n4;"{long}";"{long}"'
+    path = write(text)
+    got = rows(read_records(spark, path, SCHEMA, OPTIONS))
+    assert got == whole(spark, path) and got[0][1] == long
+
+
+def test_a_header_with_a_line_break(spark, small_ranges):
+    path = write('a;"b\nb";c\n' + "".join(f'{i};"u\nv";w\n' for i in range(50)))
+    assert rows(read_records(spark, path, SCHEMA, OPTIONS)) == whole(spark, path)
+    path = write('a;"b' + "\n" * 300 + 'b";c\n' + "".join(f'{i};"u\nv";w\n' for i in range(50)))
+    got = rows(read_records(spark, path, SCHEMA, OPTIONS))
+    assert got == whole(spark, path) and len(got) == 50
+
+
+def test_lines_without_breaks_go_to_the_plain_reader(spark, small_ranges):
+    path = write('a;b;c\r\n' + "".join(f'{i};"p ""q"" {i}";5" pipe\r\n' for i in range(100)))
+    assert C.shape(spark, path, ";") == "lines"
+    df = read_records(spark, path, SCHEMA, OPTIONS)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and df.rdd.getNumPartitions() > 8
+    assert rows(df) == whole(spark, path)
+
+
+def test_carriage_returns(spark, small_ranges):
+    path = write(table(3, 80, False, "\r\n").replace("\n\n", "\n"))
+    assert C.shape(spark, path, ";") in ("records", "whole")
+    assert len(read_records(spark, path, SCHEMA, OPTIONS).collect()) == 80
+    path = write("a;b;c\r1;2;3\r4;5;6\r")
+    assert C.shape(spark, path, ";") == "whole" and rows(read_records(spark, path, SCHEMA, OPTIONS)) == whole(spark, path)
+
+
+def test_too_long_a_shared_record_is_read_whole(spark, small_ranges, monkeypatch):
+    """The parts of a record are kept up to a bound; the reader that takes the file whole takes over beyond it."""
+    calls = []
+    monkeypatch.setattr(C, "records", lambda *a: calls.append(a) or None)
+    path = write(table(1, 40, False))
+    assert rows(read_records(spark, path, SCHEMA, OPTIONS)) == whole(spark, path) and calls
+
+
+def test_parts_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(C, "PART_BYTES", 50)
+    r = C._Range("f", 10)
+    lines = pa.array(["x" * 30, "y" * 30, 'z"'])
+    r.add(lines, *C._Ends(";")(lines))
+    assert r.row()["head"] is None and r.row()["tail_out"] == "" and r.row()["tail_in"] == ""
+
+
+@pytest.mark.parametrize("sep", [";", ",", "\t", "|"])
+def test_a_line_alone(spark, sep):
+    """Both bits of a line against a reader that goes character by character; and the JVM's pattern against Python's."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(['"', '"', sep, "x", '""']) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    lines += ['"' * 900, f'x{sep}' * 900 + '"', f'"a"{sep}' * 300 + '"b']
+
+    def ends(line, inside):
+        state = "quoted" if inside else "begin"
+        i = 0
+        while i < len(line):
+            c = line[i]
+            if state == "begin":
+                state = "quoted" if c == '"' else "begin" if c == sep else "plain"
+            elif state == "plain":
+                state = "begin" if c == sep else "plain"
+            elif c == '"':
+                if line[i + 1:i + 2] == '"':
+                    i += 1
+                else:
+                    state = "begin" if line[i + 1:i + 2] == sep else "plain"
+                    i += line[i + 1:i + 2] == sep
+            i += 1
+        return state == "quoted"
+
+    a, b = C._Ends(sep)(pa.array(lines))
+    want = [(ends(x, False), ends(x, True)) for x in lines]
+    assert [(bool(x), bool(y)) for x, y in zip(a, b)] == want
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    open_ = {r.n for r in df.where(C.opens(df.value, sep)).collect()}
+    assert open_ >= {n for n, w in enumerate(want) if w[0]} and open_ - {n for n, w in enumerate(want) if w[0]} <= {3000, 3001}
+
+
+def test_states_are_composed():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 20))
+        a, b = rng.integers(0, 2, n), rng.integers(0, 2, n)
+        for s in (0, 1):
+            want, now = [], s
+            for x, y in zip(a, b):
+                now = int(y if now else x)
+                want.append(now)
+            assert C.states_after(a, b, s).tolist() == want
+
+
+def test_billing_file_with_line_breaks(spark, small_ranges):
+    text = "NUMPED;FORNECEDOR;CNPJ_CLIENTE;TOTAL_FATURADO\n" + "".join(f'{i};"Acme\nLtda; ""{i}""";5;1{i},50\n' for i in range(100))
+    df = read_billing_csv(spark, write("﻿" + text))
+    got = {r.order_id: (r.supplier_name, r.billed) for r in df.collect()}
+    assert got == {i: (f'Acme\nLtda; "{i}"', D(f"1{i}.50")) for i in range(100)} and df.rdd.getNumPartitions() > 4
+
+
+def test_roster_with_line_breaks(spark, small_ranges):
+    path = write('ESTADO;COD;RAZAO;TOTAL_GASTO;1\n' + "".join(f' ce ;{i};"Loja\n{i}";1{i},25;0,50\n' for i in range(60)))
+    df = read_roster(spark, path, decimal_comma=True)
+    assert {(r.COD, r.RAZAO, r.TOTAL_GASTO) for r in df.collect()} == {(i, f"Loja\n{i}", D(f"1{i}.25")) for i in range(60)}
+    assert isinstance(df.schema["1"].dataType, DecimalType)
+    with pytest.raises(FileNotFoundError):
+        read_roster(spark, "/nonexistent/roster.csv")
+
+
+def test_a_malformed_number_is_an_error(spark, small_ranges):
+    path = write("NUMPED;FORNECEDOR;TOTAL_FATURADO\n" + "".join(f'{i};"A\nB";x{i}\n' for i in range(5)))
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
+        read_billing_csv(spark, path).collect()
