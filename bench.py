@@ -1,4 +1,4 @@
-"""Benchmark: every catalog query (q01-q26) at $BENCH_SF_DIR on local[$BENCH_CPUS].
+"""Benchmark: the catalog queries q01-q26 at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is executed in full with the ``noop`` sink (every row produced, nothing
 collected). Queries run in catalog order in one session; the shared intermediates (unified
@@ -22,7 +22,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ledgerlens.plans.catalog import QUERIES  # noqa: E402
+from ledgerlens.plans.catalog import QUERIES as CATALOG  # noqa: E402
 from ledgerlens.plans.stage import forget  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
 from ledgerlens.sources.fixtures import forget_tables  # noqa: E402
@@ -30,6 +30,8 @@ from ledgerlens.sources.fixtures import forget_tables  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+#: The reference's operators; the same results by another layout or path (from q27 on) are not timed.
+QUERIES = {name: fn for name, fn in CATALOG.items() if name < "q27"}
 WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
 
 

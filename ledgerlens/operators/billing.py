@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
 from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, row_bound
+from ledgerlens.plans.layout import Layout
 from ledgerlens.plans.stage import Run
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
@@ -292,6 +293,19 @@ class BillingTables:
     promo_codes: DataFrame
 
 
+def movement_sums(movements: DataFrame) -> DataFrame:
+    """Movements summed up by order, supplier and operation: all that the billing operators ask of them. A hot order, or
+    supplier, is combined in tasks before the exchange and keeps a row for each of its suppliers and operations."""
+    return movements.groupBy("order_id", "supplier_key", "op_code").agg(F.sum("value").alias("value"))
+
+
+def colocate(tables: BillingTables, layout: Layout) -> BillingTables:
+    """The same tables with the orders and the movement sums in buckets of the order id: q01 to q06 then aggregate and
+    join them without an exchange."""
+    return replace(tables, header=layout.write(tables.header, "orders", "order_id"),
+                   movements=layout.write(movement_sums(tables.movements), "movements", "order_id"))
+
+
 def build_billing(tables: BillingTables, rules: BillingRules = CAMPAIGN_RULES, observation=None,
                   extract_observation=None, keep: Keep | None = None) -> DataFrame:
     """The unified billing table from the base tables.

@@ -15,10 +15,27 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
 from ledgerlens.plans.broadcast import broadcast_if_bounded
+from ledgerlens.plans.layout import Layout
 
 DEMAND_KEYS = ["supplier_name", "supplier_key", "client_name", "client_key", "state"]
 
 
+def line_sums(lines: DataFrame) -> DataFrame:
+    """Order lines (order_id, supplier_id, value) summed up by order and supplier, with their number in ``order_count``."""
+    return lines.groupBy("order_id", "supplier_id").agg(F.sum("value").alias("value"), F.count("order_id").alias("order_count"))
+
+
+def orders_of_lines(sums: DataFrame, orders: DataFrame) -> DataFrame:
+    """The demand's order rows from line sums and orders (order_id, client_id): sum and count distribute over this join,
+    so no raw line is shuffled; in buckets of the order id (``colocate``) nothing is."""
+    return sums.join(orders, "order_id", "inner").select("order_id", "supplier_id", "client_id", "value", "order_count")
+
+
+def colocate(lines: DataFrame, orders: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """Line sums and orders in buckets of the order id, for ``orders_of_lines``."""
+    return layout.write(line_sums(lines), "lines", "order_id"), layout.write(orders, "line_orders", "order_id")
+
+
 def build_demand(orders: DataFrame, suppliers: DataFrame, clients: DataFrame) -> DataFrame:
     """orders(order_id, supplier_id, client_id, value) x suppliers x clients -> demand table.
 

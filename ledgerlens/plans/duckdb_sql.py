@@ -108,6 +108,9 @@ select client_key, 'R$ ' || translate(format('{:,.2f}', flow_diff), ',.', '.,')
 select branch_id, order_id, cast(supplier_key as varchar) supplier_key, supplier_name,
   cast(client_key as varchar) client_key, client_name, client_id, state, billed, returned
 from q06_billing_unified""",
+    # The co-located layout changes where rows lie, not what they are.
+    "q27_billing_lines_colocated": "select * from q03_billing_lines",
+    "q28_demand_colocated": "select * from q07_demand",
 }
 
 _NAME = re.compile(r"\bq\d\d_[a-z_]+\b")

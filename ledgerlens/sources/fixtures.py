@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import MONEY
-from ledgerlens.operators.billing import BillingRules, _ts_literal
+from ledgerlens.operators.billing import BillingRules, BillingTables, _ts_literal
+from ledgerlens.operators.demand import line_sums, orders_of_lines
 from ledgerlens.plans.broadcast import broadcast_if_bounded
 from ledgerlens.plans.stage import file_signature
 
@@ -145,17 +146,24 @@ def promo_codes(t: dict[str, DataFrame], p: FixtureParams = FIXTURE) -> DataFram
             .select(F.col("p_partkey").alias("promo_code")))
 
 
+def billing_tables(t: dict[str, DataFrame]) -> BillingTables:
+    return BillingTables(order_header(t), movements(t), clients(t), suppliers(t), promo_codes(t))
+
+
+@_memo
+def demand_lines(t: dict[str, DataFrame]) -> DataFrame:
+    return t["lineitem"].select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("supplier_id"),
+                                F.col("l_extendedprice").cast(MONEY).alias("value"))
+
+
+@_memo
+def line_orders(t: dict[str, DataFrame]) -> DataFrame:
+    return t["orders"].select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("client_id"))
+
+
 @_memo
-def demand_orders(t: dict[str, DataFrame], p: FixtureParams = FIXTURE) -> DataFrame:
-    # Lines are summed up by (order, supplier) first: sum and count distribute over the join with
-    # the orders, and no raw line is shuffled.
-    pairs = (t["lineitem"].groupBy("l_orderkey", "l_suppkey")
-             .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("value"), F.count("l_orderkey").alias("order_count")))
-    o = t["orders"].select("o_orderkey", "o_custkey")
-    return (pairs.join(o, pairs["l_orderkey"] == o["o_orderkey"], "inner")
-            .select(F.col("l_orderkey").alias("order_id"),
-                    F.col("l_suppkey").alias("supplier_id"),
-                    F.col("o_custkey").alias("client_id"), "value", "order_count"))
+def demand_orders(t: dict[str, DataFrame]) -> DataFrame:
+    return orders_of_lines(line_sums(demand_lines(t)), line_orders(t))
 
 
 @_memo
