@@ -8,9 +8,9 @@ Plan shape (what scales):
   total is a window sum over the order partitioning that the header join then reuses. One
   scan of the movements feeds both.
 * The order header is filtered first (window / status / sale type are pushed into the
-  Parquet scan). When the surviving campaign order ids are provably few, the movements are
-  semi-joined to them map-side (broadcast filter) before aggregating; otherwise all
-  movements are aggregated and the joins drop the rest - never a raw-row shuffle by order.
+  Parquet scan). The surviving campaign order ids filter the movements map-side before these
+  are aggregated: a broadcast of few ids, of the ids' bits if they are many - never a raw-row
+  shuffle by order.
 * Dimensions (clients, suppliers, promotion codes) are broadcast only behind a checked row
   bound (``plans.broadcast``); above it they are shuffle-joined.
 * The qualifying header of the unified table is built once: a read with the window rule pushed
@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.money import to_money
-from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, row_bound
+from ledgerlens.plans.broadcast import broadcast_if_bounded
 from ledgerlens.plans.layout import Layout
+from ledgerlens.plans.runtime_filter import only
 from ledgerlens.plans.stage import Run
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
@@ -153,16 +154,13 @@ def billing_lines(header: DataFrame, movements: DataFrame, clients: DataFrame,
     The order total is repeated on every supplier row of the order (the extract's fan-out);
     orders without movements keep one row with NULL supplier.
 
-    ``campaign_slice``: the header was filtered to a campaign. If its order ids are within
-    the broadcast bound, movements are first semi-joined to them *map-side* (a broadcast
-    filter: no shuffle, nothing skewed); otherwise the movement aggregates run on all
-    movements and the joins below drop what the campaign does not need.
+    ``campaign_slice``: the header was filtered to a campaign. Its order ids first filter the
+    movements *map-side* (``plans.runtime_filter``: a range pushed into the scan, then a broadcast of
+    the ids or of their bits), so that the aggregates read the campaign's movements only.
     ``carry``: extra header columns to keep.
     """
     if campaign_slice:
-        ids = header.select("order_id")
-        if is_bounded(ids, row_bound(ids)):
-            movements = movements.join(F.broadcast(ids), "order_id", "left_semi")
+        movements = only(movements, header.select("order_id"), "order_id")
     party = broadcast_if_bounded(
         clients.select("client_id", "client_key", "client_name", "state"))
     with_client = (header

@@ -49,10 +49,14 @@ def _width(dt: DataType) -> int:
     return 8
 
 
+def max_broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(_BYTES_KEY, str(DEFAULT_MAX_BYTES)))
+
+
 def row_bound(df: DataFrame) -> int:
     """Rows allowed for a broadcast of ``df``: the row setting, lowered for wide rows."""
     spark = df.sparkSession
-    max_bytes = int(spark.conf.get(_BYTES_KEY, str(DEFAULT_MAX_BYTES)))
+    max_bytes = max_broadcast_bytes(spark)
     width = 8 + sum(_width(f.dataType) + 8 for f in df.schema.fields)
     return max(1, min(max_broadcast_rows(spark), max_bytes // width))
 
