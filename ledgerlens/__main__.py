@@ -11,7 +11,8 @@
 takes its settings from the environment or ``--master`` / ``--conf``; credentials are read by
 ``sources.jdbc.credentials`` (prefixes ``oracle`` and ``postgres``). A big table without a partitioning
 is an error unless ``--single-task`` is given. Of the movements, only those of orders that the
-campaign may let in are requested. A missing input of ``reports`` ends with code 2 and no report.
+campaign may let in are requested. Every output is published (``plans.publish``): a new version beside the old
+one, all reports of a run in one version; ``folder`` in the printed line is where it is. A missing input of ``reports`` ends with code 2 and no report.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from ledgerlens.operators.report_set import report_set
         from ledgerlens.operators.scope import permitted_state
-        from ledgerlens.operators.sinks import export
+        from ledgerlens.operators.sinks import export_all
         from ledgerlens.sources.files import load_inputs, missing_paths, read_roster
         missing = missing_paths(spark, a.billing, a.demand, *[a.roster] * bool(a.roster))
         if missing:
@@ -104,9 +105,8 @@ def main(argv: list[str] | None = None) -> int:
         roster = read_roster(spark, a.roster, decimal_comma=a.roster_decimal_comma) if a.roster else None
         state = permitted_state(a.user, a.state)
         with report_set(billing, demand, state, roster=roster, display=a.display) as reports:
-            for name, df in reports.items():
-                export(df, f"{a.out.rstrip('/')}/{name}", fmt="csv" if a.display else "parquet")
-        print(json.dumps({"state": state, "reports": sorted(reports)}))
+            written = export_all(reports, a.out, fmt="csv" if a.display else "parquet")
+        print(json.dumps({"state": state, "reports": sorted(reports), "folder": written}))
     return 0
 
 

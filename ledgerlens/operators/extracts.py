@@ -31,11 +31,13 @@ def billing_extract(tables: dict[str, DataFrame], promo_codes: DataFrame, out_pa
     """Write the unified billing as Parquet (+ CSV); return the observed row counts."""
     spark = promo_codes.sparkSession
     run, extracts, after = Run(spark), Observation("billing_extracts"), Observation("billing_unified")
-    export(build_billing(billing_tables(tables, promo_codes, rules), rules, after, extracts, run.keep), out_path)
-    run.remove()
+    try:
+        written = export(build_billing(billing_tables(tables, promo_codes, rules), rules, after, extracts, run.keep), out_path)
+    finally:
+        run.remove()
     counts = {**extracts.get, **after.get}
     if csv_path:
-        write_billing_csv(spark.read.parquet(out_path), csv_path)
+        write_billing_csv(spark.read.parquet(written), csv_path)
     return counts
 
 
@@ -44,8 +46,8 @@ def demand_extract(tables: dict[str, DataFrame], out_path: str, csv_path: str |
     demand, obs = counted(build_demand(erp.portal_orders(tables["pedido"]),
                                        erp.portal_suppliers(tables["fornecedor"]),
                                        erp.portal_clients(tables["cliente"])), "demand_extract")
-    export(demand, out_path)
+    written = export(demand, out_path)
     counts = {"demand_rows": obs.get["rows"]}
     if csv_path:
-        write_demand_csv(demand.sparkSession.read.parquet(out_path), csv_path)
+        write_demand_csv(demand.sparkSession.read.parquet(written), csv_path)
     return counts

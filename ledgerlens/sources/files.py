@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerlens.functions.money import MONEY
+from ledgerlens.plans.publish import resolve
 from ledgerlens.schemas import (
     BILLING_FILE_HEADERS,
     BILLING_FILE_SCHEMA,
@@ -38,6 +39,7 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers: dict[str, str],
                    sep: str = ";", locale: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Read a headed CSV into canonical names and types; a missing path gives an empty table."""
+    path = resolve(spark, path)
     options = {"sep": sep, "encoding": encoding, **_QUOTING, **({"locale": locale} if locale else {})}
     raw_cols = header_of(spark, path, options)
     if raw_cols is None:
@@ -121,7 +123,7 @@ def missing_paths(spark: SparkSession, *paths: str) -> list[str]:
     out = []
     for p in paths:
         try:
-            spark.read.format("text").load(p)
+            spark.read.format("text").load(resolve(spark, p))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise
@@ -140,6 +142,7 @@ def load_inputs(spark: SparkSession, billing_path: str, demand_path: str,
     if missing:
         logging.getLogger("ledgerlens").error("no input at %s: both inputs are empty", " and ".join(missing))
         return _empty(spark, BILLING_FILE_SCHEMA), _empty(spark, DEMAND_FILE_SCHEMA)
+    billing_path, demand_path = resolve(spark, billing_path), resolve(spark, demand_path)
     if fmt == "csv":
         return read_billing_csv(spark, billing_path), read_demand_csv(spark, demand_path)
     return conform_billing(spark.read.parquet(billing_path)), conform_demand(spark.read.parquet(demand_path))
@@ -153,6 +156,7 @@ def read_roster(spark: SparkSession, path: str, fmt: str = "csv", sep: str = ";"
     for CSV the money columns (TOTAL_GASTO, 1..9) and COD are typed at read time, parsing
     ``1.234,56`` when ``decimal_comma`` (a pt-BR export). Other columns stay text.
     """
+    path = resolve(spark, path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     options = {"sep": sep, "encoding": "UTF-8", **_QUOTING, **({"locale": "pt-BR"} if decimal_comma else {})}

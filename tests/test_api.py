@@ -1,5 +1,6 @@
 """Public API end to end: extracts from source-shaped tables, hand-off files, the user's report set."""
 
+import json
 import tempfile
 from decimal import Decimal as D
 
@@ -101,7 +102,9 @@ def test_command_line_reports(spark):
                           "--out", f"{d}/reports", "--display"],
                          env=env, capture_output=True, text=True, timeout=600, check=True).stdout
     assert '"state": "CE"' in out
-    back = spark.read.option("header", True).option("sep", ";").csv(f"{d}/reports/client_detail")
+    folder = json.loads(out.strip().splitlines()[-1])["folder"]
+    assert folder.startswith(f"{d}/reports/")
+    back = spark.read.option("header", True).option("sep", ";").csv(f"{folder}/client_detail")
     assert [r["Cliente"] for r in back.collect()] == ["Ana"]
 
 

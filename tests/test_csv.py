@@ -122,8 +122,8 @@ def test_demand_csv_round_trip_with_upstream_headers(spark):
     from ledgerlens.operators.sinks import write_demand_csv
     demand = C.staged_demand(spark, SF01)
     path = tempfile.mkdtemp(prefix="ledgerlens-dm-") + "/out"
-    write_demand_csv(demand, path)
-    header = spark.read.option("header", True).option("sep", ";").csv(path).columns
+    folder = write_demand_csv(demand, path)
+    header = spark.read.option("header", True).option("sep", ";").csv(folder).columns
     assert header[:2] == ["fornecedor_nome", "fornecedor_cnpj"]
     back = read_demand_csv(spark, path)
     cols = ["supplier_name", "client_name", "state", "ordered", "order_count"]
@@ -145,6 +145,6 @@ def test_edge_white_space_and_line_breaks_survive(spark):
     demand = spark.createDataFrame([(" Acme ", "1", "Ana\nBia", "2", "CE", D("1.00"), 1)], DEMAND_FILE_SCHEMA)
     write_demand_csv(demand, f"{path}/d")
     assert read_demand_csv(spark, f"{path}/d").collect() == demand.collect()
-    export(demand, f"{path}/e", fmt="csv")
-    back = spark.read.option("header", True).option("sep", ";").option("multiLine", True).option("escape", '"').csv(f"{path}/e")
+    folder = export(demand, f"{path}/e", fmt="csv")
+    back = spark.read.option("header", True).option("sep", ";").option("multiLine", True).option("escape", '"').csv(folder)
     assert back.first().supplier_name == " Acme "

@@ -1,0 +1,109 @@
+"""Publishing: a reader during a rewrite, and after a failed one, gets the last finished version whole."""
+
+import os
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.operators.sinks import export, export_all, write_billing_csv
+from ledgerlens.plans import publish as P
+from ledgerlens.schemas import BILLING_FILE_SCHEMA
+from ledgerlens.sources.files import read_billing_csv
+
+
+def versions(path):
+    return sorted(x for x in os.listdir(path) if x.startswith("v-"))
+
+
+def numbers(spark, path):
+    return sorted(r[0] for r in spark.read.parquet(P.resolve(spark, path)).collect())
+
+
+def test_readers_get_the_last_version(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert P.resolve(spark, path) == path and P.current(spark, path) is None
+    first = export(spark.range(3), path)
+    assert P.resolve(spark, path) == first and numbers(spark, path) == [0, 1, 2]
+    before = spark.read.parquet(P.resolve(spark, path))
+    export(spark.range(5), path)
+    assert numbers(spark, path) == [0, 1, 2, 3, 4]
+    assert before.count() == 3  # a reader that has begun finishes on its version
+    export(spark.range(7), path)
+    assert len(versions(path)) == P.KEPT and first.rsplit("/", 1)[1] not in versions(path)
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    export(spark.range(3), path)
+    bad = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("broken row"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken row"):
+        export(bad, path)
+    assert numbers(spark, path) == [0, 1, 2] and len(versions(path)) == 1
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path):
+    """All files are there, the manifest isn't: what a killed driver leaves."""
+    path = str(tmp_path / "out")
+    export(spark.range(3), path)
+    left = f"{path}/{P.new_folder()}"
+    spark.range(9).write.parquet(left)
+    assert numbers(spark, path) == [0, 1, 2]
+    os.utime(left, (1, 1))
+    export(spark.range(4), path)
+    assert numbers(spark, path) == [0, 1, 2, 3] and not os.path.exists(left)
+
+
+def test_a_reader_during_a_rewrite(spark, tmp_path):
+    path = str(tmp_path / "out")
+    export(spark.range(3), path)
+    begun, go = threading.Event(), threading.Event()
+
+    def write(folder):
+        spark.range(50).write.parquet(f"{folder}/half")
+        begun.set()
+        go.wait(60)
+        spark.range(4).write.parquet(f"{folder}/whole")
+
+    t = threading.Thread(target=P.publish, args=(spark, path, write))
+    t.start()
+    assert begun.wait(60)
+    assert numbers(spark, path) == [0, 1, 2]
+    go.set()
+    t.join(60)
+    assert sorted(os.listdir(P.resolve(spark, path))) == ["half", "whole"]
+
+
+def test_writers_at_the_same_time_take_a_number_each(spark, tmp_path):
+    path = str(tmp_path / "out")
+    threads = [threading.Thread(target=P.publish, args=(spark, path, spark.range(n).write.parquet), kwargs={"kept": 9}) for n in (1, 2, 3)]
+    [t.start() for t in threads], [t.join(120) for t in threads]
+    names = [n for n in os.listdir(f"{path}/_versions") if n.isdigit()]
+    assert sorted(names) == [f"{n:012d}" for n in (1, 2, 3)] and len(versions(path)) == 3
+
+
+def test_several_tables_are_one_version(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    export_all({"a": spark.range(2), "b": spark.range(3)}, path)
+    bad = spark.range(4).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        export_all({"a": spark.range(9), "b": bad}, path)
+    now = P.resolve(spark, path)
+    assert (spark.read.parquet(f"{now}/a").count(), spark.read.parquet(f"{now}/b").count()) == (2, 3)
+
+
+def test_hand_off_csv_is_published(spark, tmp_path):
+    path = str(tmp_path / "billing")
+    rows = [("1", 10, "100", "Acme", "7", "Ana\nB", 7, "CE", None, None)]
+    df = spark.createDataFrame(rows, BILLING_FILE_SCHEMA)
+    folder = write_billing_csv(df, path)
+    assert folder == P.resolve(spark, path)
+    assert [tuple(r) for r in read_billing_csv(spark, path).select(*BILLING_FILE_SCHEMA.names).collect()] == rows
+    write_billing_csv(df.limit(0), path)
+    assert read_billing_csv(spark, path).count() == 0 and read_billing_csv(spark, folder).count() == 1
+
+
+def test_an_ordinary_folder_resolves_to_itself(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(2).write.parquet(path)
+    assert P.resolve(spark, path) == path and P.resolve(spark, f"{path}/") == f"{path}/"
