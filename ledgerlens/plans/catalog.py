@@ -22,8 +22,10 @@ from ledgerlens.operators import reports as P
 from ledgerlens.operators import scope as S
 from ledgerlens.operators.demand import build_demand, orders_of_lines
 from ledgerlens.operators.demand import colocate as colocate_lines
-from ledgerlens.operators.sinks import csv_roundtrip
+from ledgerlens.operators.refresh import refresh
+from ledgerlens.operators.sinks import csv_roundtrip, write_billing_csv, write_demand_csv
 from ledgerlens.plans.layout import Layout
+from ledgerlens.plans.scratch import scratch_path
 from ledgerlens.plans.stage import Run, stage, stage_key
 from ledgerlens.sources import fixtures as X
 
@@ -213,6 +215,15 @@ def q28_demand_colocated(spark, sf_dir):
     return build_demand(orders_of_lines(sums, orders), X.demand_suppliers(t), X.demand_clients(t))
 
 
+def q29_refreshed_reconciliation(spark, sf_dir):
+    """The client reconciliation from the shares of hand-off files, brought up to date."""
+    root = scratch_path(spark, _key(spark, "refresh", sf_dir))
+    write_billing_csv(staged_billing(spark, sf_dir), f"{root}/billing")
+    write_demand_csv(staged_demand(spark, sf_dir), f"{root}/demand")
+    now = refresh(spark, f"{root}/billing", f"{root}/demand", f"{root}/shares")
+    return R.reconcile_client(now.billing, now.demand)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "q" and name[1:3].isdigit() and callable(fn)

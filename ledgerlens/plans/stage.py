@@ -39,14 +39,25 @@ def stage_key(name: str, *parts: object) -> str:
     return f"{name}-{digest}"
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and modification time of the data files at ``path``, also in folders within; hidden ones are left out."""
+    conf, root = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = root.getFileSystem(conf), []
+    todo = [root]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            if s.getPath().getName()[:1] in ("_", "."):
+                continue
+            if s.isDirectory():
+                todo.append(s.getPath())
+            else:
+                out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
 def file_signature(spark: SparkSession, *paths: str) -> str:
-    """A digest of the files at the paths: names, lengths, modification times (flat folders)."""
-    conf, seen = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        for s in path.getFileSystem(conf).listStatus(path):
-            seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+    """A digest of the files at the paths: names, lengths, modification times."""
+    return hashlib.sha256(repr([f for p in paths for f in list_files(spark, p)]).encode()).hexdigest()
 
 
 class Run:

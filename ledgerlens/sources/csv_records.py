@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,21 @@ def _opens(sep: str, possessive: str = "+") -> str:
     return f'(?:(?:{quoted}"[^{d}]*{possessive}|[^"{d}][^{d}]*{possessive}|){d})*{possessive}{quoted}$'
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
+def file_key(path: str) -> str:
+    """A path as ``file_name`` gives it."""
+    return re.sub("^file:/+", "file:/", unquote(path))
+
+
+def file_name() -> Column:
+    """The path of the file that a row of a scan is from."""
+    plus = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(plus), "^file:/+", "file:/")
+
+
+def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``value``, and the file and byte range (its start) that a line is from. A carriage return before a line feed stays."""
     return spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        "value", file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def opens(value: Column, sep: str) -> Column:
@@ -199,13 +211,13 @@ def _whole_records(sep: str, begins: dict[tuple[str, int], int]):
             if not skip:
                 held += texts[first:]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([file] * len(out), pa.string())], names=["record", "file"])
 
     return rows
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
-    """``record``: the text of each record behind its file's header; None if a range shares too long a record with another."""
+def records(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame | None:
+    """``record`` and ``file``: the text of each record behind its file's header; None if a range shares too long a record with another."""
     ship(spark)
     lines = lines_of(spark, path)
     run = Run(spark)
@@ -227,18 +239,19 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
     ordered = Window.partitionBy("file").orderBy("start", "kind")
     glued = (parts.withColumn("n", F.sum("kind").over(ordered)).groupBy("file", "n")
              .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "text"))).alias("p"), F.max("header").alias("header")).where("not header")
-             .select(F.array_join(F.transform("p", lambda x: x.text), "\n").alias("record")))
-    return lines.mapInArrow(_whole_records(sep, begins), "record string").union(glued)
+             .select(F.array_join(F.transform("p", lambda x: x.text), "\n").alias("record"), "file"))
+    return lines.mapInArrow(_whole_records(sep, begins), "record string, file string").union(glued)
 
 
-def parse(record_rows: DataFrame, schema: StructType, options: dict[str, str]) -> DataFrame:
-    """Records to typed columns, in the JVM."""
+def parse(record_rows: DataFrame, schema: StructType, options: dict[str, str], file_column: str | None = None) -> DataFrame:
+    """Records to typed columns, in the JVM, and the path of each one's file if asked for."""
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     record = F.regexp_replace("record", "\r$", "")
-    return record_rows.select(F.from_csv(record, fields, options).alias("_r")).select("_r.*")
+    more = [F.col("file").alias(file_column)] if file_column else []
+    return record_rows.select(F.from_csv(record, fields, options).alias("_r"), *more).select("_r.*", *[file_column] * bool(file_column))
 
 
-def shape(spark: SparkSession, path: str, sep: str) -> str:
+def shape(spark: SparkSession, path: str | list[str], sep: str) -> str:
     """'lines' if every line is a record, 'records' if records may span lines, 'whole' if only the whole file can be read."""
     value = F.col("value")
     bare = F.instr(F.expr("substring(value, 1, length(value) - 1)"), "\r") > 0

@@ -24,6 +24,7 @@ from ledgerlens.schemas import (
     DEMAND_FILE_SCHEMA,
 )
 from ledgerlens.sources import csv_records
+from ledgerlens.sources.csv_records import file_name
 
 DEFAULT_BRANCH = "FILIAL_UNICA"  # fixed value: branch of a billing file without a branch column
 
@@ -36,17 +37,20 @@ def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers: dict[str, str],
-                   sep: str = ";", locale: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Read a headed CSV into canonical names and types; a missing path gives an empty table."""
-    path = resolve(spark, path)
+def read_csv_typed(spark: SparkSession, path: str | list[str], schema: StructType, headers: dict[str, str], sep: str = ";",
+                   locale: str | None = None, encoding: str = "UTF-8", file_column: str | None = None) -> DataFrame:
+    """Read a headed CSV into canonical names and types; a missing path gives an empty table.
+
+    ``file_column``: also the path of each row's file, under this name. Files of a list are read as they are; a path is
+    resolved, if it is published."""
+    path = resolve(spark, path) if isinstance(path, str) else path
     options = {"sep": sep, "encoding": encoding, **_QUOTING, **({"locale": locale} if locale else {})}
     raw_cols = header_of(spark, path, options)
     if raw_cols is None:
         return _empty(spark, schema)
     types = {f.name: f.dataType for f in schema.fields}
     names = [headers.get(_header_name(c), _header_name(c).lower()) for c in raw_cols]
-    return read_records(spark, path, StructType([StructField(n, types.get(n, StringType())) for n in names]), options)
+    return read_records(spark, path, StructType([StructField(n, types.get(n, StringType())) for n in names]), options, file_column)
 
 
 # RFC 4180 quoting (a quote inside a quoted field is doubled, a quoted field may hold line breaks), as spreadsheet
@@ -54,7 +58,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: StructType, headers:
 _QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def header_of(spark: SparkSession, path: str, options: dict[str, str]) -> list[str] | None:
+def header_of(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> list[str] | None:
     """The header's cells as they are written; None if there is nothing at the path."""
     try:
         return spark.read.options(**options).option("header", True).option("multiLine", True).csv(path).columns
@@ -64,17 +68,19 @@ def header_of(spark: SparkSession, path: str, options: dict[str, str]) -> list[s
         raise
 
 
-def read_records(spark: SparkSession, path: str, schema: StructType, options: dict[str, str]) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], schema: StructType, options: dict[str, str],
+                 file_column: str | None = None) -> DataFrame:
     """The records behind each file's header, with ``schema``, read in byte ranges also if fields hold line breaks
     (``sources.csv_records``); a file that can't be cut is read as a whole, by one task."""
     kind = csv_records.shape(spark, path, options["sep"]) if options["encoding"].upper() in ("UTF-8", "UTF8") else "whole"
     if kind == "records":
         rows = csv_records.records(spark, path, options["sep"])
         if rows is not None:
-            return csv_records.parse(rows, schema, {**options, "mode": "FAILFAST"})
+            return csv_records.parse(rows, schema, {**options, "mode": "FAILFAST"}, file_column)
         kind = "whole"
-    return (spark.read.options(**options).option("header", True).option("multiLine", kind == "whole").schema(schema)
+    rows = (spark.read.options(**options).option("header", True).option("multiLine", kind == "whole").schema(schema)
             .option("enforceSchema", True).option("mode", "FAILFAST").csv(path))
+    return rows.select("*", file_name().alias(file_column)) if file_column else rows
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -106,15 +112,15 @@ def conform_demand(df: DataFrame) -> DataFrame:
     return conform(df, DEMAND_FILE_SCHEMA)
 
 
-def read_billing_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_billing_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None) -> DataFrame:
     """The unified billing hand-off: ';' separated, decimal comma, UTF-8 (a BOM is tolerated)."""
-    df = read_csv_typed(spark, path, BILLING_FILE_SCHEMA, BILLING_FILE_HEADERS, sep=";", locale="pt-BR")
+    df = read_csv_typed(spark, path, BILLING_FILE_SCHEMA, BILLING_FILE_HEADERS, sep=";", locale="pt-BR", file_column=file_column)
     return conform_billing(df)
 
 
-def read_demand_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_demand_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None) -> DataFrame:
     """The demand hand-off: ';' separated, decimal point, UTF-8."""
-    df = read_csv_typed(spark, path, DEMAND_FILE_SCHEMA, DEMAND_FILE_HEADERS, sep=";")
+    df = read_csv_typed(spark, path, DEMAND_FILE_SCHEMA, DEMAND_FILE_HEADERS, sep=";", file_column=file_column)
     return conform_demand(df)
 
 
