@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ledgerlens.plans.broadcast import max_broadcast_bytes, row_bound
+from ledgerlens.plans.broadcast import is_bounded, max_broadcast_bytes
 
 #: log2 of the bits in a block (fixed value: the bitmap functions' size), and bytes of a block as it is broadcast.
 BLOCK_BITS, BLOCK_BYTES = 15, 8 * 1024 + 64
@@ -60,7 +60,7 @@ def only(facts: DataFrame, keys: DataFrame, column: str) -> DataFrame:
         return facts.where(F.lit(False))
     kind = facts.schema[column].dataType
     facts = facts.where(key.between(F.lit(size.least).cast(kind), F.lit(size.most).cast(kind)))
-    if size.n <= row_bound(keys):
+    if is_bounded(keys):
         return facts.join(F.broadcast(keys), column, "left_semi")
     room = max_broadcast_bytes(spark) // BLOCK_BYTES
     if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):

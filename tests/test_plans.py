@@ -8,7 +8,7 @@ from ledgerlens.operators import billing as B
 from ledgerlens.operators import reconcile as R
 from ledgerlens.operators import reports as P
 from ledgerlens.plans import catalog as C
-from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded
+from ledgerlens.plans.broadcast import broadcast_if_bounded, is_bounded, measured_size
 from ledgerlens.sources import fixtures as X
 
 
@@ -102,6 +102,31 @@ def test_bound_check_sees_new_rows_at_a_path(spark, tmp_path):
     assert not is_bounded(spark.read.parquet(path), 10)
 
 
+@pytest.mark.parametrize("wide", ["text", "bytes", "list", "names"])
+def test_a_few_rows_of_very_wide_values_are_not_broadcast(spark, wide):
+    """Bytes are measured, not estimated from the types."""
+    from pyspark.sql import functions as F
+    text = F.repeat(F.lit("é"), 500_000)
+    values = {"text": text, "bytes": text.cast("binary"), "list": F.array(text, text), "names": F.struct(text.alias("n"), F.lit(1).alias("m"))}
+    side = spark.range(100).select("id", values[wide].alias("v"))
+    spark.conf.set("ledgerlens.broadcast.maxBytes", str(90 * 1_000_000))
+    try:
+        rows, size = measured_size(side)
+        assert rows == 100 and 100 * 1_000_000 <= size <= 100 * 2_100_000
+        facts = spark.range(1000)
+        assert "BroadcastHashJoin" not in plan(facts.join(broadcast_if_bounded(side), "id"))
+        assert "BroadcastHashJoin" in plan(facts.join(broadcast_if_bounded(side.limit(40)), "id"))
+        assert "BroadcastHashJoin" in plan(facts.join(broadcast_if_bounded(side.select("id", F.lit(None).cast("string"))), "id"))
+    finally:
+        spark.conf.unset("ledgerlens.broadcast.maxBytes")
+
+
+def test_the_measure_is_one_aggregate_without_moving_rows(spark):
+    t = X.load_tables(spark, SF01)
+    rows, size = measured_size(X.suppliers(t))
+    assert rows == t["supplier"].count() and rows * 24 < size < rows * 60
+
+
 @pytest.mark.parametrize("name", ["q03_billing_lines", "q04_billing_window", "q05_billing_promo", "q06_billing_unified", "q07_demand",
                                   "q10_scope_demand", "q24_client_roster"])
 def test_beyond_the_broadcast_bound(spark, name):
