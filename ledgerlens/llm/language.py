@@ -13,12 +13,13 @@ The learned sample gives the least of both: profiles of either half are held aga
 The fit is 1 down to there and falls steeply below. Fewer than ``LEAST_LEARNED`` texts give no such bound.
 
 Training uses a bounded sample: about ``PER_LANGUAGE`` texts of each language, chosen by a hash of
-the text over all labelled rows; it is the only thing that the driver gathers. A language that
+the text over all labelled rows, each different text once; it is the only thing that the driver gathers. A language that
 ``FAMILIES`` doesn't list is a family by itself.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 nothing could be learned (empty table, no labelled rows); with one language learned, that is the
-answer; rows that repeat get the same answer; all input columns come back inside ``row``.
+answer; rows that repeat get the same answer; very long texts are counted whole, one at a time; equal margins
+go to the language that comes first by name; all input columns come back inside ``row``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import pack, table
 
@@ -187,15 +188,19 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
 
     def vectors(batches):
+        seen = set()  # of the sample: copies of a text are learned once
         for b in batches:
-            got = [(lang, k, features(text), text) for text, lang, k in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "k")])]
-            got = [(lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0], letter_share(t)) for lang, k, x, t in got if x is not None]
+            got = []
+            for lang, k, text in zip(b.column("lang").to_pylist(), b.column("k").to_pylist(), b.column("text")):
+                if (lang, k) not in seen and (x := features(text.as_py())) is not None:
+                    got.append((lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0], letter_share(text.as_py())))
+                seen.add((lang, k))
             cols = list(zip(*got)) or [()] * 5
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lang", "k", "at", "x", "share"])
 
     sample = rows.where(spread < share).withColumn("k", F.xxhash64("text")).mapInArrow(
-        vectors, "lang string, k long, at array<short>, x array<float>, share double").toPandas().sort_values(["lang", "k"])
+        vectors, "lang string, k long, at array<short>, x array<float>, share double").dropDuplicates(["lang", "k"]).toPandas().sort_values(["lang", "k"])
     x = np.zeros((len(sample), 1 << BITS), np.float32)
     for i, (at, v) in enumerate(zip(sample["at"], sample["x"])):
         x[i, np.asarray(at, np.int64)] = np.asarray(v)
@@ -206,11 +211,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per input row: ``row``, ``lang_pred``, ``score`` (0 to 1)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
-
-    return pack(docs, id_col, text_col).select("row", predict("text").alias("p")).select("row", "p.*")
+    def rows(batches):
+        for b in batches:
+            row = b.column("row")
+            found = [sent.value.predict(t.as_py()) for t in row.field(text_col)]  # texts one by one, not all at once
+            langs, scores = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            pa.default_memory_pool().release_unused()  # a worker lives on
+
+    base = pack(docs, id_col, text_col).select("row")
+    fields = [base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return base.mapInArrow(rows, T.StructType(fields))
 
 
 def remainder(id_col: str, by: int) -> Column:

@@ -59,7 +59,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((len(lines), len(covered), "\n".join(x for i, x in enumerate(lines) if i not in covered)))
         return pd.DataFrame(out, columns=["n_lines", "n_removed", "kept"])
 
-    return attach(base, later).select("row", cut("text", "starts").alias("cut")).select("row", "cut.*")
+    # A filter on the results would be pushed below and cut all texts a second time, in workers of its own; not if the
+    # function counts as nondeterministic.
+    once = cut.asNondeterministic()
+    return attach(base, later).select("row", once("text", "starts").alias("cut")).select("row", "cut.*")
 
 
 def op6_line_dedup(spark, sf_dir):

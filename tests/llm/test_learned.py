@@ -197,3 +197,13 @@ def test_quality_odd_cases(spark):
     assert quality.train(docs, labels.limit(0), F.lit(True)).score(quality.passages("x")) == 0.5
     assert quality.train(docs, labels.where("quality = 1"), F.lit(True)).score(quality.passages("x")) == 1.0
     assert quality.classify(empty_documents(spark), model).collect() == []
+
+
+def test_copies_of_a_text_are_learned_once(spark, monkeypatch):
+    """A third of a language's rows are one text: the driver's sample holds it once."""
+    rows = [(f"the quick brown fox number {i} jumps over the lazy dog", "en") for i in range(40)] + [("one and the same text over and over", "en")] * 20
+    rows += [(f"der schnelle braune Fuchs Nummer {i} springt", "de") for i in range(60)]
+    sizes = []
+    monkeypatch.setattr(language, "Model", lambda x, langs, *a: sizes.append(langs))
+    language.train(spark.createDataFrame(rows, "text string, lang string").repartition(6), F.lit(True))
+    assert sizes[0].count("en") == 41 and sizes[0].count("de") == 60
