@@ -14,8 +14,10 @@ components, and a group of copies isn't expanded into its pairs. Every candidate
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; fewer
 words than a shingle: the whole sequence is the one shingle; null ids link with nothing, have a
-null component and are kept; rows that share an id are one vertex, their links count together; an
-empty table gives an empty result; all input columns come back inside ``row``.
+null component and are kept; rows that share an id are one vertex, their links count together (``one_of_each``
+compares texts: of two unrelated ones with one id both stay); very long texts are sketched in blocks of shingles; ties
+don't arise, as components go by the smallest id; an empty table gives an empty result. ``near_duplicates`` returns ids
+and marks only, so other columns can't clash; ``one_of_each`` returns the input's columns.
 
 Scale: sketches (some 200 bytes a document) are written once; keys are shuffled as (hash, id). Full
 sets are made only for documents that share a key. Text is read in the scans and is not shuffled
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, broadcast_if_small, pack, staged, table
+from ledgerlens.llm.common import WORD, broadcast_if_small, pack, staged, table
 from ledgerlens.llm.graph import components
 
 PARTS, WIDTH = 9, 3
@@ -239,15 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each component (null ids and empty texts: all)."""
-    marks = near_duplicates(docs, id_col, text_col, **how)
-    # Of several rows with the smallest id, one text, once.
-    least = (marks.where("kept and id is not null and n_shingles > 0").groupBy("id").agg(F.min("k").alias("k")))
-    free = marks.where("id is null or n_shingles = 0").select("id", "k").distinct()
+    """``docs`` with one document of each component, that with the smallest id (null ids and empty texts: all).
+
+    Texts are compared, not ids: of two unrelated texts with one id both stay; of equal rows, one does."""
     base = pack(docs, id_col, text_col)
-    both = least.withColumn("once", F.lit(True)).union(free.withColumn("once", F.lit(False)))
-    hit = attach(base.select("row", "id", "k"), both).where("once is not null")
-    return hit.where("not once").select("row.*").union(hit.where("once").dropDuplicates(["id"]).select("row.*"))
+    texts = base.select(F.when(F.col("id").isNotNull(), F.col("k")).alias("vertex"), "text")
+    marks = near_duplicates(texts, "vertex", "text", **how).where("id is not null and n_shingles > 0").select(F.col("id").alias("vertex"), "component_id").distinct()
+    ids = base.select(F.col("k").alias("vertex"), "id").where("id is not null").distinct()
+    least = marks.join(ids, "vertex").groupBy("component_id").agg(F.min(F.struct("id", "vertex")).alias("least")).select("least.*")
+    once = base.join(least.select(F.col("vertex").alias("k"), F.col("id").alias("_id")), "k").where(F.col("id") == F.col("_id")).dropDuplicates(["k", "id"])
+    free = base.where(F.col("id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return once.select("row.*").union(free.select("row.*"))
 
 
 def op2_minhash(spark, sf_dir):
