@@ -67,30 +67,33 @@ def count_each_order_once(billing: DataFrame) -> DataFrame:
 _SUM = DecimalType(28, 2)
 
 
-def _by_party(df: DataFrame, key: str, names: list[str], sums: dict[str, str], first: Column | None = None) -> DataFrame:
+def _by_party(df: DataFrame, key: str, names: list[str], sums: dict[str, str], first: Column | None = None,
+              within: tuple[str, ...] = ()) -> DataFrame:
     """Sums per cleaned key, and a name. Raw rows meet a hash aggregate by (key, name columns), whose
-    buffers are decimals only; the name is taken over its much smaller result."""
-    per_name = df.groupBy(clean_key(key).alias(key), *names).agg(*[F.sum(c).alias(alias) for alias, c in sums.items()])
-    return per_name.groupBy(key).agg((F.min(names[-1]) if first is None else first).alias("_name"),
+    buffers are decimals only; the name is taken over its much smaller result.
+
+    ``within`` (here and below): columns that every group also has; one pass then makes the table of each of their values."""
+    per_name = df.groupBy(*within, clean_key(key).alias(key), *names).agg(*[F.sum(c).alias(alias) for alias, c in sums.items()])
+    return per_name.groupBy(*within, key).agg((F.min(names[-1]) if first is None else first).alias("_name"),
                                      *[F.sum(alias).cast(_SUM).alias(alias) for alias in sums])
 
 
-def client_measures(billing: DataFrame, demand: DataFrame) -> DataFrame:
+def client_measures(billing: DataFrame, demand: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Per cleaned client key: name and decimal ordered / billed / returned (0 when absent)."""
     names = [c for c in ("client_id", "client_name") if c in billing.columns]
-    b = _by_party(billing, "client_key", names, {"_f": "billed", "_r": "returned"}, _first_client_name(billing))
-    d = _by_party(demand, "client_key", ["client_name"], {"_v": "ordered"})
-    return d.withColumnRenamed("_name", "_dn").join(b.withColumnRenamed("_name", "_bn"), "client_key", "full_outer").select(
-        "client_key",
+    b = _by_party(billing, "client_key", names, {"_f": "billed", "_r": "returned"}, _first_client_name(billing), within)
+    d = _by_party(demand, "client_key", ["client_name"], {"_v": "ordered"}, within=within)
+    return d.withColumnRenamed("_name", "_dn").join(b.withColumnRenamed("_name", "_bn"), [*within, "client_key"], "full_outer").select(
+        *within, "client_key",
         F.coalesce("_dn", "_bn").alias("client_name"),
         _z("_v").alias("ordered"), _z("_f").alias("billed"), _z("_r").alias("returned"))
 
 
-def reconcile_client(billing: DataFrame, demand: DataFrame) -> DataFrame:
+def reconcile_client(billing: DataFrame, demand: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """q11: ordered vs billed vs returned by client, with flow difference and net billed."""
-    m = client_measures(billing, demand)
+    m = client_measures(billing, demand, within)
     return m.select(
-        "client_key", "client_name",
+        *within, "client_key", "client_name",
         _dbl(F.col("ordered")).alias("ordered"),
         _dbl(F.col("billed")).alias("billed"),
         _dbl(F.col("returned")).alias("returned"),
@@ -98,13 +101,13 @@ def reconcile_client(billing: DataFrame, demand: DataFrame) -> DataFrame:
         _dbl(F.col("billed") - F.col("returned")).alias("net_billed"))
 
 
-def reconcile_supplier(billing: DataFrame, demand: DataFrame) -> DataFrame:
+def reconcile_supplier(billing: DataFrame, demand: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """q12: the same by supplier; the name is upper-cased and stripped, NULL when both sides lack it."""
-    d = _by_party(demand, "supplier_key", ["supplier_name"], {"_v": "ordered"}).withColumnRenamed("_name", "_dn")
-    b = _by_party(billing, "supplier_key", ["supplier_name"], {"_f": "billed", "_r": "returned"}).withColumnRenamed("_name", "_bn")
-    j = d.join(b, "supplier_key", "full_outer")
+    d = _by_party(demand, "supplier_key", ["supplier_name"], {"_v": "ordered"}, within=within).withColumnRenamed("_name", "_dn")
+    b = _by_party(billing, "supplier_key", ["supplier_name"], {"_f": "billed", "_r": "returned"}, within=within).withColumnRenamed("_name", "_bn")
+    j = d.join(b, [*within, "supplier_key"], "full_outer")
     return j.select(
-        "supplier_key",
+        *within, "supplier_key",
         norm_text(F.coalesce("_dn", "_bn")).alias("supplier_name"),
         _dbl(_z("_v")).alias("ordered"),
         _dbl(_z("_f")).alias("billed"),
@@ -115,11 +118,11 @@ def reconcile_supplier(billing: DataFrame, demand: DataFrame) -> DataFrame:
 _SUMMARY_MEASURES = ["billed", "returned", "net_billed", "ordered", "flow_diff"]
 
 
-def _summary(billing: DataFrame, key: str) -> DataFrame:
-    agg = (billing.where(F.col(key).isNotNull()).groupBy(key)
+def _summary(billing: DataFrame, key: str, within: tuple[str, ...] = ()) -> DataFrame:
+    agg = (billing.where(F.col(key).isNotNull()).groupBy(*within, key)
            .agg(F.sum("billed").alias("_f"), F.sum("returned").alias("_r")))
     return agg.select(
-        key,
+        *within, key,
         _dbl(_z("_f")).alias("billed"),
         _dbl(_z("_r")).alias("returned"),
         _dbl(_z("_f") - _z("_r")).alias("net_billed"),
@@ -127,20 +130,20 @@ def _summary(billing: DataFrame, key: str) -> DataFrame:
         _dbl(-_z("_f")).alias("flow_diff"))
 
 
-def branch_summary(billing: DataFrame) -> DataFrame:
+def branch_summary(billing: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """q13: billed / returned / net by branch (NULL branch dropped; ordered is 0 by definition)."""
     if "branch_id" not in billing.columns:
         billing = billing.withColumn("branch_id", F.lit("FILIAL_UNICA"))
-    return _summary(billing, "branch_id")
+    return _summary(billing, "branch_id", within)
 
 
-def state_summary(billing: DataFrame, state_col: str = "state") -> DataFrame:
+def state_summary(billing: DataFrame, state_col: str = "state", within: tuple[str, ...] = ()) -> DataFrame:
     """q14: the same by state; an empty table with the fixed schema when there is no state column."""
     if state_col not in billing.columns:
         schema = StructType([StructField("state", StringType())] +
                             [StructField(m, DoubleType()) for m in _SUMMARY_MEASURES])
         return billing.sparkSession.createDataFrame([], schema)
-    return _summary(billing.withColumnRenamed(state_col, "state") if state_col != "state" else billing, "state")
+    return _summary(billing.withColumnRenamed(state_col, "state") if state_col != "state" else billing, "state", within)
 
 
 def branch_and_state(billing: DataFrame) -> DataFrame:
@@ -167,18 +170,18 @@ def split_summaries(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return measures("branch_id", 1), measures("state", 2)
 
 
-def totals(billing: DataFrame, demand: DataFrame) -> DataFrame:
+def totals(billing: DataFrame, demand: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """q15: grand totals (ordered, billed, returned, flow_diff) of the client reconciliation.
 
     Every row of both inputs lands in exactly one client group (keys are never NULL), so the
     totals are plain global sums: one partial + final aggregate over a union, no join.
     """
     zero = _zero()
-    u = (demand.select(F.col("ordered").alias("o"), zero.alias("f"), zero.alias("r"))
-         .unionByName(billing.select(zero.alias("o"), F.col("billed").alias("f"),
+    u = (demand.select(*within, F.col("ordered").alias("o"), zero.alias("f"), zero.alias("r"))
+         .unionByName(billing.select(*within, zero.alias("o"), F.col("billed").alias("f"),
                                      F.col("returned").alias("r"))))
-    s = u.agg(F.sum("o").alias("o"), F.sum("f").alias("f"), F.sum("r").alias("r"))
-    return s.select(_dbl(_z("o")).alias("ordered"), _dbl(_z("f")).alias("billed"),
+    s = u.groupBy(*within).agg(F.sum("o").alias("o"), F.sum("f").alias("f"), F.sum("r").alias("r"))
+    return s.select(*within, _dbl(_z("o")).alias("ordered"), _dbl(_z("f")).alias("billed"),
                     _dbl(_z("r")).alias("returned"), _dbl(_z("o") - _z("f")).alias("flow_diff"))
 
 

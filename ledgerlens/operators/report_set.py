@@ -61,21 +61,31 @@ def report_set(billing: DataFrame, demand: DataFrame, state: str | None = None,
         branches, states = split_summaries(run.keep(branch_and_state(b), "branch_state"))
     else:
         branches, states = rec.branch, rec.state
+    tables = {"totals": totals(b, d), "clients_in_scope": P.clients_in_scope(b), "clients_per_state": P.clients_per_state(b, client_counts, state),
+              "client": client, "supplier": supplier, "branch": branches, "state": states}
     out = Reports(run)
-    out.update({
-        "states": states_offered(b, state),
-        "totals": totals(b, d),
-        "clients_in_scope": P.clients_in_scope(b),
-        "clients_per_state": P.clients_per_state(b, client_counts, state),
+    out.update(reports_of(tables, states_offered(b, state), state, roster, state_map, display))
+    return out
+
+
+def reports_of(tables: dict[str, DataFrame], states: DataFrame, state: str | None, roster: DataFrame | None = None,
+               state_map: dict[str, str] | None = None, display: bool = False) -> dict[str, DataFrame]:
+    """The reports that are shown, of the tables of one scope (``report_set``, ``state_reports``)."""
+    client, supplier = tables["client"], tables["supplier"]
+    out = {
+        "states": states,
+        "totals": tables["totals"],
+        "clients_in_scope": tables["clients_in_scope"],
+        "clients_per_state": tables["clients_per_state"],
         "top_clients": P.top_clients(client),
         "top_suppliers": P.top_suppliers(supplier),
-        "branches": P.branch_report(branches),
-        "states_summary": P.state_report(states),
+        "branches": P.branch_report(tables["branch"]),
+        "states_summary": P.state_report(tables["state"]),
         "client_detail": P.client_detail(client),
         "client_returns": P.client_returns(client),
         "supplier_detail": P.supplier_detail(supplier),
         "supplier_returns": P.supplier_returns(supplier),
-    })
+    }
     out["clients_shown"] = P.clients_shown(out["clients_per_state"], state)
     if roster is not None:
         out["roster"] = P.client_roster(roster, state, ROSTER_STATE_MAP if state_map is None else state_map)

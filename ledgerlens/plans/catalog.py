@@ -20,6 +20,7 @@ from ledgerlens.operators import billing as B
 from ledgerlens.operators import reconcile as R
 from ledgerlens.operators import reports as P
 from ledgerlens.operators import scope as S
+from ledgerlens.operators import state_reports as T
 from ledgerlens.operators.demand import build_demand, orders_of_lines
 from ledgerlens.operators.demand import colocate as colocate_lines
 from ledgerlens.operators.refresh import refresh
@@ -224,6 +225,12 @@ def q29_refreshed_reconciliation(spark, sf_dir):
     return R.reconcile_client(now.billing, now.demand)
 
 
+def q30_reconcile_all_states(spark, sf_dir):
+    """The client reconciliation of every state's user, in one pass."""
+    b, d = T.by_scope(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir))
+    return T.scoped_tables(b, d)["client"].withColumn("scope", F.expr("substring(scope, 2)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "q" and name[1:3].isdigit() and callable(fn)

@@ -113,6 +113,15 @@ from q06_billing_unified""",
     "q28_demand_colocated": "select * from q07_demand",
     # Shares of files, brought up to date, give what the whole inputs give.
     "q29_refreshed_reconciliation": "select * from q11_reconcile_client",
+    "q30_reconcile_all_states": """
+select coalesce(p.scope, b.scope) as scope, coalesce(p.k, b.k) client_key, coalesce(p.n, b.n) client_name, cast(coalesce(p.v,0) as double) ordered,
+  cast(coalesce(b.f,0) as double) billed, cast(coalesce(b.r,0) as double) returned,
+  cast(coalesce(p.v,0) - coalesce(b.f,0) as double) flow_diff, cast(coalesce(b.f,0) - coalesce(b.r,0) as double) net_billed
+from (select scope, coalesce(cast(d.client_key as string),'') k, min(client_name) n, sum(ordered) v from q07_demand d
+    join (select distinct upper(state) scope, coalesce(cast(client_key as string),'') ck from q06_billing_unified where state is not null) s
+      on s.ck = coalesce(cast(d.client_key as string),'') group by 1, 2) p
+full outer join (select upper(state) scope, coalesce(cast(client_key as string),'') k, min_by(client_name, client_id) n, sum(billed) f, sum(returned) r
+    from q06_billing_unified where state is not null group by 1, 2) b on p.scope = b.scope and p.k = b.k""",
 }
 
 _NAME = re.compile(r"\bq\d\d_[a-z_]+\b")
