@@ -1,27 +1,34 @@
 """Language-model scoring with Brown's class-based bigrams.
 
-Words are lower-cased (A-Z) runs of non-white-space; every text closes with one end token. All
-training texts are counted: how often each word occurs, and how often each *symbol* follows another,
-where a symbol is one of the ``EXCHANGED`` most frequent words, one of ``GROUPS`` groups of all other
-words (by their last two bytes), or the end. Exchange clustering moves one word at a time to the
-class where the class-bigram likelihood of the training texts rises most, until nothing moves (or
-``ROUNDS`` rounds). Then every other word that occurs ``LEAST`` times or more takes the class where its
-own bigrams are likeliest, given the symbols' classes. Words that occur once stand for unseen ones: both are
-left in the groups, which are classes, as is the end. Transitions are counted anew from the final classes
-of all words. A text's score is
+Words are lower-cased (A-Z) runs of non-white-space; every text closes with one end token. Exchange clustering moves
+one word at a time to the class where the class-bigram likelihood of the training texts rises most, until nothing moves
+(or ``ROUNDS`` rounds); it works on *symbols*: the ``EXCHANGED`` most frequent words, one of ``GROUPS`` groups of all
+other words (by their last two bytes), and the end. Then every other word that occurs ``LEAST`` times or more takes the
+class where its own bigrams are likeliest, given the symbols' classes. Words that occur once stand for unseen ones: both
+are left in the groups, which are classes, as is the end. Transitions are counted anew from the final classes of all
+words. A text's score is
 
     sum of log10 P(class | class before) + log10 P(word | class)
 
 with additive smoothing in both (``ALPHA`` for transitions, ``DELTA`` for emissions; a class of rarer
 words keeps one place for a word that was never seen).
 
-Scale: the counts, contexts (classes before and behind, summed up in tasks) and classes of all distinct
-words are shuffled tables that grow with the corpus. What reaches the driver and all tasks is bounded by
-parameters: the symbol bigrams (at most ``symbols ** 2`` cells, summed up in each task first) and the
-``KNOWN`` most frequent words with their classes. Bigrams with a rarer word go, summed up by text, to joins
-with the table of all words; a text's partial sums ride in the same rows.
+How it runs: texts are cut into words once, and written as *blocks* of some ``BLOCK_TEXT`` bytes of text: the block's
+distinct words as 64-bit hashes, and the texts as places in that list. All later passes read blocks, with arrays:
+
+1. symbol bigrams, summed up in tasks;
+2. contexts (classes before and behind) of each distinct word of a block, one row each, shuffled by word: a word's class
+   and count, the table of all words, which grows with the corpus;
+3. each distinct word of a block asks that table once for class and count; the ``KNOWN`` most frequent words, which are
+   sent to every task (17 bytes each), aren't asked for. Answers go back to their block in one exchange;
+4. the classes of all words of a block are written, one byte a word, with the sums of each text. Transitions, and with
+   them the scores, are sums over these.
+
+What reaches the driver and all tasks is bounded by parameters: symbol bigrams (at most ``symbols ** 2`` cells), the
+``KNOWN`` most frequent words, class bigrams.
 
 Defined cases: null texts count as empty; an empty text is one end token; null ids are held out;
+very long texts are a block of their own; ties in frequency go by hash, ties between classes to the first one;
 with no training text every probability is the smoothing's (base: log10(0.1 / 0.1) = 0 a token);
 rows that repeat id and text are counted each and scored alike; an empty table gives an empty
 result; all input columns come back inside ``row``.
@@ -29,14 +36,17 @@ result; all input columns come back inside ``row``.
 
 from __future__ import annotations
 
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, pack, staged, table
+from ledgerlens.llm.common import attach, pack, ship, staged, table
 from ledgerlens.llm.language import remainder
 
 #: Words that exchange clustering places, classes that it has, groups of the other words.
@@ -45,203 +55,169 @@ ROUNDS = 8
 #: Classes, groups and the end; least count of a word that gets a class.
 SIZE, LEAST = CLASSES + GROUPS + 1, 2
 END = SIZE - 1
-#: Most words whose counts are sent to every task.
-KNOWN = 200_000
+#: Most words whose classes and counts are sent to every task.
+KNOWN = 2_000_000
 ALPHA, DELTA = 0.1, 0.1
-#: Words that a task gathers before it passes their counts on.
-GATHERED = 400_000
-#: Most new words, and bigrams of them, that a task holds before it passes them on.
-HELD = 50_000
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a text; the end token is left to the caller."""
-    return (text or b"").lower().split()
+#: Bytes of text in a block.
+BLOCK_TEXT = 16 << 20
+#: Contexts as they are shuffled: class behind, or SIZE and class before; how often.
+_CONTEXT = np.dtype([("cell", "u1"), ("n", "<u2")])
+_MOST = 65_535
 
 
 def group_of(word: bytes) -> int:
-    """The group of a word that isn't placed by exchange."""
+    """The group of a word that isn't placed."""
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % GROUPS
 
 
-def _count_words(batches):
-    seen: Counter[bytes] = Counter()
-    for b in batches:
-        for t in b.column(0):
-            seen.update(tokens(t.as_py()))
-            if len(seen) > GATHERED:
-                yield _counted(seen)
-                seen.clear()
-    yield _counted(seen)
-
-
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([group_of(w) for w in seen], pa.int32()),
-                                       pa.array(list(seen.values()), pa.int64())], names=["word", "grp", "n"])
+def word_hash(word: bytes) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
 
 
-def _count_pairs(index: dict[bytes, int], symbols: int):
-    def count(batches):
-        total = np.zeros(symbols * symbols, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                s = np.array([symbols - 1, *[index[w] if w in index else EXCHANGED + group_of(w) for w in tokens(t.as_py())], symbols - 1])
-                cells, n = np.unique(s[:-1] * symbols + s[1:], return_counts=True)
-                total[cells] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
+# ---------------------------------------------------------------- blocks
 
-    return count
 
+def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ends = lists.offsets.to_numpy()
+    words = lists.values.slice(ends[0], ends[-1] - ends[0])
+    there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(there)])
+    return words.filter(pa.array(there)) if not there.all() else words, np.diff(upto[ends - ends[0]])
 
-class _Codes(dict):
-    """A word's class, plus SIZE times (1 + its place in ``new``) if its final class isn't given."""
 
-    def __init__(self, given: dict[bytes, int]):
-        super().__init__(given)
-        self.given, self.new = given, []
+def _groups(words: pa.Array) -> np.ndarray:
+    """``group_of`` of all words."""
+    n = len(words)
+    words = pa.concat_arrays([words])  # from offset 0
+    ends = np.frombuffer(words.buffers()[1], np.int32)[1:n + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if n else np.zeros(0, np.uint8)
+    size = np.diff(np.concatenate([[0], ends]))
+    before = np.where(size > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
+    return ((data[ends - 1].astype(np.int64) * 31 + before) % GROUPS).astype(np.uint8)
 
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = code = CLASSES + group_of(word) + SIZE * len(self.new)
-        return code
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and places (-1: given) of a text, with the end before and behind."""
-        codes = np.array([END, *[self[w] for w in words], END], np.int64)
-        return codes % SIZE, codes // SIZE - 1
+_BLOCK = "block long, learned long, train binary, sizes binary, codes binary, hashes binary, groups binary"
 
 
-def _contexts(given: dict[bytes, int]):
-    """For mapInArrow: how often each word that has no class yet meets each class behind (0 ..) and before (SIZE ..)."""
-
-    def flush(codes, cells):
-        at, n = np.unique(np.concatenate(cells), return_counts=True)
-        word, cell = at // (2 * SIZE), at % (2 * SIZE)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        ends = pa.array(np.append(first, len(at)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(t))) for v, t in ((cell, np.int16), (n, np.int64))]
-        words = pa.array([codes.new[i] for i in word[first]], pa.binary())
-        for i in range(0, len(first), 10_000):
-            yield pa.RecordBatch.from_arrays([words[i:i + 10_000], *[x[i:i + 10_000] for x in lists]], names=["word", "at", "m"])
-
-    def run(batches):
-        codes, cells, held = _Codes(given), [], 0
-        for b in batches:
-            for t in b.column(0):
-                cls, new = codes.of(tokens(t.as_py()))
-                i = np.flatnonzero(new >= 0)
-                cells += [new[i] * (2 * SIZE) + cls[i + 1], new[i] * (2 * SIZE) + SIZE + cls[i - 1]]
-                held += 2 * len(i)
-                if held > 20 * HELD or len(codes.new) > 2 * HELD:
-                    yield from flush(codes, cells)
-                    codes, cells, held = _Codes(given), [], 0
-        if held:
-            yield from flush(codes, cells)
+def _block(number: int, ids: list, ks: list, train: list, texts: list) -> pa.RecordBatch:
+    coded, sizes, tables = [], [], []
+    for t in texts:
+        words, n = _words_of(t)
+        sizes.append(n)
+        d = words.dictionary_encode()
+        coded.append(d.indices.to_numpy(zero_copy_only=False))
+        tables.append(d.dictionary)
+    whole = pa.concat_arrays(tables).dictionary_encode()
+    place, at = whole.indices.to_numpy(zero_copy_only=False), 0
+    for i, t in enumerate(tables):
+        coded[i] = place[at:at + len(t)][coded[i]]
+        at += len(t)
+    names = whole.dictionary
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+    arrays = [np.concatenate(train).astype(np.uint8), np.concatenate(sizes).astype(np.int32), np.concatenate(coded).astype(np.uint32), hashes, _groups(names)]
+    ids, ks = pa.concat_arrays(ids), pa.concat_arrays(ks)
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, ks)]
+    return pa.RecordBatch.from_arrays([*lists, pa.array([number], pa.int64()), pa.array([int(arrays[0].sum())], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]],
+                                      names=["ids", "ks", *[x.split()[0] for x in _BLOCK.split(", ")]])
 
-    return run
 
+def _cut(batches):
+    """For mapInArrow over (id, text, learn, k): the blocks of a task."""
+    number, held, size = TaskContext.get().partitionId() << 32, ([], [], [], []), 0
+    for b in batches:
+        bytes_of = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = 0
+        while first < b.num_rows:
+            upto = first + max(1, int(np.searchsorted(np.cumsum(bytes_of[first:]), max(BLOCK_TEXT - size, 1))) + 1)
+            part = b.slice(first, upto - first)
+            size += int(bytes_of[first:upto].sum())
+            train = part.column("learn").to_numpy(zero_copy_only=False)
+            for have, x in zip(held, (part.column("id"), part.column("k"), train, part.column("text"))):
+                have.append(x)
+            first = upto
+            if size >= BLOCK_TEXT:
+                yield _block(number, *held)
+                number, held, size = number + 1, ([], [], [], []), 0
+    if held[0]:
+        yield _block(number, *held)
+    pa.default_memory_pool().release_unused()  # a worker lives on
+
+
+def blocks_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts in blocks, written. ``learn``: a condition on the rows of ``docs``."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    id_type = dict(rows.dtypes)["id"]
+    return staged(rows.withColumn("k", F.xxhash64("id", "text")).mapInArrow(_cut, f"ids array<{id_type}>, ks array<long>, {_BLOCK}"), "lm-blocks")
+
+
+class _Block:
+    def __init__(self, row: dict):
+        get = lambda name, kind: np.frombuffer(row[name], kind)
+        self.number, self.train, self.sizes = row["block"], get("train", np.uint8).astype(bool), get("sizes", np.int32).astype(np.int64)
+        self.codes, self.hashes, self.groups = get("codes", np.uint32), get("hashes", np.uint64), get("groups", np.uint8)
+
+    def sequence(self, of_code: np.ndarray, end: int, train_only: bool) -> np.ndarray:
+        """``of_code`` of all words, text after text, with ``end`` before, between and behind the texts."""
+        return with_ends(of_code[self.codes], self.sizes, end, self.train if train_only else None)
+
+
+def with_ends(values: np.ndarray, sizes: np.ndarray, end: int, keep: np.ndarray | None = None) -> np.ndarray:
+    if keep is not None:
+        values, sizes = values[np.repeat(keep, sizes)], sizes[keep]
+    return np.insert(values, np.concatenate([[0], np.cumsum(sizes)]), end)
+
+
+def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    out, there = np.zeros(len(sizes)), sizes > 0
+    if there.any():
+        out[there] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[there])
+    return out
 
-def _place(cells: np.ndarray):
-    """For mapInArrow over contexts sorted by word: the likeliest class of each word, and its count."""
-    into = np.log((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
-    size = cells.sum(1)[:CLASSES]
-    fits = np.hstack([np.vstack([into[:CLASSES].T, into[:, :CLASSES]]), np.repeat([[1.0], [0.0]], SIZE, 0)])  # last: occurrences
 
-    def placed(words, sums):
-        n = sums[:, -1]
-        best = (sums[:, :-1] - n[:, None] * np.log(size + n[:, None])).argmax(1)
-        cls = [int(k) if c >= LEAST else CLASSES + group_of(w) for w, k, c in zip(words, best, n)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(cls, pa.int32()), pa.array(np.rint(n).astype(np.int64))],
-                                          names=["word", "cls", "n"])
+def _each_block(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Block({n: b.column(n)[i].as_py() for n in b.schema.names if n not in ("ids", "ks")}), b.slice(i, 1)
 
-    def run(batches):
-        last, kept = None, np.zeros(CLASSES + 1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, at, m = b.column(0).to_pylist(), b.column(1), b.column(2)
-            start = at.offsets.to_numpy()
-            rows = np.add.reduceat(fits[at.flatten().to_numpy()] * m.flatten().to_numpy()[:, None], start[:-1] - start[0])
-            first = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
-            sums, names = np.add.reduceat(rows, first), [words[i] for i in first]
-            if names[0] == last:
-                sums[0] += kept
-            elif last is not None:
-                yield placed([last], kept[None])
-            if len(names) > 1:
-                yield placed(names[:-1], sums[:-1])
-            last, kept = names[-1], sums[-1].copy()
-        if last is not None:
-            yield placed([last], kept[None])
 
-    return run
+# ---------------------------------------------------------------- exchange
 
 
-def _pairs_of(cls: np.ndarray, new: np.ndarray, words: list[bytes]) -> Counter:
-    """A text's bigrams with a word whose class isn't given: (word, class before, class behind, next word).
+def _frequent(batches):
+    """Words that are frequent in their block, as candidates for exchange."""
+    for block, _ in _each_block(batches):
+        codes = block.codes[np.repeat(block.train, block.sizes)]
+        n = np.bincount(codes, minlength=len(block.hashes))
+        at = np.flatnonzero(n >= max(1, len(codes) // 50_000))
+        yield pa.RecordBatch.from_arrays([pa.array(block.hashes[at].view(np.int64)), pa.array(n[at])], names=["h", "n"])
 
-    One class is -1: each bigram is one key. A next word is only named if its class isn't given either.
-    """
-    out: Counter = Counter()
-    for i in np.flatnonzero(new >= 0).tolist():
-        w = words[i - 1]
-        if new[i - 1] < 0:
-            out[w, int(cls[i - 1]), -1, None] += 1
-        out[(w, -1, int(cls[i + 1]), None) if new[i + 1] < 0 else (w, -1, -1, words[i])] += 1
-    return out
 
+def _find(table_hashes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table_hashes, hashes), max(len(table_hashes) - 1, 0))
+    return at, table_hashes[at] == hashes if len(table_hashes) else np.zeros(len(hashes), bool)
 
-def _count_transitions(given: dict[bytes, int]):
-    """For mapInArrow: bigrams of given classes summed up (word: blank and cell), others by their words."""
 
-    def flush(seen):
-        keys = list(seen)
-        yield _pair_rows(keys, list(seen.values()))
+def _symbol_pairs(top: np.ndarray, place: np.ndarray):
+    symbols = EXCHANGED + GROUPS + 1
 
     def run(batches):
-        total, seen, codes = np.zeros(SIZE * SIZE, np.int64), Counter(), _Codes(given)
-        for b in batches:
-            for t in b.column(0):
-                words = tokens(t.as_py())
-                cls, new = codes.of(words)
-                both = (new[:-1] < 0) & (new[1:] < 0)
-                total += np.bincount((cls[:-1] * SIZE + cls[1:])[both], minlength=SIZE * SIZE)
-                seen.update(_pairs_of(cls, new, words))
-                if len(seen) > HELD:
-                    yield from flush(seen)
-                    seen, codes = Counter(), _Codes(given)
-        yield from flush(seen)
-        at = np.flatnonzero(total).tolist()
-        yield _pair_rows([(b" %d" % c, c // SIZE, c % SIZE, None) for c in at], [int(total[c]) for c in at])
+        total = np.zeros(symbols * symbols, np.int64)
+        for block, _ in _each_block(batches):
+            at, there = _find(top, block.hashes)
+            of = np.where(there, place[at] if len(place) else 0, EXCHANGED + block.groups.astype(np.int64))
+            s = block.sequence(of, symbols - 1, True)
+            total += np.bincount(s[:-1] * symbols + s[1:], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
 
     return run
 
 
-PAIR = "word binary, grp int, before int, behind int, next binary, next_grp int, m long"
-
-
-def _pair_rows(keys: list[tuple], m: list[int]) -> pa.RecordBatch:
-    word, before, behind, after = zip(*keys) if keys else ((),) * 4
-    cols = [pa.array(word, pa.binary()), pa.array([-1 if w[:1] == b" " else group_of(w) for w in word], pa.int32()),
-            pa.array(before, pa.int32()), pa.array(behind, pa.int32()),
-            # a word has no blank: these join nothing, and differ, so that they don't meet in one task
-            pa.array([b" %d" % i if x is None else x for i, x in enumerate(after)], pa.binary()),
-            pa.array([-1 if x is None else group_of(x) for x in after], pa.int32()), pa.array(m, pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PAIR.split(", ")])
-
-
-def _joined(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs`` with the word's count ``n`` and class ``cls``, and the bigram's ``cell`` (null without a bigram)."""
-    one = pairs.join(words.select("word", "cls", "n"), "word", "left")
-    own = F.coalesce("cls", F.when(F.col("grp") >= 0, F.lit(CLASSES) + F.col("grp")))
-    two = one.withColumn("cls", own).join(words.select(F.col("word").alias("next"), F.col("cls").alias("next_cls")), "next", "left")
-    left = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.col("cls"))
-    right = F.when(F.col("behind") >= 0, F.col("behind")).when(
-        F.col("next_grp") >= 0, F.coalesce("next_cls", F.lit(CLASSES) + F.col("next_grp"))).otherwise(F.col("cls"))
-    return two.withColumn("cell", (left * SIZE + right).cast("int"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -294,138 +270,270 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, rounds: in
     return of
 
 
+# ---------------------------------------------------------------- the table of all words
+
+
+def _contexts(top: np.ndarray, top_class: np.ndarray):
+    """For each distinct training word of a block: its hash, group, and contexts (see _CONTEXT) as bytes."""
+
+    def run(batches):
+        for block, _ in _each_block(batches):
+            at, there = _find(top, block.hashes)
+            cls = np.where(there, top_class[at] if len(top_class) else 0, CLASSES + block.groups.astype(np.int64))
+            seq = block.sequence(cls, END, True)
+            codes = with_ends(block.codes.astype(np.int64), block.sizes, -1, block.train)
+            i = np.flatnonzero(codes >= 0)
+            keys = np.concatenate([codes[i] * (2 * SIZE) + seq[i + 1], codes[i] * (2 * SIZE) + SIZE + seq[i - 1]])
+            keys, n = np.unique(keys.astype(np.int32) if len(block.hashes) * 2 * SIZE < 2**31 else keys, return_counts=True)
+            many = (n + _MOST - 1) // _MOST  # more than fit are several entries
+            if (many > 1).any():
+                first = np.repeat(np.cumsum(many) - many, many)
+                part = np.arange(many.sum()) - first
+                keys, n = np.repeat(keys, many), np.minimum(np.repeat(n, many) - part * _MOST, _MOST)
+            packed = np.empty(len(keys), _CONTEXT)
+            packed["cell"], packed["n"] = keys % (2 * SIZE), n
+            code = keys // (2 * SIZE)
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            words = code[starts]
+            ends = np.append(starts, len(code)).astype(np.int32) * _CONTEXT.itemsize
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
+            whole = pa.RecordBatch.from_arrays([pa.array(block.hashes[words].view(np.int64)), pa.array(block.groups[words].astype(np.int32)), bytes_],
+                                               names=["h", "grp", "contexts"])
+            for k in range(0, whole.num_rows, 20_000):
+                yield whole.slice(k, 20_000)
+
+    return run
+
+
+def _place(cells: np.ndarray, top: np.ndarray, top_class: np.ndarray):
+    """For mapInArrow over contexts sorted by word: class and count of each word."""
+    into = np.log((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
+    size = cells.sum(1)[:CLASSES]
+    fits = np.vstack([into[:CLASSES].T, into[:, :CLASSES]])
+
+    def placed(h, grp, sums):
+        n = sums[:, :SIZE].sum(1)
+        best = (sums @ fits - n[:, None] * np.log(size + n[:, None])).argmax(1)
+        at, there = _find(top, h.view(np.uint64))
+        cls = np.where(there, top_class[at] if len(top_class) else 0, np.where(n >= LEAST, best, CLASSES + grp))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls.astype(np.int32)), pa.array(np.rint(n).astype(np.int64))], names=["h", "cls", "n"])
+
+    def run(batches):
+        last, kept = None, np.zeros((1, 2 * SIZE))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, grp, packed = b.column("h").to_numpy(), b.column("grp").to_numpy().astype(np.int64), pa.concat_arrays([b.column("contexts")])
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[:len(packed) + 1] // _CONTEXT.itemsize
+            entries = np.frombuffer(packed.buffers()[2], _CONTEXT, int(ends[-1]))
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            row = np.repeat(np.cumsum(new) - 1, np.diff(ends))
+            sums = np.bincount(row * (2 * SIZE) + entries["cell"], entries["n"], new.sum() * 2 * SIZE).reshape(-1, 2 * SIZE)
+            h, grp = h[new], grp[new]
+            if last is not None and h[0] == last[0]:
+                sums[0] += kept[0]
+            elif last is not None:
+                yield placed(*last, kept)
+            if len(h) > 1:
+                yield placed(h[:-1], grp[:-1], sums[:-1])
+            last, kept = (h[-1:].copy(), grp[-1:].copy()), sums[-1:].copy()
+        if last is not None:
+            yield placed(*last, kept)
+
+    return run
+
+
+# ---------------------------------------------------------------- the model
+
+
+@dataclass
 class Model:
-    """What every task needs: frequent words with counts, classes, transition and emission logarithms."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, of: np.ndarray, cells: np.ndarray, class_n: np.ndarray,
-                 class_v: np.ndarray, n_train: int, n_words: int, v_words: int):
-        """``words``: by falling count, ``of``: their classes; class_n, class_v: tokens and distinct words of each class and group."""
-        self.moves = np.log10((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
-        self.total, self.distinct = n_words + n_train, v_words + (n_train > 0)
-        self.index = {w: i for i, w in enumerate(words)}
-        self.given = dict(zip(words, of.tolist()))
-        self.counts = np.append(counts, [0, n_train]).astype(np.float64)  # then a word that isn't in the table, then the end
-        self.of = of
-        places = class_v + np.where(np.arange(CLASSES + GROUPS) < CLASSES, 0, 1)  # a group has one for unseen words
-        self.den = np.log10(np.maximum(class_n + DELTA * places, DELTA))
-        self.emit = np.append(np.log10(self.counts[:-2] + DELTA) - self.den[self.of], [0.0, 0.0])
-        self.base_den = float(np.log10(self.total + 0.1 * (self.distinct + 1)))
-
-    def score(self, text: bytes | None, codes: _Codes) -> tuple[int, int, float, float, Counter, Counter]:
-        """Tokens, known tokens, base and class sums without what the table of all words gives; its words and bigrams."""
-        words = tokens(text)
-        get, absent = self.index.get, len(self.index)
-        at = np.array([get(w, absent) for w in words] + [absent + 1])
-        inside = at < absent
-        rare = Counter(words[i] for i in np.flatnonzero(at == absent))
-        cls, new = codes.of(words)
-        both = (new[:-1] < 0) & (new[1:] < 0)
-        moves = self.moves[cls[:-1][both], cls[1:][both]].sum()
-        base = np.log10(self.counts[at[inside]] + 0.1).sum() + np.log10(self.counts[-1] + 0.1) - len(at) * self.base_den
-        own = moves + self.emit[at[inside]].sum()
-        known = int(inside.sum()) + int(self.counts[-1] > 0)
-        return len(at), known, float(base), float(own), rare, _pairs_of(cls, new, words)
-
-
-def train(docs: DataFrame, learn: Column, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of all words with their classes and counts (word, cls, n)."""
-    texts = docs.where(learn).select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    counts = staged(texts.mapInArrow(_count_words, "word binary, grp int, n long")
-                    .groupBy("word", "grp").agg(F.sum("n").alias("n")), "lm-words")
-    n_train = texts.count()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # The most frequent words: counts in steps of an eighth of an octave find the least count to take.
-    step = F.floor(F.log2("n") * 8).cast("int")
-    least, room = 1 << 30, KNOWN
-    for s, m in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
-        room -= m
-        if room < 0:
-            break
-        least = s
-    top = counts.where(step >= least).select("word", "n").toArrow()
-    order = sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    words, n = [w for w, _ in order], np.array([c for _, c in order], np.int64)
-    index = {w: i for i, w in enumerate(words[:EXCHANGED])}
-    symbols = EXCHANGED + GROUPS + 1
-    cells = (texts.mapInArrow(_count_pairs(index, symbols), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
+    """The most frequent words (hashes in order, classes, counts), the table of all words (h, cls, n), the sums of the
+    training tokens, and the logarithms of transitions and of the classes' sizes."""
+
+    top: np.ndarray
+    top_class: np.ndarray
+    top_n: np.ndarray
+    words: DataFrame
+    least: float
+    class_n: np.ndarray
+    class_v: np.ndarray
+    n_train: int
+    total: int
+    distinct: int
+    moves: np.ndarray | None = None
+
+    @property
+    def den(self) -> np.ndarray:
+        places = self.class_v + np.where(np.arange(CLASSES + GROUPS) < CLASSES, 0, 1)  # a group has one for unseen words
+        return np.log10(np.maximum(self.class_n + DELTA * places, DELTA))
+
+    @property
+    def base_den(self) -> float:
+        return float(np.log10(self.total + 0.1 * (self.distinct + 1)))
+
+
+def _step():
+    """Counts in steps of an eighth of an octave."""
+    return F.floor(F.log2("n") * 8).cast("int")
+
+
+def _lexicon(blocks: DataFrame) -> Model:
+    """Classes and counts of all training words."""
+    counts = blocks.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(EXCHANGED).toArrow()
+    hashes = counts.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    top, symbols = hashes[order], EXCHANGED + GROUPS + 1
+    cells = blocks.mapInArrow(_symbol_pairs(top, order), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(symbols * symbols)
     pairs[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     pairs = pairs.reshape(symbols, symbols)
     of = exchange(pairs, EXCHANGED)
     one = np.zeros((symbols, SIZE))
     one[np.arange(symbols), of] = 1
-    fixed = {w: int(of[i]) for w, i in index.items()}
-    placed = (texts.mapInArrow(_contexts(fixed), "word binary, at array<short>, m array<long>").repartition("word")
-              .sortWithinPartitions("word").mapInArrow(_place(one.T @ pairs @ one), "word binary, cls int, n long"))
-    frequent = texts.sparkSession.createDataFrame([(w, fixed[w], c) for w, c in order[:EXCHANGED]], "word binary, cls int, n long")
-    placed = staged(placed.union(frequent), "lm-classes")
-    got = placed.where(step >= least).select("word", "cls").toArrow()
-    given = dict(zip(got.column("word").to_pylist(), got.column("cls").to_pylist()))
+    top_class = of[order].astype(np.int64)
+    words = staged(blocks.mapInArrow(_contexts(top, top_class), "h long, grp int, contexts binary").repartition("h").sortWithinPartitions("h")
+                   .mapInArrow(_place(one.T @ pairs @ one, top, top_class), "h long, cls int, n long"), "lm-words")
     class_n, class_v = np.zeros(CLASSES + GROUPS), np.zeros(CLASSES + GROUPS)
-    for r in placed.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in words.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         class_n[r.cls], class_v[r.cls] = r.n, r.v
-    cells = _joined(texts.mapInArrow(_count_transitions(given), PAIR), placed).groupBy("cell").agg(F.sum("m").alias("n")).toArrow()
-    moves = np.zeros(SIZE * SIZE)
-    moves[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return Model(words, n, np.array([given[w] for w in words], np.int64), moves.reshape(SIZE, SIZE), class_n, class_v,
-                 n_train, total.n, total.v), placed
+    least, room = 1 << 30, KNOWN
+    for s, m in sorted(words.groupBy(_step().alias("s")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
+        room -= m
+        if room < 0:
+            break
+        least = s
+    got = words.where(_step() >= least).toArrow()
+    hashes = got.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    n_train = blocks.agg(F.coalesce(F.sum("learned"), F.lit(0)).alias("n")).first().n
+    return Model(hashes[order], got.column("cls").to_numpy()[order].astype(np.uint8), got.column("n").to_numpy()[order], words, least, class_n, class_v,
+                 n_train, int(class_n.sum()) + n_train, int(class_v.sum()) + (n_train > 0))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``row``, ``n_tokens``, ``n_known``, ``base_score``, ``score``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    base = pack(docs, id_col, text_col)
+# ---------------------------------------------------------------- classes of texts
+
+
+def _questions(top):
+    """The distinct words of a block that aren't among the most frequent ones."""
+
+    def run(batches):
+        for block, _ in _each_block(batches):
+            _, there = _find(top.value[0], block.hashes)
+            code = np.flatnonzero(~there)
+            whole = pa.RecordBatch.from_arrays([pa.array(block.hashes[code].view(np.int64)), pa.array(np.full(len(code), block.number)), pa.array(code.astype(np.int32))],
+                                               names=["h", "block", "code"])
+            for k in range(0, whole.num_rows, 50_000):
+                yield whole.slice(k, 50_000)
+
+    return run
+
 
-    def partial(batches):
-        def rows(b, at, keys, m, sums):
-            pairs, cols = _pair_rows(keys, m), list(zip(*sums)) or [()] * 4
-            return pa.RecordBatch.from_arrays([*b.select([0, 1]).take(pa.array(at, pa.int64())).columns, *pairs.columns,
-                                               *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                              names=["id", "k", *pairs.schema.names, "n_tokens", "n_known", "base", "own"])
+def _resolve(top, den: np.ndarray, base_den: float, n_train: int):
+    """Classes of all words of a block, ends included, and of each text the sums that need no transitions."""
 
-        codes = _Codes(sent.value.given)
+    def run(batches):
+        hashes, classes, counts = top.value
         for b in batches:
-            at, keys, m, sums = [], [], [], []
-            for i, (k, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-                if len(codes.new) > HELD:
-                    codes = _Codes(sent.value.given)
-                n, known, plain, own, rare, pairs = sent.value.score(text.as_py(), codes)
-                at += [i] * (1 + len(rare) + len(pairs))
-                # a text's own sums, its rare words (both classes -2: no bigram), its bigrams with rare words
-                keys += [(b" %d" % k, -2, -2, None), *((w, -2, -2, None) for w in rare), *pairs]
-                m += [0, *rare.values(), *pairs.values()]
-                sums += [(n, known, plain, own), *[(0, 0, 0.0, 0.0)] * (len(rare) + len(pairs))]
-                if len(keys) > HELD:
-                    yield rows(b, at, keys, m, sums)
-                    at, keys, m, sums = [], [], [], []
-            yield rows(b, at, keys, m, sums)
-
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    schema = f"id {dict(base.dtypes)['id']}, k long, {PAIR}, n_tokens long, n_known long, base double, own double"
-    one = base.select("id", "k", F.col("text").cast("binary").alias("text"))
-    moves = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.moves.ravel())], "cell int, move double"))
-    dens = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.den)], "cls int, den double"))
-    n = F.coalesce("n", F.lit(0))
-    word = (F.col("before") == -2) & (F.col("grp") >= 0)
-    tail = F.when(word, F.col("m") * F.log10(n + 0.1)).otherwise(0.0)
-    emit = F.when(word, F.col("m") * (F.log10(n + DELTA) - F.col("den"))).otherwise(0.0)
-    move = F.when(F.col("before") == -2, 0.0).otherwise(F.col("m") * F.col("move"))
-    copies = F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0))
-    sums = (_joined(one.mapInArrow(partial, schema), counts).join(moves, "cell", "left").join(dens, "cls", "left")
-            .groupBy("id", "k").agg(copies.alias("copies"), F.sum("n_tokens").alias("n_tokens"),
-                                    F.sum(F.col("n_known") + F.when(word & (n > 0), F.col("m")).otherwise(0)).alias("n_known"),
-                                    F.sum(F.col("base") + tail).alias("base_score"), F.sum(F.col("own") + emit + move).alias("score"))
-            .select("id", "k", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-                    (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-                    (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score")))
-    return attach(base.select("row", "id", "k"), sums).select("row", "n_tokens", "n_known", "base_score", "score")
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                block = _Block({n: row.column(n)[0].as_py() for n in ("block", "train", "sizes", "codes", "hashes", "groups")})
+                at, there = _find(hashes, block.hashes)
+                cls, n = CLASSES + block.groups.astype(np.int64), np.zeros(len(block.hashes), np.int64)
+                cls[there], n[there] = classes[at[there]], counts[at[there]]
+                if (found := row.column("found")).null_count == 0:
+                    f = found.flatten()
+                    code = f.field("code").to_numpy()
+                    cls[code], n[code] = f.field("cls").to_numpy(), f.field("n").to_numpy()
+                base, emit = np.log10(n + 0.1), np.log10(n + DELTA) - den[cls]
+                sums = lambda of_code: text_sums(of_code[block.codes], block.sizes)
+                base = sums(base) + np.log10(n_train + 0.1) - (block.sizes + 1) * base_den
+                cols = [block.sizes + 1, np.rint(sums((n > 0).astype(float))).astype(np.int64) + int(n_train > 0), base, sums(emit)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cols]
+                seq = block.sequence(cls, END, False).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([row.column("ids"), row.column("ks"), row.column("train"), pa.array([seq.tobytes()], pa.binary()), *lists],
+                                                 names=["ids", "ks", "train", "classes", "n_tokens", "n_known", "base", "emit"])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def resolve(blocks: DataFrame, model: Model) -> DataFrame:
+    """Classes and sums of all texts in blocks, written."""
+    top = blocks.sparkSession.sparkContext.broadcast((model.top, model.top_class, model.top_n))
+    asked = blocks.select("block", "train", "sizes", "codes", "hashes", "groups").mapInArrow(_questions(top), "h long, block long, code int")
+    found = (asked.join(model.words.where(_step() < model.least), "h")
+             .groupBy("block").agg(F.collect_list(F.struct("code", "cls", "n")).alias("found")))  # a block's distinct words at most
+    kind = f"{', '.join(f'{n} {t}' for n, t in blocks.dtypes if n in ('ids', 'ks'))}, train binary, classes binary, "
+    return staged(blocks.join(found, "block", "left").mapInArrow(
+        _resolve(top, model.den, model.base_den, model.n_train), kind + "n_tokens array<long>, n_known array<long>, base array<double>, emit array<double>"), "lm-resolved")
+
+
+def _count_moves(batches):
+    total = np.zeros(SIZE * SIZE, np.int64)
+    for b in batches:
+        for classes, train in zip(b.column("classes"), b.column("train")):
+            seq, learn = np.frombuffer(classes.as_py(), np.uint8).astype(np.int64), np.frombuffer(train.as_py(), np.uint8)
+            text = np.cumsum(seq[:-1] == END) - 1  # a move belongs to the text whose end it follows, last
+            total += np.bincount((seq[:-1] * SIZE + seq[1:])[learn[text] > 0], minlength=SIZE * SIZE)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
+
+
+def _with_moves(resolved: DataFrame, model: Model) -> Model:
+    got = resolved.select("classes", "train").mapInArrow(_count_moves, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(SIZE * SIZE)
+    cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    cells = cells.reshape(SIZE, SIZE)
+    model.moves = np.log10((cells + ALPHA) / (cells.sum(1, keepdims=True) + ALPHA * SIZE))
+    return model
+
+
+def _scores(moves: np.ndarray):
+    flat = moves.ravel()
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                seq = np.frombuffer(b.column("classes")[i].as_py(), np.uint8).astype(np.int64)
+                get = lambda name: b.column(name).slice(i, 1).flatten()
+                score = text_sums(flat[seq[:-1] * SIZE + seq[1:]], get("n_tokens").to_numpy()) + get("emit").to_numpy()
+                yield pa.RecordBatch.from_arrays([*[get(n) for n in ("ids", "ks", "n_tokens", "n_known", "base")], pa.array(score)],
+                                                 names=["id", "k", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def _scored(docs: DataFrame, resolved: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    base = pack(docs, id_col, text_col)
+    sums = resolved.mapInArrow(_scores(model.moves), f"id {dict(base.dtypes)['id']}, k long, n_tokens long, n_known long, base_score double, score double")
+    return attach(base.select("row", "id", "k"), sums.dropDuplicates(["id", "k"])).select("row", "n_tokens", "n_known", "base_score", "score")
+
+
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the rows of ``docs`` for which ``learn`` holds."""
+    blocks = blocks_of(docs.where(learn), F.lit(True), id_col, text_col)
+    model = _lexicon(blocks)
+    return _with_moves(resolve(blocks, model), model)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``row``, ``n_tokens``, ``n_known``, ``base_score``, ``score``."""
+    return _scored(docs, resolve(blocks_of(docs, F.lit(False), id_col, text_col), model), model, id_col, text_col)
+
+
+def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """``score`` of all rows by the model of those for which ``learn`` holds; texts are cut into words once."""
+    blocks = blocks_of(docs, learn, id_col, text_col)
+    model = _lexicon(blocks)
+    resolved = resolve(blocks, model)
+    return _scored(docs, resolved, _with_moves(resolved, model), id_col, text_col), model
 
 
 def op8_class_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(True))
-    model, counts = train(docs, ~held_out)
-    return score(docs, model, counts).select(
+    scored, model = train_and_score(docs, ~held_out)
+    return scored.select(
         F.col("row.doc_id").alias("doc_id"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

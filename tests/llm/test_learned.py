@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from conftest_paths import SF01
+from conftest_paths import SF001, SF01
 from ledgerlens.llm import class_lm, language, quality
 from llm_cases import empty_documents, odd_documents
 
@@ -105,30 +107,49 @@ def test_op8_is_brute_force_and_beats_the_base(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def words_of(model):
+    """Hash to (class, count) of the table of all words."""
+    return {r.h: (r.cls, r.n) for r in model.words.collect()}
+
+
+def brute_score(model, text):
+    """The score from the table of words and the transitions, word by word."""
+    known, den = words_of(model), model.den
+    total, before = 0.0, class_lm.END
+    for w in (text or "").encode().lower().split():
+        cls, n = known.get(class_lm.word_hash(w), (class_lm.CLASSES + class_lm.group_of(w), 0))
+        total += model.moves[before, cls] + math.log10(n + class_lm.DELTA) - den[cls]
+        before = cls
+    return total + model.moves[before, class_lm.END]
+
+
 def test_class_probabilities_add_up(spark):
     """Transitions from each class, and emissions of each class (unseen words' place included), sum to one."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "b c d", "a a e f g"] * 3)], "doc_id long, text string")
-    model, counts = class_lm.train(docs, F.lit(True))
+    model = class_lm.train(docs, F.lit(True))
     assert np.allclose((10 ** model.moves).sum(1), 1)
     total = Counter()
-    for w, i in model.index.items():
-        total[int(model.of[i])] += 10 ** model.emit[i]
+    for cls, n in words_of(model).values():
+        total[cls] += 10 ** (math.log10(n + class_lm.DELTA) - model.den[cls])
     assert all(math.isclose(p, 1) for c, p in total.items() if c < class_lm.CLASSES)
-    assert model.total == 3 * (13 + 3) and model.distinct == 8 and counts.count() == 7
+    assert model.total == 3 * (13 + 3) and model.distinct == 8 and model.words.count() == 7
 
 
-def test_rarer_words_get_learned_classes(spark, monkeypatch):
+@pytest.mark.parametrize("block", [16 << 20, 3000])
+def test_rarer_words_get_learned_classes(spark, monkeypatch, block):
     """Words behind the exchanged ones take the class of their contexts, not of their spelling; words seen once stay in a group."""
     rng = np.random.default_rng(3)
     texts = [" ".join(f"{'ab'[j % 2]}{rng.integers(450)}z" for j in range(20)) for _ in range(1200)]
     # x words stand where a words do, y words where b words do; x7q and y7q end alike
     texts += [f"a{i}z b{i}z x{i}q b{i + 5}z a{i + 9}z y{i}q a{i + 3}z b{i}z" for i in range(100) for _ in range(3)] + ["a1z b1z onceq b2z a2z b3z"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = "a1z b2z x3q unseen y4q Y5q x6q unseen2 onceq"
+    new = spark.createDataFrame([(1, odd), (2, texts[-2]), (3, None)], "doc_id long, text string")
     scores = []
     for known in (200_000, 850):
         monkeypatch.setattr(class_lm, "KNOWN", known)
-        model, words = class_lm.train(docs, F.lit(True))
-        cls = {r.word.decode(): r.cls for r in words.select(F.col("word"), "cls").collect()}
+        model = class_lm.train(docs, F.lit(True))
+        cls = {w: words_of(model)[class_lm.word_hash(w.encode())][0] for w in {w for t in texts for w in t.split()}}
         side = {k: {cls[f"{k}{i}q"] for i in range(100)} for k in "xy"}
         assert all(max(s) < class_lm.CLASSES for s in side.values()) and not side["x"] & side["y"]
         assert cls["onceq"] == class_lm.CLASSES + class_lm.group_of(b"onceq")
@@ -141,24 +162,54 @@ def test_rarer_words_get_learned_classes(spark, monkeypatch):
         for (a, b), n in cells.items():
             want[a, b] = n
         assert np.allclose(model.moves, np.log10((want + 0.1) / (want.sum(1, keepdims=True) + 0.1 * class_lm.SIZE)))
-        new = spark.createDataFrame([(1, "a1z b2z x3q unseen y4q y5q x6q unseen2 onceq"), (2, texts[-2]), (3, None)], "doc_id long, text string")
-        scores.append(sorted((r.row.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
-                             for r in class_lm.score(new, model, words).collect()))
-    assert len(model.given) < 900 and scores[0] == scores[1]
+        got = sorted((r.row.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score(new, model).collect())
+        assert [r[4] for r in got] == [round(brute_score(model, t), 6) for t in (odd, texts[-2], None)]
+        scores.append(got)
+    assert len(model.top) < 900 and scores[0] == scores[1]
+
+
+def test_class_lm_score_is_brute_force(spark):
+    """All texts of the test table, of training and held out, by the table of words."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    scored, model = class_lm.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    for r in scored.limit(40).collect():
+        assert math.isclose(r.score, brute_score(model, r.row.text), rel_tol=1e-9)
+
+
+def test_blocks_hold_all_words(spark, monkeypatch):
+    """Texts of several batches and blocks: words, ends and groups as they are in the texts."""
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "A b", "x" * 70, "é É ß", "tab\tnew\nline\rreturn\x0bv\x0cf nbsp\xa0stays"] + [" ".join(f"w{rng.integers(40)}" for _ in range(rng.integers(30))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(t))), pa.array(t, pa.string()), pa.array([k % 3 > 0 for k in range(len(t))]),
+                                           pa.array(range(len(t)))], names=["id", "text", "learn", "k"]) for i in range(0, len(texts), 9) for t in [texts[i:i + 9]]]
+    monkeypatch.setattr(class_lm, "BLOCK_TEXT", 150)
+    monkeypatch.setattr(class_lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    seen, blocks = [], list(class_lm._cut(iter(batches)))
+    for b in blocks:
+        for block, row in class_lm._each_block([b]):
+            names = {class_lm.word_hash(w): w for t in texts for w in (t or "").encode().lower().split()}
+            words = [names[int(h)] for h in block.hashes.view(np.int64)]
+            assert [class_lm.group_of(w) for w in words] == block.groups.tolist() and len(set(words)) == len(words)
+            flat, at = [words[c] for c in block.codes], 0
+            for i, n, learn in zip(row.column("ids")[0].as_py(), block.sizes, block.train):
+                assert flat[at:at + n] == (texts[i] or "").encode().lower().split() and learn == ((i % 9) % 3 > 0)
+                seen.append(i)
+                at += n
+    assert seen == list(range(len(texts))) and len(blocks) > 5 and len({b.column("block")[0].as_py() for b in blocks}) == len(blocks)
 
 
 def test_class_lm_odd_cases(spark):
     docs = odd_documents(spark)
-    model, counts = class_lm.train(docs, F.col("doc_id") < 8)
-    got = class_lm.score(docs, model, counts).collect()
+    model = class_lm.train(docs, F.col("doc_id") < 8)
+    got = class_lm.score(docs, model).collect()
     assert len(got) == 20 and {r.row.score for r in got} == {"s"}
     by = {}
     for r in got:
         by.setdefault(r.row.doc_id, []).append((r.n_tokens, r.n_known, r.base_score, r.score))
     assert by[2] == by[3] == by[4] and by[2][0][0] == 1 and by[9][0] == by[9][1] and by[8][0][0] == 60_001
-    none, counts = class_lm.train(empty_documents(spark), F.lit(True))
-    assert all(r.base_score == 0 for r in class_lm.score(docs, none, counts).where("row.doc_id = 1").collect())
-    assert class_lm.score(empty_documents(spark), none, counts).collect() == []
+    none = class_lm.train(empty_documents(spark), F.lit(True))
+    assert all(r.base_score == 0 for r in class_lm.score(docs, none).where("row.doc_id = 1").collect())
+    assert class_lm.score(empty_documents(spark), none).collect() == []
 
 
 def test_op9_held_out(spark):
