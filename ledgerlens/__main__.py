@@ -3,6 +3,7 @@
     python -m ledgerlens [--master URL] [--conf k=v ...] billing-extract --url JDBC_URL --promo PROMO_TABLE
         --out DIR [--csv DIR] [--start 12/04/2025 --end 21/04/2025 [--inclusive-end]]
         --partition pcpedc:numped:1:N:P --partition pcmov:numped:1:N:P
+        (or --snapshot [--rows R] instead of --partition: one state of the source, partitions of R rows)
     python -m ledgerlens [...] demand-extract --url JDBC_URL --out DIR [--csv DIR] --partition pedido:num_ped:1:N:P
     python -m ledgerlens [...] reports --billing PATH --demand PATH [--format csv|parquet]
         [--user DIRETORIA] [--state CE] [--roster PATH] --out DIR [--display]
@@ -57,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
 
     for x in (be, de):
         x.add_argument("--partition", action="append", default=[], metavar="TABLE:COLUMN:LOWER:UPPER:PARTITIONS")
+        x.add_argument("--snapshot", action="store_true", help="read one state of the source, with partitions that it counts itself")
+        x.add_argument("--rows", type=int, default=2_000_000, help="rows of a partition, with --snapshot")
         x.add_argument("--single-task", action="store_true", help="read big tables in one task each")
 
     rp = sub.add_parser("reports")
@@ -75,19 +78,29 @@ def main(argv: list[str] | None = None) -> int:
     if a.cmd == "billing-extract":
         from ledgerlens.operators.billing import CAMPAIGN_RULES, BillingRules
         from ledgerlens.operators.extracts import billing_extract
-        from ledgerlens.sources import jdbc
+        from ledgerlens.sources import jdbc, snapshot
         rules = BillingRules(window_start=a.start or CAMPAIGN_RULES.window_start,
                              window_end=a.end or CAMPAIGN_RULES.window_end, end_inclusive_day=a.inclusive_end)
+        promo = (spark.read.parquet(a.promo) if not a.promo.endswith(".csv")
+                 else spark.read.option("header", True).csv(a.promo)).select("promo_code")
+        if a.snapshot:
+            with snapshot.Snapshot(spark, a.url, snapshot.ORACLE) as state:
+                of_campaign = jdbc.campaign_movements(rules, at=state.dialect.table("", state.token))
+                tables = snapshot.read_all(state, jdbc.ERP_TABLES, {"pcmov": of_campaign}, a.rows)
+                print(json.dumps(billing_extract(tables, promo, a.out, rules, a.csv)))
+            return 0
         part = jdbc.parse_partitioning(a.partition)
         jdbc.require_partitioning(jdbc.ERP_TABLES, part, a.single_task)
         part["pcmov"] = replace(part.get("pcmov", jdbc.JdbcTable("pcmov")), table=jdbc.campaign_movements(rules))
         tables = jdbc.read_tables(spark, a.url, jdbc.ERP_TABLES, "oracle", part)
-        promo = (spark.read.parquet(a.promo) if not a.promo.endswith(".csv")
-                 else spark.read.option("header", True).csv(a.promo)).select("promo_code")
         print(json.dumps(billing_extract(tables, promo, a.out, rules, a.csv)))
     elif a.cmd == "demand-extract":
         from ledgerlens.operators.extracts import demand_extract
-        from ledgerlens.sources import jdbc
+        from ledgerlens.sources import jdbc, snapshot
+        if a.snapshot:
+            with snapshot.Snapshot(spark, a.url, snapshot.POSTGRES) as state:
+                print(json.dumps(demand_extract(snapshot.read_all(state, jdbc.PORTAL_TABLES, rows=a.rows), a.out, a.csv)))
+            return 0
         part = jdbc.parse_partitioning(a.partition)
         jdbc.require_partitioning(jdbc.PORTAL_TABLES, part, a.single_task)
         tables = jdbc.read_tables(spark, a.url, jdbc.PORTAL_TABLES, "postgres", part)

@@ -90,9 +90,9 @@ PORTAL_TABLES = {
 }
 
 
-def campaign_movements(rules, table: str = "pcmov", header: str = "pcpedc") -> str:
+def campaign_movements(rules, table: str = "pcmov", header: str = "pcpedc", at: str = "") -> str:
     """A ``dbtable`` that makes the source send only movements of orders that the rules may let in
-    (the promotion table is not in the source: any promotion code counts)."""
+    (the promotion table is not in the source: any promotion code counts). ``at`` names a snapshot behind both tables."""
     def quoted(values):
         return ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
 
@@ -108,8 +108,8 @@ def campaign_movements(rules, table: str = "pcmov", header: str = "pcpedc") -> s
               *one_of("posicao", rules.statuses), *one_of("tipofv", rules.sale_types), *one_of("origemped", rules.origins),
               *one_of("codemitente", rules.issuers)]
     promo = ["p.codpromocaomed is not null", *one_of("posicao", rules.promo_statuses)]
-    return (f"(select m.numped, m.codfornec, m.codoper, m.punit, m.qt from {table} m where m.numped <> 0 and m.codfornec <> 0 "
-            f"and exists (select 1 from {header} p where p.numped = m.numped and (({' and '.join(window)}) or ({' and '.join(promo)})))) {table}")
+    return (f"(select m.numped, m.codfornec, m.codoper, m.punit, m.qt from {table}{at} m where m.numped <> 0 and m.codfornec <> 0 "
+            f"and exists (select 1 from {header}{at} p where p.numped = m.numped and (({' and '.join(window)}) or ({' and '.join(promo)})))) {table}")
 
 
 def parse_partitioning(texts: list[str]) -> dict[str, JdbcTable]:
