@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.plans.broadcast import broadcast_if_bounded
 from ledgerlens.plans.scratch import scratch_root
+from ledgerlens.plans.ship import ship
 
 #: A word: a run of anything but the six ASCII white-space characters (as bytes.split() cuts).
 WORD = r"[^\x20\x09-\x0D]+"
-#: A broadcast side may have at most so many rows (of a few dozen bytes).
+#: A broadcast side may have at most so many rows (and bytes: see ``plans.broadcast``).
 BROADCAST_ROWS = 1_000_000
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Add this package to the application's Python files, once, so that Python workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="ledgerlens-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,8 +43,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after a count has shown that ``df`` is within the bound; else a shuffle join remains."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Hint a broadcast only after a measure of rows and bytes has shown that ``df`` is within both bounds; else a
+    shuffle join remains."""
+    return broadcast_if_bounded(df, max_rows)
 
 
 def attach(base: DataFrame, found: DataFrame) -> DataFrame:

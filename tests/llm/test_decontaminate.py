@@ -22,22 +22,63 @@ def tokens(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
+def longest_run(same):
+    best = now = 0
+    for x in same:
+        now = (now + 1) * x
+        best = max(best, now)
+    return best
+
+
 def brute(docs, items):
+    """All alignments of all items with all documents, by the three rules."""
     out = {}
     for (d, text), (i, item) in itertools.product(docs, items):
         a, b = tokens(text), tokens(item)
-        if len(b) < D.MIN_ITEM:
+        if len(b) < D.SHORTEST:
             continue
         w, best = min(D.WINDOW, len(b)), 0
-        for diag in range(w - len(b), len(a) - w + 1):
-            same = [0 <= p + diag < len(a) and a[p + diag] == x for p, x in enumerate(b)]
+        for diag in range(1 - len(b), len(a)):
             low, high = max(0, -diag), min(len(b), len(a) - diag)
-            best = max([best, *(sum(same[s:s + w]) for s in range(low, high - w + 1))])
-        if best >= w - D.tolerated(w):
+            same = [a[p + diag] == b[p] for p in range(low, high)]
+            in_window = max([0, *(sum(same[s:s + w]) for s in range(len(same) - w + 1))])
+            if len(b) >= D.MIN_ITEM and in_window >= w - D.tolerated(w):
+                best = max(best, in_window)
+            elif longest_run(same) >= min(D.MIN_ITEM, len(b)):
+                best = max(best, longest_run(same))
+        if best:
             out[d, i] = best
     return out
 
 
+def test_short_items_and_excerpts(spark):
+    """A short item counts whole and in a row; 13 tokens in a row of a longer one count, also at a text's edge; 12 don't."""
+    words = [f"u{i}" for i in range(40)]
+    items = [(1, " ".join(words[:12])), (2, " ".join(words[20:25])), (3, "u1 u2 u3 u4"), (4, " ".join(words)), (5, "same same same same same same")]
+    docs = [(1, " ".join(["x", *words[:12], "y"])), (2, " ".join([*words[:6], "z", *words[7:12]])), (3, "q " + " ".join(words[20:25])), (4, " ".join(words[20:24])),
+            (5, " ".join(words[10:25]) + " tail"), (6, " ".join(["head", *words[27:40]])), (7, " ".join(["head", *words[28:40], "tail"])),
+            (8, " ".join([*words[5:18], "p"])), (9, "same " * 400), (10, " ".join(words[14:34]))]
+    got = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.id, r.item_id): r.matched for r in got.collect()}
+    assert found == brute(docs, items)
+    assert {(1, 1), (3, 2), (5, 2), (5, 4), (6, 4), (8, 4), (9, 5), (10, 2), (10, 4)} == set(found)
+
+
+def test_seed_rows_carry_no_text(spark, monkeypatch):
+    """Beyond the broadcast bound seeds are shuffled: no row of that exchange holds words."""
+    made = []
+    monkeypatch.setattr(D, "broadcast_if_small", lambda df: common.broadcast_if_small(df, 0))
+    monkeypatch.setattr(D, "staged", lambda df, name: made.append(df) or common.staged(df, name))
+    D.op10_decontaminate(spark, SF001).collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(seed" in line or "SortMergeJoin [seed" in line:
+            assert "words" not in line
+    assert "hashpartitioning(seed" in plan
+    above = plan[:plan.index("hashpartitioning(seed")]
+    assert "words" not in above
+
+
 def test_substituted_passages_are_found(spark):
     rng = random.Random(1)
     words = [f"v{i}" for i in range(300)]
