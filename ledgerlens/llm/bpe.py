@@ -6,7 +6,7 @@ characters across such a border, so a text's ids are its words' ids, one after t
 of all texts are counted, the table of distinct words is encoded once, and ids come back to each
 text by the position of its words. Decoding takes every id to its piece (bytes) and joins the pieces.
 
-The table that is sent to all tasks holds the most frequent words, at most ``TABLE_WORDS`` of them:
+The table that is sent to all tasks holds the most frequent words, at most ``TABLE_WORDS`` of at most ``LONGEST`` bytes:
 a fixed bound, whatever the corpus. A word that is rarer than that is encoded in the batch where it
 stands, once per batch. No id and no text is shuffled; only word counts are.
 
@@ -39,6 +39,8 @@ from ledgerlens.llm.common import pack, staged, table
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Most words in the table that is sent to every task.
 TABLE_WORDS = 500_000
+#: Most bytes of a word in that table; a longer run without white space is encoded where it stands.
+LONGEST = 256
 #: Unicode's White_Space characters.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(rf"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
@@ -117,7 +119,7 @@ def _count_words(batches):
 def word_table(texts: DataFrame, path: str, max_words: int = TABLE_WORDS) -> pa.Table:
     """``texts`` has the one column text. The most frequent distinct words with their ids, at most ``max_words``."""
     counts = staged(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-                    .where("n > 1"), "bpe-words")
+                    .where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "bpe-words")
     # Counts in steps of an eighth of an octave, so that what the driver reads has a few hundred rows.
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True)

@@ -34,14 +34,37 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                        ).withColumn("k", F.xxhash64("id", "text"))
 
 
+_paths: dict[str, list[str]] = {}
+
+
+def staged_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written once under the shared checkpoint folder and read back: cuts lineage, survives lost executors.
+    The files stay until ``remove_staged``, as results may read them."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_paths(spark: SparkSession) -> list[str]:
+    """What this application has staged and not removed yet, in order."""
+    return list(_paths.get(spark.sparkContext.applicationId, []))
+
+
+def remove_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete staged tables (all of this application, if none are named): once the results that read them are written."""
+    sc = spark.sparkContext
+    for p in staged_paths(spark) if paths is None else paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _paths[sc.applicationId].remove(p)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after a measure of rows and bytes has shown that ``df`` is within both bounds; else a
     shuffle join remains."""

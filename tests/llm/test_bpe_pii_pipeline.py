@@ -1,8 +1,11 @@
 """BPE (7), pseudonyms (5), the pipeline and its registration."""
 
+import datetime
 import hashlib
+import ipaddress
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -54,6 +57,16 @@ def test_bpe_odd_texts(spark, tok):
         assert r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_a_word_of_megabytes_stays_out_of_the_table(spark, tok):
+    """A run without white space, repeated: right ids, and a table bounded in bytes."""
+    blob = "abcdefghij" * 100_000
+    docs = spark.createDataFrame([(i, f"a {blob} b a") for i in range(3)], "doc_id long, text string")
+    table = bpe.word_table(docs.select("text"), bpe.TOKENIZER)
+    assert sum(len(w) for w in table.column("word").to_pylist()) < 100
+    want = tok.encode(f"a {blob} b a", add_special_tokens=False).ids
+    assert all(r.ids == want for r in bpe.encode(docs).collect())
+
+
 def test_bpe_decodes_any_ids(spark, tok):
     """Ids whose bytes are no UTF-8, null and empty lists."""
     lists = [[], None, [50256], [447], [447, 220], [34247, 225], [1, 2, 3]]
@@ -123,12 +136,98 @@ def test_op5_replaces_every_valid_value(spark):
         assert sum(v in r.text for v in values) <= len(values) - r.n_replaced
 
 
+def test_keys_without_a_digit_are_replaced_and_linked(spark):
+    """A key of letters is replaced, alone in its text as beside a digit, and by the same pseudonym."""
+    rows = [(1, "password: abcdefabcdefabcdef"), (2, "in 1999 the password: abcdefabcdefabcdef"), (3, "API_KEY = fedcbafedcbafedcba")]
+    got = {r.row.doc_id: r for r in P.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    new = got[1].pseudonymized.removeprefix("password: ")
+    assert got[1].n_replaced == got[2].n_replaced == got[3].n_replaced == 1 and len(new) == 18 and set(new) <= set("0123456789abcdef")
+    assert new != "abcdefabcdefabcdef" and got[2].pseudonymized == f"in 1999 the password: {new}" and "fedcba" * 3 not in got[3].pseudonymized
+    back = P.pseudonymize(spark.createDataFrame([(r.row.doc_id, r.pseudonymized) for r in got.values()], "doc_id long, text string"), KEY, undo=True)
+    assert sorted((r.row.doc_id, r.pseudonymized) for r in back.collect()) == rows
+
+
+def test_long_and_missing_keys(spark):
+    docs = spark.createDataFrame([(1, "call +1 212 555-0100 or mail a.b@example.org")], "doc_id long, text string")
+    texts = [P.pseudonymize(docs, k).first().pseudonymized for k in (b"x" * 64, b"x" * 65, b"x" * 65 + b"y", b"x" * 5000)]
+    assert len(set(texts)) == 4
+    with pytest.raises(ValueError, match="empty"):
+        P.pseudonymize(docs, b"")
+    master = spark.conf.get
+
+    class Cluster:
+        """A session of a cluster, as far as the key is asked for."""
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: "yarn" if key == "spark.master" else default if key == P.KEY_SETTING else master(key, default))
+
+    with pytest.raises(RuntimeError, match=P.KEY_SETTING):
+        P.op5_pseudonyms(Cluster, SF001)
+
+
+def test_planted_values_stay_valid_and_linked(spark):
+    """Values made here, by rules of their own, not found by the operator's pattern: every one is replaced by a valid one, the
+    same in every document, and different values by different ones."""
+    rng = random.Random(8)
+
+    def luhn(digits):
+        return sum(int(d) if i % 2 == 0 else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][int(d)] for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def card():
+        while True:
+            x = "4" + "".join(rng.choices("0123456789", k=15))
+            if luhn(x):
+                return x
+
+    def iban(country, body):
+        number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        return f"{country}{98 - number % 97:02d}{body}"
+
+    makers = {
+        "ssn": (lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", r"(\d{3})-(\d{2})-(\d{4})",
+                lambda x: x[:3] not in ("000", "666") and x[:3] < "900" and x[4:6] != "00" and x[7:] != "0000"),
+        "card": (card, r"\d{16}", lambda x: luhn(x) and x[0] == "4"),
+        "iban": (lambda: iban("DE", "".join(rng.choices("0123456789", k=18))), r"DE\d{20}", lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1),
+        "date": (lambda: f"{rng.randint(1950, 2020)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", r"\d{4}-\d{2}-\d{2}",
+                 lambda x: 1900 <= datetime.date.fromisoformat(x).year < 2100),
+        "ip": (lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), r"\d+\.\d+\.\d+\.\d+", lambda x: ipaddress.ip_address(x).version == 4),
+        "email": (lambda: "".join(rng.choices("abcdefgh", k=9)) + "@example.org", r"[a-z]+@example\.org", lambda x: len(x) == 21),
+    }
+    values = [(kind, make()) for kind, (make, _, _) in makers.items() for _ in range(25)]
+    docs, places = [], []
+    for i in range(200):
+        some = rng.sample(values, 3)
+        docs.append((i, "note: " + " ; ".join(f"<{n}> {v} </{n}>" for n, (_, v) in enumerate(some)) + " end"))
+        places.append(some)
+    linked = {}
+    for r in P.pseudonymize(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect():
+        assert r.n_replaced == 3 and r.kinds == [k for k, _ in places[r.row.doc_id]]
+        for n, (kind, old) in enumerate(places[r.row.doc_id]):
+            new = re.search(rf"<{n}> (.*?) </{n}>", r.pseudonymized)[1]
+            assert re.fullmatch(makers[kind][1], new) and makers[kind][2](new), (kind, old, new)
+            linked.setdefault((kind, old), set()).add(new)
+    assert all(len(x) == 1 for x in linked.values()) and len({(k, *x) for (k, _), x in linked.items()}) == len(linked) > 140
+    assert sum(old in x for (_, old), x in linked.items()) <= 1
+
+
 def test_pseudonyms_odd_cases(spark):
     got = P.pseudonymize(odd_documents(spark), KEY).collect()
     assert len(got) == 20 and all(r.pseudonymized == r.row.text and r.n_replaced == 0 for r in got)
     assert P.pseudonymize(empty_documents(spark), KEY).collect() == []
 
 
+def test_the_pipeline_leaves_its_result_only(spark):
+    """What its stages have written goes as soon as the next stage is written."""
+    import os
+
+    from ledgerlens.llm.common import staged_folder
+
+    folder = staged_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = corpus_pipeline.run(spark, SF001)
+    left = set(os.listdir(folder)) - before
+    assert docs.count() > 0 and len(left) == 1 and left.pop().startswith("pipeline-bpe")
+
+
 def test_pipeline_stages_do_their_work(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     columns = docs.columns
@@ -197,7 +296,7 @@ def test_pipeline_odd_cases(spark):
 
 def test_all_queries_are_registered():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and names[-1] == "pipeline"
     assert set(entry.oracle_sql()) <= set(names) and "op6_line_dedup" in entry.oracle_sql()
 
 
@@ -213,7 +312,7 @@ def test_nothing_else_imports_the_subpackage():
 
     root = pathlib.Path(entry.__file__).parent
     others = [f for f in itertools.chain(root.glob("ledgerlens/**/*.py"), root.glob("tools/*.py"), root.glob("tests/*.py"), [root / "bench.py"])
-              if "/llm/" not in str(f)]
+              if "/llm/" not in str(f) and f.name != "test_entry.py"]  # that one blocks the subpackage
     assert [f for f in others if "ledgerlens.llm" in f.read_text() or "corpus_pipeline" in f.read_text()] == []
 
 
