@@ -33,7 +33,7 @@ from ledgerlens.functions.money import to_money
 from ledgerlens.plans.broadcast import broadcast_if_bounded
 from ledgerlens.plans.layout import Layout
 from ledgerlens.plans.runtime_filter import only
-from ledgerlens.plans.stage import Run
+from ledgerlens.plans.stage import app_run
 from ledgerlens.schemas import LINE_COLUMNS, UNIFIED_COLUMNS
 
 
@@ -311,8 +311,8 @@ def build_billing(tables: BillingTables, rules: BillingRules = CAMPAIGN_RULES, o
     With no extra job, ``extract_observation`` (a ``pyspark.sql.Observation``) receives the rows of
     the window extract, of the promotion extract and of both together, before de-duplication;
     ``observation`` the unified rows. The qualifying header is staged under the session's shared
-    folder, unless ``keep`` says otherwise.
+    folder (``plans.stage.forget`` removes it), unless ``keep`` says otherwise.
     """
-    keep = keep or Run(tables.header.sparkSession).keep
+    keep = keep or app_run(tables.header.sparkSession).keep
     return billing_unified(tables.header, tables.movements, tables.clients, tables.suppliers,
                            tables.promo_codes, rules, observation, extract_observation, keep)

@@ -27,7 +27,7 @@ from ledgerlens.operators.refresh import refresh
 from ledgerlens.operators.sinks import csv_roundtrip, write_billing_csv, write_demand_csv
 from ledgerlens.plans.layout import Layout
 from ledgerlens.plans.scratch import scratch_path
-from ledgerlens.plans.stage import Run, stage, stage_key
+from ledgerlens.plans.stage import app_run, stage, stage_key
 from ledgerlens.sources import fixtures as X
 
 _lock = threading.Lock()
@@ -58,19 +58,19 @@ def q03_billing_lines(spark, sf_dir):
 def q04_billing_window(spark, sf_dir):
     t = _t(spark, sf_dir)
     return B.billing_window(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                            X.FIXTURE_RULES, Run(spark).keep)
+                            X.FIXTURE_RULES, app_run(spark).keep)
 
 
 def q05_billing_promo(spark, sf_dir):
     t = _t(spark, sf_dir)
     return B.billing_promo(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                           X.promo_codes(t), X.FIXTURE_RULES, Run(spark).keep)
+                           X.promo_codes(t), X.FIXTURE_RULES, app_run(spark).keep)
 
 
 def unified_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _t(spark, sf_dir)
     return B.billing_unified(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t),
-                             X.promo_codes(t), X.FIXTURE_RULES, keep=Run(spark).keep)
+                             X.promo_codes(t), X.FIXTURE_RULES, keep=app_run(spark).keep)
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:

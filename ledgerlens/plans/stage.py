@@ -8,7 +8,8 @@ column pruning and filter pushdown on the staged files.
 Every staged table gets a path of its own that is written once and never overwritten, so a table
 that was handed out stays readable. A caller's staging belongs to its ``Run`` (one folder, removed
 with ``Run.remove``). The catalog's shared tables are kept per key, and a key holds the signature
-of the input files (path, length, modification time): changed inputs are another key.
+of the input files (path, length, modification time): changed inputs are another key. They belong to the
+application's run, as do the headers of single builds; ``forget`` removes them all.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[tuple[str, str], DataFrame] = {}
+_runs: dict[str, Run] = {}
 _building: dict[tuple[str, str], threading.Lock] = {}
 _lock = threading.Lock()
 
@@ -81,6 +83,13 @@ class Run:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def app_run(spark: SparkSession) -> Run:
+    """The run of this application: for tables that are read as long as results of it are; ``forget`` removes it."""
+    app = spark.conf.get("spark.app.id", "app")
+    with _lock:
+        return _runs.setdefault(app, Run(spark))
+
+
 def stage(spark: SparkSession, key: str, build) -> DataFrame:
     """The staged table ``key`` of this application; ``build()`` is written first if there is none yet."""
     at = (spark.conf.get("spark.app.id", "app"), key)
@@ -90,15 +99,18 @@ def stage(spark: SparkSession, key: str, build) -> DataFrame:
         with _lock:
             df = _staged.get(at)
         if df is None:
-            df = Run(spark).keep(build(), key)
+            df = app_run(spark).keep(build(), key)
             with _lock:
                 _staged[at] = df
     return df
 
 
 def forget(spark: SparkSession) -> None:
-    """Drop this session's staged-table registry (the files stay until the folder is cleaned)."""
+    """Drop what this application has staged, files too; results that read them must have been written."""
     app = spark.conf.get("spark.app.id", "app")
     with _lock:
         for k in [k for k in _staged if k[0] == app]:
             del _staged[k]
+        run = _runs.pop(app, None)
+    if run is not None:
+        run.remove()

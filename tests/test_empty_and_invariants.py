@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from conftest import SF001, SF01
 from ledgerlens.operators.reconcile import reconcile, totals
 from ledgerlens.operators.scope import scope_billing, scope_demand, state_list
 from ledgerlens.operators.reports import clients_per_state, top_clients
@@ -66,3 +66,16 @@ def test_one_pass_branch_and_state_equals_separate(spark):
     br, st = split_summaries(branch_and_state(unified))
     for a, b in ((br, branch_summary(unified)), (st, state_summary(unified))):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_forget_removes_what_was_staged(spark):
+    """Files of staged tables and of single builds' headers go with the registry."""
+    import os
+
+    from ledgerlens.plans import catalog as C
+    from ledgerlens.plans.stage import app_run, forget
+    C.staged_demand(spark, SF001), C.q04_billing_window(spark, SF001).count()
+    folder = app_run(spark).folder.removeprefix("file:")
+    assert len(os.listdir(folder)) >= 2
+    forget(spark)
+    assert not os.path.exists(folder) and C.staged_demand(spark, SF001).count() > 0

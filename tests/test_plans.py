@@ -54,7 +54,7 @@ def _headers(spark):
 
     def keep(df, name):
         made.append(formatted(df))
-        return C.Run(spark).keep(df, name)
+        return C.app_run(spark).keep(df, name)
 
     df = B.billing_unified(X.order_header(t), X.movements(t), X.clients(t), X.suppliers(t), X.promo_codes(t), X.FIXTURE_RULES, keep=keep)
     return made, formatted(df)

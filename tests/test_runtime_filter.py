@@ -99,7 +99,7 @@ def test_campaign_aggregates_read_candidates_only(spark, bounds, monkeypatch, na
         return sums(movements.observe(seen, F.count(F.lit(1)).alias("n")), suppliers, return_op)
 
     def keep(df, stage):
-        made.append(B.Run(spark).keep(df, stage))
+        made.append(B.app_run(spark).keep(df, stage))
         return made[-1]
 
     monkeypatch.setattr(B, "order_supplier_lines", observed)
