@@ -6,8 +6,9 @@ return those columns. Each stage's rows are written as Parquet and read again as
 ``docs``, so a lost executor costs a part of one stage.
 
 Defined cases are those of the operators; here they mean: a null text or one without a letter goes in
-the first stage; documents with null ids are kept as long as their text is; of rows that repeat, or
-share an id, near-duplicate removal keeps one; empty tables give empty results in every stage.
+the first stage; documents with null ids are kept as long as their text is; of rows that repeat,
+near-duplicate removal keeps one, and of two unrelated texts with one id both; very long texts go through every stage whole;
+of near-duplicates that tie, the smallest id stays; empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, language, line_dedup, minhash
-from ledgerlens.llm.common import pack, staged, table
+from ledgerlens.llm.common import pack, remove_staged, staged, staged_paths, table
 
 #: Texts with a smaller score go. Margins alone give 0.25 or more where a language wins its pairs, so it is
 #: the fit (1 for a text like those learned from) that takes texts of no learned language below it.
@@ -71,10 +72,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, applied to the table ``documents``. What a stage has staged goes once its result is written, and that
+    once the next one's is; the last result stays."""
+    docs, before = table(spark, sf_dir, "documents"), staged_paths(spark)
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove_staged(spark, [p for p in staged_paths(spark)[:-1] if p not in before])
     return docs
 
 
