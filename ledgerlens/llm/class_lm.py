@@ -56,10 +56,10 @@ ROUNDS = 8
 SIZE, LEAST = CLASSES + GROUPS + 1, 2
 END = SIZE - 1
 #: Most words whose classes and counts are sent to every task.
-KNOWN = 2_000_000
+KNOWN = 200_000
 ALPHA, DELTA = 0.1, 0.1
 #: Bytes of text in a block.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
 #: Contexts as they are shuffled: class behind, or SIZE and class before; how often.
 _CONTEXT = np.dtype([("cell", "u1"), ("n", "<u2")])
 _MOST = 65_535
@@ -210,7 +210,7 @@ def _symbol_pairs(top: np.ndarray, place: np.ndarray):
         for block, _ in _each_block(batches):
             at, there = _find(top, block.hashes)
             of = np.where(there, place[at] if len(place) else 0, EXCHANGED + block.groups.astype(np.int64))
-            s = block.sequence(of, symbols - 1, True)
+            s = block.sequence(of.astype(np.int32), symbols - 1, True)
             total += np.bincount(s[:-1] * symbols + s[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
@@ -279,12 +279,14 @@ def _contexts(top: np.ndarray, top_class: np.ndarray):
     def run(batches):
         for block, _ in _each_block(batches):
             at, there = _find(top, block.hashes)
-            cls = np.where(there, top_class[at] if len(top_class) else 0, CLASSES + block.groups.astype(np.int64))
-            seq = block.sequence(cls, END, True)
-            codes = with_ends(block.codes.astype(np.int64), block.sizes, -1, block.train)
-            i = np.flatnonzero(codes >= 0)
-            keys = np.concatenate([codes[i] * (2 * SIZE) + seq[i + 1], codes[i] * (2 * SIZE) + SIZE + seq[i - 1]])
-            keys, n = np.unique(keys.astype(np.int32) if len(block.hashes) * 2 * SIZE < 2**31 else keys, return_counts=True)
+            kind = np.int32 if len(block.hashes) * 2 * SIZE < 2**31 else np.int64
+            cls = np.where(there, top_class[at] if len(top_class) else 0, CLASSES + block.groups.astype(np.int64)).astype(kind)
+            seq, codes = block.sequence(cls, END, True), with_ends(block.codes.astype(kind), block.sizes, -1, block.train)
+            word = codes[1:-1] >= 0
+            keys, one = np.empty(2 * int(word.sum()), kind), codes[1:-1][word] * kind(2 * SIZE)
+            keys[:len(one)], keys[len(one):] = one + seq[2:][word], one + kind(SIZE) + seq[:-2][word]
+            del one, codes, seq, word
+            keys, n = np.unique(keys, return_counts=True)
             many = (n + _MOST - 1) // _MOST  # more than fit are several entries
             if (many > 1).any():
                 first = np.repeat(np.cumsum(many) - many, many)
@@ -301,6 +303,7 @@ def _contexts(top: np.ndarray, top_class: np.ndarray):
                                                names=["h", "grp", "contexts"])
             for k in range(0, whole.num_rows, 20_000):
                 yield whole.slice(k, 20_000)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -450,7 +453,7 @@ def _resolve(top, den: np.ndarray, base_den: float, n_train: int):
                 base = sums(base) + np.log10(n_train + 0.1) - (block.sizes + 1) * base_den
                 cols = [block.sizes + 1, np.rint(sums((n > 0).astype(float))).astype(np.int64) + int(n_train > 0), base, sums(emit)]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cols]
-                seq = block.sequence(cls, END, False).astype(np.uint8)
+                seq = block.sequence(cls.astype(np.uint8), END, False)
                 yield pa.RecordBatch.from_arrays([row.column("ids"), row.column("ks"), row.column("train"), pa.array([seq.tobytes()], pa.binary()), *lists],
                                                  names=["ids", "ks", "train", "classes", "n_tokens", "n_known", "base", "emit"])
         pa.default_memory_pool().release_unused()
