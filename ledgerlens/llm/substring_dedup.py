@@ -14,8 +14,8 @@ whose anchor occurs in two different documents can match; they are shuffled by a
 builds one automaton at a time over consecutive anchors' pieces, some ``SHARD_WORDS`` words, and
 streams the pieces through it.
 
-An anchor that more than ``HOT`` different texts share would be too large a group for one automaton.
-Its windows go as 128-bit hashes, each different one of a text once, to an aggregate with a map-side
+An anchor with more than ``HOT`` pieces, in many texts or often in a few, would be too large a group for one automaton
+(a piece has fewer than ``2 * WINDOW`` words). Its windows go as 128-bit hashes, each different one of a text once, to an aggregate with a map-side
 phase and come back by a join that AQE splits. Texts with equal word sequences form a class, which is streamed once.
 
 Defined cases: null texts hold no words; texts of fewer than ``WINDOW`` words keep all; null ids are
@@ -158,12 +158,12 @@ def _anchor_rows(window: int):
             out = []
             for t in b.column(2):
                 words = (t.as_py() or b"").split()
-                h = np.unique(anchors(hashes.of(words), window)[0])
-                out.append((len(words), xxhash.xxh3_128_digest(b" ".join(words)), h.view(np.int64)))
-            cols = list(zip(*out)) or [()] * 3
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                h, m = np.unique(anchors(hashes.of(words), window)[0], return_counts=True)
+                out.append((len(words), xxhash.xxh3_128_digest(b" ".join(words)), h.view(np.int64), m.astype(np.int32)))
+            cols = list(zip(*out)) or [()] * 4
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                             names=["id", "k", "n", "print", "h"])
+                                             names=["id", "k", "n", "print", "h", "m"])
 
     return run
 
@@ -258,13 +258,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = pack(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     id_type = dict(base.dtypes)["id"]
     rows = staged(base.select("id", "k", "text").mapInArrow(
-        _anchor_rows(window), f"id {id_type}, k long, n long, print binary, h array<long>"), "substring-anchors")
-    classes = staged(rows.where(f"id is not null and n >= {window}").groupBy("print").agg(F.min(F.struct("id", "k", "h")).alias("c"))
-                     .select("print", F.col("c.id").alias("v"), "c.k", "c.h"), "substring-classes")
-    each = classes.select("v", "k", "print", F.explode("h").alias("h"))
-    met = each.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select(
+        _anchor_rows(window), f"id {id_type}, k long, n long, print binary, h array<long>, m array<int>"), "substring-anchors")
+    classes = staged(rows.where(f"id is not null and n >= {window}").groupBy("print").agg(F.min(F.struct("id", "k", "h", "m")).alias("c"))
+                     .select("print", F.col("c.id").alias("v"), "c.k", "c.h", "c.m"), "substring-classes")
+    each = classes.select("v", "k", "print", F.inline(F.arrays_zip("h", "m")))
+    met = each.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.sum("m").alias("m")).where("x < y").select(
         "h", (F.col("m") > HOT).alias("hot"))
-    found = staged(each.join(met, "h").groupBy("v", "k", "print").agg(F.collect_list(F.struct("h", "hot")).alias("found")), "substring-found")
+    found = staged(each.drop("m").join(met, "h").groupBy("v", "k", "print").agg(F.collect_list(F.struct("h", "hot")).alias("found")), "substring-found")
     wanted = broadcast_if_small(found.select(F.col("v").alias("id"), "k"))
     texts = base.select("id", "k", "text").join(wanted, ["id", "k"], "left_semi").dropDuplicates(["id", "k"])
     pieces = staged(texts.withColumnRenamed("id", "v").join(found, ["v", "k"]).select("v", "print", "text", "found").mapInArrow(

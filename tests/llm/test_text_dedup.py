@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_paths import SF001, SF01
 from ledgerlens.llm import line_dedup, minhash, substring_dedup
@@ -185,3 +186,19 @@ def test_texts_are_cut_once(spark):
     df = line_dedup.dedup_lines(odd_documents(spark)).where("n_removed = 0 or n_removed < n_lines")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_many_pieces_of_one_anchor_in_few_texts(spark, monkeypatch):
+    """Two texts that repeat one run of words in ever other surroundings: no automaton gets more than the bound of pieces."""
+    monkeypatch.setattr(substring_dedup, "HOT", 60)
+    runs = [" ".join(f"run{n}x{i}" for i in range(16)) for n in range(300)]
+    run = min(runs, key=lambda r: substring_dedup.grams(minhash.WordHash().of(r.encode().split()), 16)[0])  # chosen as anchor wherever it is
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = [(d, " ".join(f"{run} " + " ".join(f"d{d}w{j}x{i}" for i in range(40)) for j in range(150)) + f" {shared} end{d}") for d in range(3)]
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        assert got[d] == ((0, text) if d == 0 else (60, text.replace(f"{shared} ", "")))
+    each = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id id", "doc_id k", "cast(text as binary) text").mapInArrow(
+        substring_dedup._anchor_rows(50), "id long, k long, n long, print binary, h array<long>, m array<int>")
+    pieces = each.select(F.inline(F.arrays_zip("h", "m"))).groupBy("h").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("texts"))
+    assert pieces.where("m > 60 and texts <= 3").count() > 0  # few texts, many pieces: counted as hot
