@@ -1,6 +1,7 @@
 """Embedding near-duplicates (3): brute force, recall, odd vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest_paths import SF01
@@ -68,6 +69,35 @@ def test_recall_at_the_threshold():
         assert hit >= 194
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 16, 63, 64, 300])
+def test_sketches_lose_no_pair(dim):
+    """Whoever reaches the threshold with another one passes; of random vectors in 64 dimensions hardly any does."""
+    rng = np.random.default_rng(dim)
+    x = E.unit(np.concatenate([rng.normal(size=(60, dim)), rng.laplace(size=(60, dim)) ** 3 + 1e-9]))
+    x = E.unit(np.concatenate([x, x[::3] + rng.normal(size=(40, dim)) * 0.15 / np.sqrt(dim), x[:5]]))
+    codes, step, off = zip(*(E.sketch(v) for v in x))
+    got = E.may_reach(np.frombuffer(b"".join(codes), np.uint8).reshape(len(x), -1), np.array(step), np.array(off), 0.98)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -1)
+    assert got[cos.max(1) >= 0.98].all()
+    if dim == 64:
+        y = E.unit(rng.normal(size=(500, dim)))
+        codes, step, off = zip(*(E.sketch(v) for v in y))
+        assert E.may_reach(np.frombuffer(b"".join(codes), np.uint8).reshape(500, -1), np.array(step), np.array(off), 0.98).mean() < 0.05
+
+
+def test_filters_over_the_block_pass_whole(monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 3)
+    rng = np.random.default_rng(0)
+    rows = [(g, i, i, g, *E.sketch(E.unit(rng.normal(size=(1, 8)))[0])) for i, g in enumerate([1, 1, 2, 2, 2, 2, 2, 2, 2, 3, 5, 5, 5])]
+    cols = list(zip(*rows))
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.float32(), pa.float32()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "h", "v", "filter", "code", "step", "off"])
+    for size in (1, 4, 13):
+        out = [r for b in E._prune(0.98)(whole.slice(k, size) for k in range(0, 13, size)) for r in b.column("h").to_pylist()]
+        assert [h for h in out if 2 <= h <= 8] == list(range(2, 9)) and 9 not in out
+
+
 def test_listing_is_exhaustive():
     """List decoding finds exactly the directions that a full product would."""
     rng = np.random.default_rng(2)
