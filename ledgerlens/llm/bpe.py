@@ -10,7 +10,8 @@ The table that is sent to all tasks holds the most frequent words, at most ``TAB
 a fixed bound, whatever the corpus. A word that is rarer than that is encoded in the batch where it
 stands, once per batch. No id and no text is shuffled; only word counts are.
 
-Defined cases: null texts count as empty, empty texts have no ids and decode to ''; the texts of
+Defined cases: null texts count as empty, empty texts have no ids and decode to ''; very long texts are encoded whole, by
+themselves if need be; of words that are equally frequent, all or none are in the table; the texts of
 special tokens are found as the tokenizer itself finds them; ids outside the vocabulary raise; rows
 that repeat are encoded each; an empty table gives an empty result; all input columns come back
 inside ``row``.

@@ -25,7 +25,8 @@ links in the group and the smallest vector that it is connected with there.
 Defined cases: null labels and ids, null, empty and zero vectors, and vectors with null or
 non-finite components link with nothing (0 links, their own component; a null id has a null
 component and is kept); vectors of different lengths don't link; rows that share an id are one
-vertex; repeated rows are copies of each other; an empty table gives an empty result.
+vertex; repeated rows are copies of each other; ties in a component go to the smaller id; columns other than the three
+named aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ in the same document - is a later occurrence; all lines that later occurrences c
 (covered positions are merged), the first occurrence stays. Windows of blank lines only don't count.
 
 Defined cases: null text stays null with 0 lines; an empty text is one empty line; fewer than three
-lines are never touched; null ids rank after all others; equal ids rank by text hash; rows that
+lines are never touched; very long texts have as many windows as lines; null ids rank after all others; equal ids rank by text hash; rows that
 repeat id and text are one document and are treated alike; an empty table gives an empty result;
 all input columns come back inside ``row``.
 

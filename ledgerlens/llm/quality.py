@@ -12,7 +12,8 @@ are weighted so that the sample's labels count as often as they occur in all lab
 
 Defined cases: a null or empty text is one passage without words; several labels of one document:
 the largest counts; null labels and ids are not learned from; without any label the score is 0.5,
-with one label only it is that label; rows that repeat get the same score; an empty table gives an
+with one label only it is that label; very long texts have as many passages as they need and are scored whole;
+a score at the threshold counts as 1; rows that repeat get the same score; an empty table gives an
 empty result; all input columns come back inside ``row``.
 """
 
