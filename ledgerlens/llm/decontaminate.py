@@ -111,3 +111,23 @@ def op10_decontaminate(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return (find_overlaps(docs, items).groupBy(F.col("id").alias("doc_id"), "item_id")
             .agg(F.max("window").alias("window"), F.max("matched").alias("matched")))
+
+
+#: All alignments of all items with all documents that share five tokens, by the same three rules.
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') ws from documents where text is not null),
+i as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') ws from benchmark where item_id is not null and text is not null),
+dt as (select doc_id, len(ws) size, unnest(ws) t, generate_subscripts(ws, 1) - 1 p from d),
+it as (select item_id, ws, len(ws) n, unnest(ws) t, generate_subscripts(ws, 1) - 1 q from i where len(ws) >= 5),
+m as (select doc_id, size, item_id, ws, n, p - q diag, q from dt join it using (t)),
+a as (select doc_id, item_id, ws, diag, count(*) c from m group by all having count(*) >= 5),
+r as (select m.*, c, count(*) over (partition by doc_id, item_id, ws, diag order by q range between 19 preceding and current row) in_window,
+    q - row_number() over (partition by doc_id, item_id, ws, diag order by q) island from m join a using (doc_id, item_id, ws, diag)),
+runs as (select doc_id, item_id, ws, diag, any_value(n) n, any_value(size) size, any_value(c) c, max(in_window) in_window, count(*) run
+  from r group by doc_id, item_id, ws, diag, island),
+best as (select doc_id, item_id, n, least(n, size - diag) - greatest(0, -diag) room, least(20, n) w, case when n < 20 then max(c) else max(in_window) end m, max(run) run
+  from runs group by doc_id, item_id, ws, diag, n, size),
+found as (select doc_id, item_id, case when n >= 13 and room >= w and m >= w - w // 5 then {'matched': m, 'window': w}
+    when run >= least(13, n) then {'matched': run, 'window': run} end best from best)
+select doc_id, item_id, cast(max(best)['window'] as integer) "window", cast(max(best)['matched'] as integer) matched
+from found where best is not null group by doc_id, item_id"""

@@ -288,3 +288,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 def op3_embedding(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select(
         F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+#: All pairs. (The query finds a pair at exactly the threshold with a probability of some 0.99; at more than that nearly always.)
+SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+low as (select a, min(b) lo from reach group by a),
+n as (select a, count(*) n from link group by a)
+select vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(lo, vec_id)) component_id, coalesce(lo, vec_id) >= vec_id kept
+from embeddings left join low on low.a = vec_id left join n on n.a = vec_id"""

@@ -257,3 +257,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op2_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, shingle=4, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+SQL = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) ws from documents),
+sh as (select distinct doc_id, md5(array_to_string(ws[s:s + 3], ' ')) h from w, unnest(generate_series(1, greatest(len(ws) - 3, 1))) t(s) where len(ws) > 0),
+size as (select doc_id, count(*) n from sh group by doc_id),
+common as (select a.doc_id a, b.doc_id b, count(*) m from sh a join sh b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from common join size x on x.doc_id = a join size y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
+reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+low as (select a, min(b) lo from reach group by a)
+select w.doc_id, coalesce(n, 0) n_shingles, least(w.doc_id, coalesce(lo, w.doc_id)) component_id, coalesce(lo, w.doc_id) >= w.doc_id kept
+from w left join size using (doc_id) left join low on a = w.doc_id"""

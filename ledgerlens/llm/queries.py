@@ -21,6 +21,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring": substring_dedup.SQL,
+    "op2_minhash": minhash.SQL,
+    "op3_embedding": embedding_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
 }

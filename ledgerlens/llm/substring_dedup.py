@@ -303,3 +303,14 @@ def op1_substring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("row.doc_id", "n_words", "n_removed",
                                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) ws from documents),
+win as (select doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) h from w, unnest(generate_series(1, len(ws) - 49)) t(s) where len(ws) >= 50),
+hit as (select doc_id, s from (select doc_id, s, min(doc_id) over (partition by h) lo from win) where lo < doc_id),
+gone as (select distinct doc_id, s + k pos from hit, unnest(generate_series(0, 49)) t(k)),
+word as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos from w),
+kept as (select doc_id, count(*) n, string_agg(word, ' ' order by pos) kept from word anti join gone using (doc_id, pos) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256
+from w left join kept using (doc_id)"""

@@ -300,10 +300,11 @@ def test_all_queries_are_registered():
     assert set(entry.oracle_sql()) <= set(names) and "op6_line_dedup" in entry.oracle_sql()
 
 
-def test_op6_matches_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
+def test_matches_its_sql(spark, name):
     from oracle_compare import compare, duck
 
-    ok, why = compare(entry.queries()["op6_line_dedup"](spark, SF01), duck(SF01), entry.oracle_sql()["op6_line_dedup"])
+    ok, why = compare(entry.queries()[name](spark, SF01), duck(SF01), entry.oracle_sql()[name])
     assert ok, why
 
 
