@@ -36,7 +36,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,52 +106,54 @@ def sketch(x: np.ndarray) -> tuple[bytes, float, float]:
     return (nibbles[::2] << 4 | nibbles[1::2]).tobytes(), step, float(np.linalg.norm(x - step * q)) + 1e-9
 
 
-def may_reach(codes: np.ndarray, step: np.ndarray, off: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of some vectors may reach the threshold with another one, by their sketches (rows of bytes)."""
-    q = np.empty((len(codes), 2 * codes.shape[1]), np.float32)
-    q[:, ::2], q[:, 1::2] = codes >> 4, codes & 15
-    q = (q - 8) * step[:, None].astype(np.float32)
-    most = q @ q.T + off[:, None] + off + off[:, None] * off + 1e-4
+def components_of(codes: list[bytes]) -> np.ndarray:
+    """Steps of each component, a row a sketch; shorter vectors have zeros behind."""
+    width = max(map(len, codes), default=0)
+    both = np.frombuffer(b"".join(x if len(x) == width else x.ljust(width, b"\x88") for x in codes), np.uint8).reshape(len(codes), width)
+    q = np.empty((len(codes), 2 * width), np.int8)
+    q[:, ::2], q[:, 1::2] = both >> 4, both & 15
+    return q - np.int8(8)
+
+
+def may_reach(q: np.ndarray, step: np.ndarray, off: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some vectors may reach the threshold with another one, by their sketches."""
+    x = q * step[:, None].astype(np.float32)
+    most = x @ x.T + off[:, None] + off + off[:, None] * off + 1e-4
     np.fill_diagonal(most, -2)
     return most.max(1) >= threshold
 
 
 def _prune(threshold: float):
-    """For mapInArrow over memberships sorted by ``g``, the filter: those whose vector may reach the threshold in the filter."""
+    """For mapInArrow over memberships sorted by ``g``, the filter: those whose vector may reach the threshold in the filter.
+    Filters of more than ``BLOCK`` vectors are too large for one comparison: all of theirs go on."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the filter that isn't complete
-        size, passed = 0, None
-
-        def flush():
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-            keep = np.zeros(rows.num_rows, bool)
-            code = rows.column("code").cast(pa.binary())
-            n = pc.binary_length(code).to_numpy()
-            for width in np.unique(n):
-                of = np.flatnonzero(n == width)
-                if len(of) > 1:
-                    bytes_ = np.frombuffer(b"".join(code.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), -1)
-                    keep[of] = may_reach(bytes_, rows.column("step").to_numpy()[of], rows.column("off").to_numpy()[of], threshold)
-            return rows.filter(pa.array(keep)).select(["h", "v", "filter"])
+        carry, passed = None, None  # rows of the last filter, if it may go on; the last filter, if all of it goes on
+
+        def kept(rows, complete):
+            nonlocal carry, passed
+            g = rows.column("g").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            ends = np.append(starts[1:], len(g))
+            q = components_of(rows.column("code").to_pylist())
+            step, off = rows.column("step").to_numpy(), rows.column("off").to_numpy()
+            keep = np.zeros(len(g), bool)
+            carry = None
+            for i, j in zip(starts.tolist(), ends.tolist()):
+                if g[i] == passed or j - i > BLOCK:
+                    keep[i:j], passed = True, g[i]
+                elif j == len(g) and not complete:
+                    carry = rows.slice(i)
+                elif j - i > 1:
+                    keep[i:j] = may_reach(q[i:j], step[i:j], off[i:j], threshold)
+            return rows.select(["h", "v", "filter"]).filter(pa.array(keep))
 
         for b in batches:
-            g = b.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
-            for i, j in zip(cuts, cuts[1:]):
-                part = b.slice(i, j - i)
-                if held and held[0].column("g")[0].as_py() != g[i]:
-                    yield flush()
-                    held, size = [], 0
-                if passed is not None and passed != g[i]:
-                    passed = None
-                held.append(part)
-                size += part.num_rows
-                if passed is not None or size > BLOCK:  # too large a filter for one comparison: all of it goes on
-                    yield from (x.select(["h", "v", "filter"]) for x in held)
-                    held, size, passed = [], 0, g[i]
-        if held:
-            yield flush()
+            if b.num_rows:
+                rows = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
+                yield kept(rows, False)
+        if carry is not None:
+            yield kept(carry, True)
 
     return run
 

@@ -76,14 +76,14 @@ def test_sketches_lose_no_pair(dim):
     x = E.unit(np.concatenate([rng.normal(size=(60, dim)), rng.laplace(size=(60, dim)) ** 3 + 1e-9]))
     x = E.unit(np.concatenate([x, x[::3] + rng.normal(size=(40, dim)) * 0.15 / np.sqrt(dim), x[:5]]))
     codes, step, off = zip(*(E.sketch(v) for v in x))
-    got = E.may_reach(np.frombuffer(b"".join(codes), np.uint8).reshape(len(x), -1), np.array(step), np.array(off), 0.98)
+    got = E.may_reach(E.components_of(codes), np.array(step), np.array(off), 0.98)
     cos = x @ x.T
     np.fill_diagonal(cos, -1)
     assert got[cos.max(1) >= 0.98].all()
     if dim == 64:
         y = E.unit(rng.normal(size=(500, dim)))
         codes, step, off = zip(*(E.sketch(v) for v in y))
-        assert E.may_reach(np.frombuffer(b"".join(codes), np.uint8).reshape(500, -1), np.array(step), np.array(off), 0.98).mean() < 0.05
+        assert E.may_reach(E.components_of(codes), np.array(step), np.array(off), 0.98).mean() < 0.05
 
 
 def test_filters_over_the_block_pass_whole(monkeypatch):
