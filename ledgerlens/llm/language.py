@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ FAMILIES = {
     "et": "uralic", "fi": "uralic", "hu": "uralic",
 }
 PER_LANGUAGE = 500
+#: Rows that a task passes on at a time.
+AT_ONCE = 1000
 BITS = 13
 UNKNOWN = "und"
 #: Texts that the bounds of the fit need; the share of learned texts that may lie below them; room left below.
@@ -212,12 +215,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
-        for b in batches:
+        for b in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             row = b.column("row")
-            found = [sent.value.predict(t.as_py()) for t in row.field(text_col)]  # texts one by one, not all at once
+            found = [sent.value.predict(t.as_py()) for t in pc.struct_field(row, text_col)]  # texts one by one, not all at once
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([row, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
-            pa.default_memory_pool().release_unused()  # a worker lives on
+        pa.default_memory_pool().release_unused()  # a worker lives on
 
     base = pack(docs, id_col, text_col).select("row")
     fields = [base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

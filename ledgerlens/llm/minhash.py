@@ -41,6 +41,8 @@ _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 63, (2 * PARTS * WIDTH, 1), np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, (2 * PARTS * WIDTH, 1), np.uint64) | np.uint64(1)
 _BLOCK = 1 << 14
+#: Texts whose sets a task holds at a time.
+AT_ONCE = 1000
 #: Documents of a block when a key's documents are compared across components; columns of a matrix.
 BLOCK, _COLUMNS = 512, 8192
 
@@ -93,12 +95,13 @@ def _sets(size: int, want: str):
 
     def run(batches):
         hashes = WordHash()
-        for b in batches:
+        for b in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             sets = [shingles(hashes.of((t.as_py() or b"").lower().split()), size) for t in b.column(2)]
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             cols = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())]
             more = [(sketch(s) if want == "parts" else s.view(np.int64)) if len(s) else np.empty(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(more, pa.list_(pa.int64()))], names=["id", "k", "n", "print", want])
+        pa.default_memory_pool().release_unused()  # a worker lives on
 
     return run
 
@@ -175,6 +178,7 @@ def _compare_groups(percent: int):
             yield _links(out, b.schema)
         if len(group[0]) > 1:
             yield _links(compare(*group[:3], key[1] != key[2], group[3]), b.schema)
+        pa.default_memory_pool().release_unused()
 
     def _links(out, schema):
         a, z = zip(*out) if out else ((), ())
