@@ -24,8 +24,19 @@ from ledgerlens.llm.common import pack, remove_staged, staged, staged_paths, tab
 LEAST_SCORE = 0.2
 
 
+#: Rows of an Arrow batch: whole texts are large rows, and batches of them fill memory beside the heap.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches from now on, unless the session has a setting of its own (other than Spark's default)."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns languages from the documents' labels; texts without a letter, or of no clear language, go."""
+    _small_batches(spark)
     found = language.identify(docs, language.train(docs, F.lit(True)))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
@@ -45,6 +56,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by a similarity of 0.8 over five-word shingles, the smallest id stays."""
+    _small_batches(spark)
     return minhash.one_of_each(docs, shingle=5, percent=80)
 
 
@@ -57,6 +69,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document: its id, the token ids, and the text that they decode to."""
+    _small_batches(spark)
     tokens = bpe.encode(docs.select("doc_id", "text"))
     return tokens.select("row.doc_id", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"),
                          F.col("decoded").alias("text"))
