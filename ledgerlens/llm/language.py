@@ -77,9 +77,37 @@ def letter_share(text: str) -> float:
     return float((_letters()[c] != 32).sum() / max(1, (c > 32).sum()))
 
 
-def _profile(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+class Vectors:
+    """Feature vectors by their entries that are not zero; made whole one at a time, as all of them at once would fill the
+    driver's memory."""
+
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
+        self.entries = entries
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Vectors:
+        return cls([(np.flatnonzero(v), v[v != 0]) for v in x])
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def __iter__(self):
+        return (self.whole(i)[:-1] for i in range(len(self)))
+
+    def where(self, chosen: np.ndarray) -> Vectors:
+        return Vectors([self.entries[i] for i in np.flatnonzero(chosen)])
+
+    def whole(self, i: int) -> np.ndarray:
+        """Vector ``i`` with a one behind it, for the bias."""
+        v = np.zeros((1 << BITS) + 1, np.float32)
+        at, entries = self.entries[i]
+        v[at], v[-1] = entries, 1
+        return v
+
+
+def _profile(x: Vectors) -> tuple[np.ndarray, float, float]:
     """Log-frequencies over texts, with their mean and variance by their own frequencies."""
-    total = np.zeros(x.shape[1])
+    total = np.zeros(1 << BITS)
     for v in x:
         total += v.astype(np.float64) ** 2 * min(_size(v), 2000.0)
     log = np.log((total + 0.5) / (total + 0.5).sum())
@@ -98,19 +126,20 @@ def _excess(x: np.ndarray, profiles: list[tuple[np.ndarray, float, float]]) -> f
     return max(float(f @ log[at] - mean + 3 * np.sqrt(var / size)) for log, mean, var in profiles)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, reg: float = 1e-4) -> np.ndarray:
+def _svm(x: Vectors, y: np.ndarray, epochs: int = 12, reg: float = 1e-4) -> np.ndarray:
     """Averaged stochastic subgradient of the hinge loss; y is +1 or -1, both sides weighted alike. Last weight: bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, mean, t, order = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float64), 0, np.random.default_rng(7)
+    size = (1 << BITS) + 1
+    w, mean, t, order = np.zeros(size, np.float32), np.zeros(size, np.float64), 0, np.random.default_rng(7)
     weight = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (1, -1)}
     for _ in range(epochs):
         for i in order.permutation(len(x)):
             t += 1
             rate = 1 / (reg * (t + 1 / reg))
-            hit = y[i] * (x[i] @ w) < 1
+            v = x.whole(i)
+            hit = y[i] * (v @ w) < 1
             w *= 1 - rate * reg
             if hit:
-                w += np.float32(rate * y[i] * weight[y[i]]) * x[i]
+                w += np.float32(rate * y[i] * weight[y[i]]) * v
             mean += w
     return (mean / max(1, t)).astype(np.float32)
 
@@ -122,8 +151,9 @@ def _sure(margin):
 class Model:
     """Family machines and pair machines, as plain arrays."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], families: dict[str, str], shares: list[float] = ()):
+    def __init__(self, x: Vectors | np.ndarray, langs: list[str], families: dict[str, str], shares: list[float] = ()):
         """``shares``: the texts' letter shares; without them no share is too small."""
+        x = x if isinstance(x, Vectors) else Vectors.of(x)
         lang, self.langs = np.array(langs), sorted(set(langs))
         self.members: dict[str, list[str]] = {}
         for a in self.langs:
@@ -135,8 +165,8 @@ class Model:
         for group in self.members.values():
             for a, b in combinations(group, 2):
                 own = (lang == a) | (lang == b)
-                self.of_pair[a, b] = _svm(x[own], np.where(lang[own] == a, 1, -1))
-        self.profiles = [_profile(x[lang == a]) for a in self.langs]
+                self.of_pair[a, b] = _svm(x.where(own), np.where(lang[own] == a, 1, -1))
+        self.profiles = [_profile(x.where(lang == a)) for a in self.langs]
         self.least_excess, self.least_share = -np.inf, 0.0
         if len(x) >= LEAST_LEARNED:
             half = np.zeros(len(x), int)
@@ -144,8 +174,8 @@ class Model:
                 half[np.flatnonzero(lang == a)[1::2]] = 1
             held = []
             for h in (0, 1):
-                of_other = [_profile(x[(half != h) & (lang == a)]) for a in self.langs if ((half != h) & (lang == a)).any()]
-                held += [_excess(v, of_other) for v in x[half == h]] if of_other else []
+                of_other = [_profile(x.where((half != h) & (lang == a))) for a in self.langs if ((half != h) & (lang == a)).any()]
+                held += [_excess(v, of_other) for v in x.where(half == h)] if of_other else []
             self.least_excess = ROOM * min(0.0, float(np.quantile(held, BELOW)))
             if len(shares):
                 self.least_share = float(np.quantile(shares, BELOW)) / ROOM
@@ -196,17 +226,15 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
             got = []
             for lang, k, text in zip(b.column("lang").to_pylist(), b.column("k").to_pylist(), b.column("text")):
                 if (lang, k) not in seen and (x := features(text.as_py())) is not None:
-                    got.append((lang, k, np.flatnonzero(x).astype(np.int16), x[x > 0], letter_share(text.as_py())))
+                    got.append((lang, k, np.flatnonzero(x).astype(np.int16).tobytes(), x[x > 0].tobytes(), letter_share(text.as_py())))
                 seen.add((lang, k))
             cols = list(zip(*got)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.float64()]
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lang", "k", "at", "x", "share"])
 
     sample = rows.where(spread < share).withColumn("k", F.xxhash64("text")).mapInArrow(
-        vectors, "lang string, k long, at array<short>, x array<float>, share double").dropDuplicates(["lang", "k"]).toPandas().sort_values(["lang", "k"])
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
-    for i, (at, v) in enumerate(zip(sample["at"], sample["x"])):
-        x[i, np.asarray(at, np.int64)] = np.asarray(v)
+        vectors, "lang string, k long, at binary, x binary, share double").dropDuplicates(["lang", "k"]).toPandas().sort_values(["lang", "k"])
+    x = Vectors([(np.frombuffer(at, np.int16), np.frombuffer(v, np.float32)) for at, v in zip(sample["at"], sample["x"])])
     return Model(x, list(sample["lang"]), families or FAMILIES, list(sample["share"]))
 
 
