@@ -5,7 +5,9 @@ five text columns. Here the order rows are first aggregated by (supplier id, cli
 map-side partial aggregation, so a hot supplier or client shrinks before the shuffle - and
 only the aggregated pairs meet the dimensions. Sum and count distribute over the inner joins
 (each aggregated pair meets exactly the dimension rows its order rows would have met), so a
-final group-by over the five output keys gives the same rows.
+final group-by over the five output keys gives the same rows. Where the dimensions are measured to have one row for
+each id, and one id for each of their keys, every pair is an output row already and that group-by, a shuffle of five
+text columns, is left out.
 """
 
 from __future__ import annotations
@@ -43,8 +45,19 @@ def build_demand(orders: DataFrame, suppliers: DataFrame, clients: DataFrame) ->
     """
     n = F.sum("order_count") if "order_count" in orders.columns else F.count("order_id")
     pairs = orders.groupBy("supplier_id", "client_id").agg(F.sum("value").alias("_v"), n.alias("_n"))
-    sup = broadcast_if_bounded(suppliers.select("supplier_id", "supplier_key", "supplier_name"))
-    cli = broadcast_if_bounded(clients.select("client_id", "client_key", "client_name", "state"))
-    joined = pairs.join(sup, "supplier_id", "inner").join(cli, "client_id", "inner")
+    sup = suppliers.select("supplier_id", "supplier_key", "supplier_name")
+    cli = clients.select("client_id", "client_key", "client_name", "state")
+    # Clients first: if they are too many for a broadcast, the pairs are shuffled without texts.
+    joined = pairs.join(broadcast_if_bounded(cli), "client_id", "inner").join(broadcast_if_bounded(sup), "supplier_id", "inner")
+    if _one_to_one(sup, "supplier_id") and _one_to_one(cli, "client_id"):
+        return joined.select(*DEMAND_KEYS, to_money(F.col("_v")).alias("ordered"), F.col("_n").alias("order_count"))
     return (joined.groupBy(*DEMAND_KEYS)
             .agg(to_money(F.sum("_v")).alias("ordered"), F.sum("_n").alias("order_count")))
+
+
+def _one_to_one(dimension: DataFrame, id_col: str) -> bool:
+    """Whether each id has one row, and no other id has that row's values; rows without an id are never joined."""
+    rows = dimension.where(F.col(id_col).isNotNull())
+    values = [c for c in dimension.columns if c != id_col]
+    again = [rows.groupBy(*keys).count().where("count > 1").select(F.lit(1)) for keys in ([id_col], values)]
+    return again[0].union(again[1]).isEmpty()

@@ -82,14 +82,20 @@ def _key(spark: SparkSession, name: str, sf_dir: str) -> str:
     return stage_key(name, sf_dir, X.tables_signature(spark, sf_dir), X.FIXTURE, X.FIXTURE_RULES)
 
 
+def _fact_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the largest tables (from the files' footers)."""
+    t = _t(spark, sf_dir)
+    return t["lineitem"].count() + t["orders"].count()
+
+
 def staged_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _key(spark, "billing_unified", sf_dir)
-    return stage(spark, key, lambda: unified_billing(spark, sf_dir))
+    return stage(spark, key, lambda: unified_billing(spark, sf_dir), lambda: _fact_rows(spark, sf_dir))
 
 
 def staged_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _key(spark, "demand", sf_dir)
-    return stage(spark, key, lambda: demand(spark, sf_dir))
+    return stage(spark, key, lambda: demand(spark, sf_dir), lambda: _fact_rows(spark, sf_dir))
 
 
 def q06_billing_unified(spark, sf_dir):
@@ -120,13 +126,15 @@ def q10_scope_demand(spark, sf_dir):
 def _client(spark, sf_dir):
     """The client reconciliation, staged: it feeds q15-q16, q18, q20 and q25."""
     return stage(spark, _key(spark, "reconcile_client", sf_dir),
-                 lambda: R.reconcile_client(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
+                 lambda: R.reconcile_client(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)),
+                 lambda: _fact_rows(spark, sf_dir))
 
 
 def _supplier(spark, sf_dir):
     """The supplier reconciliation, staged: it feeds q17, q19 and q21."""
     return stage(spark, _key(spark, "reconcile_supplier", sf_dir),
-                 lambda: R.reconcile_supplier(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)))
+                 lambda: R.reconcile_supplier(staged_billing(spark, sf_dir), staged_demand(spark, sf_dir)),
+                 lambda: _fact_rows(spark, sf_dir))
 
 
 def q11_reconcile_client(spark, sf_dir):

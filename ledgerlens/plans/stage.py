@@ -17,9 +17,12 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.plans.parts import enough_partitions
+
 _staged: dict[tuple[str, str], DataFrame] = {}
 _runs: dict[str, Run] = {}
 _building: dict[tuple[str, str], threading.Lock] = {}
@@ -90,8 +93,9 @@ def app_run(spark: SparkSession) -> Run:
         return _runs.setdefault(app, Run(spark))
 
 
-def stage(spark: SparkSession, key: str, build) -> DataFrame:
-    """The staged table ``key`` of this application; ``build()`` is written first if there is none yet."""
+def stage(spark: SparkSession, key: str, build: Callable[[], DataFrame], rows: Callable[[], int] | None = None) -> DataFrame:
+    """The staged table ``key`` of this application; ``build()`` is written first if there is none yet, with shuffle
+    partitions for ``rows()`` rows (``plans.parts``)."""
     at = (spark.conf.get("spark.app.id", "app"), key)
     with _lock:
         own = _building.setdefault(at, threading.Lock())
@@ -99,7 +103,8 @@ def stage(spark: SparkSession, key: str, build) -> DataFrame:
         with _lock:
             df = _staged.get(at)
         if df is None:
-            df = app_run(spark).keep(build(), key)
+            with enough_partitions(spark, rows() if rows else 0):
+                df = app_run(spark).keep(build(), key)
             with _lock:
                 _staged[at] = df
     return df
