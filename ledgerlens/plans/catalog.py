@@ -26,6 +26,7 @@ from ledgerlens.operators.demand import colocate as colocate_lines
 from ledgerlens.operators.refresh import refresh
 from ledgerlens.operators.sinks import csv_roundtrip, write_billing_csv, write_demand_csv
 from ledgerlens.plans.layout import Layout
+from ledgerlens.plans.parts import enough_partitions
 from ledgerlens.plans.scratch import scratch_path
 from ledgerlens.plans.stage import app_run, stage, stage_key
 from ledgerlens.sources import fixtures as X
@@ -209,8 +210,10 @@ def colocated(spark: SparkSession, sf_dir: str) -> tuple[Layout, B.BillingTables
     at, app = _key(spark, "layout", sf_dir), spark.conf.get("spark.app.id", "app")
     with _lock:
         if (app, at) not in _layouts:
-            t, layout = _t(spark, sf_dir), Layout(spark)
-            _layouts[app, at] = layout, B.colocate(X.billing_tables(t), layout), colocate_lines(X.demand_lines(t), X.line_orders(t), layout)
+            t = _t(spark, sf_dir)
+            with enough_partitions(spark, _fact_rows(spark, sf_dir)):  # and as many buckets, if there is no setting for them
+                layout = Layout(spark)
+                _layouts[app, at] = layout, B.colocate(X.billing_tables(t), layout), colocate_lines(X.demand_lines(t), X.line_orders(t), layout)
         return _layouts[app, at]
 
 
@@ -221,7 +224,9 @@ def q27_billing_lines_colocated(spark, sf_dir):
 
 def q28_demand_colocated(spark, sf_dir):
     t, (_, _, (sums, orders)) = _t(spark, sf_dir), colocated(spark, sf_dir)
-    return build_demand(orders_of_lines(sums, orders), X.demand_suppliers(t), X.demand_clients(t))
+    return stage(spark, _key(spark, "demand_colocated", sf_dir),
+                 lambda: build_demand(orders_of_lines(sums, orders), X.demand_suppliers(t), X.demand_clients(t)),
+                 lambda: _fact_rows(spark, sf_dir))
 
 
 def q29_refreshed_reconciliation(spark, sf_dir):

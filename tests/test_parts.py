@@ -55,7 +55,7 @@ def test_settings_come_back_after_threads(spark):
     assert spark.conf.get(PARTITIONS) == own
 
 
-@pytest.mark.parametrize("name", ["q07_demand"])
+@pytest.mark.parametrize("name", ["q07_demand", "q28_demand_colocated"])
 def test_a_shuffle_of_more_rows_has_more_partitions(spark, few_rows_a_task, monkeypatch, name):
     """What is written is planned with the partitions that the rows ask for, and the session has its own number again."""
     from ledgerlens.plans.stage import Run
@@ -72,6 +72,11 @@ def test_a_shuffle_of_more_rows_has_more_partitions(spark, few_rows_a_task, monk
     assert spark.conf.get(PARTITIONS) == own
 
 
+def test_buckets_follow_the_rows(spark, few_rows_a_task):
+    layout, _, _ = C.colocated(spark, SF01)
+    assert layout.buckets >= X.load_tables(spark, SF01)["lineitem"].count() // 5000
+
+
 def _demand(spark, sup, cli):
     orders = spark.createDataFrame([(1, 1, 1, 10), (2, 1, 2, 20), (3, 2, 1, 30), (4, 2, 2, 40), (5, None, 1, 50)],
                                    "order_id long, supplier_id long, client_id long, value long").withColumn("value", F.col("value").cast("decimal(18,2)"))
