@@ -25,6 +25,7 @@ from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 from ledgerlens.plans import publish as P
 from ledgerlens.plans.broadcast import broadcast_if_bounded
+from ledgerlens.plans.parts import enough_partitions
 from ledgerlens.plans.stage import list_files
 from ledgerlens.schemas import BILLING_FILE_SCHEMA, DEMAND_FILE_SCHEMA
 from ledgerlens.sources.csv_records import file_key, file_name
@@ -32,6 +33,8 @@ from ledgerlens.sources.files import conform_billing, conform_demand, read_billi
 
 #: Folders that shares may lie in before they are written together.
 FOLDERS = 16
+#: Bytes of a row in an input file, about: the rows of files that are read decide the number of shuffle partitions.
+ROW_BYTES = {"csv": 64, "parquet": 16}
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,9 @@ class Refreshed:
     scanned: dict[str, list[str]] = field(default_factory=dict)
 
 
-def _signatures(spark: SparkSession, path: str) -> dict[str, str]:
-    """Signature to path of every input file."""
-    return {hashlib.sha256(repr(f).encode()).hexdigest()[:32]: f[0] for f in list_files(spark, P.resolve(spark, path))}
+def _signatures(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Signature to path and length of every input file."""
+    return {hashlib.sha256(repr(f).encode()).hexdigest()[:32]: f[:2] for f in list_files(spark, P.resolve(spark, path))}
 
 
 def _read(spark: SparkSession, side: Side, paths: list[str], fmt: str) -> DataFrame:
@@ -102,16 +105,18 @@ def refresh(spark: SparkSession, billing_path: str, demand_path: str, root: str,
         for side, path in zip(SIDES, (billing_path, demand_path)):
             there = _signatures(spark, path)
             known = {s: f for s, f in old.get(side.name, {}).items() if s in there}
-            new = {s: p for s, p in there.items() if s not in known}
-            made = None
+            new = {s: p for s, (p, _) in there.items() if s not in known}
+            rows, made = sum(there[s][1] for s in new) // ROW_BYTES[fmt], None
             if new:
                 names = spark.createDataFrame([(file_key(p), s) for s, p in new.items()], "_file string, sig string")
                 made = side.shares(_read(spark, side, list(new.values()), fmt).join(broadcast_if_bounded(names), "_file"))
             if len(set(known.values())) >= FOLDERS:
                 before = _shares(spark, root, side, known)
                 made, known = before if made is None else made.unionByName(before), dict.fromkeys(known, folder)
+                rows += before.count()
             if made is not None:
-                made.hint("rebalance", "sig").write.partitionBy("sig").parquet(f"{root}/{folder}/{side.name}")
+                with enough_partitions(spark, rows):
+                    made.hint("rebalance", "sig").write.partitionBy("sig").parquet(f"{root}/{folder}/{side.name}")
             shares[side.name], scanned[side.name] = known | dict.fromkeys(new, folder), sorted(new.values())
     except BaseException:
         P._Files(spark, root).delete(f"{root}/{folder}")

@@ -235,7 +235,8 @@ def q29_refreshed_reconciliation(spark, sf_dir):
     write_billing_csv(staged_billing(spark, sf_dir), f"{root}/billing")
     write_demand_csv(staged_demand(spark, sf_dir), f"{root}/demand")
     now = refresh(spark, f"{root}/billing", f"{root}/demand", f"{root}/shares")
-    return R.reconcile_client(now.billing, now.demand)
+    with enough_partitions(spark, _fact_rows(spark, sf_dir)):
+        return app_run(spark).keep(R.reconcile_client(now.billing, now.demand), "refreshed")
 
 
 def q30_reconcile_all_states(spark, sf_dir):

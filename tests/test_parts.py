@@ -55,7 +55,7 @@ def test_settings_come_back_after_threads(spark):
     assert spark.conf.get(PARTITIONS) == own
 
 
-@pytest.mark.parametrize("name", ["q07_demand", "q28_demand_colocated"])
+@pytest.mark.parametrize("name", ["q07_demand", "q28_demand_colocated", "q29_refreshed_reconciliation"])
 def test_a_shuffle_of_more_rows_has_more_partitions(spark, few_rows_a_task, monkeypatch, name):
     """What is written is planned with the partitions that the rows ask for, and the session has its own number again."""
     from ledgerlens.plans.stage import Run
