@@ -116,6 +116,15 @@ def test_invalid_values_stay(text):
     assert P.pseudonymize_text(f"x {text} y", KEY) == (f"x {text} y", [])
 
 
+def test_letters_that_only_look_like_those_of_an_iban_end_no_job(spark):
+    """The pattern takes a dotted capital I and the Kelvin sign for I and K; such text is no IBAN and stays, other values are replaced."""
+    odd = ["TR33 \u0130STA NBUL 2024 1234", "\u212aR12 ABCD 3704 0044 0532", "\u0130K12ABCDEFGH\u212a234"]
+    docs = [(i, f"{x}; a.b@example.org") for i, x in enumerate(odd)]
+    got = P.pseudonymize(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()
+    assert sorted((r.row.doc_id, r.pseudonymized.partition(";")[0], r.kinds) for r in got) == [(i, x, ["email"]) for i, x in enumerate(odd)]
+    assert not any("a.b@" in r.pseudonymized for r in got)
+
+
 def test_dates_link_across_formats():
     a, b = P.pseudonymize_text("2024-02-29 29.02.2024", KEY)[0].split()
     assert "".join(a.split("-")[::-1]) == b.replace(".", "")
