@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD, broadcast_if_small, pack, staged, table
+from ledgerlens.llm.common import WORD, broadcast_if_small, pack, shuffled, staged, table
 from ledgerlens.llm.graph import components
 
 PARTS, WIDTH = 9, 3
@@ -123,7 +123,7 @@ def _across(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others = F.sequence(F.lit(0), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1)
     rows = (still.join(per_key, "key").withColumn("block", block).withColumn("other", F.explode(others))
             .select("key", "v", "c", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-            .join(sets.select(F.col("id").alias("v"), "shingles"), "v"))
+            .join(shuffled(sets.select(F.col("id").alias("v"), "shingles")), "v"))
     kind = dict(still.dtypes)["v"]
     group = ["key", "bi", "bj"]
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_groups(percent), f"a {kind}, b {kind}")
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     i, j = F.posexplode(F.slice("parts", 1, PARTS)).alias("i", "x"), F.posexplode(F.slice("parts", PARTS + 1, PARTS)).alias("j", "y")
     keys = classes.select("v", "parts", i).select("v", "i", "x", j).select(F.xxhash64("i", "x", "j", "y").alias("key"), "v")
     shared = keys.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("key", "low")
-    met = staged(keys.join(shared, "key"), "minhash-keys")
+    met = staged(shuffled(keys).join(shared, "key"), "minhash-keys")
     stars = staged(met.where("v > low").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct(), "minhash-stars")
 
     wanted = broadcast_if_small(met.select(F.col("v").alias("id")).distinct())
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - F.col("common")
         fits = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-        return (pairs.join(a, "a").join(b, "b").where(fits).withColumn("common", common)
+        return (pairs.join(shuffled(a), "a").join(shuffled(b), "b").where(fits).withColumn("common", common)
                 .where(100 * F.col("common") >= percent * union).select("a", "b"))
 
     # An id that stands for several texts joins their classes.

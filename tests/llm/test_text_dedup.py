@@ -123,6 +123,27 @@ def test_minhash_heavily_edited_copies(spark, monkeypatch, block):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_tables_that_spark_sizes_too_low_are_not_broadcast(spark, monkeypatch):
+    """Neither the keys, 81 a class after the explode, nor the sets, though Spark takes both for small."""
+    plans, write = {}, minhash.staged
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "staged", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(20)], "doc_id long, text string")
+        got = minhash.near_duplicates(docs, shingle=4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(20)]
+    assert "SortMergeJoin [key" in plans["minhash-keys"] and "Broadcast" not in plans["minhash-keys"]
+    assert "SortMergeJoin [a#" in plans["minhash-links"] and "SortMergeJoin [b#" in plans["minhash-links"] and "SortMergeJoin [v#" in plans["minhash-more"]
+
+
 def test_minhash_recall_by_keys():
     """Share of pairs at similarity 0.8 that share a key (documented: 0.997)."""
     import numpy as np
