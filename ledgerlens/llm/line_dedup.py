@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, pack, table
+from ledgerlens.llm.common import attach, pack, shuffled, table
 
 WINDOW = 3
 
@@ -41,7 +41,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = pack(docs, id_col, text_col)
     found = _windows(base, window)
     first = found.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
-    later = (found.join(first.select("key", "first"), "key").where("at > first")
+    later = (shuffled(found).join(first.select("key", "first"), "key").where("at > first")
              .groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k"))
              .agg(F.collect_set("at.pos").alias("starts")))
 

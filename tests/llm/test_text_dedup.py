@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest_paths import SF001, SF01
-from ledgerlens.llm import line_dedup, minhash, substring_dedup
+from ledgerlens.llm import common, line_dedup, minhash, substring_dedup
 from llm_cases import LONG, empty_documents, odd_documents
 
 
@@ -144,6 +144,24 @@ def test_tables_that_spark_sizes_too_low_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin [a#" in plans["minhash-links"] and "SortMergeJoin [b#" in plans["minhash-links"] and "SortMergeJoin [v#" in plans["minhash-more"]
 
 
+def test_measured_or_exploded_tables_are_not_broadcast_by_estimate(spark):
+    """A side beyond its bounds, and the exploded windows of lines, though Spark takes both for small; within bounds, the side is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        facts, side = spark.range(1000), spark.range(20)
+        for how in ("inner", "left_semi"):
+            assert "Broadcast" not in plan(facts.join(common.broadcast_if_small(side, 10), "id", how))
+            assert "BroadcastHashJoin" in plan(facts.join(common.broadcast_if_small(side, 30), "id", how))
+        docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc")], "doc_id long, text string")
+        windows = line_dedup.dedup_lines(docs)
+        assert "SortMergeJoin [key" in plan(windows)
+        assert sorted((r.row.doc_id, r.kept) for r in windows.collect()) == [(1, "a\nb\nc\nd"), (2, "x")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_minhash_recall_by_keys():
     """Share of pairs at similarity 0.8 that share a key (documented: 0.997)."""
     import numpy as np
