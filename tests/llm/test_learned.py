@@ -1,6 +1,7 @@
 """Language identification (4), class-based scoring (8), quality (9): held-out figures, brute force, odd cases."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -39,6 +40,21 @@ def test_language_reads_text_only_and_learns_from_its_rows_only(spark):
     assert b.langs == ["de", "en", "es", "fr"] and [a.predict(t) for t in some] == [b.predict(t) for t in some]
 
 
+def test_training_holds_no_full_matrix():
+    """300 short texts: their vectors as a matrix are 10 MB, and its copies more."""
+    texts = [f"{a} wort {i} und noch {i * 7} {a}" for a in ("eins", "zwei", "drei") for i in range(100)]
+    x = language.Vectors([(np.flatnonzero(v), v[v > 0]) for v in map(language.features, texts)])
+    tracemalloc.start()
+    try:
+        model = language.Model(x, ["de"] * 100 + ["nl"] * 100 + ["fr"] * 100, language.FAMILIES)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5_000_000
+    full = language.Model(np.array([language.features(t) for t in texts]), ["de"] * 100 + ["nl"] * 100 + ["fr"] * 100, language.FAMILIES)
+    assert all((a == b).all() for a, b in zip(model.of_family, full.of_family)) and model.least_excess == full.least_excess
+
+
 def test_language_odd_cases(spark):
     docs = odd_documents(spark)
     model = language.train(docs, F.lit(True))
